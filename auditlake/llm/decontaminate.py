@@ -62,15 +62,13 @@ class Block:
     def keys(self, rows: np.ndarray) -> np.ndarray:
         """Rows of word ids as byte strings in the same order."""
         bits = np.uint64(64 // self.per)
-        parts = []
-        for at in range(0, self.window, self.per):
+        flat = np.zeros((len(rows), -(-self.window // self.per)), ">u8")
+        for k, at in enumerate(range(0, self.window, self.per)):
             key = np.zeros(len(rows), np.uint64)
             for j in range(at, min(at + self.per, self.window)):
                 key = (key << bits) | rows[:, j]
-            key <<= np.uint64(int(bits) * max(0, at + self.per - self.window))
-            parts.append(key.astype(">u8"))
-        flat = np.ascontiguousarray(np.stack(parts, 1)) if len(rows) else np.zeros((0, len(parts)), ">u8")
-        return flat.view(f"S{8 * len(parts)}").ravel()
+            flat[:, k] = key << np.uint64(int(bits) * max(0, at + self.per - self.window))
+        return flat.view(f"S{8 * flat.shape[1]}").ravel()
 
     def search(self, texts: list[bytes]) -> list[tuple[int, list[tuple[int, int, int, int]]]]:
         """Of each text: its number of words, and its longest matches (start, length, item, item's start)."""

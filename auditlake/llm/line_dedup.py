@@ -37,7 +37,7 @@ def repeated_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> D
     if min_docs <= 2:  # two documents differ exactly when the smallest and the largest id do
         found = keys.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("last"))
         return (found.where("keep < last") if min_docs == 2 else found).drop("last")
-    once = keys.groupBy("h1", "h2", "doc_id").agg()
+    once = keys.select("h1", "h2", "doc_id").distinct()
     found = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("keep"), F.count("*").alias("n"))
     return found.where(F.col("n") >= min_docs).drop("n")
 
