@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, packing, secret_scan, warc
+from . import decontaminate, embedding_dedup, line_dedup, packing, secret_scan, warc
 from .common import table
 
 
@@ -33,12 +33,17 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -46,4 +51,5 @@ ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": secret_scan.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
 }
