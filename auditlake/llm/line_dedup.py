@@ -5,8 +5,9 @@ normalised line with its document's id. Lines over the document threshold come b
 positions per document, and one join on the document reassembles the text.
 
 A line held by a third of all rows is pre-aggregated before the first shuffle (min, max and count
-combine on the map side); in the join that finds its places it is a skewed key of a plain
-shuffled join, which adaptive execution splits.
+combine on the map side). The repeated lines are then a written table, so the join that finds their places
+is one of two plain scans: broadcast where the table is small, else a shuffled join whose skewed keys
+adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, hash128, on_row, row_keyed
+from .common import ascii_lower, documents, hash128, materialize, on_row, row_keyed
 
 SPACE = " \t\n\x0b\f\r"
 
@@ -46,7 +47,7 @@ def _dedup(docs: DataFrame, rows: DataFrame, min_docs: int, min_chars: int) -> D
     """``rows``, which hold (doc_id, text, r1, r2) and maybe more, with n_lines, n_dropped and kept."""
     drops = (
         _keys(rows, min_chars)
-        .join(repeated_lines(docs, min_docs, min_chars), ["h1", "h2"])
+        .join(materialize(repeated_lines(docs, min_docs, min_chars), "lines"), ["h1", "h2"])
         .where("doc_id <> keep")
         .groupBy("doc_id", "r1", "r2")
         .agg(F.collect_set("pos").alias("gone"))
