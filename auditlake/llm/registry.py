@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, line_dedup, packing, quality, secret_scan, toxicity, warc
+from . import decontaminate, embedding_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, toxicity, warc
 from .common import table
 
 
@@ -41,6 +41,10 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.groups(table(spark, sf_dir, "documents"), k=3, p=90, q=100)
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": op5_decontaminate,
     "op6_packing": op6_packing,
     "op7_warc": op7_warc,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
@@ -61,5 +66,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_secret_scan": secret_scan.ORACLE_SQL,
     "op5_decontaminate": decontaminate.ORACLE_SQL,
     "op7_warc": warc.ORACLE_SQL,
+    "op8_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
 }
