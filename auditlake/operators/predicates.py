@@ -1,0 +1,126 @@
+"""Rule classes as column expressions over one row of features per handler.
+
+Features are aggregated once (one shuffle for reachable names, one for evidence, joined on the handler);
+every class is then a `when` chain in the same stage. Null means that a class does not apply: no finding.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Call names that mark what a handler does. A name fits if it equals one or ends with a dot and one.
+HMAC = ["createHmac", "hmac.new"]
+HASH = ["createHash"]
+CONSTANT_TIME = ["timingSafeEqual", "compare_digest"]
+CLOCK = ["Date.now", "Date.parse", "time.time", "time.monotonic", "datetime.utcnow", "datetime.now"]
+ALGORITHMS = ["md5", "sha1", "sha256", "sha512"]
+PREFIX_STRIP = ["replace", "slice", "substring", "substr", "removeprefix", "split", "startsWith"]
+PARSE = ["split", "parse", "match", "exec"]
+ITERATE = ["split", "some", "map", "filter", "find", "forEach", "any", "every"]
+
+
+def ends_with_any(name: Column, calls: list[str]) -> Column:
+    body = "|".join(c.replace(".", r"\.") for c in calls)
+    return name.rlike(rf"(^|\.)({body})$")
+
+
+def features(handlers: DataFrame, reachable: DataFrame, evidence: DataFrame, providers: DataFrame) -> DataFrame:
+    """A row for each handler (handler_id, provider, ...) with Boolean features.
+
+    reachable: (handler_id, qualified_name, import_source, hops); evidence: (handler_id, kind, provider);
+    providers: (provider, packages array, calls array, algorithm, input_format).
+    """
+    own = handlers.select("handler_id", "provider").join(F.broadcast(providers), "provider", "left")
+    name = F.col("qualified_name")
+    call = F.exists(F.coalesce("calls", F.array().cast("array<string>")), lambda c: (name == c) | F.endswith(name, F.concat(F.lit("."), c)))
+    sdk = call & (F.col("import_source").isNull() | (F.size("packages") == 0) | F.array_contains("packages", F.col("import_source")))
+    algorithm = F.regexp_extract(name, r"(?:^|\.)(" + "|".join(ALGORITHMS) + ")$", 1)
+    some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    reached = (
+        reachable.join(own, "handler_id")
+        .groupBy("handler_id")
+        .agg(
+            some(sdk).alias("sdk"),
+            some(call).alias("any_call"),
+            F.min(F.when(call, F.col("hops"))).alias("call_hops"),
+            some(ends_with_any(name, HMAC)).alias("hmac"),
+            some(ends_with_any(name, HASH)).alias("hash"),
+            some(ends_with_any(name, CONSTANT_TIME)).alias("constant_time"),
+            some(ends_with_any(name, CLOCK)).alias("clock"),
+            some((algorithm != "") & (algorithm == F.col("algorithm"))).alias("right_algorithm"),
+            some((algorithm != "") & (algorithm != F.col("algorithm"))).alias("wrong_algorithm"),
+            some(ends_with_any(name, PREFIX_STRIP)).alias("strips"),
+            some(ends_with_any(name, PARSE)).alias("parses"),
+            some(ends_with_any(name, ITERATE)).alias("iterates"),
+            some(F.startswith("import_source", F.lit("@octokit/webhooks"))).alias("octokit"),
+        )
+    )
+    kind = F.col("kind")
+    mine = F.col("provider").isin("unknown") | (F.col("provider") == F.col("p"))
+    seen = evidence.join(own.select("handler_id", F.col("provider").alias("p")), "handler_id").groupBy("handler_id")
+    seen = seen.agg(
+        *[
+            some((kind == k) & mine).alias("ev_" + a)
+            for k, a in (
+                ("sdk_import", "import"),
+                ("sdk_verify_call", "verify"),
+                ("signature_header_read", "header"),
+                ("body_as_bytes_or_buffer", "bytes"),
+                ("side_effect_before_verify", "early"),
+                ("queue_verification_reachable", "queue"),
+            )
+        ]
+    )
+    flags = [c for c in reached.columns + seen.columns if c not in ("handler_id", "call_hops")]
+    out = own.select("handler_id", "provider", "input_format").join(reached, "handler_id", "left").join(seen, "handler_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in dict.fromkeys(flags)})
+
+
+VERIFIED, UNSURE, MISSING = "verified", "manual-review", "not-verified"
+
+
+def classes() -> dict[str, Column]:
+    """Verdict of each class, null where it does not apply."""
+    f = F.col
+    when, not_verified, unsure, verified = F.when, F.lit(MISSING), F.lit(UNSURE), F.lit(VERIFIED)
+    real = ~f("provider").isin("unknown", "multiple")
+    none = f("sdk") | f("hmac") | f("ev_verify")
+    only = lambda *p: f("provider").isin(*p)
+    return {
+        "missing-signature-verification": when(real & ~none & f("hash"), unsure).when(real & ~none, not_verified),
+        "timing-unsafe-comparison": when(real & ~f("sdk") & f("hmac") & ~f("constant_time"), not_verified),
+        "missing-timing-safe-equal": when(only("github") & ~f("constant_time") & ~f("octokit"), not_verified),
+        "raw-body-misuse": when(real & ~f("ev_bytes") & ~f("ev_header") & f("any_call") & (f("call_hops") > 1), unsure).when(
+            real & ~f("ev_bytes") & (f("ev_header") | f("any_call")), not_verified
+        ),
+        "missing-timestamp-check": when(real & ~f("sdk") & f("hmac") & ~f("clock"), unsure),
+        "wrong-hmac-algorithm": when(real & f("hmac") & f("wrong_algorithm") & ~f("right_algorithm"), not_verified).when(
+            real & f("hmac") & (f("wrong_algorithm") == f("right_algorithm")), unsure
+        ),
+        "unreachable-verification": when(real & f("ev_import") & ~f("sdk") & ~f("ev_verify"), unsure),
+        "library-verified": when(real & (f("any_call") | f("ev_verify")), verified),
+        "verify-after-side-effect": when(real & f("ev_early"), unsure),
+        "signature-prefix-not-stripped": when(only("bitbucket") & f("hmac") & f("ev_header") & ~f("strips"), unsure),
+        "signature-header-parse-mishandled": when(only("calendly") & f("hmac") & f("ev_header") & ~f("parses"), unsure),
+        "multi-signature-rotation-mishandled": when(only("pagerduty", "standardwebhooks") & f("hmac") & ~f("iterates"), unsure),
+        "header-confusion": when(only("sentry") & f("hmac") & ~f("ev_header"), unsure),
+        "octokit-cross-attribution": when(only("intercom") & f("octokit"), not_verified),
+        "url-validation-only": when(only("zoom") & f("ev_header") & ~f("hmac"), unsure),
+        "verification-token-only": when(only("notion") & f("ev_header") & ~f("hmac"), unsure),
+    }
+
+
+def verdicts(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """(handler_id, provider, rule_class, state): a row for each class that applies; one pass, no shuffle."""
+    every = classes()
+    chosen = F.array(*[F.struct(F.lit(n).alias("rule_class"), every[n].alias("state")) for n in names or every])
+    out = rows.select("handler_id", "provider", F.explode(F.filter(chosen, lambda s: s["state"].isNotNull())).alias("s"))
+    return out.select("handler_id", "provider", "s.*")
+
+
+def downgraded(findings: DataFrame, deferred: DataFrame) -> DataFrame:
+    """Findings of handlers whose verification is deferred to a queue: not-verified becomes manual-review."""
+    late = deferred.select("handler_id").distinct().withColumn("late", F.lit(True))
+    out = findings.join(late, "handler_id", "left")
+    return out.withColumn("state", F.when(F.col("late") & (F.col("state") == MISSING), UNSURE).otherwise(F.col("state"))).drop("late")

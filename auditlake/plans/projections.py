@@ -1,0 +1,594 @@
+"""The operators over the driver's tables, each with the SQL that gives the same rows.
+
+The tables hold no source code, so they stand in for it: events are evidence and calls, orders are findings, pages
+are paths. Where only rule semantics matter, a few inline rows do.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as x
+from ..operators import aggregates, joins, ordered, predicates, reachability
+from ..sources.tables import table
+
+QUERIES = {}
+ORACLE_SQL = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---- stand-ins: (Spark, SQL) pairs of the same rows
+
+EVIDENCE = """SELECT event_id // 4 AS handler_id, event_id AS ord,
+ CASE event_type WHEN 'view' THEN 'stripe' WHEN 'click' THEN 'github' WHEN 'signup' THEN 'shopify' WHEN 'error' THEN 'unknown' ELSE 'slack' END AS provider,
+ CASE user_id % 4 WHEN 0 THEN 'sdk_import' WHEN 1 THEN 'sdk_verify_call' WHEN 2 THEN 'signature_header_read' ELSE 'env_var_match' END AS kind,
+ CASE WHEN user_id % 8 = 1 THEN 'crypto.createHmac' ELSE 'x' END AS detail FROM events"""
+FINDINGS = """SELECT o_orderkey AS finding_id, o_custkey AS handler_id,
+ CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'critical' WHEN '2' THEN 'high' WHEN '3' THEN 'medium' WHEN '4' THEN 'low' ELSE 'info' END AS severity,
+ CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'not-verified' ELSE 'manual-review' END AS state,
+ o_custkey % 7 = 0 AS suppressed, CASE WHEN o_orderkey % 50 = 0 THEN 'engine/parse-error' ELSE 'r/' || (o_orderkey % 9) END AS rule_id,
+ 'src/f' || (o_custkey % 40) || '.ts' AS file_path, o_orderkey % 100 AS line, o_orderkey % 7 AS col, sha256('h' || (o_orderkey % 4000)) AS line_hash FROM orders"""
+SPARK_DIALECT = [("event_id // 4", "event_id div 4"), ("sha256(", "sha2_256(")]
+
+
+def rows(spark: SparkSession, sf_dir: str, sql: str, name: str) -> DataFrame:
+    """A stand-in's rows."""
+    for a, b in SPARK_DIALECT[:1]:
+        sql = sql.replace(a, b)
+    sql = sql.replace("sha256('h' || (o_orderkey % 4000))", "sha2('h' || (o_orderkey % 4000), 256)")
+    return spark.sql(sql.replace(f" FROM {name}", " FROM {t}"), t=table(spark, sf_dir, name))
+
+
+def evidence(spark, d):
+    return rows(spark, d, EVIDENCE, "events")
+
+
+def findings(spark, d):
+    return rows(spark, d, FINDINGS, "orders")
+
+
+def handlers(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("handler_id"))
+
+
+E_, F_ = f"e AS ({EVIDENCE})", f"f AS ({FINDINGS})"
+RANK = "CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 WHEN 'low' THEN 3 ELSE 4 END"
+
+# ---- aggregations
+
+
+@query(f"""WITH {E_}, c AS (SELECT handler_id, provider, count(*) AS n FROM e WHERE provider <> 'unknown' GROUP BY ALL),
+m AS (SELECT handler_id, max(n) AS m FROM c GROUP BY ALL)
+SELECT handler_id, CASE WHEN count(*) > 1 THEN 'multiple' ELSE min(provider) END AS provider FROM c JOIN m USING (handler_id) WHERE n = m GROUP BY handler_id""")
+def provider_attribution(spark, d):
+    return aggregates.attribution(evidence(spark, d))
+
+
+@query(f"""WITH {E_}, c AS (SELECT handler_id, provider, count(*) AS n, count(*) FILTER (NOT (kind = 'sdk_verify_call' AND detail LIKE 'crypto.%')) AS n2
+ FROM e WHERE provider <> 'unknown' GROUP BY ALL),
+m AS (SELECT handler_id, max(n) AS m, max(n2) AS m2 FROM c GROUP BY ALL),
+p AS (SELECT handler_id, CASE WHEN max(m2) = 0 THEN NULL WHEN count(*) FILTER (n2 = m2) > 1 THEN 'multiple' ELSE min(provider) FILTER (n2 = m2) END AS a,
+ CASE WHEN count(*) FILTER (n = m) > 1 THEN 'multiple' ELSE min(provider) FILTER (n = m) END AS b FROM c JOIN m USING (handler_id) GROUP BY handler_id)
+SELECT h.handler_id, coalesce(a, b, 'unknown') AS provider FROM (SELECT DISTINCT handler_id FROM e) h LEFT JOIN p USING (handler_id)""")
+def provider_reattribution(spark, d):
+    e = evidence(spark, d)
+    return aggregates.attributed(e.select("handler_id").distinct(), e)
+
+
+@query(f"""WITH {E_}, h AS (SELECT handler_id, min(provider) AS provider, '/api/' || CASE WHEN handler_id % 5 = 0 THEN 'hooks' ELSE 'x' END AS route,
+ CASE WHEN handler_id % 11 = 0 THEN 'n8n' ELSE 'express' END AS framework FROM e GROUP BY handler_id)
+SELECT handler_id, CASE WHEN provider IN ('unknown', 'multiple') OR framework = 'n8n' OR route LIKE '%/hook%'
+ OR EXISTS (SELECT 1 FROM e WHERE e.handler_id = h.handler_id AND e.provider = h.provider AND kind <> 'sdk_import') THEN provider ELSE 'unknown' END AS provider, route, framework FROM h""")
+def demotion(spark, d):
+    e = evidence(spark, d)
+    route = F.concat(F.lit("/api/"), F.when(F.col("handler_id") % 5 == 0, "hooks").otherwise("x"))
+    h = e.groupBy("handler_id").agg(F.min("provider").alias("provider"))
+    h = h.withColumns({"route": route, "framework": F.when(F.col("handler_id") % 11 == 0, "n8n").otherwise("express")})
+    return aggregates.demoted(h, e)
+
+
+@query(f"""WITH {F_} SELECT c_custkey AS handler_id, coalesce(CASE max(CASE state WHEN 'verified' THEN 0 WHEN 'manual-review' THEN 1 ELSE 2 END)
+ WHEN 0 THEN 'verified' WHEN 1 THEN 'manual-review' WHEN 2 THEN 'not-verified' END, 'manual-review') AS verdict, count(f.handler_id) AS n_findings
+FROM customer LEFT JOIN f ON f.handler_id = c_custkey AND state IS NOT NULL GROUP BY c_custkey""")
+def worst_verdict(spark, d):
+    return aggregates.worst_verdict(handlers(spark, d), findings(spark, d))
+
+
+@query(f"WITH {F_} SELECT handler_id, string_agg(finding_id::VARCHAR, ',' ORDER BY line, finding_id) AS refs FROM f GROUP BY handler_id")
+def findings_ref(spark, d):
+    return aggregates.findings_ref(findings(spark, d).withColumn("ord", F.col("line")).withColumn("finding_id", F.col("finding_id")))
+
+
+@query(f"WITH {F_} SELECT severity, count(*) FILTER (NOT suppressed) AS active, count(*) FILTER (suppressed) AS suppressed FROM f GROUP BY severity")
+def severity_tally(spark, d):
+    return aggregates.severity_tally(findings(spark, d))
+
+
+@query(f"""WITH {F_}, l AS (SELECT *, NOT suppressed AND rule_id <> 'engine/parse-error' AS live FROM f)
+SELECT count(*) FILTER (live AND state = 'not-verified') AS not_verified, count(*) FILTER (live AND state = 'manual-review') AS manual_review,
+ count(*) FILTER (live AND state = 'verified') AS verified, count(*) FILTER (rule_id = 'engine/parse-error') AS parse_errors,
+ count(*) FILTER (live AND severity IN ('critical', 'high')) AS high_or_worse, count(DISTINCT file_path) FILTER (live) AS files FROM l""")
+def summary_tally(spark, d):
+    return aggregates.summary(findings(spark, d))
+
+
+@query(f"""WITH {F_}, t AS (SELECT * FROM (VALUES ('critical', 0), ('high', 1), ('medium', 2), ('low', 3), ('info', 4)) AS t(threshold, r))
+SELECT threshold, count(*) FILTER (NOT suppressed AND {RANK} <= r AND (rule_id = 'engine/parse-error' OR state = 'not-verified' OR (state = 'manual-review' AND r >= 3))) AS n
+FROM f, t GROUP BY threshold""")
+def gate_count(spark, d):
+    return aggregates.gate_counts(findings(spark, d))
+
+
+@query("""SELECT count(*) AS candidates, count(*) FILTER (json_valid(props) AND event_id % 10 <> 3) AS parsed,
+ count(*) FILTER (json_valid(props) AND event_id % 10 <> 3) / count(*) AS ratio, count(*) FILTER (json_valid(props) AND event_id % 10 <> 3) / count(*) >= 0.95 AS ok FROM events""")
+def parse_coverage(spark, d):
+    text = F.when(F.col("event_id") % 10 == 3, F.concat("props", F.lit("{"))).otherwise(F.col("props"))
+    return aggregates.parse_coverage(table(spark, d, "events").select(F.try_parse_json(text).isNotNull().alias("parsed")), 0.95)
+
+
+@query("""SELECT bad, broken, low, gated, CASE WHEN bad THEN 3 WHEN broken THEN 2 WHEN low THEN 4 WHEN gated THEN 1 ELSE 0 END AS code
+FROM (SELECT DISTINCT o_orderkey % 2 = 0 AS bad, o_orderkey % 3 = 0 AS broken, o_orderkey % 5 = 0 AS low, o_orderkey % 7 = 0 AS gated FROM orders)""")
+def exit_code(spark, d):
+    k = F.col("o_orderkey")
+    flags = table(spark, d, "orders").select(*[(k % n == 0).alias(a) for n, a in ((2, "bad"), (3, "broken"), (5, "low"), (7, "gated"))]).distinct()
+    return flags.withColumn("code", aggregates.exit_code(*[F.col(c) for c in ("bad", "broken", "low", "gated")]))
+
+
+@query("SELECT regexp_extract(p_type, '[^ ]*$') AS rule_class, count(*) AS n FROM part GROUP BY ALL")
+def class_enum(spark, d):
+    return aggregates.class_counts(table(spark, d, "part").select(F.translate("p_type", " ", "/").alias("rule_id")))
+
+
+COMPLIANCE = "SELECT doc_id, CASE WHEN quality = 1 THEN doc_id % 3 ELSE 0 END AS a, CASE WHEN toxic = 1 THEN 2 ELSE 0 END AS b FROM labels"
+
+
+def _mapped_rules(spark, d):
+    many = lambda n: F.array_repeat(F.lit("c"), n.cast("int"))
+    a, b = F.when(F.col("quality") == 1, F.col("doc_id") % 3).otherwise(0), F.when(F.col("toxic") == 1, 2).otherwise(0)
+    return table(spark, d, "labels").select(F.col("doc_id").alias("rule_id"), F.create_map(F.lit("pci"), many(a), F.lit("soc2"), many(b)).alias("mappings"))
+
+
+@query(f"""WITH r AS ({COMPLIANCE}) SELECT 'pci' AS framework, count(*) FILTER (a > 0) AS mapped, count(*) AS total FROM r
+UNION ALL SELECT 'soc2', count(*) FILTER (b > 0), count(*) FROM r UNION ALL SELECT 'any', count(*) FILTER (a > 0 OR b > 0), count(*) FROM r""")
+def compliance_coverage(spark, d):
+    return aggregates.compliance(_mapped_rules(spark, d), ["pci", "soc2"])
+
+
+@query(f"WITH r AS ({COMPLIANCE}) SELECT 'soc2' AS framework, count(*) FILTER (b > 0) AS current, 1000000::BIGINT AS baseline FROM r")
+def coverage_ratchet(spark, d):
+    old = spark.sql("SELECT * FROM VALUES ('pci', 0L), ('soc2', 1000000L) AS t(framework, mapped)")
+    return aggregates.regressions(aggregates.compliance(_mapped_rules(spark, d), ["pci", "soc2"]), old)
+
+
+@query("""WITH RECURSIVE r AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS i FROM conversations),
+h AS (SELECT conv_id, i, sha256('' || '|' || text) AS h FROM r WHERE i = 1 UNION ALL SELECT r.conv_id, r.i, sha256(h.h || '|' || r.text) FROM h JOIN r ON r.conv_id = h.conv_id AND r.i = h.i + 1)
+SELECT conv_id AS chain, max(i) AS n, max_by(h, i) AS head FROM h GROUP BY conv_id""")
+def hash_chain(spark, d):
+    return aggregates.hash_chain(table(spark, d, "conversations").select(F.col("conv_id").alias("chain"), F.col("turn").alias("seq"), F.col("text").alias("payload")))
+
+
+CHAIN = """SELECT conv_id AS chain, turn AS seq, text AS payload, CASE WHEN turn = 0 THEN '' ELSE 'p' END AS prev_hash FROM conversations"""
+
+
+@query("SELECT conv_id AS chain, min(CASE WHEN turn > 0 OR conv_id % 3 = 0 THEN turn END) AS first_broken FROM conversations GROUP BY conv_id")
+def broken_chain(spark, d):
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("chain"), F.col("turn").alias("seq"), F.col("text").alias("payload"))
+    good = F.sha2(F.concat(F.lit("|"), "payload"), 256)
+    c = c.withColumns({"prev_hash": F.when(F.col("seq") == 0, "").otherwise("p"), "hash": F.when(F.col("chain") % 3 == 0, "bad").otherwise(good)})
+    return aggregates.broken_links(c)
+
+
+@query("""SELECT event_id // 4 AS handler_id, min(1 + event_id % 3) AS hops FROM events WHERE event_type IN ('click', 'signup') GROUP BY ALL""")
+def min_hops(spark, d):
+    e = table(spark, d, "events").select(F.expr("event_id div 4").alias("handler_id"), F.concat(F.lit("app.lib."), "event_type").alias("qualified_name"), (1 + F.col("event_id") % 3).alias("hops"))
+    return aggregates.min_hops(e, spark.sql("SELECT * FROM VALUES ('lib.click'), ('signup'), ('ib.view') AS t(call)"))
+
+
+# ---- joins
+
+
+@query(f"""WITH {F_}, b AS (SELECT rule_id, line_hash, max_by(file_path, finding_id) AS old FROM f WHERE finding_id % 3 = 0 GROUP BY ALL)
+SELECT f.finding_id, old IS NOT NULL AS baselined, coalesce(old <> f.file_path, false) AS drifted FROM f LEFT JOIN b USING (rule_id, line_hash)""")
+def baseline_left_join(spark, d):
+    f = findings(spark, d)
+    return joins.with_baseline(f, f.where("finding_id % 3 = 0").withColumn("ord", F.col("finding_id"))).select("finding_id", "baselined", "drifted")
+
+
+@query(f"WITH {F_} SELECT finding_id FROM f WHERE line_hash NOT IN (SELECT line_hash FROM f WHERE finding_id % 5 = 0)")
+def new_findings(spark, d):
+    f = findings(spark, d)
+    return joins.new_findings(f, f.where("finding_id % 5 = 0")).select("finding_id")
+
+
+@query("SELECT c_custkey AS handler_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def stale_suppressions(spark, d):
+    return joins.unused(handlers(spark, d), findings(spark, d), ["handler_id"])
+
+
+@query("SELECT min(doc_id) AS first_doc, sha256(text) AS blob, count(*) AS copies FROM documents GROUP BY sha256(text)")
+def blob_dedup(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("blob"))
+    return docs.groupBy("blob").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("copies"))
+
+
+@query("""SELECT p_partkey, sha256('r/' || p_size || '|' || p_brand || '|call|' || trim(regexp_replace(p_name || '  ' || p_type, '[ \t]+', ' ', 'g'))) AS line_hash,
+ sha256(p_brand || '|/' || p_name || '|DELETE,POST|<anonymous>') AS handler_id, sha256('r|<no-handler>|f|' || p_name) AS finding_id FROM part""")
+def fingerprint(spark, d):
+    p = table(spark, d, "part")
+    return p.select(
+        "p_partkey",
+        x.line_hash(F.concat(F.lit("r/"), F.col("p_size").cast("string")), F.col("p_brand"), F.lit("call"), F.concat("p_name", F.lit("  "), "p_type")).alias("line_hash"),
+        x.handler_id(F.col("p_brand"), F.concat(F.lit("/"), "p_name"), F.array(F.lit("post"), F.lit("delete")), F.lit(None).cast("string")).alias("handler_id"),
+        x.finding_id(F.lit("r"), F.lit(None).cast("string"), F.lit("f"), F.col("p_name")).alias("finding_id"),
+    )
+
+
+NEEDLES = "SELECT * FROM (VALUES ('a', 'token'), ('a', 'License'), ('b', 'secret'), ('c', 'absent needle')) AS t(provider, needle)"
+
+
+@query(f"SELECT doc_id, provider, needle FROM documents, ({NEEDLES}) n WHERE contains(text, needle)")
+def literal_prefix_scan(spark, d):
+    return joins.contains(table(spark, d, "documents"), "text", spark.sql(NEEDLES), "needle").select("doc_id", "provider", "needle")
+
+
+@query("SELECT page_id, p AS path FROM pages, (SELECT unnest(['/EN/', '/fr/', '.example.com', '#top']) AS p) WHERE contains(lower(url), lower(p))")
+def path_match(spark, d):
+    paths = spark.sql("SELECT explode(array('/EN/', '/fr/', '.example.com', '#top')) AS path")
+    return joins.contains(table(spark, d, "pages"), "url", paths, "path", fold=True).select("page_id", "path")
+
+
+HEADERS = "SELECT * FROM (VALUES ('a', 0, 'X-Hub-Sig'), ('b', 1, 'x-hub-sig'), ('c', 2, 'x-own'), ('d', 3, 'x-shared'), ('c', 4, 'X-Shared')) AS t(provider, ord, header)"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 4 WHEN 0 THEN 'get(X_HUB_SIG)' WHEN 1 THEN 'get("x-own")' WHEN 2 THEN 'x_shared' ELSE 'none' END AS text FROM conversations)
+SELECT conv_id, turn, provider, header FROM t, ({HEADERS}) h WHERE contains(lower(text), lower(header)) OR contains(lower(text), replace(lower(header), '-', '_'))""")
+def header_reads(spark, d):
+    k = (F.col("conv_id") + F.col("turn")) % 4
+    text = F.when(k == 0, "get(X_HUB_SIG)").when(k == 1, 'get("x-own")').when(k == 2, "x_shared").otherwise("none")
+    c = table(spark, d, "conversations").select("conv_id", "turn", text.alias("text"))
+    return joins.header_reads(c, "text", spark.sql(HEADERS)).select("conv_id", "turn", "provider", "header")
+
+
+@query(f"""WITH h AS ({HEADERS}), e AS (SELECT DISTINCT event_id // 4 AS handler_id, CASE event_type WHEN 'view' THEN 'a' WHEN 'click' THEN 'b' WHEN 'error' THEN 'c' ELSE 'z' END AS provider FROM events),
+s AS (SELECT lower(header) AS header, min_by(provider, ord) AS first FROM h GROUP BY ALL HAVING count(*) > 1),
+k AS (SELECT DISTINCT handler_id, lower(header) AS header, provider FROM e JOIN h USING (provider) WHERE lower(header) IN (SELECT header FROM s)),
+a AS (SELECT DISTINCT handler_id, header, first FROM e, s)
+SELECT * FROM k UNION ALL SELECT handler_id, header, first FROM a WHERE (handler_id, header) NOT IN (SELECT handler_id, header FROM k)""")
+def header_owner(spark, d):
+    kind = F.col("event_type")
+    p = F.when(kind == "view", "a").when(kind == "click", "b").when(kind == "error", "c").otherwise("z")
+    e = table(spark, d, "events").select(F.expr("event_id div 4").alias("handler_id"), p.alias("provider"))
+    return joins.header_owners(spark.sql(HEADERS), e)
+
+
+SDK = r"SELECT * FROM (VALUES ('stripe', 'stripe'), ('stripe', 'Stripe\\'), ('github', 'github.com/google/go-github'), ('github', '@octokit/webhooks')) AS t(provider, package)"
+MODULES = r"array('stripe', 'stripe-extra', 'Stripe\\Webhook', 'github.com/google/go-github/v62/github', '@octokit/webhooks', '@octokit/webhooks-methods')"
+
+
+@query(r"""WITH s AS (SELECT * FROM (VALUES ('stripe', 'stripe'), ('stripe', 'Stripe\'), ('github', 'github.com/google/go-github'), ('github', '@octokit/webhooks')) AS t(provider, package)),
+i AS (SELECT 'f' || (o_orderkey % 50) AS file_path, ['stripe', 'stripe-extra', 'Stripe\Webhook', 'github.com/google/go-github/v62/github', '@octokit/webhooks', '@octokit/webhooks-methods'][1 + o_orderkey % 6] AS m FROM orders)
+SELECT DISTINCT file_path, provider, package FROM i, s WHERE m = package OR (package IN ('Stripe\', 'github.com/google/go-github') AND starts_with(m, package))""")
+def package_match(spark, d):
+    i = table(spark, d, "orders").select(F.concat(F.lit("f"), (F.col("o_orderkey") % 50).cast("string")).alias("file_path"), F.expr(f"element_at({MODULES}, cast(1 + o_orderkey % 6 as int))").alias("to_module"))
+    return joins.packages(i, spark.sql(SDK))
+
+
+CALLS = "SELECT * FROM (VALUES ('steel', 'BRASS'), ('tin', 'PLATED.TIN'), ('steel', 'STEEL')) AS t(provider, call)"
+
+
+@query(f"""WITH p AS (SELECT p_partkey AS handler_id, CASE WHEN p_size % 5 = 0 THEN regexp_extract(p_type, '[^ ]*$') ELSE replace(p_type, ' ', '.') END AS q,
+ CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN 'elsewhere' ELSE './local' END AS source FROM part)
+SELECT DISTINCT handler_id, provider, call FROM p, ({CALLS}) c WHERE (q = call OR ends_with(q, '.' || call)) AND NOT (NOT contains(q, '.') AND source IS NOT NULL AND source = 'elsewhere' AND provider <> 'tin')""")
+def suffix_match(spark, d):
+    size = F.col("p_size")
+    q = F.when(size % 5 == 0, F.substring_index("p_type", " ", -1)).otherwise(F.translate("p_type", " ", "."))
+    r = table(spark, d, "part").select(F.col("p_partkey").alias("handler_id"), q.alias("qualified_name"), F.when(size % 3 == 0, None).when(size % 3 == 1, "elsewhere").otherwise("./local").alias("import_source"))
+    return joins.verify_calls(r, spark.sql(CALLS), spark.sql("SELECT 'tin' AS provider, 'elsewhere' AS package"))
+
+
+@query("""WITH i AS (SELECT 'f' || (o_custkey % 100) AS file_path, 'n' || (o_orderkey % 7) AS root, min_by('m' || o_orderkey, o_orderkey) AS source FROM orders GROUP BY ALL)
+SELECT l_orderkey, l_linenumber, source AS import_source FROM lineitem LEFT JOIN i ON file_path = 'f' || (l_partkey % 120) AND root = 'n' || (l_suppkey % 7)""")
+def call_import_source(spark, d):
+    text = lambda p, c: F.concat(F.lit(p), F.expr(c).cast("string"))
+    i = table(spark, d, "orders").select(text("f", "o_custkey % 100").alias("file_path"), text("n", "o_orderkey % 7").alias("local"), text("m", "o_orderkey").alias("to_module"), F.col("o_orderkey").alias("ord"))
+    calls = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", text("f", "l_partkey % 120").alias("file_path"), F.concat(text("n", "l_suppkey % 7"), F.lit(".call")).alias("qualified_name"))
+    return joins.import_sources(calls, i).select("l_orderkey", "l_linenumber", "import_source")
+
+
+@query("""SELECT * FROM (VALUES ('a/b/x.ts', './y', 'a/b/y.ts'), ('a/b/x.ts', '../z', 'a/z/index.ts'), ('a/b/x.ts', 'lib.util', 'src/lib/util.py'), ('q.py', './y', 'y.py')) AS t(from_file, to_module, to_file)""")
+def module_resolution(spark, d):
+    i = spark.sql("SELECT * FROM VALUES ('a/b/x.ts', './y'), ('a/b/x.ts', '../z'), ('a/b/x.ts', './none'), ('a/b/x.ts', 'lib.util'), ('q.py', './y'), ('a/b/x.ts', 'express') AS t(from_file, to_module)")
+    f = spark.sql("SELECT explode(array('a/b/x.ts', 'a/b/y.ts', 'a/b/y.js', 'a/z/index.ts', 'src/lib/util.py', 'vendor/lib/util.py', 'y.py', 'q.py')) AS file_path")
+    return joins.resolve_modules(i, f)
+
+
+RULES = "SELECT * FROM (VALUES ('all/one', ''), ('s/js', 'express,nextjs'), ('s/py', 'flask')) AS t(rule_id, applies)"
+
+
+@query(f"""WITH h AS (SELECT event_id AS handler_id, ['express', 'flask', 'remix', 'nextjs', 'chi'][1 + event_id % 5] AS framework FROM events)
+SELECT handler_id, framework, rule_id FROM h, ({RULES}) r WHERE applies = '' OR list_contains(string_split(applies, ','), framework) OR (framework = 'remix' AND contains(applies, 'nextjs'))""")
+def rule_framework_join(spark, d):
+    h = table(spark, d, "events").select(F.col("event_id").alias("handler_id"), F.expr("element_at(array('express', 'flask', 'remix', 'nextjs', 'chi'), cast(1 + event_id % 5 as int))").alias("framework"))
+    r = spark.sql(RULES).select("rule_id", F.filter(F.split("applies", ","), lambda a: a != "").alias("applies_to"))
+    return joins.rules_for(h, r)
+
+
+IGNORE = ["*.md", "src/f1?.ts", "!src/f12.ts", "/src/f3*.ts", "docs/", "!src/f35.ts", "src/f35.ts"]
+
+
+@query(f"""WITH {F_}, p AS (SELECT * FROM (VALUES (1, 'src/f1?.ts', '^src/f1[^/]\\.ts$', false), (2, '!src/f12.ts', '^src/f12\\.ts$', true), (3, '/src/f3*.ts', '^src/f3[^/]*\\.ts$', false),
+ (5, '!src/f35.ts', '^src/f35\\.ts$', true), (6, 'src/f35.ts', '^src/f35\\.ts$', false)) AS t(ord, pattern, re, neg)),
+m AS (SELECT file_path, max_by(neg, ord) AS gone, max_by(pattern, ord) FILTER (NOT neg) AS ignore_pattern FROM (SELECT DISTINCT file_path FROM f), p WHERE regexp_matches(file_path, re) GROUP BY ALL)
+SELECT finding_id, CASE WHEN NOT gone THEN ignore_pattern END AS ignore_pattern FROM f LEFT JOIN m USING (file_path)""")
+def ignore_patterns(spark, d):
+    p = [(i, s, *x.ignore_regex(s)) for i, s in enumerate(IGNORE)]
+    return joins.ignored(findings(spark, d), spark.createDataFrame(p, "ord int, pattern string, regex string, negated boolean")).select("finding_id", "ignore_pattern")
+
+
+@query("""WITH b AS (SELECT sha256(text) AS blob, min(doc_id) AS commit FROM documents GROUP BY ALL) SELECT doc_id, commit FROM documents JOIN b ON blob = sha256(text)""")
+def history_provenance(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("blob"))
+    blobs = docs.select("blob", F.col("doc_id").alias("commit"), F.col("doc_id").alias("ord"), F.lit("p").alias("path"))
+    return joins.first_commit(docs, blobs).select("doc_id", "commit")
+
+
+QUEUE = "array('jobQueue.add', 'items.add', 'sqs.sendMessage', 'kafkaProducer.send', 'mail.send', 'inngest.send', 'x.y', 'q.add')"
+
+
+@query("""WITH c AS (SELECT DISTINCT event_id // 4 AS handler_id, ['bullmq', NULL, 'sqs', 'kafka', NULL, 'inngest', NULL, 'bullmq'][1 + (event_id * 3 + user_id) % 8] AS backend FROM events)
+SELECT handler_id, backend FROM c WHERE backend IN ('bullmq', 'kafka')""")
+def queue_deferral(spark, d):
+    c = table(spark, d, "events").select(F.expr("event_id div 4").alias("handler_id"), F.expr(f"element_at({QUEUE}, cast(1 + (event_id * 3 + user_id) % 8 as int))").alias("qualified_name"))
+    takes = spark.sql("SELECT * FROM VALUES ('Worker', true), ('consumer.run', true), ('app.consume', false), ('x.run', true) AS t(qualified_name, verifies)")
+    return joins.deferred_to_queue(c, takes)
+
+
+@query("""WITH h AS (SELECT o_orderkey AS handler_id, o_custkey % 60 AS f, o_orderkey % 90 AS at FROM orders), u AS (SELECT DISTINCT user_id % 60 AS f, event_type AS name, event_id % 90 AS line FROM events WHERE event_id < 900)
+SELECT handler_id, name, row_number() OVER (PARTITION BY handler_id ORDER BY line, name) - 1 AS position FROM h JOIN u USING (f) WHERE line < at""")
+def middleware_before(spark, d):
+    h = table(spark, d, "orders").select(F.col("o_orderkey").alias("handler_id"), (F.col("o_custkey") % 60).alias("file_path"), (F.col("o_orderkey") % 90).alias("line"))
+    u = table(spark, d, "events").where("event_id < 900").select((F.col("user_id") % 60).alias("file_path"), F.col("event_type").alias("name"), (F.col("event_id") % 90).alias("line")).distinct()
+    return joins.middleware_before(h, u)
+
+
+SPANS = "SELECT user_id % 40 AS file_path, (event_id * 37) % 20000 AS start, (event_id * 37) % 20000 + event_id % 50 AS stop, event_id FROM events"
+
+
+@query(f"""WITH i AS ({SPANS} WHERE event_type = 'view'), o AS ({SPANS} WHERE event_type = 'click')
+SELECT i.event_id, o.event_id AS outer_id FROM i JOIN o USING (file_path) WHERE i.start >= o.start AND i.stop <= o.stop + 300""")
+def inline_ranges(spark, d):
+    e = table(spark, d, "events")
+    at = (F.col("event_id") * 37) % 20000
+    span = lambda k: e.where(F.col("event_type") == k).select((F.col("user_id") % 40).alias("file_path"), at.alias("start"), (at + F.col("event_id") % 50).alias("end"), "event_id")
+    outer = span("click").select("file_path", F.col("start").alias("lo"), (F.col("end") + 300).alias("hi"), F.col("event_id").alias("outer_id"))
+    return joins.inside(span("view"), outer).select("event_id", "outer_id")
+
+
+@query(f"""WITH i AS ({SPANS} WHERE event_type = 'view'), o AS ({SPANS} WHERE event_type = 'click')
+SELECT event_id FROM i WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.file_path = i.file_path AND i.start < o.stop AND o.start < i.stop)""")
+def forbidden_ranges(spark, d):
+    e = table(spark, d, "events")
+    at = (F.col("event_id") * 37) % 20000
+    span = lambda k: e.where(F.col("event_type") == k).select((F.col("user_id") % 40).alias("file_path"), at.alias("start"), (at + F.col("event_id") % 50).alias("end"), "event_id")
+    return joins.outside(span("view"), span("click").select("file_path", F.col("start").alias("lo"), F.col("end").alias("hi"))).select("event_id")
+
+
+# ---- closure
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7) % 1500 AS dst FROM orders),
+r AS (SELECT s AS root, dst AS node, 1 AS hops FROM (SELECT unnest([1, 2, 3, 5, 8]) AS s) JOIN e ON src = s UNION SELECT root, dst, hops + 1 FROM r JOIN e ON src = node WHERE hops < 4)
+SELECT root::BIGINT AS root, node, min(hops)::INT AS hops FROM r GROUP BY root, node""")
+def call_closure(spark, d):
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7) % 1500).alias("dst"), F.col("o_orderkey").alias("ord"))
+    seeds = e.where("src IN (1, 2, 3, 5, 8)").select(F.col("src").alias("root"), F.col("dst").alias("node"), "ord")
+    return reachability.closure(seeds, e.groupBy("src", "dst").agg(F.min("ord").alias("ord")), 4, 10**9)
+
+
+@query("""WITH q AS (SELECT p_partkey % 500 AS handler_id, replace(p_type, ' ', '.') AS q FROM part), h AS (SELECT DISTINCT handler_id FROM q), c AS (SELECT unnest(['BRASS', 'PLATED.TIN']) AS call)
+SELECT handler_id, name FROM h, (SELECT call AS name FROM c UNION SELECT 'this.' || regexp_extract(call, '[^.]*$') FROM c)
+UNION SELECT handler_id, unnest([q, string_split(q, '.')[1]]) FROM q, c WHERE q = call OR ends_with(q, '.' || call)""")
+def helper_promotion(spark, d):
+    n = table(spark, d, "part").select((F.col("p_partkey") % 500).alias("handler_id"), F.translate("p_type", " ", ".").alias("qualified_name"))
+    return reachability.promoted(n, spark.sql("SELECT explode(array('BRASS', 'PLATED.TIN')) AS call"))
+
+
+# ---- ordered
+
+
+@query("""WITH s AS (SELECT user_id AS handler_id, event_id AS ord, event_type, min(CASE WHEN event_type = 'signup' AND event_id > 2000 THEN event_id END) OVER (PARTITION BY user_id) AS first FROM events)
+SELECT handler_id, ord FROM s WHERE event_type = 'purchase' AND (first IS NULL OR ord < first)""")
+def verify_order(spark, d):
+    kind = F.when((F.col("event_type") == "signup") & (F.col("event_id") > 2000), "verification").when(F.col("event_type") == "purchase", "side_effect").otherwise("neutral")
+    return ordered.before_verify(table(spark, d, "events").select(F.col("user_id").alias("handler_id"), F.col("event_id").alias("ord"), kind.alias("class")))
+
+
+@query("""SELECT l_suppkey AS handler_id, l_orderkey AS ord, CASE max(CASE l_returnflag || l_linestatus WHEN 'AF' THEN 4 WHEN 'RF' THEN 3 WHEN 'NF' THEN 1 ELSE 0 END)
+ WHEN 4 THEN 'verification' WHEN 3 THEN 'side_effect' WHEN 1 THEN 'short_circuit' ELSE 'neutral' END AS class FROM lineitem GROUP BY ALL""")
+def statement_class(spark, d):
+    sinks = spark.sql("SELECT * FROM VALUES ('AF', 'verification'), ('RF', 'side_effect'), ('NF', 'short_circuit') AS t(name, class)")
+    calls = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("handler_id"), F.col("l_orderkey").alias("ord"), F.concat("l_returnflag", "l_linestatus").alias("name"))
+    return ordered.statement_class(calls, sinks)
+
+
+@query("""SELECT user_id AS handler_id, min(event_id) FILTER (event_type = 'view') < min(event_id) FILTER (event_type = 'error') AS in_order FROM events GROUP BY user_id
+HAVING count(*) FILTER (event_type = 'view') > 0 AND count(*) FILTER (event_type = 'error') > 0""")
+def middleware_order(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("handler_id"), F.col("event_type").alias("name"), F.col("event_id").alias("position"))
+    return ordered.in_order(e, "view", "error")
+
+
+@query("""WITH m AS (SELECT DISTINCT conv_id AS file_path, turn % 3 AS rule_id, turn::INT AS line, CASE WHEN turn % 4 = 0 THEN 'disable' WHEN turn % 4 = 3 THEN 'enable' WHEN turn % 4 = 1 THEN 'line' ELSE 'next-line' END AS form FROM conversations),
+b AS (SELECT *, lag(form) OVER w AS before, min(CASE WHEN form = 'enable' THEN line END) OVER (PARTITION BY file_path, rule_id ORDER BY line ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS until FROM m WHERE form IN ('disable', 'enable') WINDOW w AS (PARTITION BY file_path, rule_id ORDER BY line))
+SELECT file_path, 'r' || rule_id AS rule_id, line + CASE form WHEN 'next-line' THEN 1 ELSE 0 END AS line FROM m WHERE form IN ('line', 'next-line')
+UNION SELECT file_path, 'r' || rule_id, unnest(generate_series(line, coalesce(until, 12))) FROM b WHERE form = 'disable' AND coalesce(before, 'enable') = 'enable'""")
+def suppression_ranges(spark, d):
+    t = F.col("turn")
+    form = F.when(t % 4 == 0, "disable").when(t % 4 == 3, "enable").when(t % 4 == 1, "line").otherwise("next-line")
+    m = table(spark, d, "conversations").select(F.col("conv_id").alias("file_path"), F.concat(F.lit("r"), (t % 3).cast("string")).alias("rule_id"), t.cast("int").alias("line"), form.alias("form")).distinct()
+    return ordered.suppressed_lines(m, m.select("file_path").distinct().withColumn("last_line", F.lit(12)))
+
+
+OVERRIDES = "(VALUES ('r/1', 0, '**/f1*.ts', 'info'), ('r/1', 1, 'src/*', 'low'), ('r/2', 0, 'lib/**', 'info'))"
+
+
+@query(f"""WITH {F_} SELECT finding_id, CASE WHEN rule_id = 'r/1' AND regexp_matches(file_path, '/f1[^/]*\\.ts$') THEN 'info' WHEN rule_id = 'r/1' THEN 'low' ELSE severity END AS severity FROM f""")
+def path_override(spark, d):
+    o = [("r/1", 0, x.glob_regex("**/f1*.ts"), "info"), ("r/1", 1, x.glob_regex("src/*"), "low"), ("r/2", 0, x.glob_regex("lib/**"), "info")]
+    return ordered.first_override(findings(spark, d), spark.createDataFrame(o, "rule_id string, ord int, regex string, severity string")).select("finding_id", "severity")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'inline' WHEN event_id % 5 = 0 THEN 'ignore-file' WHEN event_id % 7 = 0 THEN 'baseline' END AS source FROM events""")
+def suppression_precedence(spark, d):
+    k = F.col("event_id")
+    s = ordered.suppression(*[F.when(k % n == 0, "x") for n in (3, 5, 7)])
+    return table(spark, d, "events").select("event_id", s["source"].alias("source"))
+
+
+@query(f"WITH {F_} SELECT finding_id, row_number() OVER (ORDER BY {RANK}, file_path, line, col, rule_id, finding_id) AS place FROM f ORDER BY place LIMIT 5")
+def top5(spark, d):
+    f = findings(spark, d)
+    first = f.orderBy(x.severity_rank(F.col("severity")), "file_path", "line", "col", "rule_id", "finding_id").limit(5)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct(x.severity_rank(F.col("severity")).alias("s"), "file_path", "line", "col", "rule_id", "finding_id"))), lambda r: r["finding_id"])
+    return first.agg(ids.alias("ids")).select(F.posexplode("ids").alias("p", "finding_id")).select("finding_id", (F.col("p") + 1).cast("long").alias("place"))
+
+
+@query("""SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_shipdate < TIMESTAMP '1994-01-01' OR l_quantity > 49 OR l_returnflag = 'R'""")
+def changed_union(spark, d):
+    li = table(spark, d, "lineitem")
+    parts = [li.where(c).select(F.col("l_orderkey").alias("k")) for c in ("l_shipdate < TIMESTAMP '1994-01-01'", "l_quantity > 49", "l_returnflag = 'R'")]
+    return parts[0].union(parts[1]).union(parts[2]).distinct()
+
+
+@query("SELECT doc_id, regexp_replace(text, '[0-9]+', '<NUMBER>', 'g') AS redacted FROM documents")
+def redact_numbers(spark, d):
+    return table(spark, d, "documents").select("doc_id", x.redacted_numbers(F.col("text")).alias("redacted"))
+
+
+@query()
+def edit_overlap(spark, d):
+    e = table(spark, d, "events").where("event_type = 'click'")
+    at = (F.col("event_id") * 37) % 20000
+    return ordered.without_overlap(e.select(F.col("user_id").alias("file_path"), at.alias("start"), (at + F.col("event_id") % 400).alias("end"), F.col("event_id").cast("string").alias("rule_id")))
+
+
+# ---- scans, extraction and scalars
+
+
+@query("""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS link FROM pages""")
+def link_extract(spark, d):
+    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("link"))
+
+
+@query("SELECT page_id, regexp_matches(lower(url), 'webhook|/hook|interaction|discord|/en/') AS hook FROM pages")
+def webhookish_paths(spark, d):
+    return table(spark, d, "pages").select("page_id", (x.webhookish(F.col("url")) | F.contains(F.lower("url"), F.lit("/en/"))).alias("hook"))
+
+
+SAMPLES = """(VALUES (1, 'k = "whsec_abc123" # sk_live_zz', 'whsec_abc123'), (2, 'ghp_0123', 'ghp_0123'), (3, 'nothing', NULL), (4, 'sk_test_1 ghs_x', 'sk_test_1'))"""
+
+
+@query("""SELECT * FROM (VALUES (1, 'whsec_abc123', 'signing-secret'), (2, 'ghp_0123', 'github-token'), (3, NULL, 'unknown'), (4, 'sk_test_1', 'stripe-key')) AS t(id, credential, class)""")
+def credential_extract(spark, d):
+    s = spark.sql(f"SELECT * FROM {SAMPLES} AS t(id, text, want)")
+    c = x.credential(F.col("text"), ["whsec_", "sk_", "ghp_", "ghs_"])
+    return s.select("id", c.alias("credential"), F.coalesce(x.secret_class(c), F.lit("unknown")).alias("class"))
+
+
+@query(f"WITH {F_} SELECT finding_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level FROM f")
+def sarif_level(spark, d):
+    return findings(spark, d).select("finding_id", x.sarif_level(F.col("severity")).alias("level"))
+
+
+@query("""SELECT 'a=<STRING:5> + <NUMBER> + <SECRET_LITERAL>; b=<STRING:0>' AS redacted""")
+def structural_redaction(spark, d):
+    return spark.sql("""SELECT 'a="hello" + 12.5 + "whsec_9"; b=\\'\\'' AS s""").select(x.redacted(F.col("s"), ["whsec_"]).alias("redacted"))
+
+
+@query("SELECT doc_id, rtrim(string_split(trim(regexp_replace(left(text, 300), '\\s+', ' ', 'g')), '. ')[1], '.') AS hint FROM documents WHERE regexp_matches(left(text, 300), '^[a-zA-Z ]+\\. ')")
+def first_sentence(spark, d):
+    return table(spark, d, "documents").where(F.substring("text", 1, 300).rlike(r"^[a-zA-Z ]+\. ")).select("doc_id", x.first_sentence(F.substring("text", 1, 300)).alias("hint"))
+
+
+# ---- rules
+
+NAMES = ["crypto.createHmac", "crypto.sha256", "crypto.md5", "crypto.timingSafeEqual", "Date.now", "stripe.webhooks.constructEvent", "a.compare_digest", "db.insert", "verify", "sig.split", "hmac.new", "crypto.createHash"]
+PROVIDERS = ["stripe", "github", "shopify", "multiple", "bitbucket", "sentry", "zoom", "notion", "intercom", "pagerduty", "calendly"]
+KINDS = ["sdk_import", "sdk_verify_call", "signature_header_read", "body_as_bytes_or_buffer", "side_effect_before_verify", "env_var_match", "path_pattern_match"]
+SOURCES = ["stripe", "", "@octokit/webhooks", "other"]
+_list = lambda v: ", ".join(f"'{s}'" for s in v)
+
+
+def _model(spark, d):
+    e = table(spark, d, "events")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    h, i, u = F.expr("event_id div 4"), F.col("event_id"), F.col("user_id")
+    handlers = e.select(h.alias("handler_id")).distinct().withColumn("provider", pick(PROVIDERS, F.col("handler_id")))
+    reached = e.select(h.alias("handler_id"), pick(NAMES, i * 5 + u).alias("qualified_name"), F.nullif(pick(SOURCES, i + u), F.lit("")).alias("import_source"), (1 + i % 3).alias("hops"))
+    seen = e.where(u % 3 > 0).select(h.alias("handler_id"), pick(KINDS, i * 3 + u).alias("kind"), F.lit("unknown").alias("provider"))
+    known = spark.sql("SELECT * FROM VALUES ('stripe', array('stripe'), array('webhooks.constructEvent'), 'sha256'), ('github', array('@octokit/webhooks'), array('verify'), 'sha256'), ('shopify', array('x'), array('validate'), 'sha256') AS t(provider, packages, calls, algorithm)")
+    return predicates.features(handlers, reached, seen, known.withColumn("input_format", F.lit("raw_body")))
+
+
+MODEL = f"""e AS (SELECT event_id // 4 AS h, [{_list(NAMES)}][1 + (event_id * 5 + user_id) % 12] AS q, nullif([{_list(SOURCES)}][1 + (event_id + user_id) % 4], '') AS src, 1 + event_id % 3 AS hops,
+ CASE WHEN user_id % 3 > 0 THEN [{_list(KINDS)}][1 + (event_id * 3 + user_id) % 7] END AS k FROM events),
+m AS (SELECT h, [{_list(PROVIDERS)}][1 + h % 11] AS p, max(hops) FILTER (false) AS z,
+ bool_or((p = 'stripe' AND ends_with(q, '.webhooks.constructEvent') AND coalesce(src, 'stripe') = 'stripe') OR (p = 'github' AND q = 'verify' AND coalesce(src, '@octokit/webhooks') = '@octokit/webhooks')) AS sdk,
+ bool_or((p = 'stripe' AND ends_with(q, '.webhooks.constructEvent')) OR (p = 'github' AND q = 'verify')) AS anycall,
+ min(hops) FILTER ((p = 'stripe' AND ends_with(q, '.webhooks.constructEvent')) OR (p = 'github' AND q = 'verify')) AS ch,
+ bool_or(q IN ('crypto.createHmac', 'hmac.new')) AS hmac, bool_or(q = 'crypto.createHash') AS hash, bool_or(q IN ('crypto.timingSafeEqual', 'a.compare_digest')) AS ct, bool_or(q = 'Date.now') AS clock,
+ bool_or(q = 'crypto.sha256' AND p IN ('stripe', 'github', 'shopify')) AS good, bool_or(q = 'crypto.md5' AND p IN ('stripe', 'github', 'shopify')) AS wrong, bool_or(q = 'sig.split') AS split, bool_or(coalesce(src = '@octokit/webhooks', false)) AS octo,
+ coalesce(bool_or(k = 'sdk_import'), false) AS ei, coalesce(bool_or(k = 'sdk_verify_call'), false) AS ev, coalesce(bool_or(k = 'signature_header_read'), false) AS eh,
+ coalesce(bool_or(k = 'body_as_bytes_or_buffer'), false) AS eb, coalesce(bool_or(k = 'side_effect_before_verify'), false) AS es, p <> 'multiple' AS r FROM (SELECT *, [{_list(PROVIDERS)}][1 + h % 11] AS p FROM e) GROUP BY h, p)"""
+CASES = {
+    "missing-signature-verification": "CASE WHEN r AND NOT (sdk OR hmac OR ev) THEN CASE WHEN hash THEN 'manual-review' ELSE 'not-verified' END END",
+    "timing-unsafe-comparison": "CASE WHEN r AND NOT sdk AND hmac AND NOT ct THEN 'not-verified' END",
+    "missing-timing-safe-equal": "CASE WHEN p = 'github' AND NOT ct AND NOT octo THEN 'not-verified' END",
+    "raw-body-misuse": "CASE WHEN r AND NOT eb AND eh THEN 'not-verified' WHEN r AND NOT eb AND anycall THEN CASE WHEN ch > 1 THEN 'manual-review' ELSE 'not-verified' END END",
+    "missing-timestamp-check": "CASE WHEN r AND NOT sdk AND hmac AND NOT clock THEN 'manual-review' END",
+    "wrong-hmac-algorithm": "CASE WHEN NOT (r AND hmac) OR (good AND NOT wrong) THEN NULL WHEN wrong AND NOT good THEN 'not-verified' ELSE 'manual-review' END",
+    "unreachable-verification": "CASE WHEN r AND ei AND NOT sdk AND NOT ev THEN 'manual-review' END",
+    "library-verified": "CASE WHEN r AND (anycall OR ev) THEN 'verified' END",
+    "verify-after-side-effect": "CASE WHEN r AND es THEN 'manual-review' END",
+    "signature-prefix-not-stripped": "CASE WHEN p = 'bitbucket' AND hmac AND eh AND NOT split THEN 'manual-review' END",
+    "signature-header-parse-mishandled": "CASE WHEN p = 'calendly' AND hmac AND eh AND NOT split THEN 'manual-review' END",
+    "multi-signature-rotation-mishandled": "CASE WHEN p IN ('pagerduty', 'standardwebhooks') AND hmac AND NOT split THEN 'manual-review' END",
+    "header-confusion": "CASE WHEN p = 'sentry' AND hmac AND NOT eh THEN 'manual-review' END",
+    "octokit-cross-attribution": "CASE WHEN p = 'intercom' AND octo THEN 'not-verified' END",
+    "url-validation-only": "CASE WHEN p = 'zoom' AND eh AND NOT hmac THEN 'manual-review' END",
+    "verification-token-only": "CASE WHEN p = 'notion' AND eh AND NOT hmac THEN 'manual-review' END",
+}
+
+
+def _rule(name: str):
+    def run(spark, d):
+        return predicates.verdicts(_model(spark, d), [name])
+
+    run.__name__ = "rule_" + name.replace("-", "_")
+    return query(f"WITH {MODEL}, v AS (SELECT h, p, {CASES[name]} AS state FROM m) SELECT h AS handler_id, p AS provider, '{name}' AS rule_class, state FROM v WHERE state IS NOT NULL")(run)
+
+
+for _name in CASES:
+    _rule(_name)
+
+
+@query("WITH " + MODEL + ", v AS (" + " UNION ALL ".join(f"SELECT h, p, '{n}' AS c, {s} AS state FROM m" for n, s in CASES.items()) + ") SELECT h AS handler_id, p AS provider, c AS rule_class, state FROM v WHERE state IS NOT NULL")
+def rule_verdicts(spark, d):
+    return predicates.verdicts(_model(spark, d))
+
+
+@query("WITH " + MODEL + f", v AS (SELECT h, p, {CASES['missing-signature-verification']} AS state FROM m) SELECT h AS handler_id, CASE WHEN h % 6 = 0 AND state = 'not-verified' THEN 'manual-review' ELSE state END AS state FROM v WHERE state IS NOT NULL")
+def queue_downgrade(spark, d):
+    found = predicates.verdicts(_model(spark, d), ["missing-signature-verification"])
+    late = found.where("handler_id % 6 = 0").select("handler_id")
+    return predicates.downgraded(found, late).select("handler_id", "state")

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import projections
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = dict(projections.QUERIES)
+ORACLE_SQL = dict(projections.ORACLE_SQL)
 FLAGSHIP = "worst_verdict"
