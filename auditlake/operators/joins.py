@@ -82,7 +82,7 @@ def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
     relative = F.startswith("to_module", F.lit("."))
     joined = F.concat_ws("/", F.nullif(folder, F.lit("")), F.regexp_replace("to_module", r"^\./", ""))
     up = F.regexp_replace(joined, r"(^|/)[^/.]+/\.\./", "$1")
-    base = F.when(relative, up).otherwise(F.regexp_replace(F.regexp_replace("to_module", "^@/", ""), r"\.(?!\w+$)", "/"))
+    base = F.when(relative, up).otherwise(F.translate(F.regexp_replace("to_module", "^@/", ""), ".", "/"))
     tries = F.posexplode(F.array(*map(F.lit, TRIES))).alias("try", "end")
     asked = imports.select("from_file", "to_module", relative.alias("relative"), base.alias("base"), tries).withColumn("path", F.concat("base", "end"))
     names = files.select(F.col("file_path").alias("to_file"))

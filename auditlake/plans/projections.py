@@ -132,7 +132,7 @@ def gate_count(spark, d):
 @query("""SELECT count(*) AS candidates, count(*) FILTER (json_valid(props) AND event_id % 10 <> 3) AS parsed,
  count(*) FILTER (json_valid(props) AND event_id % 10 <> 3) / count(*) AS ratio, count(*) FILTER (json_valid(props) AND event_id % 10 <> 3) / count(*) >= 0.95 AS ok FROM events""")
 def parse_coverage(spark, d):
-    text = F.when(F.col("event_id") % 10 == 3, F.concat("props", F.lit("{"))).otherwise(F.col("props"))
+    text = F.when(F.col("event_id") % 10 == 3, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
     return aggregates.parse_coverage(table(spark, d, "events").select(F.try_parse_json(text).isNotNull().alias("parsed")), 0.95)
 
 
@@ -210,9 +210,9 @@ def new_findings(spark, d):
     return joins.new_findings(f, f.where("finding_id % 5 = 0")).select("finding_id")
 
 
-@query("SELECT c_custkey AS handler_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS handler_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE substr(o_orderpriority, 1, 1) = '2')")
 def stale_suppressions(spark, d):
-    return joins.unused(handlers(spark, d), findings(spark, d), ["handler_id"])
+    return joins.unused(handlers(spark, d), findings(spark, d).where("severity = 'high'"), ["handler_id"])
 
 
 @query("SELECT min(doc_id) AS first_doc, sha256(text) AS blob, count(*) AS copies FROM documents GROUP BY sha256(text)")
@@ -283,15 +283,15 @@ def package_match(spark, d):
     return joins.packages(i, spark.sql(SDK))
 
 
-CALLS = "SELECT * FROM (VALUES ('steel', 'BRASS'), ('tin', 'PLATED.TIN'), ('steel', 'STEEL')) AS t(provider, call)"
+CALLS = "SELECT * FROM (VALUES ('steel', 'PROMO'), ('tin', 'lib.SMALL'), ('tin', 'LARGE')) AS t(provider, call)"
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS handler_id, CASE WHEN p_size % 5 = 0 THEN regexp_extract(p_type, '[^ ]*$') ELSE replace(p_type, ' ', '.') END AS q,
+@query(f"""WITH p AS (SELECT p_partkey AS handler_id, CASE WHEN p_size % 5 = 0 THEN p_type ELSE 'app.lib.' || p_type END AS q,
  CASE p_size % 3 WHEN 0 THEN NULL WHEN 1 THEN 'elsewhere' ELSE './local' END AS source FROM part)
 SELECT DISTINCT handler_id, provider, call FROM p, ({CALLS}) c WHERE (q = call OR ends_with(q, '.' || call)) AND NOT (NOT contains(q, '.') AND source IS NOT NULL AND source = 'elsewhere' AND provider <> 'tin')""")
 def suffix_match(spark, d):
     size = F.col("p_size")
-    q = F.when(size % 5 == 0, F.substring_index("p_type", " ", -1)).otherwise(F.translate("p_type", " ", "."))
+    q = F.when(size % 5 == 0, F.col("p_type")).otherwise(F.concat(F.lit("app.lib."), "p_type"))
     r = table(spark, d, "part").select(F.col("p_partkey").alias("handler_id"), q.alias("qualified_name"), F.when(size % 3 == 0, None).when(size % 3 == 1, "elsewhere").otherwise("./local").alias("import_source"))
     return joins.verify_calls(r, spark.sql(CALLS), spark.sql("SELECT 'tin' AS provider, 'elsewhere' AS package"))
 
@@ -353,8 +353,8 @@ def queue_deferral(spark, d):
     return joins.deferred_to_queue(c, takes)
 
 
-@query("""WITH h AS (SELECT o_orderkey AS handler_id, o_custkey % 60 AS f, o_orderkey % 90 AS at FROM orders), u AS (SELECT DISTINCT user_id % 60 AS f, event_type AS name, event_id % 90 AS line FROM events WHERE event_id < 900)
-SELECT handler_id, name, row_number() OVER (PARTITION BY handler_id ORDER BY line, name) - 1 AS position FROM h JOIN u USING (f) WHERE line < at""")
+@query("""WITH h AS (SELECT o_orderkey AS handler_id, o_custkey % 60 AS f, o_orderkey % 90 AS hl FROM orders), u AS (SELECT DISTINCT user_id % 60 AS f, event_type AS name, event_id % 90 AS line FROM events WHERE event_id < 900)
+SELECT handler_id, name, row_number() OVER (PARTITION BY handler_id ORDER BY line, name) - 1 AS position FROM h JOIN u USING (f) WHERE line < hl""")
 def middleware_before(spark, d):
     h = table(spark, d, "orders").select(F.col("o_orderkey").alias("handler_id"), (F.col("o_custkey") % 60).alias("file_path"), (F.col("o_orderkey") % 90).alias("line"))
     u = table(spark, d, "events").where("event_id < 900").select((F.col("user_id") % 60).alias("file_path"), F.col("event_type").alias("name"), (F.col("event_id") % 90).alias("line")).distinct()
@@ -395,12 +395,12 @@ def call_closure(spark, d):
     return reachability.closure(seeds, e.groupBy("src", "dst").agg(F.min("ord").alias("ord")), 4, 10**9)
 
 
-@query("""WITH q AS (SELECT p_partkey % 500 AS handler_id, replace(p_type, ' ', '.') AS q FROM part), h AS (SELECT DISTINCT handler_id FROM q), c AS (SELECT unnest(['BRASS', 'PLATED.TIN']) AS call)
+@query("""WITH q AS (SELECT p_partkey % 500 AS handler_id, 'lib.' || p_type AS q FROM part), h AS (SELECT DISTINCT handler_id FROM q), c AS (SELECT unnest(['PROMO', 'lib.SMALL']) AS call)
 SELECT handler_id, name FROM h, (SELECT call AS name FROM c UNION SELECT 'this.' || regexp_extract(call, '[^.]*$') FROM c)
 UNION SELECT handler_id, unnest([q, string_split(q, '.')[1]]) FROM q, c WHERE q = call OR ends_with(q, '.' || call)""")
 def helper_promotion(spark, d):
-    n = table(spark, d, "part").select((F.col("p_partkey") % 500).alias("handler_id"), F.translate("p_type", " ", ".").alias("qualified_name"))
-    return reachability.promoted(n, spark.sql("SELECT explode(array('BRASS', 'PLATED.TIN')) AS call"))
+    n = table(spark, d, "part").select((F.col("p_partkey") % 500).alias("handler_id"), F.concat(F.lit("lib."), "p_type").alias("qualified_name"))
+    return reachability.promoted(n, spark.sql("SELECT explode(array('PROMO', 'lib.SMALL')) AS call"))
 
 
 # ---- ordered
