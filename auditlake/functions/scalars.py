@@ -136,7 +136,7 @@ def redacted(text: Column, prefixes: list[str]) -> Column:
     """Quoted strings by their length, or as secrets where they begin with a prefix; then numbers."""
     secret = "|".join(map(re.escape, prefixes)) or r"(?!)"
     parts = F.transform(
-        F.regexp_extract_all(text, F.lit(r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|\b\d+(?:\.\d+)?\b|[^"'\d]+|.)"""), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|[^"'\w$]+|.)"""), F.lit(1)),
         lambda p: F.when(p.rlike(rf"""^["']({secret})"""), "<SECRET_LITERAL>")
         .when(p.rlike(r"""^(["']).*\1$""") & (F.length(p) > 1), F.concat(F.lit("<STRING:"), (F.length(p) - 2).cast("string"), F.lit(">")))
         .when(p.rlike(r"^\d"), "<NUMBER>")
@@ -190,3 +190,27 @@ def ignore_regex(pattern: str) -> tuple[str, bool]:
         p = "**/" + p
     inner = glob_regex(p)[1:-1]
     return f"^{inner}{'/.*' if folder else '(?:/.*)?'}$", negated
+
+
+# Rule classes with which a forged or replayed request would pass in production.
+PRODUCTION_BYPASS = [
+    "missing-signature-verification", "unreachable-verification", "verification-token-only", "url-validation-only", "missing-basic-auth", "missing-ip-allowlist",
+    "webhook-trigger-no-authentication", "tool-callback-no-verification", "raw-body-misuse", "express-middleware-ordering", "verify-after-side-effect",
+    "verification-error-swallowed", "test-mode-bypass", "agent-tool-acts-on-unverified-payload", "timing-unsafe-comparison", "missing-timing-safe-equal",
+    "wrong-hmac-algorithm", "empty-secret-bypass", "signature-prefix-not-stripped", "signature-header-parse-mishandled", "header-confusion",
+    "octokit-cross-attribution", "multi-signature-rotation-mishandled", "url-secret-in-path", "missing-timestamp-check", "missing-replay-defense",
+    "replay-window-too-permissive",
+]
+
+
+def rule_class(rule_id: Column) -> Column:
+    return F.substring_index(rule_id, "/", -1)
+
+
+def in_production_bypass(rule_id: Column) -> Column:
+    return rule_class(rule_id).isin(*PRODUCTION_BYPASS)
+
+
+def after_probe(severity: Column, liveness: Column) -> Column:
+    """Severity of a leaked credential once it is known to be live or dead."""
+    return F.when(liveness == "live", "critical").when(liveness == "dead", "info").otherwise(severity)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import projections
+from . import corpora, projections
 
-QUERIES = dict(projections.QUERIES)
-ORACLE_SQL = dict(projections.ORACLE_SQL)
+QUERIES = projections.QUERIES | corpora.QUERIES
+ORACLE_SQL = projections.ORACLE_SQL | corpora.ORACLE_SQL
 FLAGSHIP = "worst_verdict"
