@@ -1,16 +1,17 @@
 """N-gram Jaccard join by signature trees: exact groups of documents with alike shingle sets.
 
 1. Equal sets become one entry. 2. Candidates: two sets with Jaccard similarity t or more differ in few
-tokens for their size, so when tokens are dealt to one segment more than that, some segment is the same
-in both. Each entry gives a key for each of its segments; entries that share no key cannot link. 3. Keys
-join entries to clusters of candidates. In each cluster, an entry is first verified against the pivot it
-shares most keys with, which settles large groups of near copies in linear time. 4. In clusters that
-still hold several components, signature trees are traversed in pairs: nodes hold OR-combined token
-bitmaps and size ranges, and a pair of nodes is left when its largest possible overlap is too small or all
-its entries are in one component already. Leaves are verified by exact intersection.
-
-A key that a third of all entries share is only ever aggregated (map-side) or joined with one row. Clusters
-above the size of a block are cut into blocks, and pairs of blocks become tasks.
+tokens for their size, so when tokens are dealt to more segments than that, some segment is the same
+in both. Each entry gives a key for each of its segments; entries that share no key cannot link. 3. Of
+the entries that share a key, each is first verified against the pivot that it shares most keys with; a
+key's pivot is another for each key. This settles large groups of near copies in linear time. 4. Keys whose
+entries are still in several components get signature trees, traversed in pairs: nodes hold OR-combined
+token bitmaps and size ranges, and a pair of nodes is left when its largest possible overlap is too small
+or all its entries are in one component already. 5. The pairs of entries that remain are verified by
+exact intersection: first the best few of each entry, then, with the components found so far, all.
+
+A key that a third of all entries share is only ever aggregated (map-side) or joined with one row. The
+entries of a key above the size of a block are cut into blocks, and pairs of blocks become tasks.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ BLOCK = 512
 LEAF = 8
 BITS = 2048
 BROADCAST_ROWS = 2_000_000
+FIRST = 4  # pairs of an entry and key that are verified first
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -63,37 +65,43 @@ def shingles(text: bytes, k: int, known: _Words) -> np.ndarray:
 
 class Segments:
     """How many segments sets of a size have: classes of sizes such that sets that can link are in one or two
-    neighbouring classes, and for each two neighbours one segment more than linked sets can differ in."""
+    neighbouring classes, and for each two neighbours more segments than linked sets can differ in.
+
+    Empty segments say nothing and would join everything. A few segments are spare: a set with no more empty
+    segments than those gives keys for the others only, and still shares one of them with each set that it links
+    with. Only sets with more empty segments give keys for these too; two of them may need those.
+    """
 
     def __init__(self, p: int, q: int):
-        self.p, self.q, self.starts = p, q, [1]
-
-    def of(self, n: int) -> list[tuple[int, int]]:
-        """(class, number of segments) for the pairs of classes that a set of n tokens takes part in."""
-        while self.starts[-1] <= n or len(self.starts) < 3:
-            last = self.starts[-1]
-            self.starts.append(max(last + 1, last * self.q // self.p + 1))
-        c = int(np.searchsorted(self.starts, n, "right")) - 1
-        while len(self.starts) < c + 3:
-            last = self.starts[-1]
-            self.starts.append(max(last + 1, last * self.q // self.p + 1))
-        out = []
-        for lower in (c - 1, c):
-            if lower >= 0:
-                total = self.starts[lower + 1] + self.starts[lower + 2] - 2
-                out.append((lower, (self.q - self.p) * total // (self.q + self.p) + 1))
-        return out
+        self.p, self.q, self.starts, self.known = p, q, [1], {}
+
+    def of(self, n: int) -> list[tuple[int, int, int]]:
+        """(class, number of segments, spare ones) for the pairs of classes that a set of n tokens takes part in."""
+        if n not in self.known:
+            while self.starts[-1] <= n or len(self.starts) < 3 or self.starts[-2] <= n or self.starts[-3] <= n:
+                self.starts.append(max(self.starts[-1] + 1, self.starts[-1] * self.q // self.p + 1))
+            c = int(np.searchsorted(self.starts, n, "right")) - 1
+            self.known[n] = [self._pair(lower) for lower in (c - 1, c) if lower >= 0]
+        return self.known[n]
+
+    def _pair(self, lower: int) -> tuple[int, int, int]:
+        least = (self.q - self.p) * (self.starts[lower + 1] + self.starts[lower + 2] - 2) // (self.q + self.p) + 1
+        empty = least * np.exp(-self.starts[lower] / least) if least > 1 else 0.0
+        spare = int(np.ceil(empty + 4 * np.sqrt(empty)))
+        return lower, least + spare, spare
 
     def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """A key for each segment of a set."""
+        """A key for each segment of a set that has tokens, or for all."""
         mixed = _mix(tokens + _A)
         high, low = (tokens >> np.uint64(32)), mixed & np.uint64(0xFFFFFFFF)
         out = []
-        for lower, m in self.of(len(tokens)):
+        for lower, m, spare in self.of(len(tokens)):
             at = ((high * np.uint64(m)) >> np.uint64(32)).astype(np.int64)
             a = np.bincount(at, low, m).astype(np.uint64)
             b = np.bincount(at, (mixed >> np.uint64(32)), m).astype(np.uint64)
-            out.append(_mix(_mix(a + b * _B) + _mix(np.arange(m, dtype=np.uint64) + np.uint64((lower << 32) * int(_A) % 2**64))))
+            key = _mix(_mix(a + b * _B) + _mix(np.arange(m, dtype=np.uint64) + np.uint64((lower << 32) * int(_A) % 2**64)))
+            full = np.bincount(at, minlength=m) > 0
+            out.append(key[full] if m - full.sum() <= spare else key)
         return np.concatenate(out)
 
 
@@ -119,42 +127,56 @@ def _entries(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     return docs.mapInArrow(task, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
+def _beside(rows: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
+    """Join with a table that is broadcast only when it has at most BROADCAST_ROWS rows of a few numbers."""
+    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+
+
+def bitmap(tokens: np.ndarray) -> np.ndarray:
+    bits = np.zeros(BITS, bool)
+    bits[(tokens % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(id, s1, tokens) of the wanted entries (id, s1)."""
-    rows = _beside(docs, wanted.select(F.col("id").alias("doc_id")).distinct(), ["doc_id"], "left_semi")
+    """(id, s1, n, bits, tokens) of the wanted documents (id): an entry for each set of one."""
+    rows = _beside(docs, wanted.select(F.col("id").alias("doc_id")), ["doc_id"], "left_semi")
 
     def task(batches):
         known = _Words()
         for batch in batches:
             sets = [shingles(t, k, known) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             s1 = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(np.array(s1, np.uint64).astype(np.int64)), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "s1", "tokens"])
+            cols = [
+                batch.column("doc_id"),
+                pa.array(np.array(s1, np.uint64).astype(np.int64)),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([bitmap(s).tobytes() for s in sets], pa.binary()),
+                pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64())),
+            ]
+            yield pa.record_batch(cols, ["id", "s1", "n", "bits", "tokens"])
 
-    found = rows.mapInArrow(task, "id long, s1 long, tokens array<long>")
-    return found.join(wanted.select("id", "s1"), ["id", "s1"], "left_semi").dropDuplicates(["id", "s1"])
+    found = rows.mapInArrow(task, "id long, s1 long, n long, bits binary, tokens array<long>")
+    return found.where("n > 0").dropDuplicates(["id", "s1"])
 
 
 class Tree:
-    """Entries in the order of their sizes and bitmaps, and above them nodes of 2, 4, 8 ... leaves.
+    """Entries in the order of their groups, sizes and bitmaps; above them leaves of LEAF entries, and nodes of two below.
 
-    A level has for each node: sizes from and to, fewest bits of an entry, and the entries' bits ORed.
+    A level has for each node: sizes from and to, fewest bits of an entry, least and greatest group, and the bits ORed.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
-        n = np.array([len(s) for s in sets])
-        bits = np.zeros((len(sets), BITS), bool)
-        for i, s in enumerate(sets):
-            bits[i, (s % np.uint64(BITS)).astype(int)] = True
-        packed = np.packbits(bits, 1).view(np.uint64)
-        self.order = np.lexsort((packed[:, 0], n))
-        n, packed = n[self.order], packed[self.order]
-        level = (n, n, np.bitwise_count(packed).sum(1).astype(np.int64), packed)
-        self.levels = [level]
+    def __init__(self, n: np.ndarray, bits: np.ndarray, groups: np.ndarray):
+        packed = np.ascontiguousarray(bits).view(np.uint64)
+        self.order = np.lexsort((packed[:, 0], n, groups))
+        n, packed, groups = n[self.order], packed[self.order], groups[self.order]
+        self.levels = [(n, n, np.bitwise_count(packed).sum(1).astype(np.int64), groups, groups, packed)]
         step = LEAF
         while len(self.levels[-1][0]) > 1 or len(self.levels) == 1:
-            low, high, few, ors = self.levels[-1]
+            low, high, few, first, last, ors = self.levels[-1]
             at = np.arange(0, len(low), step)
-            self.levels.append((np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.minimum.reduceat(few, at), np.bitwise_or.reduceat(ors, at, 0)))
+            least, most = np.minimum.reduceat, np.maximum.reduceat
+            self.levels.append((least(low, at), most(high, at), least(few, at), least(first, at), most(last, at), np.bitwise_or.reduceat(ors, at, 0)))
             step = 2
 
     def below(self, level: int, node: int) -> np.ndarray:
@@ -162,72 +184,65 @@ class Tree:
         return np.arange(node * step, min((node + 1) * step, len(self.levels[level - 1][0])))
 
 
-def may_link(a: tuple, b: tuple, p: int, q: int) -> np.ndarray:
-    """By node of a and of b: whether the sizes and the largest possible overlap allow a link."""
-    (alow, ahigh, afew, aor), (blow, bhigh, bfew, bor) = a, b
-    fits = (q * bhigh[None] >= p * alow[:, None]) & (q * ahigh[:, None] >= p * blow[None])
-    common = np.bitwise_count(aor[:, None] & bor[None]).sum(2).astype(np.int64)
-    most = np.minimum(ahigh[:, None] - np.maximum(afew[:, None] - common, 0), bhigh[None] - np.maximum(bfew[None] - common, 0))
-    return fits & ((p + q) * most >= p * (alow[:, None] + blow[None]))
+def overlap(a: tuple, b: tuple) -> np.ndarray:
+    """By node of a and of b: the largest overlap that an entry of one can have with an entry of the other.
 
+    Each bit of an entry that the other side lacks is a token at least that the two don't share.
+    """
+    (_, ahigh, afew, _, _, aor), (_, bhigh, bfew, _, _, bor) = a, b
+    common = np.bitwise_count(aor[:, None] & bor[None]).sum(2).astype(np.int64)
+    return np.minimum(ahigh[:, None] - np.maximum(afew[:, None] - common, 0), bhigh[None] - np.maximum(bfew[None] - common, 0))
 
-def linked(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return q * both >= p * (len(a) + len(b) - both)
 
+def may_link(a: tuple, b: tuple, most: np.ndarray, p: int, q: int) -> np.ndarray:
+    """By node of a and of b: whether groups, sizes and the largest overlap allow a link that joins two groups."""
+    (alow, ahigh, _, afirst, alast, _), (blow, bhigh, _, bfirst, blast, _) = a, b
+    one = (afirst == alast)[:, None] & (bfirst == blast)[None] & (afirst[:, None] == bfirst[None])
+    fits = (q * bhigh[None] >= p * alow[:, None]) & (q * ahigh[:, None] >= p * blow[None])
+    return ~one & fits & ((p + q) * most >= p * (alow[:, None] + blow[None]))
 
-def join(x: list[np.ndarray], y: list[np.ndarray] | None, groups: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
-    """Links that join groups, of entries of x with those of y (or of x): places in x followed by y.
 
-    groups: a label for each; entries of one label are joined already. Dual traversal from the roots.
-    """
-    left = Tree(x)
-    right = left if y is None else Tree(y)
-    sets = x if y is None else x + y
-    shift = 0 if y is None else len(x)
-    root = {g: g for g in groups.tolist()}
-
-    def find(g: int) -> int:
-        while root[g] != g:
-            root[g] = root[root[g]]
-            g = root[g]
-        return g
-
-    found: list[tuple[int, int]] = []
-    i, j = len(left.levels) - 1, len(right.levels) - 1
-    stack = [(i, np.array([0]), j, np.array([0]))]
+def pairs(left: Tree, right: Tree, p: int, q: int) -> np.ndarray:
+    """Columns (place in left, place in right, largest overlap) of the entries that may link, by dual traversal from the roots."""
+    found = [np.zeros((0, 3), np.int64)]
+    stack = [(len(left.levels) - 1, np.array([0]), len(right.levels) - 1, np.array([0]))]
     while stack:
         i, u, j, v = stack.pop()
-        ok = may_link(tuple(c[u] for c in left.levels[i]), tuple(c[v] for c in right.levels[j]), p, q)
-        for a, b in zip(*np.nonzero(ok)):
-            a, b = int(u[a]), int(v[b])
-            if left is right and i == j and a > b:
-                continue
-            if i == j == 0:
-                m, n = int(left.order[a]), int(right.order[b]) + shift
-                g, h = find(int(groups[m])), find(int(groups[n]))
-                if m != n and g != h and linked(sets[m], sets[n], p, q):
-                    root[max(g, h)] = min(g, h)
-                    found.append((m, n))
-                continue
-            stack.append((i - (i >= j), left.below(i, a) if i >= j else np.array([a]), j - (j >= i), right.below(j, b) if j >= i else np.array([b])))
-    return found
+        a, b = tuple(c[u] for c in left.levels[i]), tuple(c[v] for c in right.levels[j])
+        most = overlap(a, b)
+        ok = may_link(a, b, most, p, q)
+        if left is right:  # each pair once
+            ok &= u[:, None] < v[None] if i == 0 else u[:, None] <= v[None]
+        x, y = np.nonzero(ok)
+        if i == j == 0:
+            found.append(np.stack([left.order[u[x]], right.order[v[y]], most[x, y]], 1))
+            continue
+        for m, n in zip(u[x].tolist(), v[y].tolist()):
+            stack.append((i - (i >= j), left.below(i, m) if i >= j else np.array([m]), j - (j >= i), right.below(j, n) if j >= i else np.array([n])))
+    return np.concatenate(found)
+
+
+def best(found: np.ndarray, most: int) -> np.ndarray:
+    """For each left entry the pairs of the largest overlap, at most ``most``."""
+    found = found[np.lexsort((-found[:, 2], found[:, 0]))]
+    first = np.searchsorted(found[:, 0], found[:, 0])
+    return found[np.arange(len(found)) - first < most]
+
+
+def linked(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return q * both >= p * (len(a) + len(b) - both)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Of pairs (a, sa, b, sb): those whose sets link, as (a, b)."""
-    one = sets.toDF("a", "sa", "x")
-    two = sets.toDF("b", "sb", "y")
+    """Of pairs (a, b): those with sets that link."""
+    sets = sets.select("id", "tokens")
+    one, two = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(one, ["a", "sa"]).join(two, ["b", "sb"])
+    joined = pairs.join(one, "a").join(two, "b")
     return joined.where(q * both >= p * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def _beside(rows: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join with a table that is broadcast only when it has at most BROADCAST_ROWS rows of a few numbers."""
-    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
-
-
 def groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each row of ``docs``.
 
@@ -249,69 +264,84 @@ def groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     copies = materialize(full.join(same, ["s1", "s2"]).where("doc_id > id").select("doc_id", "s1").distinct(), "copies")
 
     keyed = _beside(entries.where("n > 0 AND doc_id IS NOT NULL"), copies, ["doc_id", "s1"], "left_anti")
-    keyed = keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"), "s1")
+    keyed = keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     order = F.col("id").bitwiseXOR(F.col("key"))  # puts the entries in another order for each key
     pivots = keyed.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low < high")
     pivots = materialize(pivots.select("key", F.col("low").bitwiseXOR(F.col("key")).alias("b")), "pivots")
     free(spark)
-    stars = keyed.join(pivots, "key").groupBy(F.col("id").alias("a"), F.col("s1").alias("sa"), "b").agg(F.count("*").alias("shared"))
-    stars = materialize(stars, "stars")
+    hits = materialize(keyed.join(pivots, "key"), "hits")
     delete(spark, path)
     free(spark)
 
-    wanted = materialize(stars.select(F.col("a").alias("id"), F.col("sa").alias("s1")).distinct(), "wanted")
+    stars = hits.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"))
+    wanted = materialize(hits.select("id").distinct(), "wanted")
     sets = materialize(_sets(rows, wanted, k), "sets")
     free(spark)
-    near = stars.where("a <> b").groupBy("a", "sa").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    links = materialize(_verified(near.join(wanted.toDF("b", "sb"), "b"), sets, p, q), "links")
-    cluster = components(stars.select("a", "b")).toDF("id", "cluster")
-    group = components(links).toDF("id", "own")
-    members = wanted.join(cluster, "id").join(group, "id", "left").withColumn("own", F.coalesce("own", "id"))
-    more = materialize(_tree_links(materialize(members, "members"), sets, p, q), "more")
+    near = stars.where("a <> b").groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    links = materialize(_verified(near, sets, p, q), "links")
+    for most in (FIRST, None):
+        group = components(links).toDF("id", "own")
+        found = _may_link(hits, group, sets.select("id", "n", "bits"), p, q, most)  # each id with all its sets
+        links = links.union(materialize(_verified(materialize(found, "pairs"), sets, p, q), "links"))
+        free(spark)
     several = full.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high").select("doc_id")
     of_one = full.join(several, "doc_id", "left_semi").join(same, ["s1", "s2"]).select("doc_id", "id")  # texts of one doc_id
-    final = components(links.union(more).union(of_one)).toDF("id", "component")
+    final = components(links.union(of_one)).toDF("id", "component")
     same = same.join(final, "id", "left").select("s1", "s2", F.coalesce("component", "id").alias("component"))
     component = F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component")).otherwise(F.col("doc_id"))
     return slim.join(same, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _tree_links(members: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Links (a, b) between the components (own) of each cluster that has several; members: (id, s1, cluster, own)."""
-    size = members.groupBy("cluster").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("c"))
-    members = members.join(size.where("low < high").select("cluster", "c"), "cluster")
-    big = members.groupBy("cluster", "own").agg(F.count("*").alias("c2"))
-    placed = members.join(big, ["cluster", "own"])
+def _may_link(hits: DataFrame, group: DataFrame, sketches: DataFrame, p: int, q: int, most: int | None) -> DataFrame:
+    """Distinct (a, b): entries of unlike components that share a key and may link by their bitmaps.
+
+    hits: (key, id); group: (id, own); sketches: (id, n, bits). most: for each entry of a key so many at most.
+    """
+    placed = hits.select("key", "id").join(group, "id", "left").withColumn("own", F.coalesce("own", "id"))
+    placed = materialize(placed, "placed")
+    open_ = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("low < high")
+    # keys with the same entries are looked at once
+    open_ = materialize(open_.groupBy("low", "high", "c", "x").agg(F.min("key").alias("key")).select("key", "c"), "open")
+    members = materialize(placed.join(open_, "key"), "members")
+
+    small = members.where(F.col("c") <= BLOCK).select("key", "id", "own")
+    tasks = max(1, small.count() // 20_000)
+    zero = F.lit(0).cast("long")
+    one = small.select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("g"), zero.alias("bi"), zero.alias("bj"), "key", F.lit(0).alias("side"), "id", "own")
+    large = members.where(F.col("c") > BLOCK)
+    big = large.groupBy("key", "own").agg(F.count("*").alias("c2"))
+    large = large.join(big, ["key", "own"])
     # a component larger than a block has blocks of its own; pairs of those need no look
     cut = F.when(F.col("c2") > BLOCK, F.xxhash64("own", F.pmod(F.xxhash64("id"), F.ceil(F.col("c2") / BLOCK)))).otherwise(F.pmod(F.xxhash64("own"), F.ceil(F.col("c") / BLOCK)))
-    whole = F.when(F.col("c2") > BLOCK, F.col("own"))
-    placed = placed.withColumns({"block": F.when(F.col("c") > BLOCK, cut).otherwise(0), "whole": whole})
-    placed = materialize(placed.select("id", "s1", "cluster", "own", "c", "block", "whole"), "placed")
-    blocks = placed.where(F.col("c") > BLOCK).groupBy("cluster", "block").agg(F.first("whole").alias("whole"))
-    other = blocks.toDF("cluster", "bj", "wj")
-    pairs = blocks.toDF("cluster", "bi", "wi").join(other, "cluster").where("bi <= bj AND NOT coalesce(wi = wj, false)").select("cluster", "bi", "bj")
-    pairs = materialize(pairs, "blocks")
-    small = placed.where(F.col("c") <= BLOCK)
-    tasks = max(1, small.count() // 2000)
-    one = small.select(F.pmod(F.xxhash64("cluster"), F.lit(tasks)).alias("g"), F.lit(0).cast("long").alias("bi"), F.lit(0).cast("long").alias("bj"), "cluster", F.lit(0).alias("side"), "id", "s1", "own")
-    large = placed.where(F.col("c") > BLOCK).withColumn("at", F.col("block"))
-    first = large.join(pairs, (large["cluster"] == pairs["cluster"]) & (F.col("block") == F.col("bi"))).select(large["cluster"].alias("g"), "bi", "bj", large["cluster"], F.lit(0).alias("side"), "id", "s1", "own")
-    second = large.join(pairs.where("bi < bj"), (large["cluster"] == pairs["cluster"]) & (F.col("block") == F.col("bj"))).select(large["cluster"].alias("g"), "bi", "bj", large["cluster"], F.lit(1).alias("side"), "id", "s1", "own")
-    dealt = one.union(first).union(second).join(sets, ["id", "s1"])
+    large = large.select("key", "id", "own", cut.alias("block"), F.when(F.col("c2") > BLOCK, F.col("own")).alias("whole"))
+    large = materialize(large, "large")
+    blocks = large.groupBy("key", "block").agg(F.first("whole").alias("whole"))
+    twos = blocks.toDF("key", "bi", "wi").join(blocks.toDF("key", "bj", "wj"), "key").where("bi <= bj AND NOT coalesce(wi = wj, false)").select("key", "bi", "bj")
+    twos = materialize(twos, "blocks")
+    side = lambda n, of, on: large.withColumnRenamed("block", on).join(of, ["key", on]).select(F.col("key").alias("g"), "bi", "bj", "key", F.lit(n).alias("side"), "id", "own")
+    dealt = one.union(side(0, twos, "bi")).union(side(1, twos.where("bi < bj"), "bj")).join(sketches, "id")
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, own in part.groupby("cluster"):
-            own = own.sort_values("side", kind="stable")
-            tokens = [np.asarray(t).view(np.uint64) for t in own["tokens"]]
-            n = int((own["side"] == 0).sum())
-            ids = own["id"].to_numpy()
-            if n:
-                links = join(tokens[:n], tokens[n:] or None, own["own"].to_numpy(), p, q)
-                found += [(ids[a], ids[b]) for a, b in links]
-        return pd.DataFrame(found, columns=["a", "b"]).astype("int64")
-
-    return dealt.groupBy("g", "bi", "bj").applyInPandas(search, "a long, b long")
+        part = part.sort_values(["key", "side"], kind="stable", ignore_index=True)
+        ids, n, own = (part[c].to_numpy() for c in ("id", "n", "own"))
+        bits = np.frombuffer(b"".join(part["bits"]), np.uint8).reshape(len(part), -1)
+        keys, sides = part["key"].to_numpy(), part["side"].to_numpy()
+        out = [np.zeros((0, 2), np.int64)]
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
+        for lo, hi in zip(starts, [*starts[1:], len(part)]):
+            mid = lo + int((sides[lo:hi] == 0).sum())
+            if lo == mid:
+                continue
+            left = Tree(n[lo:mid], bits[lo:mid], own[lo:mid])
+            right, shift = (left, lo) if mid == hi else (Tree(n[mid:hi], bits[mid:hi], own[mid:hi]), mid)
+            found = pairs(left, right, p, q)
+            found = found if most is None else best(found, most)
+            out.append(np.stack([found[:, 0] + lo, found[:, 1] + shift], 1))
+        at = np.concatenate(out)
+        a, b = ids[at[:, 0]], ids[at[:, 1]]
+        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+    return dealt.groupBy("g", "bi", "bj").applyInPandas(search, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:

@@ -69,9 +69,21 @@ def test_segments_cover_every_pair():
         s = j.Segments(p, q)
         for a in range(1, 150):
             for b in range(a, a * q // p + 1):
-                shared = {c: m for c, m in s.of(a)}.items() & {c: m for c, m in s.of(b)}.items()
+                shared = set(s.of(a)) & set(s.of(b))
                 least = -(-p * (a + b) // (p + q))
-                assert any(m > a + b - 2 * least for _, m in shared), (a, b)
+                assert any(m - spare > a + b - 2 * least for _, m, spare in shared), (a, b)
+
+
+def test_linked_sets_share_a_key():
+    rng = np.random.default_rng(8)
+    for p, q in ((90, 100), (80, 100), (60, 100)):
+        s = j.Segments(p, q)
+        for n in [*range(2, 60), 200, 500] * 3:
+            common = max(1, -(-n * p // q))
+            pool = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[n - common : n], pool[n : n + (n - common) * 2 // 5]]))
+            if j.linked(a, b, p, q):
+                assert set(s.keys(a)) & set(s.keys(b)), (p, n)
 
 
 def test_tree_prunes_only_what_cannot_link():
@@ -82,9 +94,12 @@ def test_tree_prunes_only_what_cannot_link():
         s = base[i % 3].copy()
         s[: rng.integers(0, 9)] = rng.integers(0, 2**63, 1).astype(np.uint64)
         x.append(np.unique(s))
-    label = np.arange(90)
-    for y in (None, x[40:]):
-        left, all_ = (x, x) if y is None else (x[:40], x)
-        found = j.join(left, y, label, 90, 100)
-        want = [(a, b) for b in range(90) for a in range(b if y is None else min(b, 40)) if (y is None or b >= 40) and j.linked(all_[a], all_[b], 90, 100)]
-        assert roots(found) == [r for r in roots(want)] and len(found) < 90
+    n, bits, own = np.array([len(s) for s in x]), np.stack([j.bitmap(s) for s in x]), np.arange(90) // 2
+    tree = lambda a, b: j.Tree(n[a:b], bits[a:b], own[a:b])
+    for left, right, shift in ((tree(0, 90),) * 2 + (0,), (tree(0, 40), tree(40, 90), 40)):
+        found = {tuple(sorted((a, b + shift))) for a, b, _ in j.pairs(left, right, 90, 100).tolist()}
+        every = [(a, b) for b in range(90) for a in range(b if shift == 0 else min(b, 40)) if b >= shift and own[a] != own[b]]
+        want = {(a, b) for a, b in every if j.linked(x[a], x[b], 90, 100)}
+        assert want <= found and len(found) < 0.6 * len(every)
+    some = j.best(np.array([[0, 1, 5], [0, 2, 9], [1, 2, 3], [0, 3, 7]]), 2)
+    assert some.tolist() == [[0, 2, 9], [0, 3, 7], [1, 2, 3]]
