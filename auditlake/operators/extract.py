@@ -67,18 +67,19 @@ def _by_language(language: Column, each: dict[str, Column]) -> Column:
 
 def imports(rows: DataFrame) -> DataFrame:
     """(file_path, local, to_module, ord): a row for each name that an import binds."""
-    found = None
+    found = []
     for language, patterns in IMPORT.items():
         module, names = (1, 2) if language == "py" else (2, 1)
         for p in patterns:
             p = p.replace("?<m>", "")
-            hit = rows.where((F.col("language") == language) & F.col("code").rlike(p))
-            part = hit.select("file_path", "line", F.regexp_extract("code", p, module).alias("to_module"), F.regexp_extract("code", p, names).alias("names"))
-            found = part if found is None else found.unionByName(part)
+            value = F.struct(F.regexp_extract("code", p, module).alias("to_module"), F.regexp_extract("code", p, names).alias("names"))
+            found.append((F.when((F.col("language") == language) & F.col("code").rlike(p), value)))
+    hits = rows.where(F.col("code").rlike(r"import|require|\buse\b|^\s*\w*\s*\"")).select("file_path", "line", F.explode(F.array_compact(F.array(*found))).alias("i"))
+    hits = hits.select("file_path", "line", "i.*")
     last = F.regexp_extract("to_module", r"([A-Za-z_]\w*)\W*$", 1)
     named = F.regexp_extract_all(F.regexp_replace("names", r"(\w+|\*)\s*(?:as|:)\s+(\w+)", "$2"), F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1))
     root = F.when(F.col("names") == "", F.array(F.when(F.contains("to_module", F.lit(".")) & ~F.contains("to_module", F.lit("/")), F.substring_index("to_module", ".", 1)).otherwise(last))).otherwise(named)
-    return found.select("file_path", F.explode(root).alias("local"), "to_module", F.col("line").alias("ord"))
+    return hits.select("file_path", F.explode(root).alias("local"), "to_module", F.col("line").alias("ord"))
 
 
 def symbols(rows: DataFrame) -> DataFrame:
@@ -103,27 +104,29 @@ def routes(rows: DataFrame, imported: DataFrame) -> DataFrame:
     """(file_path, framework, route, method, line, end_line): handlers, each up to the next one in its file."""
     from ..functions.scalars import webhookish
 
-    gates = imported.select("file_path", "to_module").distinct()
-    found = None
+    found = []
     for framework, language, needs, p, verb, path, gated in ROUTES:
-        hit = rows.where((F.col("language") == language) & F.col("code").rlike(p))
-        if needs:
-            hit = hit.join(gates.where(F.startswith("to_module", F.lit(needs))).select("file_path").distinct(), "file_path", "left_semi")
-        part = hit.select("file_path", F.lit(framework).alias("framework"), F.regexp_extract("code", p, path).alias("route"), F.regexp_extract("code", p, verb).alias("method"), "line")
-        part = part.where(webhookish(F.col("route"))) if gated else part
-        found = part if found is None else found.unionByName(part)
+        route = F.regexp_extract("code", p, path)
+        fits = (F.col("language") == language) & F.col("code").rlike(p)
+        fits = fits & webhookish(route) if gated else fits
+        found.append(F.when(fits, F.struct(F.lit(framework).alias("framework"), route.alias("route"), F.regexp_extract("code", p, verb).alias("method"), F.lit(needs).cast("string").alias("needs"))))
     for framework, path, p in FILE_ROUTES:
-        hit = rows.where((F.col("language") == "js") & F.col("file_path").rlike(path) & F.col("code").rlike(p))
+        fits = (F.col("language") == "js") & F.col("file_path").rlike(path) & F.col("code").rlike(p)
         route = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace("file_path", r"^.*?(app/routes|pages|app)/", ""), r"(/route|/index)?\.\w+$", ""))
-        found = found.unionByName(hit.select("file_path", F.lit(framework).alias("framework"), route.alias("route"), F.regexp_extract("code", p, 1).alias("method"), "line"))
+        found.append(F.when(fits, F.struct(F.lit(framework).alias("framework"), route.alias("route"), F.regexp_extract("code", p, 1).alias("method"), F.lit(None).cast("string").alias("needs"))))
+    hits = rows.select("file_path", "line", F.posexplode(F.array_compact(F.array(*found))).alias("rank", "r")).select("file_path", "line", "rank", "r.*")
+    modules = imported.groupBy("file_path").agg(F.collect_set("to_module").alias("modules"))  # of one file
+    hits = hits.join(modules, "file_path", "left").withColumn("modules", F.coalesce("modules", F.array().cast("array<string>")))
+    hits = hits.where(F.col("needs").isNull() | F.exists("modules", lambda m: F.startswith(m, F.col("needs"))))
     # hono and fastify routes look like express; the import tells
-    named = gates.where("to_module IN ('hono', 'fastify')").groupBy("file_path").agg(F.max("to_module").alias("own"))
-    found = found.join(named, "file_path", "left")
-    found = found.withColumn("framework", F.when((F.col("framework") == "express") & F.col("own").isNotNull(), F.col("own")).otherwise(F.col("framework"))).drop("own")
+    own = F.filter("modules", lambda m: m.isin("hono", "fastify"))
+    framework = F.when((F.col("framework") == "express") & (F.size(own) > 0), F.array_max(own)).otherwise(F.col("framework"))
+    first = Window.partitionBy("file_path", "line").orderBy("rank")
+    hits = hits.withColumns({"framework": framework, "k": F.row_number().over(first)}).where("k = 1")
     w = Window.partitionBy("file_path").orderBy("line")
     method = F.upper(F.when(F.col("method").isin("", "all"), "post").otherwise(F.col("method")))
     end = F.coalesce(F.lead("line").over(w) - 1, F.lit(2**31 - 1))
-    return found.dropDuplicates(["file_path", "line"]).withColumns({"method": method, "end_line": end})
+    return hits.select("file_path", "framework", "route", method.alias("method"), "line", end.alias("end_line"))
 
 
 def suppressions(rows: DataFrame) -> DataFrame:
@@ -134,18 +137,19 @@ def suppressions(rows: DataFrame) -> DataFrame:
     return hit.select("file_path", F.explode(ids).alias("rule_id"), "line", form.alias("form"))
 
 
-def _python_error(text: pd.Series) -> pd.DataFrame:
-    out = []
-    for t in text:
-        try:
-            ast.parse(t or "")
-            out.append((None, None))
-        except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
-            out.append((str(getattr(e, "msg", e)), getattr(e, "lineno", None)))
-    return pd.DataFrame(out, columns=["message", "line"]).astype({"line": "Int32"})
-
-
 def parse_errors(files: DataFrame) -> DataFrame:
     """(file_path, message, line) of Python files that do not parse; no rules run on them."""
-    bad = files.where("language = 'py'").select("file_path", F.pandas_udf(_python_error, "struct<message:string,line:int>")("text").alias("e"))
+    kind = "struct<message:string,line:int>"
+
+    def check(text: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in text:
+            try:
+                ast.parse(t or "")
+                out.append((None, None))
+            except (SyntaxError, ValueError, RecursionError, MemoryError) as e:
+                out.append((str(getattr(e, "msg", e)), getattr(e, "lineno", None)))
+        return pd.DataFrame(out, columns=["message", "line"]).astype({"line": "Int32"})
+
+    bad = files.where("language = 'py'").select("file_path", F.pandas_udf(check, kind)("text").alias("e"))
     return bad.where("e.message IS NOT NULL").select("file_path", "e.message", "e.line")
