@@ -234,12 +234,28 @@ def linked(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
     return q * both >= p * (len(a) + len(b) - both)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
-    """Of pairs (a, b): those with sets that link."""
-    sets = sets.select("id", "tokens")
+def _sketched(pairs_: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFrame:
+    """Of pairs (a, b): those that may link by their sizes and bitmaps (id, n, bits)."""
+    joined = pairs_.join(sketches.toDF("a", "na", "x"), "a").join(sketches.toDF("b", "nb", "y"), "b")
+
+    def look(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch[c]), np.uint64).reshape(len(batch), -1) for c in "xy")
+            m, n = batch["na"].to_numpy(), batch["nb"].to_numpy()
+            lost = [np.bitwise_count(u & ~v).sum(1).astype(np.int64) for u, v in ((x, y), (y, x))]
+            most = np.minimum(m - lost[0], n - lost[1])
+            yield batch.loc[(p + q) * most >= p * (m + n), ["a", "b"]]
+
+    return joined.mapInPandas(look, "a long, b long").distinct()
+
+
+def _verified(pairs_: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
+    """Of written pairs (a, b): those with sets that link. Only the sets in a pair shuffle."""
+    ids = materialize(pairs_.select("a").union(pairs_.select("b")).distinct().toDF("id"), "ids")
+    sets = _beside(sets.select("id", "tokens"), ids, ["id"], "left_semi")
     one, two = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
-    joined = pairs.join(one, "a").join(two, "b")
+    joined = pairs_.join(one, "a").join(two, "b")
     return joined.where(q * both >= p * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
@@ -278,10 +294,12 @@ def groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     sets = materialize(_sets(rows, wanted, k), "sets")
     free(spark)
     near = stars.where("a <> b").groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
-    links = materialize(_verified(near, sets, p, q), "links")
+    sketches = sets.select("id", "n", "bits")
+    links = materialize(_verified(materialize(_sketched(near, sketches, p, q), "pairs"), sets, p, q), "links")
+    free(spark)
     for most in (FIRST, None):
         group = components(links).toDF("id", "own")
-        found = _may_link(hits, group, sets.select("id", "n", "bits"), p, q, most)  # each id with all its sets
+        found = _may_link(hits, group, sketches, p, q, most)  # each id with all its sets
         links = links.union(materialize(_verified(materialize(found, "pairs"), sets, p, q), "links"))
         free(spark)
     several = full.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high").select("doc_id")
