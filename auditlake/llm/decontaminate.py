@@ -205,6 +205,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     """``docs`` without the rows that share a window with the benchmark."""
     rows = row_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("row")))
     bad = matches(docs, benchmark, window).where(F.size("matches") > 0).select("doc_id", "r1", "r2")
+    bad = materialize(bad, "contaminated")  # with its size known, the planner broadcasts it only when small
     return on_row(rows.drop("text"), bad, "left_anti").select("row.*")
 
 
