@@ -22,9 +22,8 @@ BLANK = "\r\n\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def base32_sha1(payload: Column) -> Column:
-    """Upper-case base32 of the SHA-1: five hexadecimal digits make four characters."""
-    digest = F.sha1(payload)
+def base32(digest: Column) -> Column:
+    """Upper-case base32 of a hexadecimal SHA-1: five digits make four characters."""
     out = []
     for at in range(1, 41, 5):
         bits = F.conv(F.substring(digest, at, 5), 16, 10).cast("int")
@@ -41,12 +40,13 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("html"))
-    rows = rows.withColumns({"n": F.octet_length("html").cast("long"), "digest": base32_sha1(F.col("html")), "h": F.xxhash64("html")})
-    small = rows.where(F.col("page_id").isNotNull() & (F.col("n") >= least_bytes)).select("page_id", "digest", "h", "n")
-    last = small.groupBy("digest", "h", "n").agg(F.max("page_id").alias("keep"), F.count("*").alias("copies")).where("copies > 1")
-    again = small.join(last, ["digest", "h", "n"]).where("page_id < keep").select(F.col("page_id").alias("p"), F.col("h").alias("h2"), "keep").distinct()
+    rows = rows.withColumns({"n": F.octet_length("html").cast("long"), "sha1": F.sha1("html"), "h": F.xxhash64("html")})
+    small = rows.where(F.col("page_id").isNotNull() & (F.col("n") >= least_bytes)).select("page_id", "sha1", "h", "n")
+    small = materialize(small, "payloads")
+    last = small.groupBy("sha1", "h", "n").agg(F.max("page_id").alias("keep"), F.count("*").alias("copies")).where("copies > 1")
+    again = small.join(last, ["sha1", "h", "n"]).where("page_id < keep").select(F.col("page_id").alias("p"), F.col("h").alias("h2"), "keep").distinct()
     again = materialize(again, "revisits")  # with its size known, the planner broadcasts it only when small
-    rows = rows.join(again, (F.col("page_id") == F.col("p")) & (F.col("h") == F.col("h2")), "left")
+    rows = rows.join(again, (F.col("page_id") == F.col("p")) & (F.col("h") == F.col("h2")), "left").withColumn("digest", base32(F.col("sha1")))
     crlf = "\r\n"
     new = F.col("keep").isNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{crlf}Content-Type: text/html; charset=utf-8{crlf}Content-Length: "), F.col("n").cast("string"), F.lit(BLANK))
@@ -73,30 +73,35 @@ def _segments(spark: SparkSession, path: str) -> DataFrame:
     return found.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mid"))
 
 
-def _parsed(value: Column, keep_payload: bool) -> dict[str, Column]:
-    head = F.substring_index(value, BLANK, 1)
-    field = lambda name: F.regexp_extract(head, rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1)
-    number = lambda c: c.try_cast("long")
-    length = number(field("Content-Length"))
-    head_bytes = F.octet_length(head)
-    block = F.substring(value.cast("binary"), head_bytes + 5, length.cast("int"))
-    http = F.substring_index(block.cast("string"), BLANK, 1)
-    payload = F.substring(block, F.octet_length(http) + 5, F.lit(2**31 - 1))
-    page = lambda name: number(F.regexp_extract(field(name), r"<urn:page:(-?\d+)>", 1))
-    kind = field("WARC-Type")
-    stored = F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "")
-    new = kind == "response"
-    out = {
-        "used": (head_bytes + 8 + length).cast("long"),
-        "record_type": kind,
-        "page_id": page("WARC-Record-ID"),
-        "url": F.nullif(field("WARC-Target-URI"), F.lit("")),
-        "refers_to": page("WARC-Refers-To"),
-        "payload_bytes": F.when(new, F.octet_length(payload).cast("long")).otherwise(number(F.regexp_extract(http, r"(?i)\r\nContent-Length:[ \t]*(\d+)", 1))),
-        "payload_digest": F.when(new, base32_sha1(payload)).otherwise(stored),
-        "intact": F.when(new, base32_sha1(payload) == stored).otherwise(F.lit(True)),
-    }
-    return out | ({"payload": F.when(new, payload)} if keep_payload else {})
+def _parsed(segments: DataFrame, keep_payload: bool) -> DataFrame:
+    """Segments (value, ...) with `used`, the bytes of the record that begins there, and the record's fields.
+
+    In steps, so that what several fields use is computed once.
+    """
+    kept = [c for c in segments.columns if c != "value"]
+    field = lambda name: F.regexp_extract("head", rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1)
+    page = lambda name: F.regexp_extract(field(name), r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    df = segments.withColumn("head", F.substring_index("value", BLANK, 1))
+    df = df.withColumns({"length": field("Content-Length").try_cast("long"), "record_type": field("WARC-Type"), "at_block": F.octet_length("head") + 5})
+    df = df.withColumn("body", F.substring(F.col("value").cast("binary"), F.col("at_block"), F.col("length").cast("int")))
+    df = df.withColumn("http", F.substring_index(F.col("body").cast("string"), BLANK, 1))
+    new = F.col("record_type") == "response"
+    df = df.withColumn("payload", F.when(new, F.substring("body", F.octet_length("http") + 5, F.lit(2**31 - 1))))
+    df = df.withColumns({"sha1": F.sha1("payload"), "stored": F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "")})
+    df = df.withColumn("own", base32(F.col("sha1")))
+    said = F.regexp_extract("http", r"(?i)\r\nContent-Length:[ \t]*(\d+)", 1).try_cast("long")
+    return df.select(
+        *kept,
+        (F.col("at_block") + 3 + F.col("length")).cast("long").alias("used"),
+        "record_type",
+        page("WARC-Record-ID").alias("page_id"),
+        F.nullif(field("WARC-Target-URI"), F.lit("")).alias("url"),
+        page("WARC-Refers-To").alias("refers_to"),
+        F.when(new, F.octet_length("payload").cast("long")).otherwise(said).alias("payload_bytes"),
+        F.coalesce("own", "stored").alias("payload_digest"),
+        F.coalesce(F.col("own") == F.col("stored"), F.lit(True)).alias("intact"),
+        *["payload"] * keep_payload,
+    )
 
 
 FIELDS = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "intact"]
@@ -129,11 +134,9 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
     Only records that the chain of declared lengths reaches from the start of their file count. intact: the
     payload's digest is the stored one. An archive without records gives none.
     """
-    value = F.col("value")
     fields = FIELDS + ["payload"] * keep_payload
-    seg = _segments(spark, path).select(
-        "file", "block", "mid", F.octet_length("value").cast("long").alias("size"), F.xxhash64("value").alias("h"), *[c.alias(k) for k, c in _parsed(value, keep_payload).items()]
-    )
+    seg = _segments(spark, path).withColumns({"size": F.octet_length("value").cast("long"), "h": F.xxhash64("value")})
+    seg = _parsed(seg, keep_payload)
     seg = materialize(seg, "segments")
     order = Window.partitionBy("file").orderBy("block", "mid")
     before = F.sum(F.col("size") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -150,7 +153,7 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
     text = _segments(spark, path).select("file", "block", F.xxhash64("value").alias("h"), F.octet_length("value").cast("long").alias("size"), "value").distinct()
     text = text.join(parts, ["file", "block", "h", "size"]).groupBy("file", "owner")
     joined = text.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
-    return whole.unionByName(joined.select(*[c.alias(k) for k, c in _parsed(value, keep_payload).items()]).select(*fields))
+    return whole.unionByName(_parsed(joined, keep_payload).select(*fields))
 
 
 def round_trip(pages: DataFrame, path: str | None = None, least_bytes: int = 0) -> DataFrame:
