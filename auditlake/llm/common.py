@@ -33,8 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dirs[sc.applicationId]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/auditlake-llm-{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that were not written before are lost."""
+    delete(spark, _own_folder(spark))
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -45,7 +54,14 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what :func:`materialize` wrote, once nothing will read it any more."""
+    delete(df.sparkSession, df._written_to)
 
 
 def free(spark: SparkSession) -> None:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, free, materialize, prepare
+from .common import documents, free, materialize, prepare, release
 
 CHUNK = 1 << 21  # window starts handled at once
 BUCKET = 5000  # contents in a task of the last pass
@@ -199,6 +199,7 @@ def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     each = each.join(anchors, "g").select("g", "c", "n", "one", "k", (F.col("least") == 1).alias("open"))
     each = materialize(each.where("n > 1 OR open"), "digits")
     again = materialize(found.join(each, ["g", "c"]), "again")
+    release(found)
     free(rows.sparkSession)
     whole = again.where("n > 1").select("doc_id", "r", "p0", "p1")
 
