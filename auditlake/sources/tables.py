@@ -25,8 +25,18 @@ def scratch(spark: SparkSession) -> str:
     return _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="auditlake-"))
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch(spark)}/auditlake-{spark.sparkContext.applicationId}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application; results that were not written before are lost."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives the loss of executors."""
-    path = f"{scratch(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{_own_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

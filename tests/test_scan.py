@@ -1,11 +1,12 @@
 import json
+import os
 
 import pytest
 
 from auditlake import catalog
 from auditlake.operators import extract
 from auditlake.plans import reports, scan
-from auditlake.sources import files, packs, workflow
+from auditlake.sources import files, packs, tables, workflow
 
 SOURCES = {
     "src/open.ts": "import express from 'express';\nimport Stripe from 'stripe';\nconst app = express();\napp.post('/webhooks/stripe', (req, res) => {\n  const s = req.headers['stripe-signature'];\n  db.insert(req.body);\n});\n",
@@ -130,3 +131,11 @@ def test_imports(spark):
     rows = extract.lines(files.given(spark, {"a.ts": "import a, { b as c, d } from 'm';\nconst { e } = require('n');\nimport * as f from './o';", "b.py": "import os.path\nfrom x.y import p, q as r\n", "c.php": "use A\\B\\C;", "d.go": '\t"github.com/x/y"\n'}))
     got = {(r["file_path"], r["local"], r["to_module"]) for r in extract.imports(rows).collect()}
     assert got == {("a.ts", "a", "m"), ("a.ts", "c", "m"), ("a.ts", "d", "m"), ("a.ts", "e", "n"), ("a.ts", "f", "./o"), ("b.py", "os", "os.path"), ("b.py", "p", "x.y"), ("b.py", "r", "x.y"), ("c.php", "C", "A\\B\\C"), ("d.go", "y", "github.com/x/y")}
+
+
+def test_cleanup(spark):
+    df = tables.written(spark.range(3).toDF("a"), "x")
+    assert df.count() == 3
+    folder = df.inputFiles()[0].rsplit("/", 2)[0]
+    tables.cleanup(spark)
+    assert not os.path.exists(folder.removeprefix("file://"))
