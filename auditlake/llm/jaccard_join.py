@@ -44,7 +44,7 @@ class _Words(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -323,7 +323,7 @@ def _may_link(hits: DataFrame, group: DataFrame, sketches: DataFrame, p: int, q:
     members = materialize(placed.join(open_, "key"), "members")
 
     small = members.where(F.col("c") <= BLOCK).select("key", "id", "own")
-    tasks = max(1, small.count() // 20_000)
+    tasks = max(1, small.count() // 4_000)
     zero = F.lit(0).cast("long")
     one = small.select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("g"), zero.alias("bi"), zero.alias("bj"), "key", F.lit(0).alias("side"), "id", "own")
     large = members.where(F.col("c") > BLOCK)
