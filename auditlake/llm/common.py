@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -65,9 +66,15 @@ def release(df: DataFrame) -> None:
 
 
 def free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs that are over and no longer referred to."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of jobs that are over and no longer referred to.
+
+    The driver's cleaner works beside the query and needs the garbage collector first; two short rounds give it time, so
+    that the next large shuffle does not lie beside the last one.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def delete(spark: SparkSession, path: str) -> None:
