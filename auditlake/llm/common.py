@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from pathlib import Path
 
@@ -12,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+#: Spark deletes a query's shuffle files as it ends; without this they stay until the driver happens to collect its garbage.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +51,17 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage in a way that outlives executors, and gives the planner the
-    true size of the table, so that it broadcasts it only when it is small.
+    true size of the table, so that it broadcasts it only when it is small. The shuffles of the write go with its end.
     """
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, tag)
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before) if before else spark.conf.unset(DROP_SHUFFLES)
+    out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
@@ -65,18 +71,6 @@ def release(df: DataFrame) -> None:
     delete(df.sparkSession, df._written_to)
 
 
-def free(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of jobs that are over and no longer referred to.
-
-    The driver's cleaner works beside the query and needs the garbage collector first; two short rounds give it time, so
-    that the next large shuffle does not lie beside the last one.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)

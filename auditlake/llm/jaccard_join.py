@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete, documents, fresh_path, free, materialize, prepare
+from .common import documents, materialize, prepare, release
 from .components import components
 
 BLOCK = 512
@@ -268,12 +268,9 @@ def groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     component is null. Rows of one doc_id are one document. An empty table gives no rows; other columns are
     ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
+    prepare(docs.sparkSession)
     rows = documents(docs)
-    path = fresh_path(spark, "entries")
-    _entries(rows, k, p, q).write.parquet(path)
-    entries = spark.read.parquet(path)
+    entries = materialize(_entries(rows, k, p, q), "entries")
     slim = materialize(entries.select("doc_id", "n", "s1", "s2"), "slim")
     full = slim.where("n > 0 AND doc_id IS NOT NULL")
     same = materialize(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "same")
@@ -284,24 +281,19 @@ def groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     order = F.col("id").bitwiseXOR(F.col("key"))  # puts the entries in another order for each key
     pivots = keyed.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low < high")
     pivots = materialize(pivots.select("key", F.col("low").bitwiseXOR(F.col("key")).alias("b")), "pivots")
-    free(spark)
     hits = materialize(keyed.join(pivots, "key"), "hits")
-    delete(spark, path)
-    free(spark)
+    release(entries)
 
     stars = hits.groupBy(F.col("id").alias("a"), "b").agg(F.count("*").alias("shared"))
     wanted = materialize(hits.select("id").distinct(), "wanted")
     sets = materialize(_sets(rows, wanted, k), "sets")
-    free(spark)
     near = stars.where("a <> b").groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
     sketches = sets.select("id", "n", "bits")
     links = materialize(_verified(materialize(_sketched(near, sketches, p, q), "pairs"), sets, p, q), "links")
-    free(spark)
     for most in (FIRST, None):
         group = components(links).toDF("id", "own")
         found = _may_link(hits, group, sketches, p, q, most)  # each id with all its sets
         links = links.union(materialize(_verified(materialize(found, "pairs"), sets, p, q), "links"))
-        free(spark)
     several = full.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high").select("doc_id")
     of_one = full.join(several, "doc_id", "left_semi").join(same, ["s1", "s2"]).select("doc_id", "id")  # texts of one doc_id
     final = components(links.union(of_one)).toDF("id", "component")

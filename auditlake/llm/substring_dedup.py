@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, free, materialize, prepare, release
+from .common import documents, materialize, prepare, release
 
 CHUNK = 1 << 21  # window starts handled at once
 BUCKET = 5000  # contents in a task of the last pass
@@ -191,7 +191,6 @@ def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     """(doc_id, r, p0, p1): starts of the windows of ``rows`` that repeat, as runs, each once or more."""
     gram = max(1, length * 4 // 25)
     found = materialize(_runs(rows, length, gram), "runs")
-    free(rows.sparkSession)
     u = F.xxhash64("doc_id", "r", "a", "p0")
     each = found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(u).alias("one"))
     each = materialize(each, "digits")
@@ -200,12 +199,10 @@ def repeated_windows(rows: DataFrame, length: int) -> DataFrame:
     each = materialize(each.where("n > 1 OR open"), "digits")
     again = materialize(found.join(each, ["g", "c"]), "again")
     release(found)
-    free(rows.sparkSession)
     whole = again.where("n > 1").select("doc_id", "r", "p0", "p1")
 
     wanted = again.where(F.col("open") & (F.col("k") > 1) & (F.col("one") == u)).dropDuplicates(["g", "c"])
     single = materialize(_contents(rows, wanted, length), "contents")
-    free(rows.sparkSession)
     buckets = max(1, -(-single.count() // BUCKET))
     schema = "doc_id long, r long, p0 long, p1 long"
 
