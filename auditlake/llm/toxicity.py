@@ -30,6 +30,7 @@ LEET = {
     "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou",
 }
 EDGE = ".,;:!?*%$&#\"'()[]{}<>|-_/\\~=+^`@"
+ALIKE = "".join(c for c in EDGE if c in LEET)
 SPELLED = re.compile(r"(?<![^\W_])[^\W_@$](?:[ .\-_*]{1,2}[^\W_@$](?![^\W_])){3,}")
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 WORD = re.compile(r"[^\W\d_]+")
@@ -75,11 +76,12 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
-def decode(word: str, lm: np.ndarray) -> str:
+def decode(word: str, lm: np.ndarray, lead: int = 0, trail: int = 0) -> str:
     """The likeliest letters behind ``word`` (lower case).
 
     Nodes of the lattice are the runs of one character; a node's arcs are strings: each letter the
     character may stand for, once or twice where the run is longer, at a price for each change.
+    The first ``lead`` and last ``trail`` characters may be punctuation around the word and cost nothing to leave out.
     """
     beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
     for m in re.finditer(r"(.)\1*", word, re.S):
@@ -91,7 +93,8 @@ def decode(word: str, lm: np.ndarray) -> str:
             price = 0.0 if x == own else -0.7
             arcs += [(x * k, price * (k if n <= 2 else 1) - (0.5 if k < n else 0.0)) for k in ({n} if n == 1 else {1, 2})]
         if not own:
-            arcs.append(("", -4.0 * min(n, 2)))
+            around = m.end() <= lead or m.start() >= len(word) - trail
+            arcs.append(("", 0.0 if around else -4.0 * min(n, 2)))
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, text) in beam.items():
             for s, price in arcs:
@@ -123,16 +126,24 @@ class Restorer:
         if token.isalpha() and not TRIPLE.search(token):
             return token
         core = token.strip(EDGE)
+        if not core:
+            return token
+        at = token.index(core)
+        before, after = token[:at], token[at + len(core) :]
+        # the symbols next to it may be letters or punctuation
+        lead, trail = len(before) - len(before.rstrip(ALIKE)), len(after) - len(after.lstrip(ALIKE))
+        pair = lead > 0 and before[-1].replace("(", ")") in after
         if core.isalpha() and not TRIPLE.search(core):
-            lead = token[: len(token) - len(token.lstrip(EDGE))][-1:]
-            if lead not in LEET or len(token) - len(core) > 2:
+            if not lead or pair and len(before + after) > 2:
                 return token
-            core = lead + core  # one symbol before a word may be its first letter
+            core, lead, trail = token[at - lead : at + len(core)], 0, 0
+        else:
+            core, lead = token[at - lead : at + len(core) + trail], lead if pair else 0
         core = core.lower()
         letters = sum(map(str.isalpha, core))
         if not letters or letters == len(core) and not TRIPLE.search(core) or any(not c.isalpha() and c not in LEET and c not in "'-." for c in core):
             return token
-        return decode("".join(c for c in core if c not in "'-."), self.lm)
+        return decode("".join(c for c in core if c not in "'-."), self.lm, lead, trail)
 
     def text(self, text: str) -> str:
         text = SPELLED.sub(lambda m: f" {decode(re.sub(r'[ .*_-]+', '', m[0]).lower(), self.lm)} ", text)

@@ -70,6 +70,14 @@ def test_restoration(restorer, seen, word):
     assert word in restorer.text(f"so {seen} there").lower().split()
 
 
+@pytest.mark.parametrize(
+    "seen,word",
+    [("$tup1d", "stupid"), ("+r@sh", "trash"), ("(l0wn", "clown"), ("$tuuupid", "stupid"), ("$(um", "scum"), ("$cum!!!", "scum"), ("wor+hle$$", "worthless"), ("(1d10t)", "idiot"), ("*m0r0n*", "moron"), ('"$tup1d!"', "stupid")],
+)
+def test_symbols_at_the_ends_of_a_word(restorer, seen, word):
+    assert word in restorer.text(f"so {seen} there").lower().split()
+
+
 def test_plain_words_stay(restorer):
     assert restorer.text("all letters of that, a 1999 book: été!!") == "all letters of that, a 1999 book: été!!"
     assert restorer.text("") == ""
