@@ -31,7 +31,11 @@ LEET = {
 }
 EDGE = ".,;:!?*%$&#\"'()[]{}<>|-_/\\~=+^`@"
 ALIKE = "".join(c for c in EDGE if c in LEET)
-SPELLED = re.compile(r"(?<![^\W_])[^\W_@$](?:[ .\-_*]{1,2}[^\W_@$](?![^\W_])){3,}")
+_LETTER, _GAP = rf"(?:[^\W_]|[{re.escape(''.join(c for c in LEET if not c.isalnum()))}])", r"[ .\-_*]{1,2}"
+SPELLED = re.compile(rf"(?<![^\W_]){_LETTER}(?:{_GAP}{_LETTER}(?![^\W_])){{3,}}")
+SPELLED_LETTER = re.compile(rf"({_LETTER})({_GAP}(?={_LETTER})|$)")
+# Prices in a spelled-out run: a new word at a gap, at a wider one, none there, one after an article or "I"; leaving out a first symbol.
+NARROW, WIDE, ACROSS, ALONE, FIRST = -2.0, 0.0, -3.0, -0.5, -1.5
 TRIPLE = re.compile(r"([^\W\d_])\1\1")
 WORD = re.compile(r"[^\W\d_]+")
 SYMBOLS = 28  # 0: not a letter, 1-26: a-z, 27: any other letter
@@ -76,27 +80,21 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27 if c.isalpha() else 0
 
 
-def decode(word: str, lm: np.ndarray, lead: int = 0, trail: int = 0) -> str:
-    """The likeliest letters behind ``word`` (lower case).
+def _arcs(c: str, n: int, dropped: float) -> list[tuple[str, float]]:
+    """What a run of ``n`` times ``c`` may stand for, and the price of each; ``dropped``: of leaving out a symbol."""
+    own = c if c.isalpha() else ""
+    arcs = []
+    for x in own + LEET.get(c, ""):
+        price = 0.0 if x == own else -0.7
+        arcs += [(x * k, price * (k if n <= 2 else 1) - (0.5 if k < n else 0.0)) for k in ({n} if n == 1 else {1, 2})]
+    return arcs if own else [*arcs, ("", dropped)]
 
-    Nodes of the lattice are the runs of one character; a node's arcs are strings: each letter the
-    character may stand for, once or twice where the run is longer, at a price for each change.
-    The first ``lead`` and last ``trail`` characters may be punctuation around the word and cost nothing to leave out.
-    """
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for m in re.finditer(r"(.)\1*", word, re.S):
-        c, n = m[1], len(m[0])
-        own = c if c.isalpha() else ""
-        letters = own + LEET.get(c, "")
-        arcs = []
-        for x in letters:
-            price = 0.0 if x == own else -0.7
-            arcs += [(x * k, price * (k if n <= 2 else 1) - (0.5 if k < n else 0.0)) for k in ({n} if n == 1 else {1, 2})]
-        if not own:
-            around = m.end() <= lead or m.start() >= len(word) - trail
-            arcs.append(("", 0.0 if around else -4.0 * min(n, 2)))
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (score, text) in beam.items():
+
+def _likeliest(nodes: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
+    beam: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    for arcs in nodes:
+        new: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (score, path) in beam.items():
             for s, price in arcs:
                 p, q, total = a, b, score + price
                 for x in s:
@@ -104,9 +102,51 @@ def decode(word: str, lm: np.ndarray, lead: int = 0, trail: int = 0) -> str:
                     total += lm[p, q, k]
                     p, q = q, k
                 if (p, q) not in new or new[p, q][0] < total:
-                    new[p, q] = (total, text + s)
+                    new[p, q] = (total, (path, s))
         beam = new
-    return max((score + lm[a, b, 0], text) for (a, b), (score, text) in beam.items())[1]
+    path, out = max(((score + lm[a, b, 0], path) for (a, b), (score, path) in beam.items()), key=lambda e: e[0])[1], []
+    while path:
+        path, s = path
+        out.append(s)
+    return "".join(reversed(out))
+
+
+def decode(word: str, lm: np.ndarray, lead: int = 0, trail: int = 0) -> str:
+    """The likeliest letters behind ``word`` (lower case).
+
+    Nodes of the lattice are the runs of one character; a node's arcs are strings: each letter the
+    character may stand for, once or twice where the run is longer, at a price for each change.
+    The first ``lead`` and last ``trail`` characters may be punctuation around the word and cost nothing to leave out.
+    """
+    nodes = []
+    for m in re.finditer(r"(.)\1*", word, re.S):
+        around = m.end() <= lead or m.start() >= len(word) - trail
+        nodes.append(_arcs(m[1], len(m[0]), 0.0 if around else -4.0 * min(len(m[0]), 2)))
+    return _likeliest(nodes, lm)
+
+
+def spelled(run: str, lm: np.ndarray, closed: bool = False) -> str:
+    """The likeliest words behind letters with gaps (lower case). A word may end at each gap, likelier at wider ones.
+
+    closed: a parenthesis follows, so that one before the letters is punctuation. So is a symbol on both sides.
+    """
+    letters = SPELLED_LETTER.findall(run)
+    narrow = min(len(gap) for _, gap in letters[:-1])
+    pair = closed and run[0] == "(" or run[0] == letters[-1][0]
+    nodes, i = [], 0
+    while i < len(letters):
+        c, j = letters[i][0], i + 1
+        while j < len(letters) and letters[j][0] == c and len(letters[j - 1][1]) == narrow:
+            j += 1
+        arcs = _arcs(c, j - i, 0.0 if j == len(letters) or pair and i == 0 else FIRST if i == 0 and not c.isdigit() else -4.0 * min(j - i, 2))
+        if j - i > 1:  # or the end of a word and the beginning of the next
+            arcs += [(f"{x} {x}", 2 * price + NARROW) for x, price in _arcs(c, 1, 0.0) if x]
+        nodes.append(arcs)
+        if j < len(letters):
+            alone = c in "ai" and j == i + 1 and (i == 0 or len(letters[i - 1][1]) > narrow)  # an article or "I"
+            nodes.append([("", 0.0), (" ", ALONE if alone else NARROW)] if len(letters[j - 1][1]) == narrow else [("", ACROSS), (" ", WIDE)])
+        i = j
+    return _likeliest(nodes, lm)
 
 
 @dataclass
@@ -146,7 +186,12 @@ class Restorer:
         return decode("".join(c for c in core if c not in "'-."), self.lm, lead, trail)
 
     def text(self, text: str) -> str:
-        text = SPELLED.sub(lambda m: f" {decode(re.sub(r'[ .*_-]+', '', m[0]).lower(), self.lm)} ", text)
+        def restored(m):
+            if not any(map(str.isalnum, m[0])):
+                return m[0]
+            return f" {spelled(m[0].lower(), self.lm, text[m.end() : m.end() + 2].lstrip().startswith(')'))} "
+
+        text = SPELLED.sub(restored, text)
         return " ".join(map(self.word, text.split()))
 
 

@@ -78,6 +78,31 @@ def test_symbols_at_the_ends_of_a_word(restorer, seen, word):
     assert word in restorer.text(f"so {seen} there").lower().split()
 
 
+@pytest.mark.parametrize(
+    "seen,words",
+    [
+        ("you are a s t u p i d person", "you are a stupid person"),
+        ("y o u i d i o t", "you idiot"),
+        ("what I s t u p i d there", "what i stupid there"),
+        ("that s t u p i d  c l o w n", "that stupid clown"),
+        ("l.o.s.e.r..t.r.a.s.h", "loser trash"),
+        ("what 2 i d i o t s", "what idiots"),
+        ("an $ t u p i d loser", "an stupid loser"),
+        ("an i d ! o t there", "an idiot there"),
+        ("an ( i d i o t ) there", "an idiot ) there"),
+        ("an i d i o t ! there", "an idiot there"),
+        ("! ! ! ! !", "! ! ! ! !"),
+    ],
+)
+def test_spelled_out_words(seen, words):
+    texts = ["you are an idiot and a worthless moron", "what a pathetic clown and loser, stupid trash", "and I said that I am, a person there"] * 50
+    counts = toxicity.trigram_counts(texts).reshape((toxicity.SYMBOLS,) * 3)
+    pair = counts.sum(0) + 0.5
+    pair /= pair.sum(1, keepdims=True)
+    lm = np.log((counts + 20 * pair) / (counts.sum(2, keepdims=True) + 20))
+    assert toxicity.Restorer(lm).text(seen).lower().split() == words.split()
+
+
 def test_plain_words_stay(restorer):
     assert restorer.text("all letters of that, a 1999 book: été!!") == "all letters of that, a 1999 book: été!!"
     assert restorer.text("") == ""
