@@ -361,6 +361,15 @@ def middleware_before(spark, d):
     return joins.middleware_before(h, u)
 
 
+@query("""WITH h AS (SELECT o_orderkey AS handler_id, o_custkey AS f, o_orderkey % 90 AS hl FROM orders), u AS (SELECT DISTINCT user_id AS f, event_type AS name, event_id % 90 AS line FROM events)
+SELECT handler_id, name, row_number() OVER (PARTITION BY handler_id ORDER BY line, name) - 1 AS position FROM h JOIN u USING (f) WHERE line < hl""")
+def middleware_before_all(spark, d):
+    """Of every event; the whole user is the file, so that files stay small as the tables grow."""
+    h = table(spark, d, "orders").select(F.col("o_orderkey").alias("handler_id"), F.col("o_custkey").alias("file_path"), (F.col("o_orderkey") % 90).alias("line"))
+    u = table(spark, d, "events").select(F.col("user_id").alias("file_path"), F.col("event_type").alias("name"), (F.col("event_id") % 90).alias("line")).distinct()
+    return joins.middleware_before(h, u)
+
+
 SPANS = "SELECT user_id % 40 AS file_path, (event_id * 37) % 20000 AS start, (event_id * 37) % 20000 + event_id % 50 AS stop, event_id FROM events"
 
 

@@ -34,3 +34,10 @@ def test_edits_do_not_overlap(spark):
         assert r["kept"] != clash
         if not clash:
             kept.append((r["start"], r["end"]))
+
+
+def test_middleware_of_all_events(spark):
+    folder = "/root/testdata/sf0.01"
+    name = "middleware_before_all"
+    got, want = both(spark, views(folder), folder, registry.QUERIES[name], registry.ORACLE_SQL[name])
+    assert got == want and len(got) > 10_000
