@@ -529,6 +529,12 @@ def first_sentence(spark, d):
     return table(spark, d, "documents").where(F.substring("text", 1, 300).rlike(r"^[a-zA-Z ]+\. ")).select("doc_id", x.first_sentence(F.substring("text", 1, 300)).alias("hint"))
 
 
+@query()
+def first_sentence_all(spark, d):
+    """Of the whole text of every document."""
+    return table(spark, d, "documents").select("doc_id", x.first_sentence(F.col("text")).alias("hint"))
+
+
 # ---- rules
 
 NAMES = ["crypto.createHmac", "crypto.sha256", "crypto.md5", "crypto.timingSafeEqual", "Date.now", "stripe.webhooks.constructEvent", "a.compare_digest", "db.insert", "verify", "sig.split", "hmac.new", "crypto.createHash"]

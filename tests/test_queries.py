@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from auditlake.plans import registry
@@ -41,3 +43,12 @@ def test_middleware_of_all_events(spark):
     name = "middleware_before_all"
     got, want = both(spark, views(folder), folder, registry.QUERIES[name], registry.ORACLE_SQL[name])
     assert got == want and len(got) > 10_000
+
+
+def test_first_sentence_of_all_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = registry.QUERIES["first_sentence_all"](spark, folder).collect()
+    want = {k: None if t is None else re.sub(r"\.$", "", re.sub(r"\s+", " ", t, flags=re.A).split(". ")[0]) for k, t in texts.items()}
+    assert len(rows) == len(texts) and {r["doc_id"]: r["hint"] for r in rows} == want
+    assert max(len(h or "") for h in want.values()) > 300
