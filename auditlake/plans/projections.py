@@ -404,6 +404,16 @@ def call_closure(spark, d):
     return reachability.closure(seeds, e.groupBy("src", "dst").agg(F.min("ord").alias("ord")), 4, 10**9)
 
 
+@query("""WITH RECURSIVE e AS (SELECT o_orderkey AS src, o_orderkey // 2 AS dst FROM orders UNION SELECT o_orderkey, o_custkey FROM orders),
+r AS (SELECT src AS root, dst AS node, 1 AS hops FROM e UNION SELECT root, dst, hops + 1 FROM r JOIN e ON src = node WHERE hops < 4)
+SELECT root, node, min(hops)::INT AS hops FROM r GROUP BY root, node""")
+def call_closure_all(spark, d):
+    """From every root, over two calls of each order; ids grow with the table."""
+    e = table(spark, d, "orders").select(F.col("o_orderkey").alias("src"), F.explode(F.array(F.expr("o_orderkey div 2"), F.col("o_custkey"))).alias("dst"), F.col("o_orderkey").alias("ord"))
+    seeds = e.select(F.col("src").alias("root"), F.col("dst").alias("node"), "ord")
+    return reachability.closure(seeds, e.groupBy("src", "dst").agg(F.min("ord").alias("ord")), 4, 10**9)
+
+
 @query("""WITH q AS (SELECT p_partkey % 500 AS handler_id, 'lib.' || p_type AS q FROM part), h AS (SELECT DISTINCT handler_id FROM q), c AS (SELECT unnest(['PROMO', 'lib.SMALL']) AS call)
 SELECT handler_id, name FROM h, (SELECT call AS name FROM c UNION SELECT 'this.' || regexp_extract(call, '[^.]*$') FROM c)
 UNION SELECT handler_id, unnest([q, string_split(q, '.')[1]]) FROM q, c WHERE q = call OR ends_with(q, '.' || call)""")

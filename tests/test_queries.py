@@ -52,3 +52,9 @@ def test_first_sentence_of_all_documents(spark):
     want = {k: None if t is None else re.sub(r"\.$", "", re.sub(r"\s+", " ", t, flags=re.A).split(". ")[0]) for k, t in texts.items()}
     assert len(rows) == len(texts) and {r["doc_id"]: r["hint"] for r in rows} == want
     assert max(len(h or "") for h in want.values()) > 300
+
+
+def test_closure_from_every_root(spark):
+    folder = "/root/testdata/sf0.001"
+    roots = {r["root"] for r in registry.QUERIES["call_closure_all"](spark, folder).select("root").distinct().collect()}
+    assert roots == {r["o_orderkey"] for r in spark.read.parquet(f"{folder}/orders.parquet").collect()}
