@@ -6,6 +6,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,6 +116,21 @@ def ascii_lower(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))
 
 
+class WordHashes(dict):
+    """64-bit hashes of words, kept while there are not too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        found = self[word] = xxhash.xxh3_64_intdigest(word)
+        return found
+
+    def of(self, text: bytes) -> np.ndarray:
+        """Hashes of a text's words: runs without ASCII space, A-Z lowered."""
+        words = text.lower().split()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
 def prepare(spark: SparkSession) -> None:
     """For operators that run Python in tasks.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, prepare, release
+from .common import WordHashes, documents, materialize, prepare, release
 from .components import components
 
 BLOCK = 512
@@ -40,22 +40,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Words(dict):
-    """64-bit hashes of words, kept while there are not too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        found = self[word] = xxhash.xxh3_64_intdigest(word)
-        return found
-
-
-def shingles(text: bytes, k: int, known: _Words) -> np.ndarray:
+def shingles(text: bytes, k: int, known: WordHashes) -> np.ndarray:
     """Sorted hashes of the distinct k-word shingles; fewer words are one shingle, no words are none."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    h = known.of(text)
+    if not len(h):
+        return h
     n = max(1, len(h) - k + 1)
     total = np.full(n, min(len(h), k), np.uint64)
     for j in range(min(k, len(h))):
@@ -109,7 +98,7 @@ def _entries(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
     """(doc_id, n, s1, s2, keys) of each row."""
 
     def task(batches):
-        known, segments = _Words(), Segments(p, q)
+        known, segments = WordHashes(), Segments(p, q)
         for batch in batches:
             n, s1, s2, keys = [], [], [], []
             for text in batch.column("text").cast(pa.binary()).to_pylist():
@@ -143,7 +132,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     rows = _beside(docs, wanted.select(F.col("id").alias("doc_id")), ["doc_id"], "left_semi")
 
     def task(batches):
-        known = _Words()
+        known = WordHashes()
         for batch in batches:
             sets = [shingles(t, k, known) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             s1 = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]

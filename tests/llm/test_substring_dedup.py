@@ -1,9 +1,11 @@
 import random
+import re
 from collections import Counter
 
 import pytest
 
 from auditlake.llm import substring_dedup as s
+from auditlake.llm.common import LOWER, UPPER
 
 from .conftest import nasty, table_of
 
@@ -22,6 +24,17 @@ def brute(rows, length):
     return sorted(out, key=repr)
 
 
+def brute_words(rows, words):
+    split = [(i, re.split("[ \\t-\\r]+", (t or "").translate(str.maketrans(UPPER, LOWER)).strip(" \t\n\v\f\r"))) for i, t in rows]
+    split = [(i, w if w != [""] else []) for i, w in split]
+    seen = Counter(tuple(w[p : p + words]) for _, w in split for p in range(len(w) - words + 1))
+    out = []
+    for i, w in split:
+        hit = {x for p in range(len(w) - words + 1) if seen[tuple(w[p : p + words])] > 1 for x in range(p, p + words)}
+        out.append((i, len(hit)))
+    return sorted(out, key=repr)
+
+
 def case(seed, n=60):
     rng = random.Random(seed)
     text = lambda k: "".join(rng.choice("abcdé ") for _ in range(k))
@@ -41,9 +54,21 @@ def test_against_brute_force(spark, monkeypatch, length, chunk, hot, seed):
     monkeypatch.setattr(s, "HOT", hot)
     rows = case(seed)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, r int, g string").repartition(4)
-    assert table_of(s.dedup_substrings(df, length), *COLS) == brute(rows, length)
+    found = s.dedup_substrings(df, length, 6).cache()
+    assert table_of(found, *COLS) == brute(rows, length)
+    assert table_of(found, "doc_id", "n_repeated_words") == brute_words(rows, 6)
+    assert found.where("n_kept <> n_bytes - n_removed").isEmpty()
 
 
 def test_nasty_and_empty(docs, no_docs):
-    assert table_of(s.dedup_substrings(docs, 40), *COLS) == brute([r[:2] for r in nasty()], 40)
+    found = s.dedup_substrings(docs, 40, 7).cache()
+    assert table_of(found, *COLS) == brute([r[:2] for r in nasty()], 40)
+    assert table_of(found, "doc_id", "n_repeated_words") == brute_words([r[:2] for r in nasty()], 7)
     assert s.dedup_substrings(no_docs).count() == 0
+
+
+def test_a_passage_under_the_byte_length_is_reported(spark):
+    passage = " ".join(["ab", "c", "de"] * 17 + ["end"])  # 52 words, fewer than 400 bytes
+    rows = [(1, f"one {passage} tail"), (2, f"two {passage.replace(' ', chr(10))} other"), (3, "nothing of the kind here")]
+    found = s.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert table_of(found, "doc_id", "n_removed", "n_repeated_words") == [(1, 0, 52), (2, 0, 52), (3, 0, 0)]
