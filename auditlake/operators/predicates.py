@@ -18,6 +18,12 @@ ALGORITHMS = ["md5", "sha1", "sha256", "sha512"]
 PREFIX_STRIP = ["replace", "slice", "substring", "substr", "removeprefix", "split", "startsWith"]
 PARSE = ["split", "parse", "match", "exec"]
 ITERATE = ["split", "some", "map", "filter", "find", "forEach", "any", "every"]
+COMPARE = ["equals", "compare"]
+ED25519 = ["verifyKey", "nacl.sign.detached.verify", "VerifyKey.verify", "sodium_crypto_sign_verify_detached"]
+# Parts of lower-case names that read credentials or the sender's address.
+BASIC_READS = [".authorization", "headers.get.authorization", "express.basicauth", "fastify.basicauth"]
+IP_READS = [".ip", ".socket.remoteaddress", "request.client.host", "request.remote_addr", ".getclientip", "x-forwarded-for"]
+JSON_PARSERS = ["express.json", "bodyParser.json", "body-parser.json"]
 
 
 def ends_with_any(name: Column, calls: list[str]) -> Column:
@@ -25,16 +31,22 @@ def ends_with_any(name: Column, calls: list[str]) -> Column:
     return name.rlike(rf"(^|\.)({body})$")
 
 
-def features(handlers: DataFrame, reachable: DataFrame, evidence: DataFrame, providers: DataFrame) -> DataFrame:
-    """A row for each handler (handler_id, provider, ...) with Boolean features.
+def features(handlers: DataFrame, reachable: DataFrame, evidence: DataFrame, providers: DataFrame, middleware: DataFrame | None = None, bodies: DataFrame | None = None) -> DataFrame:
+    """A row for each handler (handler_id, provider[, framework]) with Boolean features.
 
     reachable: (handler_id, qualified_name, import_source, hops); evidence: (handler_id, kind, provider);
-    providers: (provider, packages array, calls array, algorithm, input_format).
+    providers: (provider, packages array, calls array, algorithm, input_format[, replay_seconds]). middleware: (handler_id,
+    name, import_source, preserves_raw_body); bodies: what `bodies.flags` returns. Without those their features are false.
     """
-    own = handlers.select("handler_id", "provider").join(F.broadcast(providers), "provider", "left")
+    from .joins import few
+
+    providers = providers if "replay_seconds" in providers.columns else providers.withColumn("replay_seconds", F.lit(None).cast("int"))
+    framework = F.col("framework") if "framework" in handlers.columns else F.lit(None).cast("string")
+    own = handlers.select("handler_id", "provider", framework.alias("framework")).join(few(providers), "provider", "left")
     name = F.col("qualified_name")
     call = F.exists(F.coalesce("calls", F.array().cast("array<string>")), lambda c: (name == c) | F.endswith(name, F.concat(F.lit("."), c)))
     sdk = call & (F.col("import_source").isNull() | (F.size("packages") == 0) | F.array_contains("packages", F.col("import_source")))
+    compares = ends_with_any(name, CONSTANT_TIME + COMPARE)
     algorithm = F.regexp_extract(name, r"(?:^|\.)(" + "|".join(ALGORITHMS) + ")$", 1)
     some = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     reached = (
@@ -54,6 +66,11 @@ def features(handlers: DataFrame, reachable: DataFrame, evidence: DataFrame, pro
             some(ends_with_any(name, PARSE)).alias("parses"),
             some(ends_with_any(name, ITERATE)).alias("iterates"),
             some(F.startswith("import_source", F.lit("@octokit/webhooks"))).alias("octokit"),
+            some(F.lower(name).rlike(_any_of(BASIC_READS))).alias("basic"),
+            some(F.lower(name).rlike(_any_of(IP_READS))).alias("ip"),
+            some(compares).alias("compares"),
+            some(~compares & name.rlike("(?i)verify|valid|check|compare|equal")).alias("compare_shaped"),
+            some(ends_with_any(name, ED25519)).alias("asymmetric"),
         )
     )
     kind = F.col("kind")
@@ -73,8 +90,24 @@ def features(handlers: DataFrame, reachable: DataFrame, evidence: DataFrame, pro
         ]
     )
     flags = [c for c in reached.columns + seen.columns if c not in ("handler_id", "call_hops")]
-    out = own.select("handler_id", "provider", "input_format").join(reached, "handler_id", "left").join(seen, "handler_id", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in dict.fromkeys(flags)})
+    out = own.select("handler_id", "provider", "input_format", "framework", "replay_seconds").join(reached, "handler_id", "left").join(seen, "handler_id", "left")
+    if middleware is not None:
+        parses = F.col("name").isin(*JSON_PARSERS) | ((F.col("name") == "json") & F.col("import_source").isin("express", "body-parser"))
+        chain = middleware.groupBy("handler_id").agg(some(parses & ~F.coalesce("preserves_raw_body", F.lit(False))).alias("json_parser"))
+        out = out.join(chain, "handler_id", "left")
+    if bodies is not None:
+        out = out.join(bodies, "handler_id", "left")
+    missing = [c for c in ["json_parser", *BODY_FLAGS] if c not in out.columns]
+    out = out.withColumns({c: F.lit(False) for c in missing})
+    out = out if "window" in out.columns else out.withColumn("window", F.lit(None).cast("double"))
+    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in dict.fromkeys(flags + ["json_parser", *BODY_FLAGS])})
+
+
+BODY_FLAGS = ["go_hmac", "go_equal", "go_compares", "php_hmac", "php_equals", "php_compares", "js_compares", "bypasses", "swallows", "env_window", "postback", "rsa", "checked", "ed25519"]
+
+
+def _any_of(parts: list[str]) -> str:
+    return "|".join(p.replace(".", r"\.") for p in parts)
 
 
 VERIFIED, UNSURE, MISSING = "verified", "manual-review", "not-verified"
@@ -85,12 +118,33 @@ def classes() -> dict[str, Column]:
     f = F.col
     when, not_verified, unsure, verified = F.when, F.lit(MISSING), F.lit(UNSURE), F.lit(VERIFIED)
     real = ~f("provider").isin("unknown", "multiple")
-    none = f("sdk") | f("hmac") | f("ev_verify")
     only = lambda *p: f("provider").isin(*p)
+    hmac = f("hmac") | f("go_hmac") | f("php_hmac")
+    none = f("sdk") | hmac | f("ev_verify")
+    ed25519 = f("asymmetric") | f("ev_verify") | f("ed25519")
+    asked = f("sdk") | f("ev_verify") | f("postback")
+    signed = f("sdk") | f("ev_verify") | (hmac & (f("compares") | f("php_equals") | f("go_equal") | f("js_compares") | f("php_compares") | f("go_compares")))
+    # providers whose signing is their own; the others share one decision
+    slots = {
+        "twilio": when(~f("sdk") & ~hmac, not_verified),
+        "hubspot": when(~f("sdk") & ~hmac & ~f("ev_verify"), not_verified),
+        "notion": when(~hmac & ~f("ev_header"), not_verified),
+        "postmark": when(~f("ev_verify") & ~f("basic") & ~f("ip"), not_verified),
+        "standardwebhooks": when(hmac & ~signed & f("compare_shaped"), unsure).when(~signed, not_verified),
+        "paypal": when(asked & f("checked"), None).when(asked | f("rsa"), unsure).otherwise(not_verified),
+        "discord": when(~ed25519, not_verified),
+    }
+    by_slot = when(real & ~none & f("hash"), unsure).when(real & ~none, not_verified)
+    for provider, verdict in slots.items():
+        by_slot = when(only(provider), verdict).otherwise(by_slot)
+    unsafe_go = f("go_hmac") & ~f("go_equal") & f("go_compares")
+    unsafe_php = f("php_compares") & ~f("php_equals")
     return {
-        "missing-signature-verification": when(real & ~none & f("hash"), unsure).when(real & ~none, not_verified),
-        "timing-unsafe-comparison": when(real & ~f("sdk") & f("hmac") & ~f("constant_time"), not_verified),
-        "missing-timing-safe-equal": when(only("github") & ~f("constant_time") & ~f("octokit"), not_verified),
+        "missing-signature-verification": by_slot,
+        "timing-unsafe-comparison": when(real & (unsafe_go | (unsafe_php & f("php_hmac"))) & ~f("ev_verify"), not_verified).when(real & ~f("sdk") & f("hmac") & ~f("constant_time"), not_verified),
+        "missing-timing-safe-equal": when(only("github") & (f("go_hmac") | f("php_hmac")), when(unsafe_go & ~f("ev_verify") | unsafe_php, not_verified)).when(
+            only("github") & ~f("constant_time") & ~f("octokit"), not_verified
+        ),
         "raw-body-misuse": when(real & ~f("ev_bytes") & ~f("ev_header") & f("any_call") & (f("call_hops") > 1), unsure).when(
             real & ~f("ev_bytes") & (f("ev_header") | f("any_call")), not_verified
         ),
@@ -99,8 +153,16 @@ def classes() -> dict[str, Column]:
             real & f("hmac") & (f("wrong_algorithm") == f("right_algorithm")), unsure
         ),
         "unreachable-verification": when(real & f("ev_import") & ~f("sdk") & ~f("ev_verify"), unsure),
-        "library-verified": when(real & (f("any_call") | f("ev_verify")), verified),
-        "verify-after-side-effect": when(real & f("ev_early"), unsure),
+        "library-verified": when(only("paypal"), when(asked & f("checked"), verified)).when(only("discord"), when(ed25519, verified)).when(real & (f("any_call") | f("ev_verify")), verified),
+        "verify-after-side-effect": when(real & f("ev_early") & ~(only("paypal") & f("postback")), unsure),
+        "agent-tool-acts-on-unverified-payload": when(only("n8n") & f("ev_early"), unsure),
+        "tool-callback-no-verification": when(only("anthropic-agent-sdk") & f("ev_early"), unsure),
+        "test-mode-bypass": when(real & f("bypasses"), not_verified),
+        "verification-error-swallowed": when(real & f("swallows"), not_verified),
+        "replay-window-too-permissive": when(real & (f("window") > f("replay_seconds")), not_verified).when(real & f("replay_seconds").isNotNull() & f("env_window"), unsure),
+        "express-middleware-ordering": when(only("stripe") & (f("framework") == "express") & f("json_parser"), not_verified),
+        "missing-basic-auth": when(only("postmark") & f("ip") & ~f("basic"), unsure),
+        "missing-ip-allowlist": when(only("postmark") & f("basic") & ~f("ip"), unsure),
         "signature-prefix-not-stripped": when(only("bitbucket") & f("hmac") & f("ev_header") & ~f("strips"), unsure),
         "signature-header-parse-mishandled": when(only("calendly") & f("hmac") & f("ev_header") & ~f("parses"), unsure),
         "multi-signature-rotation-mishandled": when(only("pagerduty", "standardwebhooks") & f("hmac") & ~f("iterates"), unsure),

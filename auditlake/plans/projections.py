@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as x
-from ..operators import aggregates, joins, ordered, predicates, reachability
+from ..operators import aggregates, bodies, joins, ordered, predicates, reachability
 from ..sources.tables import table
 
 QUERIES = {}
@@ -547,10 +547,32 @@ def first_sentence_all(spark, d):
 
 # ---- rules
 
-NAMES = ["crypto.createHmac", "crypto.sha256", "crypto.md5", "crypto.timingSafeEqual", "Date.now", "stripe.webhooks.constructEvent", "a.compare_digest", "db.insert", "verify", "sig.split", "hmac.new", "crypto.createHash"]
-PROVIDERS = ["stripe", "github", "shopify", "multiple", "bitbucket", "sentry", "zoom", "notion", "intercom", "pagerduty", "calendly"]
+NAMES = ["crypto.createHmac", "crypto.sha256", "crypto.md5", "crypto.timingSafeEqual", "Date.now", "stripe.webhooks.constructEvent", "a.compare_digest", "db.insert", "verify", "sig.split", "hmac.new", "crypto.createHash", "req.headers.authorization", "req.ip", "safeCheck", "nacl.sign.detached.verify"]
+PROVIDERS = ["stripe", "github", "shopify", "multiple", "bitbucket", "sentry", "zoom", "notion", "intercom", "pagerduty", "calendly", "twilio", "hubspot", "postmark", "standardwebhooks", "paypal", "discord", "n8n", "anthropic-agent-sdk"]
 KINDS = ["sdk_import", "sdk_verify_call", "signature_header_read", "body_as_bytes_or_buffer", "side_effect_before_verify", "env_var_match", "path_pattern_match"]
 SOURCES = ["stripe", "", "@octokit/webhooks", "other"]
+PARSERS = ["express.json", "json", "cors", "bodyParser.json"]
+# language, text of a handler; MODEL names the flags that each sets by its place
+BODIES = [
+    ("js", "const a = 1;\n"),
+    ("js", "if (process.env.NODE_ENV === 'test') {\n  return res.json({ ok: true });\n}\nverify(x);\n"),
+    ("js", "verify(x);\nif (process.env.NODE_ENV === 'test') {\n  return res.json({});\n}\n"),
+    ("js", "try {\n  verify(x);\n} catch (e) {\n  console.log(e);\n}\n"),
+    ("js", "try {\n  verify(x);\n} catch (e) {\n  return res.status(400).end();\n}\n"),
+    ("js", "if (Math.abs(Date.now() / 1000 - t) > 60 * 60) {\n  throw e;\n}\n"),
+    ("js", "if (age > 200) {}\n"),
+    ("js", "if (sig !== computed) {}\n"),
+    ("go", "mac := hmac.New(sha256.New, key)\nif bytes.Equal(mac.Sum(nil), signature) {}\n"),
+    ("go", "mac := hmac.New(sha256.New, key)\nif hmac.Equal(mac.Sum(nil), signature) {}\n"),
+    ("php", "$h = hash_hmac('sha256', $b, $k);\nif ($h === $signature) {}\n"),
+    ("php", "$h = hash_hmac('sha256', $b, $k);\nif (hash_equals($h, $signature)) {}\n"),
+    ("js", "const r = await fetch('/v1/notifications/verify-webhook-signature');\nif (r.verification_status === 'SUCCESS') {}\n"),
+    ("js", "await fetch('/v1/notifications/verify-webhook-signature');\n"),
+    ("js", "crypto.verify(alg, data, key, raw);\n"),
+    ("js", "stripe.webhooks.constructEvent(body, head, key, 900);\n"),
+    ("js", "if (delay > Number(process.env.TOLERANCE)) { Date.now(); }\n"),
+    ("php", "sodium_crypto_sign_verify_detached($s, $m, $k);\n"),
+]
 _list = lambda v: ", ".join(f"'{s}'" for s in v)
 
 
@@ -558,33 +580,53 @@ def _model(spark, d):
     e = table(spark, d, "events")
     pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
     h, i, u = F.expr("event_id div 4"), F.col("event_id"), F.col("user_id")
-    handlers = e.select(h.alias("handler_id")).distinct().withColumn("provider", pick(PROVIDERS, F.col("handler_id")))
+    handlers = e.select(h.alias("handler_id")).distinct().withColumns({"provider": pick(PROVIDERS, F.col("handler_id")), "framework": pick(["express", "fastify"], F.col("handler_id"))})
     reached = e.select(h.alias("handler_id"), pick(NAMES, i * 5 + u).alias("qualified_name"), F.nullif(pick(SOURCES, i + u), F.lit("")).alias("import_source"), (1 + i % 3).alias("hops"))
     seen = e.where(u % 3 > 0).select(h.alias("handler_id"), pick(KINDS, i * 3 + u).alias("kind"), F.lit("unknown").alias("provider"))
-    known = spark.sql("SELECT * FROM VALUES ('stripe', array('stripe'), array('webhooks.constructEvent'), 'sha256'), ('github', array('@octokit/webhooks'), array('verify'), 'sha256'), ('shopify', array('x'), array('validate'), 'sha256') AS t(provider, packages, calls, algorithm)")
-    return predicates.features(handlers, reached, seen, known.withColumn("input_format", F.lit("raw_body")))
-
-
-MODEL = f"""e AS (SELECT event_id // 4 AS h, [{_list(NAMES)}][1 + (event_id * 5 + user_id) % 12] AS q, nullif([{_list(SOURCES)}][1 + (event_id + user_id) % 4], '') AS src, 1 + event_id % 3 AS hops,
- CASE WHEN user_id % 3 > 0 THEN [{_list(KINDS)}][1 + (event_id * 3 + user_id) % 7] END AS k FROM events),
-m AS (SELECT h, [{_list(PROVIDERS)}][1 + h % 11] AS p, max(hops) FILTER (false) AS z,
- bool_or((p = 'stripe' AND ends_with(q, '.webhooks.constructEvent') AND coalesce(src, 'stripe') = 'stripe') OR (p = 'github' AND q = 'verify' AND coalesce(src, '@octokit/webhooks') = '@octokit/webhooks')) AS sdk,
- bool_or((p = 'stripe' AND ends_with(q, '.webhooks.constructEvent')) OR (p = 'github' AND q = 'verify')) AS anycall,
- min(hops) FILTER ((p = 'stripe' AND ends_with(q, '.webhooks.constructEvent')) OR (p = 'github' AND q = 'verify')) AS ch,
+    known = spark.sql("SELECT * FROM VALUES ('stripe', array('stripe'), array('webhooks.constructEvent'), 'sha256', 300), ('github', array('@octokit/webhooks'), array('verify'), 'sha256', NULL), ('shopify', array('x'), array('validate'), 'sha256', NULL) AS t(provider, packages, calls, algorithm, replay_seconds)")
+    chain = e.select(h.alias("handler_id"), pick(PARSERS, i + u * 3).alias("name"), F.when(u % 2 == 0, "express").otherwise("x").alias("import_source"), (i % 3 == 0).alias("preserves_raw_body"))
+    texts = handlers.select("handler_id", "provider", pick([b[0] for b in BODIES], F.col("handler_id") * 7).alias("language"), pick([b[1] for b in BODIES], F.col("handler_id") * 7).alias("text"))
+    shown = bodies.flags(texts, known.select("provider", "calls"))
+    return predicates.features(handlers, reached, seen, known.withColumn("input_format", F.lit("raw_body")), chain, shown)
+
+
+MODEL = f"""e AS (SELECT event_id // 4 AS h, [{_list(NAMES)}][1 + (event_id * 5 + user_id) % {len(NAMES)}] AS q, nullif([{_list(SOURCES)}][1 + (event_id + user_id) % 4], '') AS src, 1 + event_id % 3 AS hops,
+ CASE WHEN user_id % 3 > 0 THEN [{_list(KINDS)}][1 + (event_id * 3 + user_id) % 7] END AS k,
+ [{_list(PARSERS)}][1 + (event_id + user_id * 3) % 4] AS mw, user_id % 2 = 0 AS own, event_id % 3 = 0 AS raw FROM events),
+x AS (SELECT *, [{_list(PROVIDERS)}][1 + h % {len(PROVIDERS)}] AS p, (h * 7) % {len(BODIES)} AS b FROM e),
+y AS (SELECT *, (p = 'stripe' AND ends_with(q, '.webhooks.constructEvent')) OR (p = 'github' AND (q = 'verify' OR ends_with(q, '.verify'))) AS isverify FROM x),
+z AS (SELECT h, p, b,
+ bool_or(isverify AND coalesce(src, 'own') IN ('own', CASE p WHEN 'stripe' THEN 'stripe' ELSE '@octokit/webhooks' END)) AS sdk, bool_or(isverify) AS anycall, min(hops) FILTER (isverify) AS ch,
  bool_or(q IN ('crypto.createHmac', 'hmac.new')) AS hmac, bool_or(q = 'crypto.createHash') AS hash, bool_or(q IN ('crypto.timingSafeEqual', 'a.compare_digest')) AS ct, bool_or(q = 'Date.now') AS clock,
  bool_or(q = 'crypto.sha256' AND p IN ('stripe', 'github', 'shopify')) AS good, bool_or(q = 'crypto.md5' AND p IN ('stripe', 'github', 'shopify')) AS wrong, bool_or(q = 'sig.split') AS split, bool_or(coalesce(src = '@octokit/webhooks', false)) AS octo,
+ bool_or(q = 'req.headers.authorization') AS basic, bool_or(q = 'req.ip') AS ip, bool_or(q IN ('verify', 'safeCheck', 'nacl.sign.detached.verify')) AS shaped, bool_or(q = 'nacl.sign.detached.verify') AS asym,
  coalesce(bool_or(k = 'sdk_import'), false) AS ei, coalesce(bool_or(k = 'sdk_verify_call'), false) AS ev, coalesce(bool_or(k = 'signature_header_read'), false) AS eh,
- coalesce(bool_or(k = 'body_as_bytes_or_buffer'), false) AS eb, coalesce(bool_or(k = 'side_effect_before_verify'), false) AS es, p <> 'multiple' AS r FROM (SELECT *, [{_list(PROVIDERS)}][1 + h % 11] AS p FROM e) GROUP BY h, p)"""
+ coalesce(bool_or(k = 'body_as_bytes_or_buffer'), false) AS eb, coalesce(bool_or(k = 'side_effect_before_verify'), false) AS es, p <> 'multiple' AS r,
+ bool_or((mw IN ('express.json', 'bodyParser.json') OR (mw = 'json' AND own)) AND NOT raw) AS parser FROM y GROUP BY h, p, b),
+m AS (SELECT *, hmac OR b IN (8, 9, 10, 11) AS hm, sdk OR ev OR b IN (12, 13) AS asked, asym OR ev OR b = 17 AS ed,
+ sdk OR ev OR ((hmac OR b IN (8, 9, 10, 11)) AND (ct OR b IN (7, 8, 9, 10, 11))) AS signed FROM z)"""
 CASES = {
-    "missing-signature-verification": "CASE WHEN r AND NOT (sdk OR hmac OR ev) THEN CASE WHEN hash THEN 'manual-review' ELSE 'not-verified' END END",
-    "timing-unsafe-comparison": "CASE WHEN r AND NOT sdk AND hmac AND NOT ct THEN 'not-verified' END",
-    "missing-timing-safe-equal": "CASE WHEN p = 'github' AND NOT ct AND NOT octo THEN 'not-verified' END",
+    "missing-signature-verification": """CASE p WHEN 'twilio' THEN CASE WHEN NOT sdk AND NOT hm THEN 'not-verified' END WHEN 'hubspot' THEN CASE WHEN NOT (sdk OR hm OR ev) THEN 'not-verified' END
+ WHEN 'notion' THEN CASE WHEN NOT (hm OR eh) THEN 'not-verified' END WHEN 'postmark' THEN CASE WHEN NOT (ev OR basic OR ip) THEN 'not-verified' END
+ WHEN 'standardwebhooks' THEN CASE WHEN hm AND NOT signed AND shaped THEN 'manual-review' WHEN NOT signed THEN 'not-verified' END
+ WHEN 'paypal' THEN CASE WHEN asked AND b = 12 THEN NULL WHEN asked OR b = 14 THEN 'manual-review' ELSE 'not-verified' END WHEN 'discord' THEN CASE WHEN NOT ed THEN 'not-verified' END
+ ELSE CASE WHEN r AND NOT (sdk OR hm OR ev) THEN CASE WHEN hash THEN 'manual-review' ELSE 'not-verified' END END END""",
+    "timing-unsafe-comparison": "CASE WHEN r AND b IN (8, 10) AND NOT ev THEN 'not-verified' WHEN r AND NOT sdk AND hmac AND NOT ct THEN 'not-verified' END",
+    "missing-timing-safe-equal": "CASE WHEN p = 'github' AND b IN (8, 9, 10, 11) THEN CASE WHEN (b = 8 AND NOT ev) OR b = 10 THEN 'not-verified' END WHEN p = 'github' AND NOT ct AND NOT octo THEN 'not-verified' END",
     "raw-body-misuse": "CASE WHEN r AND NOT eb AND eh THEN 'not-verified' WHEN r AND NOT eb AND anycall THEN CASE WHEN ch > 1 THEN 'manual-review' ELSE 'not-verified' END END",
     "missing-timestamp-check": "CASE WHEN r AND NOT sdk AND hmac AND NOT clock THEN 'manual-review' END",
     "wrong-hmac-algorithm": "CASE WHEN NOT (r AND hmac) OR (good AND NOT wrong) THEN NULL WHEN wrong AND NOT good THEN 'not-verified' ELSE 'manual-review' END",
     "unreachable-verification": "CASE WHEN r AND ei AND NOT sdk AND NOT ev THEN 'manual-review' END",
-    "library-verified": "CASE WHEN r AND (anycall OR ev) THEN 'verified' END",
-    "verify-after-side-effect": "CASE WHEN r AND es THEN 'manual-review' END",
+    "library-verified": "CASE WHEN p = 'paypal' THEN CASE WHEN asked AND b = 12 THEN 'verified' END WHEN p = 'discord' THEN CASE WHEN ed THEN 'verified' END WHEN r AND (anycall OR ev) THEN 'verified' END",
+    "verify-after-side-effect": "CASE WHEN r AND es AND NOT (p = 'paypal' AND b IN (12, 13)) THEN 'manual-review' END",
+    "agent-tool-acts-on-unverified-payload": "CASE WHEN p = 'n8n' AND es THEN 'manual-review' END",
+    "tool-callback-no-verification": "CASE WHEN p = 'anthropic-agent-sdk' AND es THEN 'manual-review' END",
+    "test-mode-bypass": "CASE WHEN r AND (b = 1 OR (b = 2 AND p <> 'github')) THEN 'not-verified' END",
+    "verification-error-swallowed": "CASE WHEN b = 3 AND p = 'github' THEN 'not-verified' END",
+    "replay-window-too-permissive": "CASE WHEN p = 'stripe' AND b IN (5, 15) THEN 'not-verified' WHEN p = 'stripe' AND b = 16 THEN 'manual-review' END",
+    "express-middleware-ordering": "CASE WHEN p = 'stripe' AND h % 2 = 0 AND parser THEN 'not-verified' END",
+    "missing-basic-auth": "CASE WHEN p = 'postmark' AND ip AND NOT basic THEN 'manual-review' END",
+    "missing-ip-allowlist": "CASE WHEN p = 'postmark' AND basic AND NOT ip THEN 'manual-review' END",
     "signature-prefix-not-stripped": "CASE WHEN p = 'bitbucket' AND hmac AND eh AND NOT split THEN 'manual-review' END",
     "signature-header-parse-mishandled": "CASE WHEN p = 'calendly' AND hmac AND eh AND NOT split THEN 'manual-review' END",
     "multi-signature-rotation-mishandled": "CASE WHEN p IN ('pagerduty', 'standardwebhooks') AND hmac AND NOT split THEN 'manual-review' END",
