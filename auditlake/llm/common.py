@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -49,6 +52,29 @@ def cleanup(spark: SparkSession) -> None:
     delete(spark, _own_folder(spark))
 
 
+_writes: dict[int, list] = {}  # by session: writes that run, the setting before them
+_lock = threading.Lock()
+
+
+@contextlib.contextmanager
+def _dropping_shuffles(spark: SparkSession):
+    """The setting for as long as one of these writes runs in the session, from whatever thread."""
+    with _lock:
+        own = _writes.setdefault(id(spark), [0, None])
+        if not own[0]:
+            own[1] = spark.conf.get(DROP_SHUFFLES, None)
+            spark.conf.set(DROP_SHUFFLES, "true")
+        own[0] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            own[0] -= 1
+            if not own[0]:
+                spark.conf.set(DROP_SHUFFLES, own[1]) if own[1] else spark.conf.unset(DROP_SHUFFLES)
+                del _writes[id(spark)]
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -57,12 +83,8 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    before = spark.conf.get(DROP_SHUFFLES, None)
-    spark.conf.set(DROP_SHUFFLES, "true")
-    try:
+    with _dropping_shuffles(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(DROP_SHUFFLES, before) if before else spark.conf.unset(DROP_SHUFFLES)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -84,6 +106,20 @@ def hash128(*cols: Column) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5BD1E995), *cols)]
 
 
+#: Rows of a few numbers that are broadcast at most; tables beyond are joined by shuffling.
+BROADCAST_ROWS = 2_000_000
+
+
+def beside(small: DataFrame) -> DataFrame:
+    """A table of a few numbers a row, marked for broadcast if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small
+
+
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def documents(docs: DataFrame, more: list[str] | None = None) -> DataFrame:
     """Only ``doc_id`` and ``text``, so that no extra column can clash; a null text is empty.
 
@@ -91,7 +127,7 @@ def documents(docs: DataFrame, more: list[str] | None = None) -> DataFrame:
     """
     cols = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")]
     if more is not None:
-        cols.append(F.struct(*[F.col(c) for c in more] or [F.lit(0).alias("none")]).alias("more"))
+        cols.append(F.struct(*[quoted(c) for c in more] or [F.lit(0).alias("none")]).alias("more"))
     return docs.select(*cols)
 
 
@@ -132,12 +168,21 @@ class WordHashes(dict):
 
 
 def prepare(spark: SparkSession) -> None:
-    """For operators that run Python in tasks.
+    """Python workers find this package where the driver has it, if their environment names no place."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
+BATCH_ROWS = 1000
 
-    Arrow batches hold at most 1,000 rows and about 32 MB, so that very long texts don't fill a worker's memory;
-    workers find this package where the driver has it, if they have it there too.
+
+def map_batches(df: DataFrame, task: Callable, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most BATCH_ROWS rows, so that very long texts don't fill a worker's memory.
+
+    Spark bounds its own batches by bytes.
     """
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    prepare(df.sparkSession)
+
+    def sliced(batches):
+        return task(batch.slice(i, BATCH_ROWS) for batch in batches for i in range(0, batch.num_rows, BATCH_ROWS))
+
+    return df.mapInArrow(sliced, schema)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, documents, materialize, on_row, row_keyed
+from .common import documents, map_batches, materialize, on_row, quoted, row_keyed
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SHARD_BYTES = 16 << 20
@@ -149,7 +149,7 @@ def _pass(rows: DataFrame, block: Block) -> DataFrame:
                 )
                 begin = end
 
-    return rows.mapInArrow(task, f"doc_id long, r1 long, r2 long, n_words long, matches {MATCHES}")
+    return map_batches(rows, task, f"doc_id long, r1 long, r2 long, n_words long, matches {MATCHES}")
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 500_000) -> DataFrame:
@@ -160,7 +160,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
     of one item_id are one item. Equal rows get equal results; an empty table gives none; other columns are
     ignored.
     """
-    prepare(docs.sparkSession)
     rows = row_keyed(documents(docs))
     found = None
     for block in blocks(benchmark, window, block_words):
@@ -203,7 +202,7 @@ def report(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """``docs`` without the rows that share a window with the benchmark."""
-    rows = row_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*docs.columns).alias("row")))
+    rows = row_keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.struct(*map(quoted, docs.columns)).alias("row")))
     bad = matches(docs, benchmark, window).where(F.size("matches") > 0).select("doc_id", "r1", "r2")
     bad = materialize(bad, "contaminated")  # with its size known, the planner broadcasts it only when small
     return on_row(rows.drop("text"), bad, "left_anti").select("row.*")

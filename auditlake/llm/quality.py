@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, prepare
+from .common import map_batches, materialize
 from .labelled import held_out, sample
 
 THRESHOLD = 0.3
@@ -117,7 +117,7 @@ def _stats_of(rows: DataFrame) -> DataFrame:
             stats = [statistics(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("y"), batch.column("fold"), pa.array(stats, pa.list_(pa.float64()))], ["y", "fold", "stats"])
 
-    return rows.mapInArrow(task, "y double, fold int, stats array<double>")
+    return map_batches(rows, task, "y double, fold int, stats array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, features: int = 256, ridge: float = 1.0, most: int = 200_000, seed: int = 11) -> Model:
@@ -126,7 +126,6 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 256, ridge: float =
     most: about so many labelled rows are used at most. Without labels of both kinds every score is 0.5.
     """
     spark = docs.sparkSession
-    prepare(spark)
     known = materialize(_stats_of(sample(docs, labels, "quality", most)), "stats")
     dim = len(statistics(""))
     aggs = [f(F.get("stats", F.lit(i))) for f in (F.avg, F.stddev_pop) for i in range(dim)]
@@ -147,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 256, ridge: float =
         yield pa.record_batch([pa.array([total.ravel()], pa.list_(pa.float64()))], ["sums"])
 
     fitted = known.where("fold < 4").coalesce(PARTS)
-    total = np.sum([r[0] for r in fitted.mapInArrow(equations, "sums array<double>").toLocalIterator()], 0).reshape(features + 1, -1)
+    total = np.sum([r[0] for r in map_batches(fitted, equations, "sums array<double>").toLocalIterator()], 0).reshape(features + 1, -1)
     penalty = ridge * np.eye(features + 1)
     penalty[-1, -1] = 1e-6
     model.beta = np.linalg.solve(total[:, :-1] + penalty, total[:, -1])
@@ -157,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 256, ridge: float =
             raw = model.raw(np.array(batch.column("stats").to_pylist()).reshape(batch.num_rows, -1))
             yield pa.record_batch([pa.array(raw), batch.column("y")], ["raw", "y"])
 
-    rest = known.where("fold = 4").mapInArrow(scores, "raw double, y double")
+    rest = map_batches(known.where("fold = 4"), scores, "raw double, y double")
     bins = rest.groupBy(F.floor(F.greatest(F.lit(-2), F.least(F.lit(3), "raw")) * BINS)).agg(F.avg("raw"), F.avg("y"), F.count("*")).collect()
     if bins:
         model.x, model.y = isotonic(*(np.array([r[i] for r in bins], float) for i in (1, 2, 3)))
@@ -168,7 +167,6 @@ def fit(docs: DataFrame, labels: DataFrame, features: int = 256, ridge: float =
 
 def scored(docs: DataFrame, model, threshold: float) -> DataFrame:
     """(doc_id, held_out, score, predicted), a row for each row of ``docs``."""
-    prepare(docs.sparkSession)
 
     def task(batches):
         for batch in batches:
@@ -176,7 +174,7 @@ def scored(docs: DataFrame, model, threshold: float) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(task, "doc_id long, score double")
+    found = map_batches(rows, task, "doc_id long, score double")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -198,4 +196,4 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
             score = model.score([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(score >= THRESHOLD))
 
-    return docs.mapInArrow(task, docs.schema)
+    return map_batches(docs, task, docs.schema)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, materialize, prepare, release
+from .common import WordHashes, documents, map_batches, materialize, release
 
 CHUNK = 1 << 21  # window starts handled at once
 BUCKET = 5000  # contents in a task of the last pass
@@ -143,7 +143,7 @@ def _runs(rows: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
                 cols = [batch.column("doc_id").take(at), batch.column("r").take(at), *(pa.array(x.astype(np.int64)) for x in (g, c, a, p0, p1))]
                 yield pa.record_batch(cols, ["doc_id", "r", "g", "c", "a", "p0", "p1"])
 
-    return rows.mapInArrow(task, schema)
+    return map_batches(rows, task, schema)
 
 
 def _contents(rows: DataFrame, wanted: DataFrame, length: int, unit: str) -> DataFrame:
@@ -168,7 +168,7 @@ def _contents(rows: DataFrame, wanted: DataFrame, length: int, unit: str) -> Dat
             values = [pa.array(v, pa.binary() if k == "content" else pa.int64()) for k, v in cols.items()]
             yield pa.record_batch([ids.take(at), r.take(at), *values], ["doc_id", "r", *cols])
 
-    return found.mapInArrow(task, "doc_id long, r long, g long, a long, p0 long, n long, k long, content binary")
+    return map_batches(found, task, "doc_id long, r long, g long, a long, p0 long, n long, k long, content binary")
 
 
 def _windows(part: pd.DataFrame, length: int, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -226,7 +226,7 @@ def repeated_windows(rows: DataFrame, length: int, unit: str = "bytes") -> DataF
     few = single.where(F.col("k") <= HOT).groupBy(F.pmod(F.xxhash64("g"), F.lit(buckets))).applyInPandas(last_digit, schema)
 
     def deal(batches):
-        for batch in batches:
+        for batch in (b.iloc[i : i + 500] for b in batches for i in range(0, len(b), 500)):
             if len(batch):
                 run, inner, digit = _windows(batch, length, unit)
                 own = batch.iloc[run]
@@ -267,7 +267,6 @@ def dedup_substrings(docs: DataFrame, length: int = 400, passage: int = 50) -> D
     few bytes they have and however they are spaced. Equal rows repeat each other. An empty table gives no rows; other
     columns are ignored.
     """
-    prepare(docs.sparkSession)
     rows = documents(docs).withColumn("r", F.xxhash64("text"))
     gone = [repeated_windows(rows, n, unit).withColumn("unit", F.lit(unit)) for n, unit in ((length, "bytes"), (passage, "words"))]
     each = gone[0].unionByName(gone[1]).groupBy("doc_id", "r").agg(F.collect_set(F.struct("unit", "p0", "p1")).alias("gone")).toDF("_i", "_r", "gone")
@@ -288,4 +287,4 @@ def dedup_substrings(docs: DataFrame, length: int = 400, passage: int = 50) -> D
             arrays = [pa.array(c, pa.binary() if k == 5 else pa.int64()) for k, c in enumerate(cols)]
             yield pa.record_batch([batch.column("doc_id"), *arrays], ["doc_id", "n_bytes", "n_removed", "n_spans", "n_kept", "n_repeated_words", "kept"])
 
-    return joined.mapInArrow(task, schema)
+    return map_batches(joined, task, schema)

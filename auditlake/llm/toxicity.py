@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, prepare
+from .common import documents, map_batches, materialize
 from .labelled import sample
 from .quality import scored
 
@@ -67,7 +67,7 @@ def language_model(docs: DataFrame) -> np.ndarray:
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], ["gram", "n"])
 
     counts = np.zeros(SYMBOLS**3)
-    grams = documents(docs).select("text").mapInArrow(task, "gram int, n long")
+    grams = map_batches(documents(docs).select("text"), task, "gram int, n long")
     for gram, n in grams.groupBy("gram").agg(F.sum("n")).collect():  # at most SYMBOLS ** 3 rows
         counts[gram] = n
     counts = counts.reshape(SYMBOLS, SYMBOLS, SYMBOLS)
@@ -250,7 +250,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int
     """A model of ``labels.toxic``. The character model counts all of ``docs``; about ``most`` labelled rows outside
     fold 0 teach the lexicon (folds 1 to 3) and the weights of what it finds (fold 4 and a part of the others)."""
     spark = docs.sparkSession
-    prepare(spark)
     restorer = Restorer(language_model(docs))
     known = sample(docs, labels, "toxic", most)
 
@@ -259,7 +258,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int
             texts = [" ".join(_words(restorer.text(t))) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([pa.array(texts, pa.string()), batch.column("y"), batch.column("fold")], ["text", "y", "fold"])
 
-    known = materialize(known.mapInArrow(restored, "text string, y double, fold int"), "restored")
+    known = materialize(map_batches(known, restored, "text string, y double, fold int"), "restored")
     empty = np.zeros(0)
     taught = known.where("fold < 4")
     n = {r[0]: r[1] for r in taught.groupBy("y").count().collect()}
@@ -278,9 +277,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int
         return task
 
     schema = "feature string, n long"
-    toxic = taught.where("y = 1").mapInArrow(counted(None), schema).groupBy("feature").agg(F.sum("n").alias("n"))
+    toxic = map_batches(taught.where("y = 1"), counted(None), schema).groupBy("feature").agg(F.sum("n").alias("n"))
     toxic = {r[0]: r[1] for r in toxic.where(F.col("n") >= least_docs).collect()}  # of at most `most` documents
-    clean = taught.where("y = 0").mapInArrow(counted(set(toxic)), schema).groupBy("feature").agg(F.sum("n"))
+    clean = map_batches(taught.where("y = 0"), counted(set(toxic)), schema).groupBy("feature").agg(F.sum("n"))
     clean = dict(map(tuple, clean.collect()))
     lexicon = {}
     for f, a in toxic.items():
@@ -297,7 +296,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 20_000, least_docs: int
             x = [plain.summary(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([pa.array(x, pa.list_(pa.float64())), batch.column("y")], ["x", "y"])
 
-    rows = known.where("fold = 4").mapInArrow(summed, "x array<double>, y double").collect()  # a part of `most`
+    rows = map_batches(known.where("fold = 4"), summed, "x array<double>, y double").collect()  # a part of `most`
     y = np.array([r[1] for r in rows])
     if len(set(y)) == 2:
         model.mean, model.scale, model.beta = _logistic(np.array([r[0] for r in rows]), y)

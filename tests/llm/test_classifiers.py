@@ -1,3 +1,5 @@
+import itertools
+import math
 import zlib
 
 import numpy as np
@@ -106,3 +108,78 @@ def test_spelled_out_words(seen, words):
 def test_plain_words_stay(restorer):
     assert restorer.text("all letters of that, a 1999 book: été!!") == "all letters of that, a 1999 book: été!!"
     assert restorer.text("") == ""
+
+
+def test_features_approximate_the_gaussian_kernel():
+    rng = np.random.default_rng(3)
+    dim, n = 8, 40_000
+    empty = np.zeros(0)
+    model = quality.Model(np.zeros(dim), np.ones(dim), rng.normal(size=(dim, n)) / np.sqrt(dim), rng.uniform(0, 2 * np.pi, n), empty, empty, empty)
+    x = rng.normal(size=(30, dim))
+    z = model.features(x)[:, :-1]
+    exact = [[math.exp(-sum((p - q) ** 2 for p, q in zip(a, b)) / (2 * dim)) for b in x] for a in x]
+    assert np.abs(z @ z.T - exact).max() < 0.03
+
+
+def test_summed_equations_give_the_ridge_solution(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit(docs, labels, features=32)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    known = [(quality.statistics(texts[r["doc_id"]]), r["quality"], fold(r["doc_id"])) for r in labels.collect() if r["doc_id"] in texts and fold(r["doc_id"])]
+    stats = np.array([s for s, _, _ in known])
+    assert np.allclose(model.mean, stats.mean(0)) and np.allclose(model.scale, np.where(stats.std(0) > 1e-9, stats.std(0), 1.0))
+    part = [k for k, (_, _, f) in enumerate(known) if f < 4]
+    z, y = model.features(stats[part]), np.array([known[k][1] for k in part], float)
+    rows = np.concatenate([z, np.diag([1.0] * 32 + [1e-3])])  # ridge regression as least squares over more rows
+    beta = np.linalg.lstsq(rows, np.concatenate([y, np.zeros(33)]), rcond=None)[0]
+    assert np.allclose(model.beta, beta, atol=1e-5)
+    rest = [k for k, (_, _, f) in enumerate(known) if f == 4]
+    order = model.raw(stats[rest])
+    assert (np.diff(np.interp(np.sort(order), model.x, model.y)) >= 0).all()
+
+
+def naive_path(nodes, lm):
+    """The best of all paths through a lattice, each scored whole."""
+
+    def score(path):
+        total, a, b = sum(price for _, price in path), 0, 0
+        for x in "".join(s for s, _ in path):
+            k = toxicity._symbol(x)
+            total, a, b = total + lm[a, b, k], b, k
+        return total + lm[a, b, 0]
+
+    return max(score(path) for path in itertools.product(*nodes)), score
+
+
+def test_trigram_counts_and_decoding_against_brute_force():
+    rng = np.random.default_rng(4)
+    texts = ["you 1d10t, an Idiot", "Été à la  plage!", "", "a", "trash & scum"] * 3
+    counts = np.zeros((toxicity.SYMBOLS,) * 3, int)
+    for t in texts:
+        symbols = [toxicity._symbol(c.lower() if c.isascii() else c) if c.isascii() else 27 for c in f" {t} "]
+        for a, b, c in zip(symbols, symbols[1:], symbols[2:]):
+            counts[a, b, c] += 1
+    assert (toxicity.trigram_counts(texts).reshape(counts.shape) == counts).all()
+
+    lm = np.log(rng.dirichlet(np.ones(toxicity.SYMBOLS), size=(toxicity.SYMBOLS, toxicity.SYMBOLS)))
+    pieces = ["1", "d", "0", "@", "$", "tt", "!", "b", "66", "ooo"]
+    seen = []
+    inner = toxicity._likeliest
+
+    def watched(nodes, own):
+        out = inner(nodes, own)
+        best, score = naive_path(nodes, own)
+        paths = [p for p in itertools.product(*nodes) if "".join(s for s, _ in p) == out]
+        assert max(map(score, paths)) == pytest.approx(best)
+        seen.append(out)
+        return out
+
+    toxicity._likeliest = watched
+    try:
+        for _ in range(40):
+            toxicity.decode("".join(rng.choice(pieces, rng.integers(1, 6))), lm, int(rng.integers(2)), int(rng.integers(2)))
+            toxicity.spelled(" ".join(rng.choice(["i", "d", "1", "0", "t", "a", "$"], rng.integers(4, 6))), lm)  # gaps are arcs: a word ends or goes on
+    finally:
+        toxicity._likeliest = inner
+    assert len(seen) == 80 and any(" " in s for s in seen)
