@@ -8,7 +8,9 @@ key's pivot is another for each key. This settles large groups of near copies in
 entries are still in several components get signature trees, traversed in pairs: nodes hold OR-combined
 token bitmaps and size ranges, and a pair of nodes is left when its largest possible overlap is too small
 or all its entries are in one component already. 5. The pairs of entries that remain are verified by
-exact intersection: first the best few of each entry, then, with the components found so far, all.
+exact intersection: first the best few of each entry, then, with the components found so far, all. A block with
+more such pairs than DENSE to an entry (many sets just below the threshold) emits none of them: its task gets the
+sets, counts the intersections and emits a spanning forest of the links.
 
 A key that a third of all entries share is only ever aggregated (map-side) or joined with one row. The
 entries of a key above the size of a block are cut into blocks, and pairs of blocks become tasks.
@@ -23,14 +25,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, documents, materialize, prepare, release
+from .common import WordHashes, beside, documents, map_batches, materialize, release
 from .components import components
 
 BLOCK = 512
 LEAF = 8
 BITS = 2048
-BROADCAST_ROWS = 2_000_000
 FIRST = 4  # pairs of an entry and key that are verified first
+DENSE = 4  # pairs to an entry of a block that are verified one by one
+SMALL = 1000  # entries of small keys in a task
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -113,12 +116,7 @@ def _entries(docs: DataFrame, k: int, p: int, q: int) -> DataFrame:
             longs = [pa.array(np.array(x, np.uint64).astype(np.int64)) for x in (n, s1, s2)]
             yield pa.record_batch([batch.column("doc_id"), *longs, arrays], ["doc_id", "n", "s1", "s2", "keys"])
 
-    return docs.mapInArrow(task, "doc_id long, n long, s1 long, s2 long, keys array<long>")
-
-
-def _beside(rows: DataFrame, small: DataFrame, on: list[str], how: str) -> DataFrame:
-    """Join with a table that is broadcast only when it has at most BROADCAST_ROWS rows of a few numbers."""
-    return rows.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, on, how)
+    return map_batches(docs, task, "doc_id long, n long, s1 long, s2 long, keys array<long>")
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -129,7 +127,7 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(id, s1, n, bits, tokens) of the wanted documents (id): an entry for each set of one."""
-    rows = _beside(docs, wanted.select(F.col("id").alias("doc_id")), ["doc_id"], "left_semi")
+    rows = docs.join(beside(wanted.select(F.col("id").alias("doc_id"))), ["doc_id"], "left_semi")
 
     def task(batches):
         known = WordHashes()
@@ -145,7 +143,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             ]
             yield pa.record_batch(cols, ["id", "s1", "n", "bits", "tokens"])
 
-    found = rows.mapInArrow(task, "id long, s1 long, n long, bits binary, tokens array<long>")
+    found = map_batches(rows, task, "id long, s1 long, n long, bits binary, tokens array<long>")
     return found.where("n > 0").dropDuplicates(["id", "s1"])
 
 
@@ -241,7 +239,7 @@ def _sketched(pairs_: DataFrame, sketches: DataFrame, p: int, q: int) -> DataFra
 def _verified(pairs_: DataFrame, sets: DataFrame, p: int, q: int) -> DataFrame:
     """Of written pairs (a, b): those with sets that link. Only the sets in a pair shuffle."""
     ids = materialize(pairs_.select("a").union(pairs_.select("b")).distinct().toDF("id"), "ids")
-    sets = _beside(sets.select("id", "tokens"), ids, ["id"], "left_semi")
+    sets = sets.select("id", "tokens").join(beside(ids), ["id"], "left_semi")
     one, two = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
     joined = pairs_.join(one, "a").join(two, "b")
@@ -257,7 +255,6 @@ def groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     component is null. Rows of one doc_id are one document. An empty table gives no rows; other columns are
     ignored.
     """
-    prepare(docs.sparkSession)
     rows = documents(docs)
     entries = materialize(_entries(rows, k, p, q), "entries")
     slim = materialize(entries.select("doc_id", "n", "s1", "s2"), "slim")
@@ -265,7 +262,7 @@ def groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     same = materialize(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "same")
     copies = materialize(full.join(same, ["s1", "s2"]).where("doc_id > id").select("doc_id", "s1").distinct(), "copies")
 
-    keyed = _beside(entries.where("n > 0 AND doc_id IS NOT NULL"), copies, ["doc_id", "s1"], "left_anti")
+    keyed = entries.where("n > 0 AND doc_id IS NOT NULL").join(beside(copies), ["doc_id", "s1"], "left_anti")
     keyed = keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("id"))
     order = F.col("id").bitwiseXOR(F.col("key"))  # puts the entries in another order for each key
     pivots = keyed.groupBy("key").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low < high")
@@ -281,8 +278,9 @@ def groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     links = materialize(_verified(materialize(_sketched(near, sketches, p, q), "pairs"), sets, p, q), "links")
     for most in (FIRST, None):
         group = components(links).toDF("id", "own")
-        found = _may_link(hits, group, sketches, p, q, most)  # each id with all its sets
-        links = links.union(materialize(_verified(materialize(found, "pairs"), sets, p, q), "links"))
+        found, sure = _may_link(hits, group, sets, p, q, most)  # each id with all its sets
+        links = links.union(materialize(_verified(found, sets, p, q), "links"))
+        links = links if sure is None else links.union(sure)
     several = full.groupBy("doc_id").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low < high").select("doc_id")
     of_one = full.join(several, "doc_id", "left_semi").join(same, ["s1", "s2"]).select("doc_id", "id")  # texts of one doc_id
     final = components(links.union(of_one)).toDF("id", "component")
@@ -291,11 +289,13 @@ def groups(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     return slim.join(same, ["s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
-def _may_link(hits: DataFrame, group: DataFrame, sketches: DataFrame, p: int, q: int, most: int | None) -> DataFrame:
-    """Distinct (a, b): entries of unlike components that share a key and may link by their bitmaps.
+def _may_link(hits: DataFrame, group: DataFrame, sets: DataFrame, p: int, q: int, most: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct (a, b): entries of unlike components that share a key and may link by their bitmaps; and links (a, b).
 
-    hits: (key, id); group: (id, own); sketches: (id, n, bits). most: for each entry of a key so many at most.
+    hits: (key, id); group: (id, own); sets: (id, n, bits, tokens). most: for each entry of a key so many at most. The
+    links span those of blocks with more pairs than DENSE to an entry, which give no pairs; None where there are none.
     """
+    sketches = sets.select("id", "n", "bits")
     placed = hits.select("key", "id").join(group, "id", "left").withColumn("own", F.coalesce("own", "id"))
     placed = materialize(placed, "placed")
     open_ = placed.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("id")).alias("x")).where("low < high")
@@ -304,7 +304,7 @@ def _may_link(hits: DataFrame, group: DataFrame, sketches: DataFrame, p: int, q:
     members = materialize(placed.join(open_, "key"), "members")
 
     small = members.where(F.col("c") <= BLOCK).select("key", "id", "own")
-    tasks = max(1, small.count() // 4_000)
+    tasks = max(1, small.count() // SMALL)
     zero = F.lit(0).cast("long")
     one = small.select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("g"), zero.alias("bi"), zero.alias("bj"), "key", F.lit(0).alias("side"), "id", "own")
     large = members.where(F.col("c") > BLOCK)
@@ -318,14 +318,15 @@ def _may_link(hits: DataFrame, group: DataFrame, sketches: DataFrame, p: int, q:
     twos = blocks.toDF("key", "bi", "wi").join(blocks.toDF("key", "bj", "wj"), "key").where("bi <= bj AND NOT coalesce(wi = wj, false)").select("key", "bi", "bj")
     twos = materialize(twos, "blocks")
     side = lambda n, of, on: large.withColumnRenamed("block", on).join(of, ["key", on]).select(F.col("key").alias("g"), "bi", "bj", "key", F.lit(n).alias("side"), "id", "own")
-    dealt = one.union(side(0, twos, "bi")).union(side(1, twos.where("bi < bj"), "bj")).join(sketches, "id")
+    placed = one.union(side(0, twos, "bi")).union(side(1, twos.where("bi < bj"), "bj"))
+    dealt = placed.join(sketches, "id")
 
     def search(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["key", "side"], kind="stable", ignore_index=True)
         ids, n, own = (part[c].to_numpy() for c in ("id", "n", "own"))
         bits = np.frombuffer(b"".join(part["bits"]), np.uint8).reshape(len(part), -1)
         keys, sides = part["key"].to_numpy(), part["side"].to_numpy()
-        out = [np.zeros((0, 2), np.int64)]
+        out, dense = [np.zeros((0, 2), np.int64)], []
         starts = np.flatnonzero(np.concatenate([[True], np.diff(keys) != 0]))
         for lo, hi in zip(starts, [*starts[1:], len(part)]):
             mid = lo + int((sides[lo:hi] == 0).sum())
@@ -334,19 +335,64 @@ def _may_link(hits: DataFrame, group: DataFrame, sketches: DataFrame, p: int, q:
             left = Tree(n[lo:mid], bits[lo:mid], own[lo:mid])
             right, shift = (left, lo) if mid == hi else (Tree(n[mid:hi], bits[mid:hi], own[mid:hi]), mid)
             found = pairs(left, right, p, q)
-            found = found if most is None else best(found, most)
+            if most is not None:
+                found = best(found, most)
+            elif len(found) > DENSE * (hi - lo):
+                dense.append((keys[lo], part["bi"].iloc[lo], part["bj"].iloc[lo]))
+                continue
             out.append(np.stack([found[:, 0] + lo, found[:, 1] + shift], 1))
         at = np.concatenate(out)
         a, b = ids[at[:, 0]], ids[at[:, 1]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
-
-    return dealt.groupBy("g", "bi", "bj").applyInPandas(search, "a long, b long").distinct()
+        pairs_ = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b), "c": 0, "dense": False}).drop_duplicates()
+        return pd.concat([pairs_, pd.DataFrame(dense, columns=["a", "b", "c"], dtype="int64").assign(dense=True)])
+
+    found = dealt.groupBy("g", "bi", "bj").applyInPandas(search, "a long, b long, c long, dense boolean")
+    if most is not None:
+        return materialize(found.select("a", "b").distinct(), "pairs"), None
+    found = materialize(found, "found")
+    pairs_ = materialize(found.where("NOT dense").select("a", "b").distinct(), "pairs")
+    blocks = found.where("dense").select(F.col("a").alias("key"), F.col("b").alias("bi"), F.col("c").alias("bj"))
+    if blocks.isEmpty():
+        return pairs_, None
+    whole = placed.drop("g").join(blocks, ["key", "bi", "bj"]).join(sets.select("id", "n", "tokens"), "id")
+    sure = whole.groupBy("key", "bi", "bj").applyInPandas(lambda part: _spanning(part, p, q), "a long, b long")
+    return pairs_, materialize(sure.distinct(), "links")
+
+
+def _spanning(part: pd.DataFrame, p: int, q: int) -> pd.DataFrame:
+    """(a, b): a forest that spans the links between a block's sides, or within its only side, by exact intersections."""
+    left, right = part[part["side"] == 0], part[part["side"] == 1]
+    right = right if len(right) else left
+    sizes = right["n"].to_numpy()
+    flat = np.concatenate(right["tokens"].to_list())
+    begins = np.cumsum(sizes) - sizes
+    known, flat = np.unique(flat, return_inverse=True)
+    ids = np.concatenate([left["id"], right["id"]])
+    owns, root = np.unique(np.concatenate([left["own"], right["own"]]), return_inverse=True)  # what is one component already
+    a, b = [], []
+    for i, (n, tokens) in enumerate(zip(left["n"], left["tokens"])):
+        open_ = np.flatnonzero(root[len(left) :] != root[i])
+        if not len(open_):
+            continue
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        mark = np.zeros(len(known), np.int64)
+        mark[at[known[at] == tokens]] = 1
+        both = np.add.reduceat(mark[flat], begins)
+        for j in open_[(q * both >= p * (n + sizes - both))[open_]]:
+            x, y = root[i], root[len(left) + j]
+            if x != y:
+                root[root == y] = x
+                a.append(ids[i])
+                b.append(ids[len(left) + j])
+    a, b = np.array(a, np.int64), np.array(b, np.int64)
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
 
 def keep_one(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """``docs`` with one document of each group: that of the smallest doc_id. Rows without a doc_id stay."""
     gone = groups(docs, k, p, q).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(materialize(gone, "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
+    gone = materialize(gone, "gone")
+    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 ORACLE_SQL = r"""

@@ -43,9 +43,10 @@ def case(seed, n=140):
 COLS = ["doc_id", "n_shingles", "component_id"]
 
 
-@pytest.mark.parametrize("k,p,q,block,seed", [(3, 90, 100, 512, 1), (5, 80, 100, 512, 2), (3, 90, 100, 6, 3), (2, 70, 100, 9, 4)])
-def test_against_brute_force(spark, monkeypatch, k, p, q, block, seed):
+@pytest.mark.parametrize("k,p,q,block,dense,seed", [(3, 90, 100, 512, 4, 1), (5, 80, 100, 512, 0, 2), (3, 90, 100, 6, 0, 3), (2, 70, 100, 9, 4, 4)])
+def test_against_brute_force(spark, monkeypatch, k, p, q, block, dense, seed):
     monkeypatch.setattr(j, "BLOCK", block)
+    monkeypatch.setattr(j, "DENSE", dense)  # 0: whatever is left is linked within its block
     rows = case(seed)
     df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, keys string").repartition(4)
     got, want = table_of(j.groups(df, k, p, q), *COLS), brute(rows, k, p, q)
@@ -103,3 +104,24 @@ def test_tree_prunes_only_what_cannot_link():
         assert want <= found and len(found) < 0.6 * len(every)
     some = j.best(np.array([[0, 1, 5], [0, 2, 9], [1, 2, 3], [0, 3, 7]]), 2)
     assert some.tolist() == [[0, 2, 9], [0, 3, 7], [1, 2, 3]]
+
+
+def test_many_sets_just_below_the_threshold(spark, monkeypatch):
+    """All share most words, too few to link, and bitmaps can't tell; output stays in proportion to the documents."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(880)]
+    rows = [(i, " ".join(base + [f"o{i}x{k}" for k in range(120)])) for i in range(150)]
+    rows += [(1000 + i, " ".join(base + [f"o{i}x{k}" for k in range(90)] + [f"n{i}x{k}" for k in range(30)])) for i in range(0, 150, 10)]
+    rng.shuffle(rows)
+    left = []
+    inner = j._may_link
+
+    def watched(*args):
+        found = inner(*args)
+        left.append((found[0].count(), found[1] is not None, args[-1]))
+        return found
+
+    monkeypatch.setattr(j, "_may_link", watched)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert table_of(j.groups(df, 1, 80, 100), *COLS) == brute(rows, 1, 80, 100)
+    assert [(n < 20 * len(rows), most) for n, _, most in left] == [(True, j.FIRST), (True, None)] and left[1][1]
