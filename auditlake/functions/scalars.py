@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 
 from pyspark.sql import Column
@@ -116,6 +115,45 @@ def secret_class(value: Column) -> Column:
     return out
 
 
+def unquoted(literal: Column) -> Column:
+    """A string literal of Python, PHP or JavaScript without its prefix letters and quotes."""
+    bare = F.regexp_extract(literal, r"""(?s)^[A-Za-z]{0,2}("{3}|'{3}|["'`])(.*)\1$""", 2)
+    return F.when(literal.rlike(r"""(?s)^[A-Za-z]{0,2}("{3}|'{3}|["'`]).*\1$"""), bare).otherwise(literal)
+
+
+def is_go_module(path: Column) -> Column:
+    """An import path whose first part is a host name."""
+    return path.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+/")
+
+
+def dirname(path: Column) -> Column:
+    return F.regexp_replace(path, "/?[^/]*$", "")
+
+
+def joined_path(folder: Column, path: Column) -> Column:
+    """A relative path from a folder, without `./`; each `x/../` goes, up to eight deep."""
+    out = F.concat_ws("/", F.nullif(folder, F.lit("")), path)
+    out = F.regexp_replace(out, r"(^|/)(?:\./)+", "$1")
+    for _ in range(8):
+        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
+    return out
+
+
+def utf16(c: Column) -> Column:
+    """Sorts as UTF-16 units do, where Spark's own order of strings is that of code points."""
+    return F.encode(c, "UTF-16BE")
+
+
+def agreed(matcher: Column, predicate: Column) -> Column:
+    """State of a rule with a matcher, a predicate or both, which then have to agree; null where it does not fire."""
+    return F.when(matcher.isNull(), predicate).when(predicate.isNull(), matcher).when(matcher == predicate, matcher)
+
+
+def liveness_facet(rule_id: Column, liveness: Column) -> Column:
+    """What a probe found, for rules about hard-coded secrets only."""
+    return F.when(F.endswith(rule_id, F.lit("/hardcoded-secret-prefix")), liveness)
+
+
 def credential(text: Column, prefixes: list[str]) -> Column:
     """Of the first prefix that occurs: it and the run of credential characters after it."""
     found = [F.nullif(F.regexp_extract(text, re.escape(p) + "[A-Za-z0-9+/=_-]+", 0), F.lit("")) for p in prefixes]
@@ -169,7 +207,8 @@ def glob_regex(glob: str) -> str:
             out, i = out + "[^/]", i + 1
         elif glob[i] == "[" and "]" in glob[i:]:
             end = glob.index("]", i)
-            out, i = out + fnmatch.translate(glob[i : end + 1])[4:-3].strip("()"), end + 1
+            inner = glob[i + 1 : end].replace("\\", r"\\").replace("[", r"\[")
+            out, i = out + "[" + ("^" + inner[1:] if inner[:1] in "!^" and inner else inner) + "]", end + 1
         elif glob[i] == "{" and "}" in glob[i:]:
             end = glob.index("}", i)
             out, i = out + "(?:" + "|".join(glob_regex(g)[1:-1] for g in glob[i + 1 : end].split(",")) + ")", end + 1

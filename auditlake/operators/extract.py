@@ -41,7 +41,14 @@ ROUTES = [
     ("gin", "go", "github.com/gin-gonic/gin", r"\.(POST|PUT|PATCH|DELETE)\(\s*\"([^\"]+)\"", 1, 2, False),
     ("echo", "go", "github.com/labstack/echo", r"\.(POST|PUT|PATCH|DELETE)\(\s*\"([^\"]+)\"", 1, 2, False),
     ("net/http", "go", "net/http", r"HandleFunc\(()\s*\"([^\"]+)\"", 1, 2, False),
+    ("fastify", "js", "fastify", r"\.route\(\s*\{.*?method:\s*['\"](POST|PUT|PATCH|DELETE)['\"].*?url:\s*['\"]([^'\"]+)['\"]", 1, 2, True),
+    ("fastify", "js", "fastify", r"\.route\(\s*\{.*?url:\s*['\"]([^'\"]+)['\"].*?method:\s*['\"](POST|PUT|PATCH|DELETE)['\"]", 2, 1, True),
+    # methods of workflow nodes, which the framework calls at a path of its own
+    ("express", "js", "n8n-workflow", r"^\s*(?:async\s+)?()(webhook)\s*\([^)]*\)[^;]*\{", 1, 2, False),
 ]
+# PHP files without a framework are handlers if a line reads a request or signs one
+PHP_FRAMEWORKS = ["Illuminate\\", "Symfony\\", "Slim\\"]
+PHP_SIGNALS = r"file_get_contents\(\s*['\"]php://input|\bhash_hmac\(|\bgetallheaders\(|\$_SERVER\[\s*['\"]HTTP_\w*SIGNATURE"
 # framework, expression of the path, expression of a line, group of the verb
 FILE_ROUTES = [
     ("nextjs", r"(^|/)app/(.*/)?route\.(ts|tsx|js|jsx)$", r"^\s*export\s+(?:async\s+)?(?:function|const)\s+(POST|PUT|PATCH|DELETE)\b"),
@@ -89,21 +96,45 @@ def symbols(rows: DataFrame) -> DataFrame:
 
 
 def calls(rows: DataFrame) -> DataFrame:
-    """(file_path, line, ord, caller, qualified_name): calls, each within the last definition above it."""
+    """(file_path, line, ord, caller, qualified_name[, handler_id]): calls, each within the last definition above it."""
     name = _by_language(F.col("language"), {k: F.nullif(F.regexp_extract("code", p, 1), F.lit("")) for k, p in DEFINITION.items()})
     w = Window.partitionBy("file_path").orderBy("line")
     placed = rows.withColumn("caller", F.coalesce(F.last(name, True).over(w), F.lit("<module>")))
     code = F.regexp_replace("code", r"^\s*(//|#(?!\[)|\*).*$", "")
     hmac = F.transform(F.regexp_extract_all(code, F.lit(r"createHmac\(\s*['\"](\w+)['\"]"), F.lit(1)), lambda a: F.concat(F.lit("crypto."), a))
     found = F.concat(F.regexp_extract_all(code, F.lit(CALL), F.lit(1)), hmac)
-    each = placed.select("file_path", "line", "caller", F.posexplode(found).alias("k", "qualified_name"))
-    return each.where(~F.col("qualified_name").isin(*KEYWORDS)).select("file_path", "line", (F.col("line") * 1000 + F.col("k")).alias("ord"), "caller", "qualified_name")
+    own = ["handler_id"] if "handler_id" in rows.columns else []
+    each = placed.select("file_path", "line", "caller", *own, F.posexplode(found).alias("k", "qualified_name"))
+    return each.where(~F.col("qualified_name").isin(*KEYWORDS)).select("file_path", "line", (F.col("line") * 1000 + F.col("k")).alias("ord"), "caller", "qualified_name", *own)
+
+
+def middleware(rows: DataFrame, imported: DataFrame) -> DataFrame:
+    """(file_path, name, import_source, line, preserves_raw_body): what `app.use(...)` puts before the routes below it.
+
+    A parser whose options have a `verify` hook keeps the raw body.
+    """
+    used = r"\.use\((?:\s*['\"][^'\"]*['\"]\s*,)?\s*([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*)"
+    hits = rows.where((F.col("language") == "js") & F.col("code").rlike(used))
+    hits = hits.select("file_path", "line", F.regexp_extract("code", used, 1).alias("name"), F.col("code").rlike(r"\bverify\s*[:(]").alias("preserves_raw_body"))
+    source = imported.groupBy("file_path", F.col("local").alias("root")).agg(F.min_by("to_module", "ord").alias("import_source"))
+    out = hits.withColumn("root", F.substring_index("name", ".", 1)).join(source, ["file_path", "root"], "left")
+    return out.select("file_path", "name", "import_source", "line", "preserves_raw_body")
+
+
+def _plausible(language: Column) -> Column:
+    """One expression a language that every route of it fits, so that a line meets one and not all of them."""
+    each = {n: "|".join(f"(?:{p})" for _, own, _, p, *_ in ROUTES if own == n) for n in ("js", "py", "php", "go")}
+    each["js"] += "|" + "|".join(f"(?:{p})" for _, _, p in FILE_ROUTES)
+    each["php"] += "|" + PHP_SIGNALS
+    return F.coalesce(_by_language(language, {n: F.col("code").rlike(p) for n, p in each.items()}).cast("boolean"), F.lit(False))
 
 
 def routes(rows: DataFrame, imported: DataFrame) -> DataFrame:
-    """(file_path, framework, route, method, line, end_line): handlers, each up to the next one in its file."""
-    from ..functions.scalars import webhookish
+    """(file_path, framework, route, method, line, end_line, code): handlers, each up to the next one in its file; code is
+    the first line of it."""
+    from ..functions.scalars import basename, webhookish
 
+    rows = rows.where(_plausible(F.col("language")))
     found = []
     for framework, language, needs, p, verb, path, gated in ROUTES:
         route = F.regexp_extract("code", p, path)
@@ -114,19 +145,36 @@ def routes(rows: DataFrame, imported: DataFrame) -> DataFrame:
         fits = (F.col("language") == "js") & F.col("file_path").rlike(path) & F.col("code").rlike(p)
         route = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace("file_path", r"^.*?(app/routes|pages|app)/", ""), r"(/route|/index)?\.\w+$", ""))
         found.append(F.when(fits, F.struct(F.lit(framework).alias("framework"), route.alias("route"), F.regexp_extract("code", p, 1).alias("method"), F.lit(None).cast("string").alias("needs"))))
-    hits = rows.select("file_path", "line", F.posexplode(F.array_compact(F.array(*found))).alias("rank", "r")).select("file_path", "line", "rank", "r.*")
+    php = (F.col("language") == "php") & F.col("code").rlike(PHP_SIGNALS)
+    at = F.concat(F.lit("/"), basename(F.col("file_path")))
+    found.append(F.when(php, F.struct(F.lit("vanilla-php").alias("framework"), at.alias("route"), F.lit("").alias("method"), F.lit(None).cast("string").alias("needs"))))
+    hits = rows.select("file_path", "line", "code", F.posexplode(F.array_compact(F.array(*found))).alias("rank", "r")).select("file_path", "line", "code", "rank", "r.*")
     modules = imported.groupBy("file_path").agg(F.collect_set("to_module").alias("modules"))  # of one file
     hits = hits.join(modules, "file_path", "left").withColumn("modules", F.coalesce("modules", F.array().cast("array<string>")))
     hits = hits.where(F.col("needs").isNull() | F.exists("modules", lambda m: F.startswith(m, F.col("needs"))))
+    framed = F.exists("modules", lambda m: m.rlike("^(" + "|".join(p.replace("\\", "\\\\") for p in PHP_FRAMEWORKS) + ")"))
+    hits = hits.where((F.col("framework") != "vanilla-php") | ~framed)
+    hits = hits.withColumn("route", F.when(F.col("needs") == "n8n-workflow", "/webhook").otherwise(F.col("route")))
     # hono and fastify routes look like express; the import tells
     own = F.filter("modules", lambda m: m.isin("hono", "fastify"))
     framework = F.when((F.col("framework") == "express") & (F.size(own) > 0), F.array_max(own)).otherwise(F.col("framework"))
-    first = Window.partitionBy("file_path", "line").orderBy("rank")
-    hits = hits.withColumns({"framework": framework, "k": F.row_number().over(first)}).where("k = 1")
+    first = Window.partitionBy("file_path", F.when(F.col("framework") == "vanilla-php", 0).otherwise(F.col("line"))).orderBy("line", "rank")
+    hits = hits.withColumns({"framework": framework, "k": F.row_number().over(first)}).where("k = 1")  # one of a line, or of a plain PHP file
     w = Window.partitionBy("file_path").orderBy("line")
     method = F.upper(F.when(F.col("method").isin("", "all"), "post").otherwise(F.col("method")))
     end = F.coalesce(F.lead("line").over(w) - 1, F.lit(2**31 - 1))
-    return hits.select("file_path", "framework", "route", method.alias("method"), "line", end.alias("end_line"))
+    return hits.select("file_path", "framework", "route", method.alias("method"), "line", end.alias("end_line"), "code")
+
+
+def placed(rows: DataFrame, handlers: DataFrame) -> DataFrame:
+    """``rows`` (file_path, line, ...) with handler_id: the handler (handler_id, file_path, line, end_line) that a line is in, or null.
+
+    A handler begins at one line, so it joins that line alone; a window hands it on to the lines below.
+    """
+    begins = handlers.select("file_path", "line", F.struct("handler_id", "end_line").alias("h"))
+    w = Window.partitionBy("file_path").orderBy("line")
+    out = rows.join(begins, ["file_path", "line"], "left").withColumn("h", F.last("h", True).over(w))
+    return out.withColumn("handler_id", F.when(F.col("line") <= F.col("h.end_line"), F.col("h.handler_id"))).drop("h")
 
 
 def suppressions(rows: DataFrame) -> DataFrame:

@@ -32,16 +32,19 @@ def header_reads(texts: DataFrame, text: str, headers: DataFrame) -> DataFrame:
     return texts.join(few(headers), F.contains(body, name) | F.contains(body, F.translate(name, "-", "_")))
 
 
-def header_owners(headers: DataFrame, evidenced: DataFrame) -> DataFrame:
-    """(handler_id, header, provider) of headers (provider, ord, header) that several providers claim: those of them
-    that evidence (handler_id, provider) names, else the first to declare it."""
-    claims = headers.groupBy(F.lower("header").alias("header")).agg(F.count("*").alias("n"), F.min_by("provider", "ord").alias("first"))
-    shared = headers.select(F.lower("header").alias("header"), "provider").join(claims.where("n > 1"), "header")
-    handlers = evidenced.select("handler_id").distinct()
-    each = handlers.join(F.broadcast(claims.where("n > 1")), F.lit(True))  # one row for each shared header
-    known = evidenced.distinct().join(few(shared.select("header", "provider")), "provider").select("handler_id", "header", "provider")
-    none = each.join(known, ["handler_id", "header"], "left_anti").select("handler_id", "header", F.col("first").alias("provider"))
-    return known.unionByName(none)
+def owned_reads(reads: DataFrame, headers: DataFrame, evidenced: DataFrame) -> DataFrame:
+    """Of header reads (handler_id, header) the owners (handler_id, header, provider): of the providers that claim the
+    header those that evidence (handler_id, provider) names, else the first to declare it.
+
+    headers: (provider, ord, header). A read meets its header's claims only, never all handlers all claims.
+    """
+    claims = headers.groupBy(F.lower("header").alias("header"), "provider").agg(F.min("ord").alias("ord"))
+    each = reads.select("handler_id", F.lower("header").alias("header")).distinct().join(few(claims), "header")
+    known = evidenced.select("handler_id", "provider").distinct().withColumn("known", F.lit(True))
+    each = each.join(known, ["handler_id", "provider"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    owner = each.groupBy("handler_id", "header").agg(F.bool_or("known").alias("any"), F.min_by("provider", "ord").alias("first"))
+    both = each.join(owner, ["handler_id", "header"])
+    return both.where(F.when(F.col("any"), F.col("known")).otherwise(F.col("provider") == F.col("first"))).select("handler_id", "header", "provider")
 
 
 def packages(imports: DataFrame, sdk: DataFrame) -> DataFrame:
@@ -77,20 +80,25 @@ TRIES = ["", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".py", "/index.ts", "
 
 
 def resolve_modules(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """(from_file, to_module, to_file): relative modules by exact path with the usual endings, then any by path suffix."""
-    folder = F.regexp_replace("from_file", "/?[^/]*$", "")
+    """(from_file, to_module, to_file): relative modules by exact path with the usual endings, then any by path suffix.
+
+    Paths are resolved once for each distinct name, and of the files that end in a path only the smallest counts, before
+    anything joins: a name that very many files have, or import, is one row on either side.
+    """
     relative = F.startswith("to_module", F.lit("."))
-    joined = F.concat_ws("/", F.nullif(folder, F.lit("")), F.regexp_replace("to_module", r"^\./", ""))
-    up = F.regexp_replace(joined, r"(^|/)[^/.]+/\.\./", "$1")
-    base = F.when(relative, up).otherwise(F.translate(F.regexp_replace("to_module", "^@/", ""), ".", "/"))
+    base = F.when(relative, x.joined_path(x.dirname(F.col("from_file")), F.col("to_module"))).otherwise(F.translate(F.regexp_replace("to_module", "^@/", ""), ".", "/"))
     tries = F.posexplode(F.array(*map(F.lit, TRIES))).alias("try", "end")
-    asked = imports.select("from_file", "to_module", relative.alias("relative"), base.alias("base"), tries).withColumn("path", F.concat("base", "end"))
-    names = files.select(F.col("file_path").alias("to_file"))
-    exact = asked.join(names, F.col("path") == F.col("to_file")).withColumn("kind", F.lit(0))
-    tails = names.withColumn("tail", F.explode(_tails(F.col("to_file"))))
-    loose = asked.where("NOT relative").join(tails, F.col("path") == F.col("tail")).withColumn("kind", F.lit(1)).drop("tail")
-    w = Window.partitionBy("from_file", "to_module").orderBy("kind", "try", "to_file")
-    return exact.unionByName(loose).withColumn("n", F.row_number().over(w)).where("n = 1").select("from_file", "to_module", "to_file")
+    asked = imports.select("from_file", "to_module", relative.alias("relative"), base.alias("base")).distinct()
+    paths = asked.groupBy("base").agg(F.bool_and("relative").alias("relative")).select("base", "relative", tries)
+    paths = paths.withColumn("path", F.concat("base", "end"))
+    names = files.select(F.col("file_path").alias("to_file")).distinct()
+    exact = paths.join(names, F.col("path") == F.col("to_file")).groupBy("base").agg(F.min_by("to_file", "try").alias("exact"))
+    tails = names.select("to_file", F.explode(_tails(F.col("to_file"))).alias("tail")).groupBy("tail").agg(F.min("to_file").alias("to_file"))
+    loose = paths.where("NOT relative").join(tails, F.col("path") == F.col("tail")).groupBy("base").agg(F.min_by("to_file", "try").alias("loose"))
+    found = exact.join(loose, "base", "full")
+    hit = asked.join(found, "base")
+    to_file = F.coalesce("exact", F.when(~F.col("relative"), F.col("loose")))
+    return hit.select("from_file", "to_module", to_file.alias("to_file")).where("to_file IS NOT NULL")
 
 
 def _tails(path: Column) -> Column:
@@ -154,10 +162,12 @@ def deferred_to_queue(calls: DataFrame, consumers: DataFrame) -> DataFrame:
 
 
 def middleware_before(handlers: DataFrame, uses: DataFrame) -> DataFrame:
-    """(handler_id, name, position): a file's middleware above the handler in order, numbered from 0."""
+    """(handler_id, name, position, ...): a file's middleware above the handler in order, numbered from 0, with what else
+    ``uses`` (file_path, name, line, ...) says of it."""
     each = handlers.select("handler_id", "file_path", F.col("line").alias("at")).join(uses, "file_path").where("line < at")
     w = Window.partitionBy("handler_id").orderBy("line", "name")
-    return each.select("handler_id", "name", (F.row_number().over(w) - 1).alias("position"))
+    more = [c for c in uses.columns if c not in ("file_path", "name", "line")]
+    return each.select("handler_id", "name", (F.row_number().over(w) - 1).alias("position"), *more)
 
 
 def inside(inner: DataFrame, outer: DataFrame, size: int = 4096) -> DataFrame:
@@ -171,6 +181,68 @@ def inside(inner: DataFrame, outer: DataFrame, size: int = 4096) -> DataFrame:
     return left.join(right, ["file_path", "page"]).where("start >= lo AND end <= hi").drop("page")
 
 
-def outside(edits: DataFrame, masked: DataFrame) -> DataFrame:
-    """Edits (file_path, start, end) that touch none of the masked ranges (file_path, lo, hi)."""
-    return edits.join(masked, (edits["file_path"] == masked["file_path"]) & (edits["start"] < masked["hi"]) & (masked["lo"] < edits["end"]), "left_anti")
+def outside(edits: DataFrame, masked: DataFrame, size: int = 4096) -> DataFrame:
+    """Edits (file_path, start, end) that touch none of the masked ranges (file_path, lo, hi), by pages of offsets as `inside`."""
+    pages = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+    left = edits.select("file_path", "start", "end").distinct().withColumn("page", pages("start", "end"))
+    right = masked.where("hi >= lo").withColumn("page", pages("lo", "hi"))
+    hit = left.join(right, ["file_path", "page"]).where("start < hi AND lo < end").select("file_path", "start", "end").distinct()
+    return edits.join(hit, ["file_path", "start", "end"], "left_anti").select(*edits.columns)
+
+
+def with_references(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """Findings with their rule's references (rule_id, references); a rule that the pack lacks has none."""
+    out = findings.join(few(rules.select("rule_id", F.col("references").alias("refs"))), "rule_id", "left")
+    return out.withColumn("references", F.coalesce("refs", F.array().cast("array<string>"))).drop("refs")
+
+
+def stale(findings: DataFrame, inline: DataFrame, patterns: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(source, detail): suppressions that no finding needs, of all three sources.
+
+    inline: (file_path, line, comment_line, rule_ids), needed if a finding of any of its rules is on that line; patterns: as
+    for `ignored`, needed if any finding's path fits, negations left out; baseline: (rule_id, line_hash).
+    """
+    keys = findings.select("file_path", "line", F.col("rule_id").alias("rule")).distinct().withColumn("hit", F.lit(True))
+    each = inline.withColumn("rule", F.explode_outer("rule_ids")).join(keys, ["file_path", "line", "rule"], "left")
+    each = each.groupBy("file_path", "comment_line", "rule_ids").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit")).where("NOT hit")
+    comment = F.concat_ws(":", "file_path", F.col("comment_line").cast("string"), F.get("rule_ids", F.lit(0)))
+    used = findings.select("file_path").distinct().join(few(patterns), F.expr("file_path rlike regex")).select("ord").distinct()
+    unfit = patterns.where("NOT negated").join(used, "ord", "left_anti")
+    old = unused(baseline.select("rule_id", "line_hash").distinct(), findings, ["rule_id", "line_hash"])
+    source = lambda df, name, detail: df.select(F.lit(name).alias("source"), detail.alias("detail"))
+    parts = source(each, "inline", comment).unionByName(source(unfit, "ignore", F.col("pattern")))
+    return parts.unionByName(source(old, "baseline", F.concat_ws("|", "rule_id", "line_hash")))
+
+
+def drift_notes(findings: DataFrame, baseline: DataFrame) -> DataFrame:
+    """(rule_id, old_path, file_path), each once: known findings whose file has another path now."""
+    known = baseline.groupBy("rule_id", "line_hash").agg(F.max_by("file_path", "ord").alias("old_path"))
+    return findings.join(known, ["rule_id", "line_hash"]).where("old_path <> file_path").select("rule_id", "old_path", "file_path").distinct()
+
+
+def native_verify_calls(bodies: DataFrame, imports: DataFrame, calls: DataFrame, sdk: DataFrame) -> DataFrame:
+    """(handler_id, provider, call): verify calls in PHP and Go handlers, which have no dotted names to follow.
+
+    bodies: (handler_id, file_path, language, text); calls: (provider, call); sdk: (provider, package). PHP: the qualified
+    name is in the text, or its class is imported and `->method(` is. Go: a package of the provider is imported and an
+    exported function's `.Name(` is in the text, whatever the package's alias. Needles are a catalog's calls.
+    """
+    php = bodies.where("language = 'php'").join(few(calls.where(F.col("call").rlike(r"::|\\"))), _php_text("text", "call"))
+    owner, method = F.substring_index("call", "::", 1), F.substring_index("call", "::", -1)
+    own = imports.select("file_path", "to_module").distinct()
+    named = F.contains(F.col("text"), F.ltrim(F.col("call"), F.lit("\\")))
+    php = php.withColumns({"named": named, "owner": F.ltrim(owner, F.lit("\\")), "method": method})
+    imported = php.where("NOT named").join(own, "file_path").where((F.col("to_module") == F.col("owner")) | F.startswith("to_module", F.concat("owner", F.lit("\\"))))
+    found = php.where("named").select("handler_id", "provider", "call").unionByName(imported.select("handler_id", "provider", "call"))
+    package = F.col("package").rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+/")
+    gate = own.join(few(sdk.where(package)), F.startswith("to_module", "package")).select("file_path", "provider").distinct()
+    exported = calls.where(~F.col("call").rlike(r"::|\\")).withColumn("name", F.substring_index("call", ".", -1)).where(F.contains("call", F.lit(".")) & F.col("name").rlike("^[A-Z]"))
+    go = bodies.where("language = 'go'").join(gate, "file_path").join(few(exported), "provider").where(F.regexp_like(F.col("text"), F.concat(F.lit(r"\."), "name", F.lit(r"\s*\("))))
+    svix = bodies.where("language = 'go'").join(gate.where("provider = 'standardwebhooks'"), "file_path").where(F.col("text").rlike(r"\.Verify\s*\("))
+    return found.unionByName(go.select("handler_id", "provider", "call")).unionByName(svix.select("handler_id", "provider", F.lit("Verify").alias("call"))).distinct()
+
+
+def _php_text(text: str, call: str) -> Column:
+    """The text has the qualified name or, for a method, `->method(`."""
+    method = F.concat(F.lit("->"), F.substring_index(call, "::", -1), F.lit("("))
+    return F.contains(F.col(text), F.ltrim(F.col(call), F.lit("\\"))) | (F.contains(F.col(call), F.lit("::")) & F.contains(F.col(text), method))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from ..functions import scalars as x
 
@@ -75,15 +76,22 @@ def by_severity(findings: DataFrame) -> DataFrame:
 def without_overlap(edits: DataFrame) -> DataFrame:
     """(file_path, start, end, rule_id, kept): a file's edits in order of start; one that overlaps a kept one is dropped.
 
-    Two empty edits at one offset overlap. Greedy, so each file's edits are folded in order; a file has few.
+    Two empty edits at one offset overlap. Greedy, so a file's edits are taken in order: partitions are sorted and read as a
+    stream, which remembers where the last kept edit ends and where the last kept empty one is. No file is ever held whole.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("start", "end", "rule_id")))
-    none = F.expr("CAST(array() AS array<struct<start:long,end:long,rule_id:string,kept:boolean>>)")
-
-    def step(acc, e):
-        clash = F.exists(acc, lambda k: k["kept"] & (((e["start"] < k["end"]) & (k["start"] < e["end"])) | ((e["start"] == k["start"]) & (e["end"] == e["start"]) & (k["end"] == k["start"]))))
-        return F.concat(acc, F.array(F.struct(e["start"].alias("start"), e["end"].alias("end"), e["rule_id"].alias("rule_id"), (~clash).alias("kept"))))
-
-    folded = edits.select("file_path", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "rule_id")
-    folded = folded.groupBy("file_path").agg(F.aggregate(ordered, none, step).alias("e"))
-    return folded.select("file_path", F.explode("e").alias("e")).select("file_path", "e.*")
+    rows = edits.select("file_path", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "rule_id")
+    rows = rows.repartition("file_path").sortWithinPartitions("file_path", "start", "end", "rule_id")
+
+    def fold(batches):
+        file, until, bare, first = None, 0, 0, True
+        for batch in batches:
+            kept = []
+            for f, a, b in zip(batch["file_path"], batch["start"], batch["end"]):
+                if first or f != file:
+                    file, until, bare, first = f, -(2**63), -(2**63), False
+                kept.append(a >= until and not (a == b == bare))
+                if kept[-1]:
+                    until, bare = (until, a) if a == b else (b, bare)
+            yield batch.assign(kept=kept)
+
+    return rows.mapInPandas(fold, StructType([*rows.schema.fields, StructField("kept", BooleanType())]))

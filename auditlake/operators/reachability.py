@@ -16,7 +16,8 @@ from ..sources.tables import written
 def closure(seeds: DataFrame, edges: DataFrame, depth: int = 4, most: int = 1000) -> DataFrame:
     """(root, node, hops): what each root reaches in at most ``depth`` hops, its seeds (root, node, ord) at the first.
 
-    edges: (src, dst, ord). most: names kept for a root, nearest first (the contract of a bounded scan).
+    edges: (src, dst, ord). most: symbols kept for a root, nearest first (the contract of a bounded scan, which counts
+    qualified names: here each symbol, of a file, counts once under whatever names it is called).
     """
     first = Window.partitionBy("root", "node").orderBy("ord")
     hop = seeds.withColumn("n", F.row_number().over(first)).where("n = 1").select("root", "node", F.lit(1).alias("hops"), "ord")
@@ -37,7 +38,8 @@ def call_edges(calls: DataFrame, symbols: DataFrame, resolved: DataFrame) -> Dat
     """(src, dst, ord) between symbols, keyed `file#name`, of calls (file_path, caller, qualified_name, import_source, ord).
 
     A call of an imported name leads to the symbol of the file that its module resolves to, any other to a symbol of
-    the same file. The last definition of a name counts.
+    the same file. The last definition of a name counts. Symbols have no owners here, so a method call leads to the file's
+    symbol of that last part whatever its receiver: `a.b.check()` to `check`.
     """
     last = symbols.groupBy("file_path", "name").agg(F.max("start").alias("start")).select("file_path", "name")
     target = resolved.select(F.col("from_file").alias("file_path"), F.col("to_module").alias("import_source"), "to_file")
@@ -48,13 +50,18 @@ def call_edges(calls: DataFrame, symbols: DataFrame, resolved: DataFrame) -> Dat
     return hit.select(key("file_path", "caller").alias("src"), key("in_file", "callee").alias("dst"), "ord")
 
 
-def promoted(names: DataFrame, calls: DataFrame) -> DataFrame:
-    """(handler_id, name): helper names that count as verification: verify calls, `this.` and their last part, reachable
-    names that end with one, and the first parts of those."""
+def promoted(statements: DataFrame, names: DataFrame, calls: DataFrame) -> DataFrame:
+    """(handler_id, name) of the statements (handler_id, name) that count as verification: verify calls, `this.` and their
+    last part, whoever calls them; and for each handler its reachable names that end with a call, and their first parts.
+
+    names: (handler_id, qualified_name); calls: (call). The names that count for all are a table of their own beside the
+    handlers'; nothing pairs every handler with every call.
+    """
     from ..functions.scalars import dotted_suffixes
+    from .joins import few
 
-    matched = names.withColumn("call", F.explode(dotted_suffixes(F.col("qualified_name")))).join(calls, "call", "left_semi")
-    own = matched.select("handler_id", F.explode(F.array("qualified_name", F.substring_index("qualified_name", ".", 1))).alias("name"))
-    handlers = names.select("handler_id").distinct()
+    matched = names.withColumn("call", F.explode(dotted_suffixes(F.col("qualified_name")))).join(few(calls), "call", "left_semi")
+    own = matched.select("handler_id", F.explode(F.array("qualified_name", F.substring_index("qualified_name", ".", 1))).alias("name")).distinct()
     every = calls.select(F.explode(F.array("call", F.concat(F.lit("this."), F.substring_index("call", ".", -1)))).alias("name")).distinct()
-    return handlers.join(F.broadcast(every), F.lit(True)).unionByName(own).distinct()  # a catalog's calls
+    asked = statements.select("handler_id", "name").distinct()
+    return asked.join(few(every), "name", "left_semi").unionByName(asked.join(own, ["handler_id", "name"], "left_semi")).distinct()

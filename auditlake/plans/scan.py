@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import catalog as cat
 from ..functions import scalars as x
-from ..operators import aggregates, extract, joins, ordered, predicates, reachability
+from ..operators import aggregates, bodies, extract, joins, ordered, predicates, reachability
+from ..sources import packs, workflow
 from ..sources.tables import written
 
 BYTES = r"(?i)Buffer|Uint8Array|\braw\b|\bbytes\b|raw_?body|request\.get_data\(\)|request\.body|php://input|getContent\(\)|\w*req\w*\.(text|arrayBuffer)\(|ReadAll\(|GetRawData\("
@@ -20,55 +21,115 @@ class Scan:
     handlers: DataFrame  # handler_id, file_path, framework, route, method, line, end_line, provider
     evidence: DataFrame  # handler_id, kind, provider, detail
     reachable: DataFrame  # handler_id, qualified_name, import_source, hops
-    findings: DataFrame  # finding_id, rule_id, handler_id, file_path, line, severity, state, line_hash, suppressed, ...
+    findings: DataFrame  # finding_id, rule_id, handler_id, file_path, line, severity, state, line_hash, suppressed, references, ...
     files: DataFrame  # file_path, parsed
 
 
-def scan(files: DataFrame, providers: DataFrame | None = None, depth: int = 4, ignore: DataFrame | None = None, baseline: DataFrame | None = None) -> Scan:
-    """Scan (file_path, language, text). Suppressed findings stay, with their source."""
+def scan(
+    files: DataFrame,
+    providers: DataFrame | None = None,
+    depth: int = 4,
+    ignore: DataFrame | None = None,
+    baseline: DataFrame | None = None,
+    rules: DataFrame | None = None,
+    only: list[str] | None = None,
+    workflows: DataFrame | None = None,
+) -> Scan:
+    """Scan (file_path, language, text). Suppressed findings stay, with their source.
+
+    rules: a pack (`packs.rules`) that decides which classes apply to which frameworks, their severities, overrides by
+    path and references; without one all classes do. only: providers whose rules count. workflows: (file_path, text).
+    """
     spark = files.sparkSession
     providers = cat.catalog(spark) if providers is None else providers
+    if only:
+        packs.for_providers(providers, only, providers)
     errors = written(extract.parse_errors(files), "errors")
-    good = files.join(errors, "file_path", "left_anti")
-    rows = written(extract.lines(good), "lines")
-    imported = written(extract.imports(rows), "imports")
-    calls = joins.import_sources(extract.calls(rows), imported)
-    calls = written(calls, "calls")
+    raw = extract.lines(files.join(errors, "file_path", "left_anti"))
+    imported = written(extract.imports(raw), "imports")
     key = x.handler_id(F.col("file_path"), F.col("route"), F.array("method"), F.lit(None).cast("string"))
-    handlers = extract.routes(rows, imported).withColumn("handler_id", key).dropDuplicates(["handler_id"])
+    handlers = extract.routes(raw, imported).withColumn("handler_id", key).dropDuplicates(["handler_id"])
     handlers = written(handlers, "handlers")
+    rows = written(extract.placed(raw, handlers), "lines")  # each line with its handler: nothing joins lines by range
+    calls = written(joins.import_sources(extract.calls(rows), imported), "calls")
 
-    span = handlers.select("handler_id", "file_path", F.col("line").alias("lo"), F.col("end_line").alias("hi"))
-    inside = lambda df: df.join(span, "file_path").where("line BETWEEN lo AND hi")
-    body = inside(rows).groupBy("handler_id", "file_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda s: s["code"]), "\n").alias("text"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda s: s["code"])
+    body = rows.where("handler_id IS NOT NULL").groupBy("handler_id", "file_path").agg(F.first("language").alias("language"), F.array_join(lines, "\n").alias("text"))
     body = written(body, "bodies")
     evidence = _evidence(handlers, body, imported, providers)
-    reached = _reachable(inside(calls), calls, extract.symbols(rows), imported, files, depth)
-    reached = written(reached, "reachable")
+    own = calls.where("handler_id IS NOT NULL")
+    reached = written(_reachable(own, calls, extract.symbols(rows), imported, files, depth), "reachable")
     sdk = cat.dimension(providers, "packages", "package").select("provider", "package")
-    verified = joins.verify_calls(reached, cat.dimension(providers, "calls", "call").select("provider", "call"), sdk)
-    evidence = evidence.unionByName(verified.select("handler_id", F.lit("sdk_verify_call").alias("kind"), "provider", F.col("call").alias("detail")))
+    named = cat.dimension(providers, "calls", "call").select("provider", "call")
+    verified = joins.verify_calls(reached, named, sdk).unionByName(joins.native_verify_calls(body, imported, named, sdk))
+    early = _early(own, reached, named)
+    kinds = [(verified.distinct(), "sdk_verify_call", F.col("call")), (early.withColumn("provider", F.lit("unknown")), "side_effect_before_verify", F.col("ord").cast("string"))]
+    for df, kind, detail in kinds:
+        evidence = evidence.unionByName(df.select("handler_id", F.lit(kind).alias("kind"), "provider", detail.alias("detail")))
     evidence = written(evidence, "evidence")
     provider = aggregates.attributed(handlers, evidence)
-    handlers = aggregates.demoted(handlers.join(provider, "handler_id"), evidence)
-    handlers = written(handlers, "handlers")
-
-    table = providers.select("provider", "packages", "calls", "algorithm", "input_format")
-    verdicts = predicates.verdicts(predicates.features(handlers, reached, evidence, table))
-    found = verdicts.join(handlers.select("handler_id", "file_path", "line", "framework"), "handler_id")
-    code = rows.select("file_path", "line", "code")
-    found = found.join(code, ["file_path", "line"])
-    rule = F.concat_ws("/", "provider", "rule_class")
-    severity = F.coalesce(F.create_map(*[F.lit(v) for kv in cat.SEVERITY.items() for v in kv])[F.col("rule_class")], F.lit("high"))
-    found = found.select(rule.alias("rule_id"), "handler_id", "file_path", "line", severity.alias("severity"), "state", "code")
-    broken = errors.select(F.lit("engine/parse-error").alias("rule_id"), F.lit(None).cast("string").alias("handler_id"), "file_path", F.coalesce("line", F.lit(1)).alias("line"), F.lit("high").alias("severity"), F.lit("manual-review").alias("state"), F.col("message").alias("code"))
-    found = found.unionByName(broken)
+    handlers = written(aggregates.demoted(handlers.join(provider, "handler_id"), evidence), "handlers")
+
+    table = providers.select("provider", "packages", "calls", "algorithm", "input_format", "replay_seconds")
+    shown = bodies.flags(body.drop("file_path").join(handlers.select("handler_id", "provider"), "handler_id"), table.select("provider", "calls"))
+    chain = joins.middleware_before(handlers, extract.middleware(rows, imported))
+    verdicts = predicates.verdicts(predicates.features(handlers, reached, evidence, table, chain, shown))
+    verdicts = predicates.downgraded(verdicts, joins.deferred_to_queue(reached, _consumers(calls, named)))
+    found = verdicts.join(handlers.select("handler_id", "file_path", "line", "framework", "code"), "handler_id")
+    if workflows is not None:
+        handlers, found = _with_workflows(handlers, found, workflows)
+    found = found.where(F.col("provider").isin(*only)) if only else found
+    found = _by_rules(found.withColumn("rule_id", F.concat_ws("/", "provider", "rule_class")), rules)
+    broken = errors.select(F.lit("engine/parse-error").alias("rule_id"), "file_path", F.coalesce("line", F.lit(1)).alias("line"), F.lit("high").alias("severity"), F.lit("manual-review").alias("state"), F.col("message").alias("code"))
+    found = found.unionByName(broken, allowMissingColumns=True)
     hashed = x.line_hash(F.col("rule_id"), F.col("file_path"), F.lit("handler"), F.col("code"))
     found = found.withColumn("line_hash", hashed).withColumn("finding_id", x.finding_id(F.col("rule_id"), F.col("handler_id"), F.col("file_path"), F.col("line_hash")))
     found = found.withColumn("snippet", x.redacted(x.first_line(F.col("code")), ["whsec_", "sk_", "ghp_", "ghs_", "github_pat_"])).drop("code").withColumn("col", F.lit(1))
     found = _suppressed(found, rows, ignore, baseline)
     parsed = files.select("file_path").join(errors.select("file_path", F.lit(False).alias("p")), "file_path", "left").select("file_path", F.coalesce("p", F.lit(True)).alias("parsed"))
-    return Scan(handlers, evidence, reached, written(found, "findings"), parsed)
+    return Scan(handlers.drop("code"), evidence, reached, written(found, "findings"), parsed)
+
+
+def _by_rules(found: DataFrame, rules: DataFrame | None) -> DataFrame:
+    """Findings (rule_id, handler_id, file_path, line, severity, state, code, references) that a pack has rules for."""
+    columns = ["rule_id", "handler_id", "file_path", "line", "severity", "state", "code"]
+    none = F.array().cast("array<string>")
+    if rules is None:
+        severity = F.coalesce(F.create_map(*[F.lit(v) for kv in cat.SEVERITY.items() for v in kv])[F.col("rule_class")], F.lit("high"))
+        return found.withColumn("severity", severity).select(*columns, none.alias("references"))
+    pack = joins.few(rules.select("rule_id", "severity", "applies_to"))
+    fits = (F.size("applies_to") == 0) | F.array_contains("applies_to", F.when(F.col("framework") == "remix", "nextjs").otherwise(F.col("framework"))) | F.array_contains("applies_to", F.col("framework"))
+    kept = found.join(pack, "rule_id").where(F.coalesce(fits, F.lit(True))).select(*columns)
+    return joins.with_references(ordered.first_override(kept, packs.override_table(rules)), rules).select(*columns, "references")
+
+
+def _early(own: DataFrame, reached: DataFrame, named: DataFrame) -> DataFrame:
+    """(handler_id, ord): lines with a side effect before the first that verifies."""
+    spark = own.sparkSession
+    statements = own.select("handler_id", F.col("line").alias("ord"), F.col("qualified_name").alias("name"))
+    verify = reachability.promoted(statements, reached, named.select("call").distinct()).withColumn("verifies", F.lit(True))
+    sinks = spark.createDataFrame([(n, "side_effect") for n in cat.SIDE_EFFECTS], "name string, class string")
+    each = statements.join(verify, ["handler_id", "name"], "left")
+    classes = ordered.statement_class(each.withColumn("name", F.when(F.col("verifies"), "<verify>").otherwise(F.col("name"))), sinks.union(spark.sql("SELECT '<verify>', 'verification'")))
+    return ordered.before_verify(classes)
+
+
+def _consumers(calls: DataFrame, named: DataFrame) -> DataFrame:
+    """(qualified_name, verifies): calls that take from a queue, and whether their file calls something that verifies."""
+    verify = calls.withColumn("call", F.explode(x.dotted_suffixes(F.col("qualified_name")))).join(joins.few(named.select("call").distinct()), "call", "left_semi")
+    verify = verify.select("file_path", F.lit(True).alias("v")).distinct()
+    takes = calls.where(x.queue_call(F.col("qualified_name"))["role"] == "consume").select("file_path", "qualified_name").distinct()
+    return takes.join(verify, "file_path", "left").groupBy("qualified_name").agg(F.bool_or(F.coalesce("v", F.lit(False))).alias("verifies"))
+
+
+def _with_workflows(handlers: DataFrame, found: DataFrame, workflows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Webhook nodes as handlers, and as findings where anyone may call them."""
+    nodes = workflow.handlers(workflows)
+    key = x.handler_id(F.col("file_path"), F.col("route"), F.array("method"), F.col("node"))
+    nodes = nodes.select(key.alias("handler_id"), "file_path", F.lit("n8n").alias("framework"), "route", "method", F.lit(1).alias("line"), F.lit(1).alias("end_line"), F.col("node").alias("code"), F.lit("n8n").alias("provider"), "authentication")
+    nodes = written(nodes, "nodes")
+    free = nodes.where("authentication = 'none'").select("handler_id", "provider", F.lit("webhook-trigger-no-authentication").alias("rule_class"), F.lit(predicates.MISSING).alias("state"), "file_path", "line", "framework", "code")
+    return handlers.unionByName(nodes.drop("authentication")), found.unionByName(free)
 
 
 def _evidence(handlers: DataFrame, body: DataFrame, imported: DataFrame, providers: DataFrame) -> DataFrame:
@@ -82,11 +143,9 @@ def _evidence(handlers: DataFrame, body: DataFrame, imported: DataFrame, provide
     env = of(joins.contains(body, "text", dim("env", "needle"), "needle"), "env_var_match", F.col("needle"))
     literal = of(joins.contains(body, "text", dim("literals", "needle"), "needle"), "secret_literal", F.col("needle"))
     headers = dim("headers", "header")
-    named = paths.unionByName(sdk).unionByName(env).unionByName(literal)
-    reads = joins.header_reads(body, "text", headers).select("handler_id", "provider", F.lower("header").alias("header"))
-    owners = joins.header_owners(headers, named.select("handler_id", "provider")).withColumn("owner", F.lit(True))
-    shared = headers.groupBy(F.lower("header").alias("header")).agg((F.count("*") > 1).alias("shared"))
-    reads = reads.join(F.broadcast(shared), "header").join(owners, ["handler_id", "header", "provider"], "left").where("NOT shared OR owner")
+    named = written(paths.unionByName(sdk).unionByName(env).unionByName(literal), "evidence")
+    reads = joins.header_reads(body, "text", headers).select("handler_id", "header")
+    reads = joins.owned_reads(reads, headers, named)
     generic = F.col("header").isin(*cat.GENERIC_HEADERS)
     reads = of(reads.withColumn("provider", F.when(generic, "unknown").otherwise(F.col("provider"))), "signature_header_read", F.col("header"))
     raw = of(body.where(F.col("text").rlike(BYTES)).withColumn("provider", F.lit("unknown")), "body_as_bytes_or_buffer", F.lit("heuristic"))
@@ -98,6 +157,7 @@ def _reachable(own: DataFrame, calls: DataFrame, symbols: DataFrame, imported: D
     direct = own.select("handler_id", "qualified_name", "import_source", "ord", "file_path")
     modules = imported.select(F.col("file_path").alias("from_file"), "to_module").distinct()
     resolved = written(joins.resolve_modules(modules, files), "modules")
+    symbols = written(symbols, "symbols")
     edges = written(reachability.call_edges(calls, symbols, resolved), "edges")
     target = resolved.select(F.col("from_file").alias("file_path"), F.col("to_module").alias("import_source"), "to_file")
     first = direct.join(target, ["file_path", "import_source"], "left")

@@ -16,10 +16,9 @@ BASELINE = "rule_id string, line_hash string, file_path string, line int, severi
 def rules(spark: SparkSession, path: str, providers: DataFrame, known: list[str]) -> DataFrame:
     """A pack of JSON lines. Unknown providers or predicates, unknown severities and an empty pack are errors."""
     pack = spark.read.schema(RULES).option("mode", "FAILFAST").json(path)
-    names = spark.createDataFrame([(k,) for k in known], "predicate string")
     bad = (
-        pack.join(F.broadcast(providers.select("provider")), "provider", "left_anti")
-        .unionByName(pack.join(F.broadcast(names), "predicate", "left_anti"))
+        pack.join(providers.select("provider"), "provider", "left_anti")
+        .unionByName(pack.where(~F.coalesce(F.col("predicate").isin(*known), F.lit(False))))
         .unionByName(pack.where(x.severity_rank(F.col("severity")).isNull()))
         .select("rule_id")
         .distinct()
@@ -32,6 +31,35 @@ def rules(spark: SparkSession, path: str, providers: DataFrame, known: list[str]
     return pack
 
 
+def for_providers(rules: DataFrame, wanted: list[str], providers: DataFrame) -> DataFrame:
+    """The rules of some providers; a name that the catalog lacks is an error."""
+    known = {r[0] for r in providers.select("provider").distinct().toLocalIterator()}  # a catalog's names
+    if unknown := set(wanted) - known:
+        raise ValueError(f"unknown providers: {sorted(unknown)}")
+    return rules.where(F.col("provider").isin(*wanted))
+
+
+def override_table(rules: DataFrame) -> DataFrame:
+    """(rule_id, ord, regex, severity) of a pack's overrides by path, in their order."""
+    rows = rules.where("size(overrides) > 0").select("rule_id", "overrides").toLocalIterator()  # of a pack
+    flat = [(r["rule_id"], i, x.glob_regex(p), o["severity"]) for r in rows for i, (o, p) in enumerate((o, p) for o in r["overrides"] for p in o["patterns"])]
+    return rules.sparkSession.createDataFrame(flat, "rule_id string, ord int, regex string, severity string")
+
+
+def content_hash(rules: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
+    """(by..., content_hash): SHA-256 of a pack's rules as canonical JSON, in the order of their ids.
+
+    fields: scalar columns, in any order; keys are sorted, nulls are `null`. A pack is small; what is hashed for one group
+    is its rules.
+    """
+    value = lambda c: F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("{}"))
+    bare = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.regexp_extract(value(c), r'(?s)^\{"v":(.*)\}$', 1))
+    parts = [F.concat(F.lit(f'"{c}":'), bare(c)) for c in sorted(fields)]
+    each = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rule_id", each.alias("json")))), lambda s: s["json"])
+    return rules.groupBy(*by).agg(F.sha2(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")), 256).alias("content_hash"))
+
+
 def read_baseline(spark: SparkSession, path: str) -> DataFrame | None:
     """None where there is none; a malformed one is an error."""
     jvm_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -18,7 +18,7 @@ def arriving(spark: SparkSession, root: str) -> DataFrame:
     """A stream of (file_path, language, text)."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", "^.*?" + root.rstrip("/").removeprefix("file://").replace(".", r"\.") + "/", "")
+    path = source._relative("path", root)
     found = found.where(F.col("length") <= source.MOST_BYTES).withColumn("file_path", path).where(source.status(path, F.col("length")) == "ok")
     return found.select("file_path", source.language(F.col("file_path")).alias("language"), F.col("content").cast("string").alias("text"))
 
