@@ -5,7 +5,9 @@ trigrams that any query names, the postings (trigram, document). Postings are in
 by counting a clause's trigrams per document; only documents that satisfy a clause are verified with
 the rule's expression. A rule without mandatory trigrams (runs of hexadecimal digits) scans all texts.
 
-Every posting of one trigram never meets in one task: intersection groups by document.
+Every posting of one trigram never meets in one task: intersection groups by document. Texts stay where they are:
+the candidates, a few numbers each, are written and counted, and go to the texts; only above `common.BROADCAST_ROWS` of
+them are they joined by shuffling.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import trigrams
-from .common import documents, on_row, row_keyed
+from .common import beside, documents, materialize, on_row, row_keyed
 
 
 @dataclass(frozen=True)
@@ -100,7 +102,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     no spans. Equal rows get equal results; an empty table gives none; other columns are ignored.
     """
     rows = row_keyed(documents(docs))
-    found = on_row(rows, candidates(postings(rows, rules), rules))
+    found = on_row(rows, beside(materialize(candidates(postings(rows, rules), rules), "candidates")))
     none = F.expr("CAST(array() AS array<struct<start:long,rank:int,end:long>>)")
     each = []
     for rank, rule in enumerate(rules):
