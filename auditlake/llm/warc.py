@@ -7,7 +7,9 @@ says. Candidates that lead to their neighbour form runs; pointer jumping over th
 the file, keeps those that the chain reaches. A magic inside a payload is not on the chain; the payload is
 put together again from its segments.
 
-Built-in functions only. Whole payloads shuffle only where one holds the magic.
+An archive of one huge file is no hot spot: offsets, runs and owners are found in each block of a file by itself,
+and what a block hands on to the next is one row. Built-in functions only. Whole payloads shuffle only where one
+holds the magic.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, materialize
+from .common import beside, fresh_path, materialize
 
 MAGIC = "WARC/1.1\r\n"
 BLANK = "\r\n\r\n"
@@ -108,10 +110,10 @@ FIELDS = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payloa
 
 
 def _reached(found: DataFrame) -> DataFrame:
-    """Of candidates (file, at, next): those on the chain from offset 0."""
-    order = Window.partitionBy("file").orderBy("at")
-    found = found.withColumn("new", (F.lag("next").over(order) != F.col("at")).cast("int"))
-    found = materialize(found.select("file", "at", "next", F.coalesce(F.sum("new").over(order), F.lit(0)).alias("run")), "candidates")
+    """Of candidates (file, block, at, next): those on the chain from offset 0. A run stays in its block; its first offset names it."""
+    order = Window.partitionBy("file", "block").orderBy("at")
+    found = found.withColumn("first", F.when(F.coalesce(F.lag("next").over(order) != F.col("at"), F.lit(True)), F.col("at")))
+    found = materialize(found.select("file", "at", "next", F.last("first", True).over(order).alias("run")), "candidates")
     runs = found.groupBy("file", "run").agg(F.min("at").alias("first"), F.max_by("next", "at").alias("exit"))
     jump = runs.select("file", "run", F.col("exit").alias("to_at")).join(found.select("file", F.col("at").alias("to_at"), F.col("run").alias("to")), ["file", "to_at"])
     jump = materialize(jump.select("file", "run", "to", "to_at"), "jumps")
@@ -138,19 +140,27 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = False) ->
     seg = _segments(spark, path).withColumns({"size": F.octet_length("value").cast("long"), "h": F.xxhash64("value")})
     seg = _parsed(seg, keep_payload)
     seg = materialize(seg, "segments")
-    order = Window.partitionBy("file").orderBy("block", "mid")
-    before = F.sum(F.col("size") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    seg = seg.withColumn("at", before - len(MAGIC)).where("at IS NOT NULL").withColumn("next", F.col("at") + len(MAGIC) + F.col("used"))
-    reached = _reached(seg.where("used IS NOT NULL").select("file", "at", "next")).select("file", "at", F.lit(True).alias("real"))
+    blocks, own = Window.partitionBy("file").orderBy("block"), Window.partitionBy("file", "block").orderBy("mid")
+    sizes = seg.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("bytes"))
+    sizes = sizes.withColumn("base", F.coalesce(F.sum("bytes").over(blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    before = F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seg = seg.join(sizes.select("file", "block", "base"), ["file", "block"]).withColumn("at", F.col("base") + before - len(MAGIC))
+    seg = seg.where("at >= 0").withColumn("next", F.col("at") + len(MAGIC) + F.col("used"))  # the first segment is what precedes all magics
+    reached = _reached(seg.where("used IS NOT NULL").select("file", "block", "at", "next")).select("file", "at", F.lit(True).alias("real"))
     seg = seg.join(reached, ["file", "at"], "left")
     whole = seg.where("real AND used = size").select(*fields)
-    owner = Window.partitionBy("file").orderBy("at")
-    owned = seg.withColumn("owner", F.last(F.when(F.col("real"), F.struct("at", "next", (F.col("used") != F.col("size")).alias("torn"))), True).over(owner))
+    seg = seg.withColumn("record", F.when(F.col("real"), F.struct("at", "next", (F.col("used") != F.col("size")).alias("torn"))))
+    carried = seg.groupBy("file", "block").agg(F.max("record").alias("record"))
+    carried = carried.select("file", "block", F.last("record", True).over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    owner = F.last("record", True).over(Window.partitionBy("file", "block").orderBy("at"))
+    owned = seg.withColumn("owner", owner).join(carried, ["file", "block"]).withColumn("owner", F.coalesce("owner", "carried"))
     parts = owned.where("owner.torn AND at < owner.next").select("file", "block", "h", "size", "at", F.col("owner.at").alias("owner"))
     parts = materialize(parts, "parts")
     if parts.isEmpty():
         return whole
-    text = _segments(spark, path).select("file", "block", F.xxhash64("value").alias("h"), F.octet_length("value").cast("long").alias("size"), "value").distinct()
+    text = _segments(spark, path).select("file", "block", F.xxhash64("value").alias("h"), F.octet_length("value").cast("long").alias("size"), "value")
+    asked = materialize(parts.select("file", "block", "h", "size").distinct(), "asked")
+    text = text.join(beside(asked), ["file", "block", "h", "size"], "left_semi").distinct()  # only texts of torn records shuffle
     text = text.join(parts, ["file", "block", "h", "size"]).groupBy("file", "owner")
     joined = text.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda x: x["value"]), MAGIC).alias("value"))
     return whole.unionByName(_parsed(joined, keep_payload).select(*fields))
