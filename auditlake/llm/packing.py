@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import prepare, documents, materialize
+from .common import documents, map_batches, materialize
 
 END = "<|endoftext|>"
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 1_000, 50_000  # rows of a hash bucket: four times the root of all, within these
 
 
 class Encoder:
@@ -66,7 +66,6 @@ class Encoder:
 def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, encoder: Encoder | None = None, ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]): documents' ids with ``end_id`` after them, cut where longer
     than ``capacity`` so that only the first piece may be shorter."""
-    prepare(docs.sparkSession)
     encode = encoder or Encoder()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * ids
     ints = pa.list_(pa.int32())
@@ -87,7 +86,7 @@ def pieces(docs: DataFrame, capacity: int = 1024, end_id: int = 2, encoder: Enco
             n = 6 if ids else 5
             yield pa.record_batch([pa.array(c, k) for c, k in list(zip(cols, kinds))[:n]], names[:n])
 
-    return documents(docs).mapInArrow(task, schema)
+    return map_batches(documents(docs), task, schema)
 
 
 Run = tuple[int, int, int, int, int, int]
@@ -149,7 +148,8 @@ def pack(docs: DataFrame, capacity: int = 1024, end_id: int = 2, encoder: Encode
     runs = plan(counts, capacity)
     kind = "length long, low long, n long, each long, bin long, at long"
     placed = spark.createDataFrame(runs, kind)  # at most a few runs for each length
-    buckets = max(1, -(-sum(counts.values()) // BUCKET_ROWS))
+    total = sum(counts.values())
+    buckets = max(1, round(total / np.clip(4 * total**0.5, *BUCKET_ROWS)))
     cut = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
     before = (
         cut.groupBy("length", "bucket")

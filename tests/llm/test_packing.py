@@ -78,3 +78,10 @@ def test_fast_ids_are_the_files_ids():
     texts = ["", " ", "a" * 3000, " " * 5000 + "x", "it's 12'LL  \n\n é日本 <|endoftext|> end", "  x", "\r\n\t  y "]
     texts += ["".join(rng.choice("ab é日\n\t .'0<|>S~́") for _ in range(300)) for _ in range(50)]
     assert [encode(t) for t in texts] == [encode._exact(t) for t in texts]
+
+
+def test_both_encoders_agree_on_a_whole_table(spark):
+    encode = packing.Encoder()
+    texts = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    odd = [" " * 700, "a" * 3000, "\n" * 600 + "x", "é" * 2500, "<|endoftext|>", "x <|endoftext|> y", "\u200b", "0" * 2100]
+    assert all(encode(t) == encode._exact(t) for t in texts + odd)
