@@ -1,11 +1,14 @@
 """Embedding near-dedup with a product-quantised inverted index.
 
 Unit vectors are dealt to coarse cells; what is left after the cell's centre is coded by subspace. The
-centres and codebooks are fitted on a bounded sample, every vector is indexed. A query probes each cell that
-can hold a vector within the radius: the cell must not lie beyond the bisector of its centre and the query's
-own by more than the radius, so probes are sufficient by geometry and not by count. In a cell, table
-look-ups give asymmetric distances; they err by at most the code's own reconstruction error, which the index
-stores, so no link is lost there either. Survivors are ranked again by exact cosine in double precision.
+centres and codebooks are fitted on a bounded sample, every vector is indexed. A query probes each cell whose
+bisector with the query's own cell is within reach, so their number follows from geometry and not from a count. A
+neighbour at the radius is on the far side of a bisector only if its offset points there; offsets spread over the
+residuals' effective dimensions, so the reach is SPREAD standard deviations of one component, or the whole radius
+where that is less (up to 16 dimensions: no link can be lost). In a cell, table look-ups give asymmetric distances;
+they err by at most the code's own reconstruction error, which the index stores, so no link is lost there. Survivors
+are ranked again by exact cosine in double precision. With as many cells as the root of the vectors, the share
+of cells that a query probes falls as the table grows.
 
 Identical vectors are one entry with a count. A cell with very many entries is cut into blocks of queries
 times blocks of entries, so that no task holds it whole; a task emits counts and a spanning forest, never
@@ -25,6 +28,8 @@ from .common import hash128, materialize, prepare
 from .components import components
 
 BLOCK = 4096
+SPREAD = 4.0
+MOST_CELLS = 4096
 
 
 @dataclass
@@ -34,6 +39,7 @@ class Index:
     centres: np.ndarray
     books: list[np.ndarray]
     cuts: list[int]
+    dims: float  # effective dimensions of the residuals
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cell, codes and reconstruction error of unit vectors."""
@@ -43,12 +49,15 @@ class Index:
         back = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], 1)
         return cell, codes, np.sqrt(((rest - back) ** 2).sum(1))
 
+    def reach(self, radius: float) -> float:
+        return radius * min(1.0, SPREAD / np.sqrt(self.dims))
+
     def probes(self, x: np.ndarray, radius: float) -> np.ndarray:
-        """Boolean, by vector and cell: whether the cell can hold a vector within the radius."""
+        """Boolean, by vector and cell: whether the cell is within reach for vectors within the radius."""
         d = _squares(x, self.centres)
         own = d.argmin(1)
         apart = np.sqrt(np.maximum(_squares(self.centres, self.centres), 0))[own]
-        return d - d[np.arange(len(x)), own][:, None] <= 2 * radius * apart + 1e-9
+        return d - d[np.arange(len(x)), own][:, None] <= 2 * self.reach(radius) * apart + 1e-9
 
 
 def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -56,7 +65,7 @@ def _squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _nearest(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return _squares(x, y).argmin(1)
+    return np.concatenate([_squares(x[i : i + 2048], y).argmin(1) for i in range(0, len(x), 2048)])
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -77,7 +86,9 @@ def fit(sample: np.ndarray, cells: int, subspaces: int = 8, codewords: int = 64,
     centres = _means(sample, cells, rng)
     rest = sample - centres[_nearest(sample, centres)]
     cuts = np.linspace(0, dim, min(subspaces, dim) + 1).astype(int).tolist()
-    return Index(centres, [_means(rest[:, a:b], min(codewords, 256), rng) for a, b in zip(cuts, cuts[1:])], cuts)
+    spectrum = np.linalg.eigvalsh(np.atleast_2d(np.cov(rest.T, bias=True)))
+    dims = float(spectrum.sum() ** 2 / np.maximum((spectrum**2).sum(), 1e-300)) if len(rest) > dim else 1.0
+    return Index(centres, [_means(rest[:, a:b], min(codewords, 256), rng) for a, b in zip(cuts, cuts[1:])], cuts, max(dims, 1.0))
 
 
 def _unit(col) -> np.ndarray:
@@ -144,11 +155,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample: int = 20_00
     Rows link when their labels are equal and not null and their cosine is ``least`` or more. Vectors that
     are null or zero, or hold null or non-finite components, and rows without a vec_id link with nothing, nor do
     vectors of unlike length. Repeated rows are vectors of their own that link with each other. sample: at most
-    about so many distinct vectors fit the index. An empty table gives no rows; other columns are ignored.
+    about so many distinct vectors fit the index, whatever their labels. An empty table gives no rows; other columns
+    are ignored. Links that cross a bisector by more than the reach can be lost (module docstring): none were in the
+    tests' brute-force comparisons.
     """
     spark = vectors.sparkSession
     prepare(spark)
-    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("v"))
+    number = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # floats travel as floats
+    rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{number}>").alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("v", fine) & F.exists("v", lambda x: x != 0), F.lit(False))
     h1, h2 = hash128(F.col("label"), F.col("v"))
@@ -162,8 +176,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample: int = 20_00
         step = -(-count // sample)
         fitted = own.where(F.pmod("h1", F.lit(step)) == 0).select("v").limit(2 * sample).toPandas()["v"]
         fitted = fitted if len(fitted) else own.select("v").limit(1).toPandas()["v"]
-        index = fit(_unit(fitted), max(1, min(4096, round(count**0.5 / 4))), seed=seed)
-        found = materialize(_linked(own, index, least, radius), "links")
+        index = fit(_unit(fitted), max(1, min(MOST_CELLS, round(count**0.5))), seed=seed)
+        found = materialize(_linked(own, index, least, radius, number), "links")
         edges = found.select("a", "b") if edges is None else edges.union(found.select("a", "b"))
         links = found if links is None else links.union(found)
     if edges is None:
@@ -182,11 +196,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample: int = 20_00
     )
 
 
-def _linked(own: DataFrame, index: Index, least: float, radius: float) -> DataFrame:
+def _linked(own: DataFrame, index: Index, least: float, radius: float, number: str) -> DataFrame:
     """(a, b, links): spanning edges of the linked vectors; links adds up over the rows of one a."""
     spark = own.sparkSession
-    sent = spark.sparkContext.broadcast((index.centres, index.books, index.cuts))  # at most 4096 centres
-    schema = "id long, n long, label string, v array<double>, role int, cell int, code binary, err double"
+    sent = spark.sparkContext.broadcast((index.centres, index.books, index.cuts, index.dims))  # at most MOST_CELLS centres
+    schema = f"id long, n long, label string, v array<{number}>, role int, cell int, code binary, err double"
 
     def deal(batches):
         at = Index(*sent.value)

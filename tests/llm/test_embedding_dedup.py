@@ -54,3 +54,35 @@ def test_probes_are_sufficient():
     cell, codes, err = index.encode(y)
     near = (x * y).sum(1) >= 0.98
     assert near.sum() > 500 and index.probes(x, 0.2)[np.arange(len(x)), cell][near].all()
+
+
+def unit(x):
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_probes_fall_with_the_table_and_keep_recall():
+    """Isotropic vectors are the worst case; neighbours lie at the radius, where they cross most."""
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (2000, 8000, 32000):
+        x = unit(rng.normal(size=(n, 64)))
+        index = e.fit(x[:8000], round(n**0.5))
+        asked = x[:1500]
+        off = rng.normal(size=asked.shape)
+        near = unit(asked + 0.2 * unit(off - (off * asked).sum(1, keepdims=True) * asked))
+        hit = index.probes(asked, 0.2)
+        assert hit[np.arange(len(asked)), e._nearest(near, index.centres)].mean() >= 0.999
+        shares.append(hit.mean())
+    assert shares[0] > shares[1] > shares[2] and shares[2] < 0.06
+
+
+def test_recall_in_many_dimensions(spark):
+    rng = np.random.default_rng(6)
+    base = unit(rng.normal(size=(700, 48)))
+    near = unit(base + rng.uniform(0.05, 0.22, size=(700, 1)) * unit(rng.normal(size=base.shape)))
+    x = np.concatenate([base, near]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r["vec_id"]: r["n_links"] for r in e.near_duplicates(df).collect()}
+    y = unit(x.astype(float))
+    want = (y @ y.T >= 0.98).sum(1) - 1
+    assert want.sum() > 900 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
