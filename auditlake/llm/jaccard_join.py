@@ -308,8 +308,8 @@ def _may_link(hits: DataFrame, group: DataFrame, sets: DataFrame, p: int, q: int
     zero = F.lit(0).cast("long")
     one = small.select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("g"), zero.alias("bi"), zero.alias("bj"), "key", F.lit(0).alias("side"), "id", "own")
     large = members.where(F.col("c") > BLOCK)
-    big = large.groupBy("key", "own").agg(F.count("*").alias("c2"))
-    large = large.join(big, ["key", "own"])
+    big = large.groupBy("key", "own").agg(F.count("*").alias("c2")).where(F.col("c2") > BLOCK)
+    large = large.join(beside(materialize(big, "big")), ["key", "own"], "left")
     # a component larger than a block has blocks of its own; pairs of those need no look
     cut = F.when(F.col("c2") > BLOCK, F.xxhash64("own", F.pmod(F.xxhash64("id"), F.ceil(F.col("c2") / BLOCK)))).otherwise(F.pmod(F.xxhash64("own"), F.ceil(F.col("c") / BLOCK)))
     large = large.select("key", "id", "own", cut.alias("block"), F.when(F.col("c2") > BLOCK, F.col("own")).alias("whole"))

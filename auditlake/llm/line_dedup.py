@@ -89,7 +89,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 2, min_chars: int = 10) -> Data
     rows = row_keyed(documents(docs, more=more))
     found = _dedup(docs, rows, min_docs, min_chars)
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.char_length("kept").cast("long")}
-    return found.select(*[new.get(c, F.col("more")[c] if c in more else None).alias(c) for c in docs.columns])
+    return found.select(*[(new[f.name].cast(f.dataType) if f.name in new else F.col("more")[f.name]).alias(f.name) for f in docs.schema])
 
 
 ORACLE_SQL = """

@@ -193,7 +193,9 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def task(batches):
         for batch in batches:
-            score = model.score([t or "" for t in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array(score >= THRESHOLD))
+            score = model.score([t or "" for t in batch.column(at).to_pylist()])
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(score >= THRESHOLD)).columns, names)
 
-    return map_batches(docs, task, docs.schema)
+    names, at = docs.columns, docs.columns.index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # Spark would take a name with a dot for a field
+    return map_batches(plain, task, docs.schema)
