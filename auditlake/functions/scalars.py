@@ -174,9 +174,10 @@ def redacted(text: Column, prefixes: list[str]) -> Column:
     """Quoted strings by their length, or as secrets where they begin with a prefix; then numbers."""
     secret = "|".join(map(re.escape, prefixes)) or r"(?!)"
     parts = F.transform(
-        F.regexp_extract_all(text, F.lit(r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|[^"'\w$]+|.)"""), F.lit(1)),
+        F.regexp_extract_all(text, F.lit(r"""("(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|[^"'`\w$]+|.)"""), F.lit(1)),
         lambda p: F.when(p.rlike(rf"""^["']({secret})"""), "<SECRET_LITERAL>")
         .when(p.rlike(r"""^(["']).*\1$""") & (F.length(p) > 1), F.concat(F.lit("<STRING:"), (F.length(p) - 2).cast("string"), F.lit(">")))
+        .when(F.startswith(p, F.lit("`")) & (F.length(p) > 1), "<TEMPLATE>")
         .when(p.rlike(r"^\d"), "<NUMBER>")
         .otherwise(p),
     )

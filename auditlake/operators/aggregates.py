@@ -66,6 +66,13 @@ def summary(findings: DataFrame) -> DataFrame:
     )
 
 
+def verdict_summary(findings: DataFrame) -> DataFrame:
+    """One row in four buckets: live findings by verdict, and parse errors beside them."""
+    parse, live = F.col("rule_id") == "engine/parse-error", ~F.col("suppressed")
+    each = [F.count_if(live & ~parse & (F.col("state") == v)).alias(v.replace("-", "_")) for v in x.VERDICTS]
+    return findings.agg(*each, F.count_if(live & parse).alias("parse_errors"))
+
+
 def gates(threshold: str) -> Column:
     """Whether a finding counts at a threshold: verified never, a manual review at low and info only, parse errors by severity."""
     weak = (F.col("state") == "manual-review") & F.lit(threshold not in ("low", "info"))

@@ -227,6 +227,7 @@ def native_verify_calls(bodies: DataFrame, imports: DataFrame, calls: DataFrame,
     name is in the text, or its class is imported and `->method(` is. Go: a package of the provider is imported and an
     exported function's `.Name(` is in the text, whatever the package's alias. Needles are a catalog's calls.
     """
+    bodies = bodies.select("handler_id", "file_path", "language", "text")
     php = bodies.where("language = 'php'").join(few(calls.where(F.col("call").rlike(r"::|\\"))), _php_text("text", "call"))
     owner, method = F.substring_index("call", "::", 1), F.substring_index("call", "::", -1)
     own = imports.select("file_path", "to_module").distinct()

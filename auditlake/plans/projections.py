@@ -259,16 +259,17 @@ def header_reads(spark, d):
     return joins.header_reads(c, "text", spark.sql(HEADERS)).select("conv_id", "turn", "provider", "header")
 
 
-@query(f"""WITH h AS ({HEADERS}), e AS (SELECT DISTINCT event_id // 4 AS handler_id, CASE event_type WHEN 'view' THEN 'a' WHEN 'click' THEN 'b' WHEN 'error' THEN 'c' ELSE 'z' END AS provider FROM events),
-s AS (SELECT lower(header) AS header, min_by(provider, ord) AS first FROM h GROUP BY ALL HAVING count(*) > 1),
-k AS (SELECT DISTINCT handler_id, lower(header) AS header, provider FROM e JOIN h USING (provider) WHERE lower(header) IN (SELECT header FROM s)),
-a AS (SELECT DISTINCT handler_id, header, first FROM e, s)
-SELECT * FROM k UNION ALL SELECT handler_id, header, first FROM a WHERE (handler_id, header) NOT IN (SELECT handler_id, header FROM k)""")
+@query(f"""WITH h AS ({HEADERS}), c AS (SELECT lower(header) AS header, provider, min(ord) AS ord FROM h GROUP BY ALL),
+e AS (SELECT DISTINCT event_id // 4 AS handler_id, CASE event_type WHEN 'view' THEN 'a' WHEN 'click' THEN 'b' WHEN 'error' THEN 'c' ELSE 'z' END AS provider FROM events),
+r AS (SELECT DISTINCT event_id // 4 AS handler_id, ['x-hub-sig', 'x-own', 'x-shared', 'x-none'][1 + (event_id + user_id) % 4] AS header FROM events),
+k AS (SELECT r.handler_id, header, c.provider, ord, e.provider IS NOT NULL AS known FROM r JOIN c USING (header) LEFT JOIN e ON e.handler_id = r.handler_id AND e.provider = c.provider)
+SELECT handler_id, header, provider FROM (SELECT *, bool_or(known) OVER w AS anyone, min(ord) OVER w AS least FROM k WINDOW w AS (PARTITION BY handler_id, header)) WHERE CASE WHEN anyone THEN known ELSE ord = least END""")
 def header_owner(spark, d):
     kind = F.col("event_type")
     p = F.when(kind == "view", "a").when(kind == "click", "b").when(kind == "error", "c").otherwise("z")
-    e = table(spark, d, "events").select(F.expr("event_id div 4").alias("handler_id"), p.alias("provider"))
-    return joins.header_owners(spark.sql(HEADERS), e)
+    e = table(spark, d, "events").select("event_id", "user_id", F.expr("event_id div 4").alias("handler_id"), p.alias("provider"))
+    reads = e.select("handler_id", F.expr("element_at(array('X-Hub-Sig', 'x-own', 'X-Shared', 'x-none'), cast(1 + (event_id + user_id) % 4 as int))").alias("header"))
+    return joins.owned_reads(reads, spark.sql(HEADERS), e)
 
 
 SDK = r"SELECT * FROM (VALUES ('stripe', 'stripe'), ('stripe', 'Stripe\\'), ('github', 'github.com/google/go-github'), ('github', '@octokit/webhooks')) AS t(provider, package)"
@@ -305,11 +306,21 @@ def call_import_source(spark, d):
     return joins.import_sources(calls, i).select("l_orderkey", "l_linenumber", "import_source")
 
 
-@query("""SELECT * FROM (VALUES ('a/b/x.ts', './y', 'a/b/y.ts'), ('a/b/x.ts', '../z', 'a/z/index.ts'), ('a/b/x.ts', 'lib.util', 'src/lib/util.py'), ('q.py', './y', 'y.py')) AS t(from_file, to_module, to_file)""")
+FILES_ = """SELECT DISTINCT 'r' || (p_partkey % 20) || '/' || CASE p_partkey % 2 WHEN 0 THEN 'src' ELSE 'lib' END || '/m' || p_size || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '/index.ts' END AS file_path FROM part"""
+IMPORTS_ = """SELECT DISTINCT 'r' || (l_partkey % 25) || '/src/a' || (l_suppkey % 7) || '.ts' AS from_file,
+ CASE l_linenumber % 5 WHEN 0 THEN './m' WHEN 1 THEN '../lib/m' WHEN 2 THEN 'lib.m' WHEN 3 THEN '@/src/m' ELSE 'express' END || (l_partkey % 60) AS to_module FROM lineitem"""
+
+
+@query(f"""WITH f AS ({FILES_}), i AS ({IMPORTS_}),
+a AS (SELECT *, starts_with(to_module, '.') AS rel, CASE WHEN starts_with(to_module, './') THEN string_split(from_file, '/')[1] || '/src/' || substr(to_module, 3) WHEN starts_with(to_module, '../') THEN string_split(from_file, '/')[1] || '/' || substr(to_module, 4)
+ WHEN starts_with(to_module, '@/') THEN substr(to_module, 3) ELSE replace(to_module, '.', '/') END AS base FROM i),
+t AS (SELECT unnest(['', '.ts', '.tsx', '.js', '.jsx', '.mjs', '.cjs', '.py', '/index.ts', '/index.js', '/__init__.py']) AS e, unnest(range(11)) AS k),
+h AS (SELECT base, rel, file_path, row_number() OVER (PARTITION BY base, rel ORDER BY CASE WHEN file_path = base || e THEN 0 ELSE 1 END, k, file_path) AS n
+ FROM (SELECT DISTINCT base, rel FROM a), t, f WHERE file_path = base || e OR (NOT rel AND ends_with(file_path, '/' || base || e)))
+SELECT from_file, to_module, file_path AS to_file FROM a JOIN h USING (base, rel) WHERE n = 1""")
 def module_resolution(spark, d):
-    i = spark.sql("SELECT * FROM VALUES ('a/b/x.ts', './y'), ('a/b/x.ts', '../z'), ('a/b/x.ts', './none'), ('a/b/x.ts', 'lib.util'), ('q.py', './y'), ('a/b/x.ts', 'express') AS t(from_file, to_module)")
-    f = spark.sql("SELECT explode(array('a/b/x.ts', 'a/b/y.ts', 'a/b/y.js', 'a/z/index.ts', 'src/lib/util.py', 'vendor/lib/util.py', 'y.py', 'q.py')) AS file_path")
-    return joins.resolve_modules(i, f)
+    """Names that very many files have and import: relative, dotted and rooted imports."""
+    return joins.resolve_modules(rows(spark, d, IMPORTS_, "lineitem"), rows(spark, d, FILES_, "part"))
 
 
 RULES = "SELECT * FROM (VALUES ('all/one', ''), ('s/js', 'express,nextjs'), ('s/py', 'flask')) AS t(rule_id, applies)"
@@ -353,11 +364,11 @@ def queue_deferral(spark, d):
     return joins.deferred_to_queue(c, takes)
 
 
-@query("""WITH h AS (SELECT o_orderkey AS handler_id, o_custkey % 60 AS f, o_orderkey % 90 AS hl FROM orders), u AS (SELECT DISTINCT user_id % 60 AS f, event_type AS name, event_id % 90 AS line FROM events WHERE event_id < 900)
+@query("""WITH h AS (SELECT o_orderkey AS handler_id, o_custkey // 2 AS f, o_orderkey % 40 AS hl FROM orders), u AS (SELECT DISTINCT user_id // 2 AS f, event_type AS name, event_id % 40 AS line FROM events)
 SELECT handler_id, name, row_number() OVER (PARTITION BY handler_id ORDER BY line, name) - 1 AS position FROM h JOIN u USING (f) WHERE line < hl""")
 def middleware_before(spark, d):
-    h = table(spark, d, "orders").select(F.col("o_orderkey").alias("handler_id"), (F.col("o_custkey") % 60).alias("file_path"), (F.col("o_orderkey") % 90).alias("line"))
-    u = table(spark, d, "events").where("event_id < 900").select((F.col("user_id") % 60).alias("file_path"), F.col("event_type").alias("name"), (F.col("event_id") % 90).alias("line")).distinct()
+    h = table(spark, d, "orders").select(F.col("o_orderkey").alias("handler_id"), F.expr("o_custkey div 2").alias("file_path"), (F.col("o_orderkey") % 40).alias("line"))
+    u = table(spark, d, "events").select(F.expr("user_id div 2").alias("file_path"), F.col("event_type").alias("name"), (F.col("event_id") % 40).alias("line")).distinct()
     return joins.middleware_before(h, u)
 
 
@@ -395,13 +406,13 @@ def forbidden_ranges(spark, d):
 # ---- closure
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, (o_orderkey * 7) % 1500 AS dst FROM orders),
-r AS (SELECT s AS root, dst AS node, 1 AS hops FROM (SELECT unnest([1, 2, 3, 5, 8]) AS s) JOIN e ON src = s UNION SELECT root, dst, hops + 1 FROM r JOIN e ON src = node WHERE hops < 4)
-SELECT root::BIGINT AS root, node, min(hops)::INT AS hops FROM r GROUP BY root, node""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS src, o_custkey + o_orderkey % 5 AS dst FROM orders),
+r AS (SELECT src AS root, dst AS node, 1 AS hops FROM e UNION SELECT root, dst, hops + 1 FROM r JOIN e ON src = node WHERE hops < 4)
+SELECT root, node, min(hops)::INT AS hops FROM r GROUP BY root, node""")
 def call_closure(spark, d):
-    e = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), ((F.col("o_orderkey") * 7) % 1500).alias("dst"), F.col("o_orderkey").alias("ord"))
-    seeds = e.where("src IN (1, 2, 3, 5, 8)").select(F.col("src").alias("root"), F.col("dst").alias("node"), "ord")
-    return reachability.closure(seeds, e.groupBy("src", "dst").agg(F.min("ord").alias("ord")), 4, 10**9)
+    """From every root, over calls to near-by symbols; calls of a symbol to itself are among them."""
+    e = table(spark, d, "orders").select(F.col("o_custkey").alias("src"), (F.col("o_custkey") + F.col("o_orderkey") % 5).alias("dst"), F.col("o_orderkey").alias("ord"))
+    return reachability.closure(e.select(F.col("src").alias("root"), F.col("dst").alias("node"), "ord"), e.groupBy("src", "dst").agg(F.min("ord").alias("ord")), 4, 10**9)
 
 
 @query("""WITH RECURSIVE e AS (SELECT o_orderkey AS src, o_orderkey // 2 AS dst FROM orders UNION SELECT o_orderkey, o_custkey FROM orders),
@@ -414,12 +425,15 @@ def call_closure_all(spark, d):
     return reachability.closure(seeds, e.groupBy("src", "dst").agg(F.min("ord").alias("ord")), 4, 10**9)
 
 
-@query("""WITH q AS (SELECT p_partkey % 500 AS handler_id, 'lib.' || p_type AS q FROM part), h AS (SELECT DISTINCT handler_id FROM q), c AS (SELECT unnest(['PROMO', 'lib.SMALL']) AS call)
-SELECT handler_id, name FROM h, (SELECT call AS name FROM c UNION SELECT 'this.' || regexp_extract(call, '[^.]*$') FROM c)
-UNION SELECT handler_id, unnest([q, string_split(q, '.')[1]]) FROM q, c WHERE q = call OR ends_with(q, '.' || call)""")
+@query("""WITH q AS (SELECT p_partkey % 500 AS handler_id, 'lib.' || p_type AS q, [p_type, 'this.SMALL', 'lib', 'lib.' || p_type, 'PROMO'][1 + p_size % 5] AS name FROM part), c AS (SELECT unnest(['PROMO', 'lib.SMALL']) AS call),
+g AS (SELECT call AS name FROM c UNION SELECT 'this.' || regexp_extract(call, '[^.]*$') FROM c), o AS (SELECT handler_id, unnest([q, string_split(q, '.')[1]]) AS name FROM q, c WHERE q = call OR ends_with(q, '.' || call))
+SELECT DISTINCT handler_id, name FROM q WHERE name IN (SELECT name FROM g) OR (handler_id, name) IN (SELECT handler_id, name FROM o)""")
 def helper_promotion(spark, d):
-    n = table(spark, d, "part").select((F.col("p_partkey") % 500).alias("handler_id"), F.concat(F.lit("lib."), "p_type").alias("qualified_name"))
-    return reachability.promoted(n, spark.sql("SELECT explode(array('PROMO', 'lib.SMALL')) AS call"))
+    h, size = (F.col("p_partkey") % 500).alias("handler_id"), F.col("p_size") % 5
+    q = F.concat(F.lit("lib."), "p_type")
+    name = F.when(size == 0, F.col("p_type")).when(size == 1, "this.SMALL").when(size == 2, "lib").when(size == 3, q).otherwise("PROMO")
+    p = table(spark, d, "part")
+    return reachability.promoted(p.select(h, name.alias("name")), p.select(h, q.alias("qualified_name")), spark.sql("SELECT explode(array('PROMO', 'lib.SMALL')) AS call"))
 
 
 # ---- ordered
@@ -494,11 +508,16 @@ def redact_numbers(spark, d):
     return table(spark, d, "documents").select("doc_id", x.redacted_numbers(F.col("text")).alias("redacted"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS file_path, (event_id * 37) % 20000 AS start, (event_id * 37) % 20000 + event_id % 400 AS stop, event_id::VARCHAR AS rule_id FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY start, stop, rule_id) AS i FROM e),
+f AS (SELECT file_path, start, stop, rule_id, i, true AS kept, CASE WHEN stop > start THEN stop ELSE -1 END AS until, CASE WHEN stop = start THEN start ELSE -1 END AS bare FROM o WHERE i = 1
+ UNION ALL SELECT file_path, start, stop, rule_id, i, kept, CASE WHEN kept AND stop > start THEN stop ELSE until END, CASE WHEN kept AND stop = start THEN start ELSE bare END
+ FROM (SELECT o.*, f.until, f.bare, o.start >= f.until AND NOT (o.stop = o.start AND o.start = f.bare) AS kept FROM f JOIN o ON o.file_path = f.file_path AND o.i = f.i + 1))
+SELECT file_path, start, stop AS "end", rule_id, kept FROM f""")
 def edit_overlap(spark, d):
-    e = table(spark, d, "events").where("event_type = 'click'")
     at = (F.col("event_id") * 37) % 20000
-    return ordered.without_overlap(e.select(F.col("user_id").alias("file_path"), at.alias("start"), (at + F.col("event_id") % 400).alias("end"), F.col("event_id").cast("string").alias("rule_id")))
+    e = table(spark, d, "events").select(F.col("user_id").alias("file_path"), at.alias("start"), (at + F.col("event_id") % 400).alias("end"), F.col("event_id").cast("string").alias("rule_id"))
+    return ordered.without_overlap(e)
 
 
 # ---- scans, extraction and scalars
@@ -509,19 +528,23 @@ def link_extract(spark, d):
     return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("link"))
 
 
-@query("SELECT page_id, regexp_matches(lower(url), 'webhook|/hook|interaction|discord|/en/') AS hook FROM pages")
+TAILS = ["/WebHook/x", "/api/hook", "/shooks", "/Interactions", "/discord", "/plain"]
+
+
+@query(f"SELECT page_id, regexp_matches(lower(url || {TAILS}[1 + page_id % 6]), 'webhook|/hook|interaction|discord') AS hook FROM pages")
 def webhookish_paths(spark, d):
-    return table(spark, d, "pages").select("page_id", (x.webhookish(F.col("url")) | F.contains(F.lower("url"), F.lit("/en/"))).alias("hook"))
+    tail = F.element_at(F.array(*map(F.lit, TAILS)), (F.col("page_id") % 6 + 1).cast("int"))
+    return table(spark, d, "pages").select("page_id", x.webhookish(F.concat("url", tail)).alias("hook"))
 
 
-SAMPLES = """(VALUES (1, 'k = "whsec_abc123" # sk_live_zz', 'whsec_abc123'), (2, 'ghp_0123', 'ghp_0123'), (3, 'nothing', NULL), (4, 'sk_test_1 ghs_x', 'sk_test_1'))"""
+PREFIXES = ["whsec_", "sk_", "ghp_", "ghs_", "AKIA"]
 
 
-@query("""SELECT * FROM (VALUES (1, 'whsec_abc123', 'signing-secret'), (2, 'ghp_0123', 'github-token'), (3, NULL, 'unknown'), (4, 'sk_test_1', 'stripe-key')) AS t(id, credential, class)""")
+@query(f"""WITH c AS (SELECT doc_id, coalesce({", ".join(f"nullif(regexp_extract(text, '{p}[A-Za-z0-9+/=_-]+', 0), '')" for p in PREFIXES)}) AS credential FROM documents)
+SELECT doc_id, credential, CASE WHEN regexp_matches(credential, '^whsec_') THEN 'signing-secret' WHEN regexp_matches(credential, '^(rk_|sk_)') THEN 'stripe-key' WHEN regexp_matches(credential, '^(ghs_|ghp_)') THEN 'github-token' ELSE 'unknown' END AS class FROM c""")
 def credential_extract(spark, d):
-    s = spark.sql(f"SELECT * FROM {SAMPLES} AS t(id, text, want)")
-    c = x.credential(F.col("text"), ["whsec_", "sk_", "ghp_", "ghs_"])
-    return s.select("id", c.alias("credential"), F.coalesce(x.secret_class(c), F.lit("unknown")).alias("class"))
+    c = x.credential(F.col("text"), PREFIXES)
+    return table(spark, d, "documents").select("doc_id", c.alias("credential"), F.coalesce(x.secret_class(c), F.lit("unknown")).alias("class"))
 
 
 @query(f"WITH {F_} SELECT finding_id, CASE WHEN severity IN ('critical', 'high') THEN 'error' WHEN severity = 'medium' THEN 'warning' ELSE 'note' END AS level FROM f")
@@ -529,22 +552,34 @@ def sarif_level(spark, d):
     return findings(spark, d).select("finding_id", x.sarif_level(F.col("severity")).alias("level"))
 
 
-@query("""SELECT 'a=<STRING:5> + <NUMBER> + <SECRET_LITERAL>; b=<STRING:0>' AS redacted""")
+# tokens of a source line: strings, templates, names, numbers, the rest
+TOKEN = r"""("(?:[^"\\\n]|\\.)*"|''(?:[^''\\\n]|\\.)*''|`(?:[^`\\]|\\.)*`|[A-Za-z_$][\w$]*|\d+(?:\.\d+)?|[^"''`\w$]+|.)"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, 'k = "AKIA' || doc_id || '"; n = ' || doc_id || '.5; t = `a ' || doc_id || '`; ' || text AS s FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, sha256(array_to_string(list_transform(regexp_extract_all(s, '{TOKEN}', 1), lambda p: CASE WHEN regexp_matches(p, '^["'']AKIA') THEN '<SECRET_LITERAL>'
+ WHEN length(p) > 1 AND p[1] = p[-1] AND p[1] IN ('"', '''') THEN '<STRING:' || (length(p) - 2) || '>' WHEN length(p) > 1 AND p[1] = '`' THEN '<TEMPLATE>' WHEN regexp_matches(p, '^[0-9]') THEN '<NUMBER>' ELSE p END), '')) AS redacted FROM d""")
 def structural_redaction(spark, d):
-    return spark.sql("""SELECT 'a="hello" + 12.5 + "whsec_9"; b=\\'\\'' AS s""").select(x.redacted(F.col("s"), ["whsec_"]).alias("redacted"))
+    """Of every whole text, with a secret, a number and a template before it."""
+    i = F.col("doc_id").cast("string")
+    s = F.concat(F.lit('k = "AKIA'), i, F.lit('"; n = '), i, F.lit(".5; t = `a "), i, F.lit("`; "), F.col("text"))
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(x.redacted(s, ["AKIA"]), 256).alias("redacted"))
 
 
-@query("SELECT doc_id, rtrim(string_split(trim(regexp_replace(left(text, 300), '\\s+', ' ', 'g')), '. ')[1], '.') AS hint FROM documents WHERE regexp_matches(left(text, 300), '^[a-zA-Z ]+\\. ')")
-def first_sentence(spark, d):
-    return table(spark, d, "documents").where(F.substring("text", 1, 300).rlike(r"^[a-zA-Z ]+\. ")).select("doc_id", x.first_sentence(F.substring("text", 1, 300)).alias("hint"))
+FIRST_SENTENCE = r"""SELECT doc_id, regexp_replace(string_split(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), '. ')[1], '\.$', '') AS hint FROM documents"""
 
 
-@query()
-def first_sentence_all(spark, d):
+@query(FIRST_SENTENCE)
+def first_sentence(spark, d):
     """Of the whole text of every document."""
     return table(spark, d, "documents").select("doc_id", x.first_sentence(F.col("text")).alias("hint"))
 
 
+@query(FIRST_SENTENCE)
+def first_sentence_all(spark, d):
+    return first_sentence(spark, d)
+
+
 # ---- rules
 
 NAMES = ["crypto.createHmac", "crypto.sha256", "crypto.md5", "crypto.timingSafeEqual", "Date.now", "stripe.webhooks.constructEvent", "a.compare_digest", "db.insert", "verify", "sig.split", "hmac.new", "crypto.createHash", "req.headers.authorization", "req.ip", "safeCheck", "nacl.sign.detached.verify"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpora, projections
+from . import corpora, details, projections  # details adds its queries to those of projections
 
 QUERIES = projections.QUERIES | corpora.QUERIES
 ORACLE_SQL = projections.ORACLE_SQL | corpora.ORACLE_SQL

@@ -7,6 +7,7 @@ import math
 import struct
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import scalars as x
 from ..operators import aggregates, ordered
@@ -83,6 +84,42 @@ def sarif(findings: DataFrame, version: str = "0") -> str:
     return json.dumps({"$schema": "https://json.schemastore.org/sarif-2.1.0.json", "version": "2.1.0", "runs": [{"tool": {"driver": driver}, "results": results}]}, sort_keys=True, indent=2)
 
 
+def text_lines(findings: DataFrame) -> DataFrame:
+    """(file_path, line, text): the live findings as lines of a terminal's report, without colours."""
+    live = findings.where("NOT suppressed")
+    place = F.concat_ws(":", "file_path", F.col("line").cast("string"))
+    text = F.concat(F.rpad(F.upper("severity"), 9, " "), place, F.lit("  "), F.col("rule_id"), F.lit(" ["), F.col("state"), F.lit("]"))
+    return live.select("file_path", "line", text.alias("text"))
+
+
+def sarif_results(findings: DataFrame) -> DataFrame:
+    """(value): a SARIF result of each finding as JSON, made where the finding is."""
+    region = F.struct(F.col("line").alias("startLine"))
+    place = F.struct(F.struct(F.struct(F.col("file_path").alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+    muted = F.when(F.col("suppressed"), F.array(F.struct(F.lit("external").alias("kind")))).otherwise(F.array().cast("array<struct<kind:string>>"))
+    return findings.select(
+        F.to_json(
+            F.struct(
+                F.col("rule_id").alias("ruleId"),
+                x.sarif_level(F.col("severity")).alias("level"),
+                F.struct(F.col("state").alias("text")).alias("message"),
+                F.array(place).alias("locations"),
+                F.struct(F.col("line_hash").alias("primaryLocationLineHash")).alias("partialFingerprints"),
+                muted.alias("suppressions"),
+            )
+        ).alias("value")
+    )
+
+
+def write_sarif(findings: DataFrame, folder: str, version: str = "0") -> None:
+    """A corpus' results as JSON lines by part under ``folder``/results, and the log's envelope with its rules beside them."""
+    sarif_results(findings).write.mode("overwrite").text(f"{folder}/results")
+    rules = findings.select(F.col("rule_id").alias("id")).distinct().agg(F.array_sort(F.collect_list(F.struct("id"))).alias("rules"))  # a pack's ids
+    driver = F.struct(F.lit("auditlake").alias("name"), F.lit(version).alias("version"), F.col("rules"))
+    log = F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(F.struct(driver.alias("driver")).alias("tool"))).alias("runs"))
+    rules.select(F.to_json(log).alias("value")).write.mode("overwrite").text(f"{folder}/envelope")
+
+
 def comment(findings: DataFrame, most: int = 5) -> str:
     """Markdown of the worst live findings and the number of the others."""
     live = findings.where("NOT suppressed AND state <> 'verified'")

@@ -62,7 +62,11 @@ def ignore_lines(spark: SparkSession, root: str) -> list[str]:
     for name in (".gitignore", ".git/info/exclude"):
         fs, p = _hadoop(spark, f"{root.rstrip('/')}/{name}")
         if fs.exists(p):
-            out += [r[0] for r in spark.read.text(f"{root.rstrip('/')}/{name}").toLocalIterator()]  # one small file
+            stream = fs.open(p)  # one small file, whose name Spark's own readers pass over
+            try:
+                out += spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").splitlines()
+            finally:
+                stream.close()
     return out
 
 

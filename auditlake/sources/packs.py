@@ -70,8 +70,14 @@ def read_baseline(spark: SparkSession, path: str) -> DataFrame | None:
 
 def write_baseline(findings: DataFrame, path: str) -> None:
     """The live findings, sorted by line hash."""
-    rows = findings.where("NOT suppressed AND state <> 'verified'").select("rule_id", "line_hash", "file_path", "line", "severity", "state")
-    rows.dropDuplicates(["rule_id", "line_hash"]).withColumn("ord", F.lit(0)).orderBy("line_hash", "rule_id").write.mode("overwrite").json(path)
+    baseline_rows(findings).orderBy("line_hash", "rule_id").write.mode("overwrite").json(path)
+
+
+def baseline_rows(findings: DataFrame) -> DataFrame:
+    """What a baseline holds: of the live findings of one rule and line hash the one of the smallest path and line."""
+    live = findings.where("NOT suppressed AND state <> 'verified'")
+    first = F.min_by(F.struct("file_path", "line", "severity", "state"), F.struct("file_path", "line", "severity", "state"))
+    return live.groupBy("rule_id", "line_hash").agg(first.alias("f")).select("rule_id", "line_hash", "f.*", F.lit(0).alias("ord"))
 
 
 def ignore_table(spark: SparkSession, text: str) -> DataFrame:

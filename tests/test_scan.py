@@ -4,7 +4,7 @@ import os
 import pytest
 
 from auditlake import catalog
-from auditlake.operators import extract
+from auditlake.operators import extract, joins, reachability
 from auditlake.plans import reports, scan
 from auditlake.sources import files, packs, tables, workflow
 
@@ -107,6 +107,70 @@ def test_walk(spark, tmp_path):
         files.only(given, ["../x"])
 
 
+def test_ignore_files_and_single_files(spark, tmp_path):
+    root = tmp_path / "root"
+    for name, text in {".gitignore": "gen/\n*.go\n", ".git/info/exclude": "!keep.go\n/src/x.ts\n", "gen/a.ts": "x", "src/b.go": "x", "keep.go": "x", "src/x.ts": "x", "lib/src/x.ts": "x", "tests/t.py": "x", "a.md": "x"}.items():
+        p = root / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_text(text)
+    got = {r["file_path"]: r["status"] for r in files.listed(spark, str(root)).collect() if ".git" not in r["file_path"]}
+    assert got == {"gen/a.ts": "ignored", "src/b.go": "ignored", "keep.go": "ok", "src/x.ts": "ignored", "lib/src/x.ts": "ok", "tests/t.py": "test", "a.md": "extension"}
+    assert {r["file_path"] for r in files.walk(spark, str(root)).collect()} == {"keep.go", "lib/src/x.ts"}
+    assert [(r["file_path"], r["language"]) for r in files.walk(spark, f"{root}/tests/t.py").collect()] == [("t.py", "py")]
+    assert files.walk(spark, f"{root}/a.md").count() == 0
+    assert files.submitted(spark, code="x").first()["language"] == "js" and files.submitted(spark, files={"a.py": "x"}).count() == 1
+    for bad in ({}, {"code": "x", "files": {"a.py": "x"}}):
+        with pytest.raises(ValueError):
+            files.submitted(spark, **bad)
+
+
+def test_scan_evidence_of_order_queues_and_middleware(spark):
+    body = "app.post('/stripe/webhook', (req, res) => {\n"
+    sources = {
+        "a.ts": f"import Stripe from 'stripe';\n{body}  db.query(x);\n  stripe.webhooks.constructEvent(req.rawBody, h, k);\n}});\n",
+        "b.ts": f"import Stripe from 'stripe';\n{body}  stripe.webhooks.constructEvent(req.rawBody, h, k);\n  db.query(x);\n}});\n",
+        "c.ts": f"import Stripe from 'stripe';\n{body}  q.add(req.body);\n}});\n",
+        "d.ts": f"import express from 'express';\nimport Stripe from 'stripe';\napp.use(express.json({{ verify: keep }}));\n{body}  stripe.webhooks.constructEvent(req.rawBody, h, k);\n}});\n",
+        "e.ts": f"import express from 'express';\nimport Stripe from 'stripe';\napp.use(express.json());\n{body}  stripe.webhooks.constructEvent(req.rawBody, h, k);\n}});\n",
+        "w.ts": "import Stripe from 'stripe';\nnew Worker('q', (j) => stripe.webhooks.constructEvent(j.raw, h, k));\n",
+    }
+    got = states(scan.scan(files.given(spark, sources)).findings)
+    assert got["a.ts", "stripe/verify-after-side-effect"] == "manual-review" and ("b.ts", "stripe/verify-after-side-effect") not in got
+    assert got["c.ts", "stripe/missing-signature-verification"] == "manual-review"  # a consumer verifies
+    assert got["e.ts", "stripe/express-middleware-ordering"] == "not-verified" and ("d.ts", "stripe/express-middleware-ordering") not in got
+    del sources["w.ts"]
+    assert states(scan.scan(files.given(spark, sources)).findings)["c.ts", "stripe/missing-signature-verification"] == "not-verified"
+    with pytest.raises(ValueError):
+        scan.scan(files.given(spark, sources), only=["nobody"])
+    none = scan.scan(files.given(spark, {"x.md": ""}).limit(0))
+    assert none.findings.count() == 0 and none.handlers.count() == 0
+
+
+def test_plans_pair_no_handlers_with_a_catalog(spark):
+    """Owners, promoted names and modules meet by keys: no nested loop over handlers, and one row for each name's files."""
+    reads = spark.range(10**6).selectExpr("id AS handler_id", "if(id % 2 = 0, 'X-Shared', 'x-own') AS header")
+    named = spark.range(10**6).selectExpr("id AS handler_id", "if(id % 3 = 0, 'a', 'b') AS provider", "concat('lib.check', id % 2) AS name", "concat('lib.check', id % 2) AS qualified_name")
+    headers = spark.sql("SELECT * FROM VALUES ('a', 0, 'x-shared'), ('b', 1, 'x-shared') AS t(provider, ord, header)")
+    calls = spark.sql("SELECT * FROM VALUES ('check0'), ('check7') AS t(call)")
+    shared = spark.range(50_000).selectExpr("concat('r', id, '/lib/utils.py') AS file_path")
+    imports = spark.range(50_000).selectExpr("concat('r', id, '/a.py') AS from_file", "'lib.utils' AS to_module")
+    resolved = joins.resolve_modules(imports, shared)
+    for df in (joins.owned_reads(reads, headers, named), reachability.promoted(named, named, calls), resolved):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert resolved.count() == 50_000 and {r["to_file"] for r in resolved.select("to_file").distinct().collect()} == {"r0/lib/utils.py"}
+
+
+def test_sarif_by_part(spark, result, tmp_path):
+    reports.write_sarif(result.findings, f"{tmp_path}/log")
+    lines = [json.loads(r["value"]) for r in spark.read.text(f"{tmp_path}/log/results").collect()]
+    whole = json.loads(reports.sarif(result.findings))["runs"][0]
+    key = lambda v: json.dumps(v, sort_keys=True)
+    assert sorted(map(key, lines)) == sorted(map(key, whole["results"]))
+    envelope = json.loads(spark.read.text(f"{tmp_path}/log/envelope").first()["value"])
+    assert [r["id"] for r in envelope["runs"][0]["tool"]["driver"]["rules"]] == [r["id"] for r in whole["tool"]["driver"]["rules"]]
+
+
 def test_workflow(spark):
     doc = {"nodes": [{"name": "W", "type": "n8n-nodes-base.webhook", "parameters": {"path": "in"}}, {"name": "S", "type": "n8n-nodes-base.set"}, {"name": "V", "type": "n8n-nodes-base.webhook", "parameters": {"path": "/x", "authentication": "headerAuth", "httpMethod": "GET"}}], "connections": {}}
     df = spark.createDataFrame([("a.workflow.json", json.dumps(doc)), ("b.workflow.json", "{"), ("c.workflow.json", '{"nodes": []}')], "file_path string, text string")
