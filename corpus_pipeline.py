@@ -9,31 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.llm import decontaminate, jaccard_join, line_dedup, packing, quality
-from auditlake.llm.common import materialize, table
+from auditlake.llm.common import materialize, release, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go. A null text is scored as an empty one; equal texts stay or go together."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents hold stay in the first of them only."""
+    """Lines that several documents hold stay in the first of them only; a null text becomes an empty one. Rows without a doc_id stay as they are."""
     return line_dedup.dedup_lines(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: shingles of five words, similarity 0.8 or more."""
+    """One document of each group stays: shingles of five words, similarity 0.8 or more. Of rows of one doc_id all stay or
+    go; rows without one, and texts without words, stay."""
     return jaccard_join.keep_one(docs, k=5, p=80, q=100)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go: 10 words, or all of a shorter item. Of an empty benchmark none go."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces with their sequence and place in it."""
+    """Token pieces with their sequence and place in it; an empty text is a piece of the end mark alone."""
     return packing.pack(docs)
 
 
@@ -50,9 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The packed pieces of ``documents``. A stage's rows are deleted once the next one's are written.
+
+    What each stage gives for nulls, empty texts, ties, repeated rows and empty tables is stated where it is defined; other
+    columns are kept, whatever their names, until the last stage, which has its own.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, "stage")
+            if before is not None:
+                release(before)
+            before = docs
     return docs
