@@ -18,9 +18,9 @@ LOCAL_RSA = r"createVerify\s*\(|crypto\.verify\s*\(|openssl_verify\s*\(|load_pem
 STATUS, SUCCESS, IN_CONDITION = r"verification_?[sS]tatus", "SUCCESS", r"(?i)\bif\b[^\n]*\bverify\w*\s*\("
 ED25519_MARKS = r"sodium_crypto_sign_verify_detached\(|detached\.verify\(|VerifyKey\("
 
-INNER = r"(?:[^{}]|\{[^{}]*\})*"
+INNER = r"(?:[^{}]++|\{[^{}]*+\})*+"
 ANSWER = r"(?:return\b|\w+(?:\.(?:status|code)\(\s*[123]\d\d\s*\))?\.(?:json|send|end)\()"
-BYPASS = rf"\bif\s*\([^\n]*process\.env\.(?:{'|'.join(DEV_MODES)})\b[^\n]*?\)\s*(?:{ANSWER}|\{{(?:[^{{}}]|\{{[^{{}}]*\}})*?(?:^|[;{{\n])\s*{ANSWER})"
+DEV_IF = rf"\bif\s*\([^\n]*process\.env\.(?:{'|'.join(DEV_MODES)})\b[^\n]*?\)\s*"
 ENDS = r"\b(?:return|throw)\b|\bprocess\.(?:exit|abort)\(|\bnext\(|\.(?:status|code)\(\s*[45]\d\d|,\s*[45]\d\d\s*\)"
 NUMBER = r"\d+(?:\s*\*\s*\d+)*"
 
@@ -31,6 +31,11 @@ def _verify_at(text: Column, calls: Column) -> Column:
     return F.array_min(F.filter(at, lambda p: p.isNotNull()))
 
 
+def _top(block: Column) -> Column:
+    """A block's own statements: what is in braces within it goes."""
+    return F.regexp_replace(block, r"\{[^{}]*+\}", "{}")
+
+
 def _seconds(product: Column) -> Column:
     """A product of whole numbers, taken for milliseconds where it is above a day or whole thousands."""
     value = F.aggregate(F.split(F.regexp_replace(product, r"\s", ""), r"\*"), F.lit(1.0), lambda a, x: a * x.cast("double"))
@@ -51,9 +56,11 @@ def flags(bodies: DataFrame, calls: DataFrame) -> DataFrame:
     own = F.coalesce("calls", F.array().cast("array<string>"))
     rows = rows.withColumn("at", _verify_at(text, own))
     before = F.when(F.col("at").isNull(), text).otherwise(F.substr(text, F.lit(1), F.col("at") - 1))
+    blocks = F.regexp_extract_all(before, F.lit(rf"{DEV_IF}\{{({INNER})\}}"), F.lit(1))
+    answers = F.exists(blocks, lambda b: _top(b).rlike(rf"(?m)(?:^|;)\s*{ANSWER}")) | before.rlike(DEV_IF + ANSWER)
     tries = F.regexp_extract_all(text, F.lit(rf"\btry\s*\{{({INNER})\}}\s*catch\s*(?:\([^)]*\))?\s*\{{{INNER}\}}"), F.lit(1))
     catches = F.regexp_extract_all(text, F.lit(rf"\btry\s*\{{{INNER}\}}\s*catch\s*(?:\([^)]*\))?\s*\{{({INNER})\}}"), F.lit(1))
-    swallowed = F.exists(F.arrays_zip(tries.alias("t"), catches.alias("c")), lambda z: _verify_at(z["t"], own).isNotNull() & ~F.regexp_replace(z["c"], r"\{[^{}]*\}", "{}").rlike(ENDS))
+    swallowed = F.exists(F.arrays_zip(tries.alias("t"), catches.alias("c")), lambda z: _verify_at(z["t"], own).isNotNull() & ~_top(z["c"]).rlike(ENDS))
     compared = F.transform(F.regexp_extract_all(text, F.lit(rf">=?\s*({NUMBER})(?![\w.])"), F.lit(1)), _seconds)
     given = F.transform(F.regexp_extract_all(text, F.lit(rf"\w\(\s*[^(),]+,\s*[^(),]+(?:\([^()]*\))?\s*,\s*[^(),]+,\s*({NUMBER})\s*\)"), F.lit(1)), lambda x: F.when(F.col("at").isNotNull(), _seconds(x)))
     return rows.select(
@@ -65,8 +72,8 @@ def flags(bodies: DataFrame, calls: DataFrame) -> DataFrame:
         (php & has(r"(?<!\w)hash_equals\(")).alias("php_equals"),
         (php & has(rf"(?i){SIGNATURE}[^\n;&|]*[^!=<>]={{2,3}}(?!=)|[^!=<>]={{2,3}}(?!=)[^\n;&|]*{SIGNATURE}|str(?:case)?cmp\([^\n]*={{2,3}}\s*0")).alias("php_compares"),
         (js & has(rf"(?i){SIGNATURE}[^\n;&|]*[!=]==?(?!=)|[!=]==?(?!=)[^\n;&|]*{SIGNATURE}")).alias("js_compares"),
-        (js & before.rlike("(?m)" + BYPASS)).alias("bypasses"),
-        (js & swallowed).alias("swallows"),
+        F.when(js & F.contains(text, F.lit("process.env")), answers).otherwise(False).alias("bypasses"),
+        F.when(js & F.contains(text, F.lit("catch")), swallowed).otherwise(False).alias("swallows"),
         F.when(js, F.array_max(F.concat(compared, given))).alias("window"),
         (js & has(r"process\.env[^\n]*>|>[^\n]*process\.env") & has(r"\bDate\.now\b")).alias("env_window"),
         has(POSTBACK).alias("postback"),

@@ -152,13 +152,13 @@ def test_plans_pair_no_handlers_with_a_catalog(spark):
     named = spark.range(10**6).selectExpr("id AS handler_id", "if(id % 3 = 0, 'a', 'b') AS provider", "concat('lib.check', id % 2) AS name", "concat('lib.check', id % 2) AS qualified_name")
     headers = spark.sql("SELECT * FROM VALUES ('a', 0, 'x-shared'), ('b', 1, 'x-shared') AS t(provider, ord, header)")
     calls = spark.sql("SELECT * FROM VALUES ('check0'), ('check7') AS t(call)")
-    shared = spark.range(50_000).selectExpr("concat('r', id, '/lib/utils.py') AS file_path")
-    imports = spark.range(50_000).selectExpr("concat('r', id, '/a.py') AS from_file", "'lib.utils' AS to_module")
+    shared = spark.range(50_000).selectExpr("concat('r', id, if(id % 2 = 0, '/lib/utils.py', '/lib/other.py')) AS file_path")
+    imports = spark.range(50_000).selectExpr("concat('r', id, '/a.py') AS from_file", "if(id % 2 = 0, 'lib.utils', 'lib.other') AS to_module")
     resolved = joins.resolve_modules(imports, shared)
     for df in (joins.owned_reads(reads, headers, named), reachability.promoted(named, named, calls), resolved):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
-    assert resolved.count() == 50_000 and {r["to_file"] for r in resolved.select("to_file").distinct().collect()} == {"r0/lib/utils.py"}
+    assert resolved.count() == 50_000 and {r["to_file"] for r in resolved.select("to_file").distinct().collect()} == {"r0/lib/utils.py", "r1/lib/other.py"}
 
 
 def test_sarif_by_part(spark, result, tmp_path):
