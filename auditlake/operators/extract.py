@@ -72,27 +72,83 @@ def _by_language(language: Column, each: dict[str, Column]) -> Column:
     return out
 
 
+# by language: the first line of an import over several lines, its lines of names, its last line
+OPEN_IMPORT = {
+    "js": (r"^\s*import\s+(?:type\s+)?(?:[\w$]+\s*,\s*)?\{[^}]*$", r"^\s*+(?:(?:type\s++)?[\w$]++(?:\s++as\s++[\w$]++)?\s*+,?\s*+)++$", r"^[^{}'\"]*\}\s*from\s*['\"]([^'\"]+)['\"]"),
+    "py": (r"^\s*from\s+([\w.]+)\s+import\s*\([^)]*$", r"^\s*+(?:\w++(?:\s++as\s++\w++)?\s*+,?\s*+)++(?:#.*)?$", r"^[^()]*\)"),
+}
+
+
+def _joined_imports(rows: DataFrame) -> DataFrame:
+    """Imports over several lines as one line of code each, in the place of their first line."""
+    of = lambda k: F.coalesce(_by_language(F.col("language"), {n: F.col("code").rlike(p[k]) for n, p in OPEN_IMPORT.items()}).cast("boolean"), F.lit(False))
+    each = rows.select("file_path", "language", "line", "code", of(0).alias("opens"), of(1).alias("names"), of(2).alias("closes")).where("opens OR names OR closes")
+    w = Window.partitionBy("file_path").orderBy("line")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumns({"block": F.last(F.when(F.col("opens"), F.col("line")), True).over(w), "closed": F.last(F.when(F.col("closes"), F.col("line")), True).over(before)})
+    each = each.where("block IS NOT NULL AND coalesce(closed, 0) < block")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda s: F.regexp_replace(s["code"], "#.*$", "")), " ")
+    whole = each.groupBy("file_path", "language", "block").agg(F.bool_or("closes").alias("done"), text.alias("code")).where("done")
+    code = F.when(F.col("language") == "py", F.translate("code", "()", "")).otherwise(F.col("code"))
+    return whole.select("file_path", "language", F.col("block").alias("line"), code.alias("code"))
+
+
+def _bound(names: Column) -> Column:
+    """Array of (local, name) that a list of names binds: `b as c` and `b: c` are c of b, a name before the braces is the default."""
+    kind = "array<struct<local:string,name:string>>"
+    inner = F.when(F.contains(names, F.lit("{")), F.regexp_extract(names, r"\{([^}]*)\}", 1)).otherwise(names)
+    inner = F.regexp_replace(inner, r"\btype\s+(?=[\w$])", "")
+    parts = F.filter(F.transform(F.split(inner, ","), lambda p: F.trim(p)), lambda p: p.rlike(r"^[A-Za-z_$]"))
+    own = F.transform(parts, lambda p: F.struct(F.regexp_extract(p, r"([A-Za-z_$][\w$]*)\s*$", 1).alias("local"), F.regexp_extract(p, r"^([A-Za-z_$][\w$]*)", 1).alias("name")))
+    outer = F.regexp_replace(names, r"\{[^}]*\}", "")
+    star = F.regexp_extract(outer, r"\*\s*as\s+([\w$]+)", 1)
+    first = F.regexp_extract(outer, r"^\s*([A-Za-z_$][\w$]*)", 1)
+    default = F.array(F.struct(first.alias("local"), F.lit("default").alias("name")), F.struct(star.alias("local"), F.lit("*").alias("name"))).cast(kind)
+    return F.concat(F.when(F.contains(names, F.lit("{")) | (star != ""), F.filter(default, lambda d: d["local"] != "")).otherwise(F.array().cast(kind)), F.when(star != "", F.array().cast(kind)).otherwise(own.cast(kind)))
+
+
 def imports(rows: DataFrame) -> DataFrame:
-    """(file_path, local, to_module, ord): a row for each name that an import binds."""
+    """(file_path, local, to_module, ord, name): a row for each name that an import binds, of one line or of several.
+
+    name: what the module calls it, `default` for its default export, `*` for the module itself or a package.
+    """
+    rows = rows.select("file_path", "language", "line", "code").unionByName(_joined_imports(rows))
     found = []
     for language, patterns in IMPORT.items():
         module, names = (1, 2) if language == "py" else (2, 1)
         for p in patterns:
             p = p.replace("?<m>", "")
-            value = F.struct(F.regexp_extract("code", p, module).alias("to_module"), F.regexp_extract("code", p, names).alias("names"))
+            value = F.struct(
+                F.regexp_extract("code", p, module).alias("to_module"),
+                F.regexp_extract("code", p, names).alias("names"),
+                F.lit(language == "js").alias("js"),
+                F.lit(language == "js" and p.startswith("^")).alias("esm"),
+            )
             found.append((F.when((F.col("language") == language) & F.col("code").rlike(p), value)))
     hits = rows.where(F.col("code").rlike(r"import|require|\buse\b|^\s*\w*\s*\"")).select("file_path", "line", F.explode(F.array_compact(F.array(*found))).alias("i"))
     hits = hits.select("file_path", "line", "i.*")
     last = F.regexp_extract("to_module", r"([A-Za-z_]\w*)\W*$", 1)
-    named = F.regexp_extract_all(F.regexp_replace("names", r"(\w+|\*)\s*(?:as|:)\s+(\w+)", "$2"), F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1))
-    root = F.when(F.col("names") == "", F.array(F.when(F.contains("to_module", F.lit(".")) & ~F.contains("to_module", F.lit("/")), F.substring_index("to_module", ".", 1)).otherwise(last))).otherwise(named)
-    return hits.select("file_path", F.explode(root).alias("local"), "to_module", F.col("line").alias("ord"))
+    whole = F.when(F.contains("to_module", F.lit(".")) & ~F.contains("to_module", F.lit("/")), F.substring_index("to_module", ".", 1)).otherwise(last)
+    esm = F.col("esm") & ~F.contains("names", F.lit("{")) & ~F.contains("names", F.lit("*"))  # `import a from`: the default
+    bound = F.when(F.col("names") == "", F.array(F.struct(whole.alias("local"), F.lit("*").alias("name")))).otherwise(_bound(F.col("names")))
+    bound = F.when(esm, F.transform(bound, lambda b: F.struct(b["local"].alias("local"), F.lit("default").alias("name")))).otherwise(bound)
+    required = F.col("js") & ~F.col("esm") & ~F.contains("names", F.lit("{"))  # `const a = require(...)`: the module
+    bound = F.when(required, F.transform(bound, lambda b: F.struct(b["local"].alias("local"), F.lit("*").alias("name")))).otherwise(bound)
+    return hits.select("file_path", F.explode(bound).alias("b"), "to_module", F.col("line").alias("ord")).select("file_path", "b.local", "to_module", "ord", "b.name")
 
 
 def symbols(rows: DataFrame) -> DataFrame:
-    """(file_path, name, start): definitions by line."""
+    """(file_path, name, start, exported, real): definitions by line; `default` is one more name of a file's default export,
+    whose own one is real.
+
+    exported: with `export` in JavaScript, capitalised in Go, all others.
+    """
     name = _by_language(F.col("language"), {k: F.regexp_extract("code", p, 1) for k, p in DEFINITION.items()})
-    return rows.select("file_path", name.alias("name"), F.col("line").alias("start")).where("name <> ''")
+    exported = F.when(F.col("language") == "js", F.col("code").rlike(r"^\s*export\b")).when(F.col("language") == "go", name.rlike("^[A-Z]")).otherwise(True)
+    default = (F.col("language") == "js") & F.col("code").rlike(r"^\s*export\s+default\s")
+    own = F.filter(F.array(name, F.when(default, "default")), lambda n: n.isNotNull() & (n != ""))
+    real = F.coalesce(F.nullif(name, F.lit("")), F.lit("default"))
+    return rows.select("file_path", F.explode(own).alias("name"), F.col("line").alias("start"), exported.alias("exported"), real.alias("real"))
 
 
 def calls(rows: DataFrame) -> DataFrame:

@@ -71,8 +71,10 @@ def verify_calls(reachable: DataFrame, calls: DataFrame, sdk: DataFrame) -> Data
 
 
 def import_sources(calls: DataFrame, imports: DataFrame) -> DataFrame:
-    """``calls`` (file_path, qualified_name, ...) with import_source: the module that the name's root was first imported from."""
-    first = imports.groupBy("file_path", F.col("local").alias("root")).agg(F.min_by("to_module", "ord").alias("import_source"))
+    """``calls`` (file_path, qualified_name, ...) with import_source, the module that the name's root was first imported from,
+    and import_name, what that module calls it (where ``imports`` has a name)."""
+    name = F.min_by("name", "ord") if "name" in imports.columns else F.lit(None).cast("string")
+    first = imports.groupBy("file_path", F.col("local").alias("root")).agg(F.min_by("to_module", "ord").alias("import_source"), name.alias("import_name"))
     return calls.withColumn("root", F.substring_index("qualified_name", ".", 1)).join(first, ["file_path", "root"], "left").drop("root")
 
 

@@ -34,6 +34,15 @@ def closure(seeds: DataFrame, edges: DataFrame, depth: int = 4, most: int = 1000
     return reached.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= most).select("root", "node", "hops")
 
 
+def callee(calls: DataFrame):
+    """The name that a call has in the file it leads to: the imported one for a call of an import itself, else its last part."""
+    last = F.substring_index("qualified_name", ".", -1)
+    if "import_name" not in calls.columns:
+        return last
+    itself = F.col("import_name").isNotNull() & (F.col("import_name") != "*") & ~F.contains("qualified_name", F.lit("."))
+    return F.when(itself, F.col("import_name")).otherwise(last)
+
+
 def call_edges(calls: DataFrame, symbols: DataFrame, resolved: DataFrame) -> DataFrame:
     """(src, dst, ord) between symbols, keyed `file#name`, of calls (file_path, caller, qualified_name, import_source, ord).
 
@@ -41,13 +50,13 @@ def call_edges(calls: DataFrame, symbols: DataFrame, resolved: DataFrame) -> Dat
     the same file. The last definition of a name counts. Symbols have no owners here, so a method call leads to the file's
     symbol of that last part whatever its receiver: `a.b.check()` to `check`.
     """
-    last = symbols.groupBy("file_path", "name").agg(F.max("start").alias("start")).select("file_path", "name")
+    last = symbols.groupBy("file_path", "name").agg(F.max_by("real" if "real" in symbols.columns else "name", "start").alias("real"))
     target = resolved.select(F.col("from_file").alias("file_path"), F.col("to_module").alias("import_source"), "to_file")
     each = calls.join(target, ["file_path", "import_source"], "left")
-    each = each.withColumn("in_file", F.coalesce("to_file", "file_path")).withColumn("callee", F.substring_index("qualified_name", ".", -1))
-    hit = each.join(last.toDF("in_file", "callee"), ["in_file", "callee"])
+    each = each.withColumn("in_file", F.coalesce("to_file", "file_path")).withColumn("callee", callee(calls))
+    hit = each.join(last.toDF("in_file", "callee", "real"), ["in_file", "callee"])
     key = lambda f, n: F.concat(F.col(f), F.lit("#"), F.col(n))
-    return hit.select(key("file_path", "caller").alias("src"), key("in_file", "callee").alias("dst"), "ord")
+    return hit.select(key("file_path", "caller").alias("src"), key("in_file", "real").alias("dst"), "ord")
 
 
 def promoted(statements: DataFrame, names: DataFrame, calls: DataFrame) -> DataFrame:

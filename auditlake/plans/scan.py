@@ -154,16 +154,16 @@ def _evidence(handlers: DataFrame, body: DataFrame, imported: DataFrame, provide
 
 def _reachable(own: DataFrame, calls: DataFrame, symbols: DataFrame, imported: DataFrame, files: DataFrame, depth: int) -> DataFrame:
     """(handler_id, qualified_name, import_source, hops): calls in the handler, and in what those lead to."""
-    direct = own.select("handler_id", "qualified_name", "import_source", "ord", "file_path")
+    direct = own.select("handler_id", "qualified_name", "import_source", "import_name", "ord", "file_path")
     modules = imported.select(F.col("file_path").alias("from_file"), "to_module").distinct()
     resolved = written(joins.resolve_modules(modules, files), "modules")
     symbols = written(symbols, "symbols")
     edges = written(reachability.call_edges(calls, symbols, resolved), "edges")
     target = resolved.select(F.col("from_file").alias("file_path"), F.col("to_module").alias("import_source"), "to_file")
     first = direct.join(target, ["file_path", "import_source"], "left")
-    node = F.concat(F.coalesce("to_file", "file_path"), F.lit("#"), F.substring_index("qualified_name", ".", -1))
-    seeds = first.select(F.col("handler_id").alias("root"), node.alias("node"), "ord")
-    seeds = seeds.join(symbols.select(F.concat("file_path", F.lit("#"), "name").alias("node")).distinct(), "node", "left_semi")
+    known = symbols.groupBy(F.col("file_path").alias("in_file"), F.col("name").alias("callee")).agg(F.max_by("real", "start").alias("real"))
+    seeds = first.select(F.col("handler_id").alias("root"), F.coalesce("to_file", "file_path").alias("in_file"), reachability.callee(direct).alias("callee"), "ord")
+    seeds = seeds.join(known, ["in_file", "callee"]).select("root", F.concat("in_file", F.lit("#"), "real").alias("node"), "ord")
     closed = reachability.closure(seeds, edges, depth - 1)
     later = closed.join(calls.withColumn("node", F.concat("file_path", F.lit("#"), "caller")), "node")
     every = direct.select("handler_id", "qualified_name", "import_source", F.lit(1).alias("hops")).unionByName(

@@ -197,6 +197,30 @@ def test_imports(spark):
     assert got == {("a.ts", "a", "m"), ("a.ts", "c", "m"), ("a.ts", "d", "m"), ("a.ts", "e", "n"), ("a.ts", "f", "./o"), ("b.py", "os", "os.path"), ("b.py", "p", "x.y"), ("b.py", "r", "x.y"), ("c.php", "C", "A\\B\\C"), ("d.go", "y", "github.com/x/y")}
 
 
+def test_imports_over_lines_and_their_names(spark):
+    text = "import x, {\n  a,\n  type T,\n  b as c, d\n} from 'm';\nimport y from './y';\nconst z = require('z');\nconst { p: q } = require('w');\n"
+    py = "from m.n import (\n    a,  # one\n    b as c,\n)\nfrom k import d\n"
+    rows = extract.lines(files.given(spark, {"a.ts": text, "b.py": py, "c.ts": "import {\n  never\n"}))
+    got = {(r["file_path"], r["local"], r["name"], r["to_module"], r["ord"]) for r in extract.imports(rows).collect()}
+    ts = [("x", "default", "m", 1), ("a", "a", "m", 1), ("T", "T", "m", 1), ("c", "b", "m", 1), ("d", "d", "m", 1), ("y", "default", "./y", 6), ("z", "*", "z", 7), ("q", "p", "w", 8)]
+    assert got == {("a.ts", *t) for t in ts} | {("b.py", *t) for t in [("a", "a", "m.n", 1), ("c", "b", "m.n", 1), ("d", "d", "k", 5)]}
+
+
+def test_calls_follow_aliases_and_default_exports(spark):
+    verify = "  return stripe.webhooks.constructEvent(req.rawBody, h, k);\n}\n"
+    handler = "app.post('/stripe/webhook', (req, res) => {\n  go(req);\n});\n"
+    sources = {
+        "a.ts": "import {\n  check as go\n} from './lib';\nimport Stripe from 'stripe';\n" + handler,
+        "b.ts": "import go from './main';\nimport Stripe from 'stripe';\n" + handler,
+        "lib.ts": "export function check(req) {\n" + verify,
+        "main.ts": "export default function other(req) {\n" + verify,
+    }
+    got = states(scan.scan(files.given(spark, sources)).findings)
+    assert got["a.ts", "stripe/library-verified"] == got["b.ts", "stripe/library-verified"] == "verified"
+    symbols = extract.symbols(extract.lines(files.given(spark, sources | {"m.go": "func Get() {\nfunc get() {\n"})))
+    assert {(r["name"], r["exported"]) for r in symbols.collect()} == {("check", True), ("other", True), ("default", True), ("Get", True), ("get", False)}
+
+
 def test_cleanup(spark):
     df = tables.written(spark.range(3).toDF("a"), "x")
     assert df.count() == 3
