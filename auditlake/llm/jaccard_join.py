@@ -32,7 +32,7 @@ BLOCK = 512
 LEAF = 8
 BITS = 2048
 FIRST = 4  # pairs of an entry and key that are verified first
-DENSE = 4  # pairs to an entry of a block that are verified one by one
+DENSE = 32  # pairs to an entry of a block that are verified one by one; sets go to blocks with more
 SMALL = 1000  # entries of small keys in a task
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
