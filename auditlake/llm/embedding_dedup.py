@@ -20,14 +20,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, materialize, prepare
+from .common import hash128, map_batches, materialize
 from .components import components
 
 BLOCK = 4096
+BUCKET = 16_384
 SPREAD = 4.0
 MOST_CELLS = 4096
 
@@ -91,8 +92,10 @@ def fit(sample: np.ndarray, cells: int, subspaces: int = 8, codewords: int = 64,
     return Index(centres, [_means(rest[:, a:b], min(codewords, 256), rng) for a, b in zip(cuts, cuts[1:])], cuts, max(dims, 1.0))
 
 
-def _unit(col) -> np.ndarray:
-    x = np.array([np.asarray(v, np.float64) for v in col])
+def _unit(col: pa.Array) -> np.ndarray:
+    """Unit vectors, in double precision, of a list column whose rows have one length and no nulls."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    x = np.asarray(col.flatten(), np.float64).reshape(len(col), -1)
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
@@ -111,16 +114,23 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         root = new
 
 
-def _search(part: pd.DataFrame, index: Index, least: float, radius: float) -> pd.DataFrame:
-    """Links of a block of queries with a block of entries of one cell."""
-    ask, own = part[part["role"] == 1], part[part["role"] == 0]
-    if not len(ask) or not len(own):
-        return pd.DataFrame({"a": [], "b": [], "links": []}).astype("int64")
-    q, y = _unit(ask["v"]), _unit(own["v"])
-    cell = int(own["cell"].iloc[0])
-    codes = np.array([np.frombuffer(c, np.uint8) for c in own["code"]])
-    err, n = own["err"].to_numpy(), own["n"].to_numpy()
-    qid, yid = ask["id"].to_numpy(), own["id"].to_numpy()
+def _search(part: pa.Table, index: Index, least: float, radius: float) -> pa.Table:
+    """Links within some blocks: of queries with entries of one cell each. Vectors are read once for all blocks."""
+    x = _unit(part["v"])
+    ids, n, err, role, cell = (part[c].to_numpy() for c in ("id", "n", "err", "role", "cell"))
+    codes = np.zeros((len(x), len(index.books)), np.uint8)
+    codes[role == 0] = np.frombuffer(b"".join(part["code"].drop_null().to_pylist()), np.uint8).reshape(-1, len(index.books))
+    keys = part.select(["label", "cell", "ab", "ob"]).to_pandas()
+    found = [[np.zeros(0, np.int64)] * 3]
+    for at in keys.groupby(["label", "cell", "ab", "ob"], sort=False).indices.values():
+        ask, own = at[role[at] == 1], at[role[at] == 0]
+        if len(ask) and len(own):
+            found.append(_links(x[ask], ids[ask], x[own], ids[own], n[own], codes[own], err[own], index, cell[own[0]], least, radius))
+    return pa.table(dict(zip(("a", "b", "links"), map(np.concatenate, zip(*found)))))
+
+
+def _links(q: np.ndarray, qid: np.ndarray, y: np.ndarray, yid: np.ndarray, n: np.ndarray, codes: np.ndarray, err: np.ndarray, index: Index, cell: int, least: float, radius: float) -> list[np.ndarray]:
+    """Columns (a, b, links) of a block: a forest that spans its links, and the number of links of each query."""
     ids, at = np.unique(np.concatenate([qid, yid]), return_inverse=True)
     qat, yat = at[: len(qid)], at[len(qid) :]
     rest = q - index.centres[cell]
@@ -142,11 +152,12 @@ def _search(part: pd.DataFrame, index: Index, least: float, radius: float) -> pd
         other = qid[lo + i] != yid[j]
         i, j = i[other], j[other]
         np.add.at(links, lo + i, n[j])
-        sub = _forest(len(ids), np.concatenate([np.arange(len(ids)), qat[lo + i]]), np.concatenate([root, yat[j]]))
-        root = sub
+        if len(i):
+            root = _forest(len(ids), np.concatenate([np.arange(len(ids)), qat[lo + i]]), np.concatenate([root, yat[j]]))
     at_q = np.zeros(len(ids), np.int64)
     np.add.at(at_q, qat, links)
-    return pd.DataFrame({"a": ids, "b": ids[root], "links": at_q})[lambda d: (d["a"] != d["b"]) | (d["links"] > 0)]
+    kept = (ids != ids[root]) | (at_q > 0)
+    return [ids[kept], ids[root][kept], at_q[kept]]
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, sample: int = 20_000, seed: int = 7) -> DataFrame:
@@ -159,8 +170,6 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample: int = 20_00
     are ignored. Links that cross a bisector by more than the reach can be lost (module docstring): none were in the
     tests' brute-force comparisons.
     """
-    spark = vectors.sparkSession
-    prepare(spark)
     number = "float" if dict(vectors.dtypes)["embedding"] == "array<float>" else "double"  # floats travel as floats
     rows = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast(f"array<{number}>").alias("v"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -174,8 +183,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, sample: int = 20_00
     for dim, count in same.groupBy("dim").count().collect():  # lengths in use: one, as a rule
         own = same.where(F.col("dim") == dim)
         step = -(-count // sample)
-        fitted = own.where(F.pmod("h1", F.lit(step)) == 0).select("v").limit(2 * sample).toPandas()["v"]
-        fitted = fitted if len(fitted) else own.select("v").limit(1).toPandas()["v"]
+        fitted = own.where(F.pmod("h1", F.lit(step)) == 0).select("v").limit(2 * sample).toArrow()["v"]
+        fitted = fitted if len(fitted) else own.select("v").limit(1).toArrow()["v"]
         index = fit(_unit(fitted), max(1, min(MOST_CELLS, round(count**0.5))), seed=seed)
         found = materialize(_linked(own, index, least, radius, number), "links")
         edges = found.select("a", "b") if edges is None else edges.union(found.select("a", "b"))
@@ -205,13 +214,15 @@ def _linked(own: DataFrame, index: Index, least: float, radius: float, number: s
     def deal(batches):
         at = Index(*sent.value)
         for batch in batches:
-            x = _unit(batch["v"])
+            x = _unit(batch.column("v"))
             cell, codes, err = at.encode(x)
-            yield batch.assign(role=0, cell=cell, code=[c.tobytes() for c in codes], err=err)
-            i, c = np.nonzero(at.probes(x, radius))
-            yield batch.iloc[i].assign(role=1, cell=c, code=None, err=0.0)
+            for role, rows, c in ((0, np.arange(len(x)), cell), (1, *np.nonzero(at.probes(x, radius)))):
+                own = [batch.column(k).take(pa.array(rows)) for k in ("id", "n", "label", "v")]
+                code = pa.array([codes[i].tobytes() for i in rows], pa.binary()) if role == 0 else pa.nulls(len(rows), pa.binary())
+                kinds = [pa.array(np.full(len(rows), role, np.int32)), pa.array(c.astype(np.int32)), code, pa.array(err[rows] if role == 0 else np.zeros(len(rows)))]
+                yield pa.record_batch([*own, *kinds], ["id", "n", "label", "v", "role", "cell", "code", "err"])
 
-    dealt = materialize(own.select("id", "n", "label", "v").mapInPandas(deal, schema), "dealt")
+    dealt = materialize(map_batches(own.select("id", "n", "label", "v"), deal, schema), "dealt")
     size = dealt.groupBy("label", "cell").agg(*[F.ceil(F.count_if(F.col("role") == r) / BLOCK).cast("int").alias(k) for r, k in ((0, "nown"), (1, "nask"))])
     placed = dealt.join(size.where("nown > 0 AND nask > 0"), ["label", "cell"])
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
@@ -221,7 +232,8 @@ def _linked(own: DataFrame, index: Index, least: float, radius: float, number: s
     placed = placed.withColumn("ob", F.explode(F.when(ask, every("nown")).otherwise(F.array(mine("nown")))))
     placed = placed.select("id", "n", "label", "v", "role", "cell", "code", "err", "ab", "ob")
     search = lambda part: _search(part, Index(*sent.value), least, radius)
-    return placed.groupBy("label", "cell", "ab", "ob").applyInPandas(search, "a long, b long, links long")
+    buckets = max(1, dealt.count() // BUCKET)  # many small blocks to a task's call, whole ones each
+    return placed.groupBy(F.pmod(F.xxhash64("label", "cell", "ab", "ob"), F.lit(buckets)).alias("bucket")).applyInArrow(search, "a long, b long, links long")
 
 
 ORACLE_SQL = """

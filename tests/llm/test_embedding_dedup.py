@@ -48,8 +48,8 @@ def test_against_brute_force(spark, monkeypatch):
 
 def test_probes_are_sufficient():
     rng = np.random.default_rng(0)
-    x = e._unit(list(rng.normal(size=(3000, 8))))
-    y = e._unit(list(x + rng.normal(size=x.shape) * 0.04))
+    x = unit(rng.normal(size=(3000, 8)))
+    y = unit(x + rng.normal(size=x.shape) * 0.04)
     index = e.fit(x, 40)
     cell, codes, err = index.encode(y)
     near = (x * y).sum(1) >= 0.98
