@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash128, map_batches, materialize
+from .common import beside, hash128, map_batches, materialize
 from .components import components
 
 BLOCK = 4096
@@ -224,7 +224,8 @@ def _linked(own: DataFrame, index: Index, least: float, radius: float, number: s
 
     dealt = materialize(map_batches(own.select("id", "n", "label", "v"), deal, schema), "dealt")
     size = dealt.groupBy("label", "cell").agg(*[F.ceil(F.count_if(F.col("role") == r) / BLOCK).cast("int").alias(k) for r, k in ((0, "nown"), (1, "nask"))])
-    placed = dealt.join(size.where("nown > 0 AND nask > 0"), ["label", "cell"])
+    size = materialize(size.where("nown > 0 AND nask > 0"), "sizes")  # a row for each label and cell
+    placed = dealt.join(beside(size), ["label", "cell"])
     mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     ask = F.col("role") == 1
