@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, embedding_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity, warc
+from . import collocations, decontaminate, embedding_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, spellings, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_collocations": op11_collocations,
+    "op12_spellings": op12_spellings,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +86,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "op11_collocations": collocations.ORACLE_SQL,
+    "op12_spellings": spellings.ORACLE_SQL,
 }
