@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, decontaminate, embedding_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, spellings, substring_dedup, toxicity, warc
+from . import collocations, decontaminate, embedding_dedup, jaccard_join, language, line_dedup, packing, quality, secret_scan, spellings, substring_dedup, toxicity, warc
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op12_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spellings.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embedding_dedup": op10_embedding_dedup,
     "op11_collocations": op11_collocations,
     "op12_spellings": op12_spellings,
+    "op13_language": op13_language,
 }
 
 ORACLE_SQL: dict[str, str] = {
