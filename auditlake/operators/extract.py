@@ -1,51 +1,48 @@
-"""Facts from source text, line by line, with built-in functions.
+"""Facts from source text with built-in functions.
 
-Lines are exploded once; imports, definitions, calls, routes and suppression comments are regular expressions
-over a line, by language. A line belongs to the last definition and the last route above it in its file:
-window functions give handler bodies without a syntax tree. This is coarser than a parser: calls that span lines
-and unusual layouts can be missed. Only the syntax check of Python files runs Python.
+Comments are masked first (`structure`). Imports are expressions over lines, by language; calls and most routes are brackets with a
+name before them and their group after, whatever lines they stand on. A call belongs to the innermost function around it, a
+handler ends where its brackets or its function do. Only the syntax check of Python files runs Python.
 """
 
 from __future__ import annotations
 
 import ast
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-KEYWORDS = ["if", "for", "while", "switch", "catch", "function", "return", "def", "func", "elif", "and", "or", "not", "print", "require", "import", "array", "isset", "class", "with", "await", "async", "new"]
-CALL = r"([A-Za-z_$][\w$]*(?:(?:\.|->|::|\\)[A-Za-z_$][\w$]*)*)\s*\("
+from ..functions.scalars import basename, webhookish
+from . import structure
+
 IMPORT = {
     "js": [r"^\s*import\s+(.*?)\s*from\s+['\"]([^'\"]+)['\"]", r"(?:const|let|var)\s+(\{[^}]*\}|\w+)\s*=\s*(?:await\s+)?(?:require|import)\(\s*['\"]([^'\"]+)['\"]"],
     "py": [r"^\s*from\s+(?<m>[\w.]+)\s+import\s+([^#]+)", r"^\s*import\s+([\w.]+)()"],
     "php": [r"^\s*use\s+()([\w\\]+)"],
     "go": [r"^\s*(?:import\s+)?(\w*)\s*\"([\w./-]+)\"\s*$"],
 }
-DEFINITION = {
-    "js": r"(?:function\s*\*?\s+|(?:const|let|var)\s+)([A-Za-z_$][\w$]*)(?:\s*\(|\s*=\s*(?:async\s*)?(?:function|\([^)]*\)\s*(?::[^=]*)?=>|\w+\s*=>))",
-    "py": r"^\s*(?:async\s+)?def\s+(\w+)",
-    "php": r"function\s+(\w+)",
-    "go": r"^func\s+(?:\([^)]*\)\s*)?(\w+)",
-}
-# framework, language, what a file must import (or else None), expression of a line, group of the verb, group of the route, only webhook paths
+# framework, language, what a file must import (or else None), expression of the callee with the verb, only webhook paths
 ROUTES = [
-    ("express", "js", None, r"\.(post|put|patch|delete|all)\(\s*['\"`]([^'\"`]+)['\"`]", 1, 2, True),
-    ("fastapi", "py", "fastapi", r"@\w+\.(post|put|patch|delete)\(\s*['\"]([^'\"]+)['\"]", 1, 2, False),
-    ("flask", "py", "flask", r"@\w+\.route\(\s*['\"]([^'\"]+)['\"].*methods\s*=\s*[\[(].*?['\"](POST|PUT|PATCH|DELETE)", 2, 1, True),
-    ("django", "py", "django", r"\b(?:re_)?path\(()\s*r?['\"]([^'\"]*hook[^'\"]*)['\"]", 1, 2, False),
-    ("laravel", "php", "Illuminate\\", r"Route::(\w+)\(\s*['\"]([^'\"]+)['\"]", 1, 2, True),
-    ("slim", "php", "Slim\\", r"\$app->(post|put|patch|delete|get)\(\s*['\"]([^'\"]+)['\"]", 1, 2, True),
-    ("symfony", "php", "Symfony\\", r"#\[Route\(()\s*['\"]([^'\"]+)['\"]", 1, 2, False),
-    ("chi", "go", "github.com/go-chi/chi", r"\.(Post|Put|Patch|Delete)\(\s*\"([^\"]+)\"", 1, 2, False),
-    ("gin", "go", "github.com/gin-gonic/gin", r"\.(POST|PUT|PATCH|DELETE)\(\s*\"([^\"]+)\"", 1, 2, False),
-    ("echo", "go", "github.com/labstack/echo", r"\.(POST|PUT|PATCH|DELETE)\(\s*\"([^\"]+)\"", 1, 2, False),
-    ("net/http", "go", "net/http", r"HandleFunc\(()\s*\"([^\"]+)\"", 1, 2, False),
-    ("fastify", "js", "fastify", r"\.route\(\s*\{.*?method:\s*['\"](POST|PUT|PATCH|DELETE)['\"].*?url:\s*['\"]([^'\"]+)['\"]", 1, 2, True),
-    ("fastify", "js", "fastify", r"\.route\(\s*\{.*?url:\s*['\"]([^'\"]+)['\"].*?method:\s*['\"](POST|PUT|PATCH|DELETE)['\"]", 2, 1, True),
-    # methods of workflow nodes, which the framework calls at a path of its own
-    ("express", "js", "n8n-workflow", r"^\s*(?:async\s+)?()(webhook)\s*\([^)]*\)[^;]*\{", 1, 2, False),
+    ("express", "js", None, r"\.(post|put|patch|delete|all)$", True),
+    ("fastapi", "py", "fastapi", r"^@[\w.]+\.(post|put|patch|delete)$", False),
+    ("django", "py", "django", r"^(?:re_)?path()$", False),
+    ("laravel", "php", "Illuminate\\", r"^Route::(\w+)$", True),
+    ("slim", "php", "Slim\\", r"^\$app->(post|put|patch|delete|get)$", True),
+    ("symfony", "php", "Symfony\\", r"^#\[Route()$", False),
+    ("chi", "go", "github.com/go-chi/chi", r"\.(Post|Put|Patch|Delete)$", False),
+    ("gin", "go", "github.com/gin-gonic/gin", r"\.(POST|PUT|PATCH|DELETE)$", False),
+    ("echo", "go", "github.com/labstack/echo", r"\.(POST|PUT|PATCH|DELETE)$", False),
+    ("net/http", "go", "net/http", r"(?:^|\.)HandleFunc()$", False),
 ]
+VERBS = "POST|PUT|PATCH|DELETE"
+LITERAL = r"(?s)^\s*r?(['\"`])(.*)\1\s*$"
+# what may stand before the name of a statement that is a call
+STATEMENT = r"(?:^|\n)\s*(?:[A-Za-z_$][\w$]*|\?|\.|\s)*$"
+# methods of workflow nodes, which the framework calls at a path of its own
+NODE = ("express", "n8n-workflow", r"^\s*(?:async\s+)?webhook\s*\([^)]*\)[^;]*\{")
 # PHP files without a framework are handlers if a line reads a request or signs one
 PHP_FRAMEWORKS = ["Illuminate\\", "Symfony\\", "Slim\\"]
 PHP_SIGNALS = r"file_get_contents\(\s*['\"]php://input|\bhash_hmac\(|\bgetallheaders\(|\$_SERVER\[\s*['\"]HTTP_\w*SIGNATURE"
@@ -60,6 +57,23 @@ FILE_ROUTES = [
 SUPPRESS = r"(?://|#|/\*)\s*audit-(disable-next-line|disable-line|disable|enable)\s+([\w/, -]+/[\w/, -]+)"
 
 
+@dataclass
+class Texts:
+    """Source files taken apart: masked lines, brackets, functions (`structure`)."""
+
+    rows: DataFrame
+    toks: DataFrame
+    functions: DataFrame
+
+
+def texts(files: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, _: df) -> Texts:
+    """``files`` (file_path, language, text) without what comments hide. keep: what to do with tables that are read several times."""
+    plain = files.select("file_path", "language", structure.masked(F.col("text"), F.col("language")).alias("text"))
+    plain = keep(plain, "masked")
+    rows, toks = lines(plain), keep(structure.tokens(plain), "tokens")
+    return Texts(rows, toks, keep(structure.functions(toks, rows), "functions"))
+
+
 def lines(files: DataFrame) -> DataFrame:
     """(file_path, language, line, code) of (file_path, language, text), from line 1."""
     return files.select("file_path", "language", F.posexplode(F.split("text", "\r?\n", -1)).alias("p", "code")).select("file_path", "language", (F.col("p") + 1).alias("line"), "code")
@@ -137,31 +151,34 @@ def imports(rows: DataFrame) -> DataFrame:
     return hits.select("file_path", F.explode(bound).alias("b"), "to_module", F.col("line").alias("ord")).select("file_path", "b.local", "to_module", "ord", "b.name")
 
 
-def symbols(rows: DataFrame) -> DataFrame:
-    """(file_path, name, start, exported, real): definitions by line; `default` is one more name of a file's default export,
-    whose own one is real.
+def symbols(functions: DataFrame) -> DataFrame:
+    """(file_path, name, start, end, exported, real): functions by name; a method is also `Class.method`, and a file's default export also
+    `default`, both with their own name as the real one.
 
     exported: with `export` in JavaScript, capitalised in Go, all others.
     """
-    name = _by_language(F.col("language"), {k: F.regexp_extract("code", p, 1) for k, p in DEFINITION.items()})
-    exported = F.when(F.col("language") == "js", F.col("code").rlike(r"^\s*export\b")).when(F.col("language") == "go", name.rlike("^[A-Z]")).otherwise(True)
-    default = (F.col("language") == "js") & F.col("code").rlike(r"^\s*export\s+default\s")
-    own = F.filter(F.array(name, F.when(default, "default")), lambda n: n.isNotNull() & (n != ""))
-    real = F.coalesce(F.nullif(name, F.lit("")), F.lit("default"))
-    return rows.select("file_path", F.explode(own).alias("name"), F.col("line").alias("start"), exported.alias("exported"), real.alias("real"))
+    own = F.array_compact(F.array(F.col("name"), F.concat("owner", F.lit("."), "name"), F.when(F.col("default"), F.lit("default"))))
+    found = functions.where("kind <> 'class'").select("file_path", F.explode(F.array_distinct(own)).alias("name"), "start", "end", "exported", F.col("name").alias("real"))
+    return found
 
 
-def calls(rows: DataFrame) -> DataFrame:
-    """(file_path, line, ord, caller, qualified_name[, handler_id]): calls, each within the last definition above it."""
-    name = _by_language(F.col("language"), {k: F.nullif(F.regexp_extract("code", p, 1), F.lit("")) for k, p in DEFINITION.items()})
-    w = Window.partitionBy("file_path").orderBy("line")
-    placed = rows.withColumn("caller", F.coalesce(F.last(name, True).over(w), F.lit("<module>")))
-    code = F.regexp_replace("code", r"^\s*(//|#(?!\[)|\*).*$", "")
-    hmac = F.transform(F.regexp_extract_all(code, F.lit(r"createHmac\(\s*['\"](\w+)['\"]"), F.lit(1)), lambda a: F.concat(F.lit("crypto."), a))
-    found = F.concat(F.regexp_extract_all(code, F.lit(CALL), F.lit(1)), hmac)
-    own = ["handler_id"] if "handler_id" in rows.columns else []
-    each = placed.select("file_path", "line", "caller", *own, F.posexplode(found).alias("k", "qualified_name"))
-    return each.where(~F.col("qualified_name").isin(*KEYWORDS)).select("file_path", "line", (F.col("line") * 1000 + F.col("k")).alias("ord"), "caller", "qualified_name", *own)
+def calls(toks: DataFrame, functions: DataFrame) -> DataFrame:
+    """(file_path, line, ord, caller, qualified_name): calls by place, each within the innermost named function around it.
+
+    toks, functions: as `structure` returns. Definitions are no calls. `createHmac('sha256', ...)` is one of `crypto.sha256` as well.
+    """
+    name = structure.callee()
+    defines = F.col("gap").rlike(r"\b(?:function|def|func|fn|class)\b[\s*&]*[\w$]*\s*(?:<[^<>()]*>)?\s*$")
+    received = (F.col("language") == "go") & (F.col("prev_ch") == ")") & F.col("gap").rlike(r"^\s+\w+\s*$")
+    algorithm = F.when(name.rlike(r"(^|\.)createHmac$"), F.nullif(F.regexp_extract("next_gap", r"^\s*['\"](\w+)['\"]\s*$", 1), F.lit("")))
+    found = toks.where(F.col("ch") == "(").withColumns({"name": name, "algorithm": algorithm}).where(F.col("name").isNotNull() & ~defines & ~received)
+    found = found.where(~F.regexp_replace("name", r"^(@|#\[)", "").isin(*structure.KEYWORDS))
+    methods = structure.ends(toks.where("language = 'js'")).where((F.col("then_ch") == "{") & F.col("then_gap").rlike(r"^\s*(?::[^=;{]*)?$"))
+    found = found.join(methods.select("file_path", "k"), ["file_path", "k"], "left_anti")
+    each = F.array_compact(F.array(F.regexp_replace("name", r"^(@|#\[)", ""), F.concat(F.lit("crypto."), "algorithm")))
+    found = found.select("file_path", "line", "pos", F.explode(each).alias("qualified_name"))
+    placed = structure.enclosing(found, functions.where("kind <> 'class'"), F.col("name"))
+    return placed.select("file_path", "line", F.col("pos").alias("ord"), F.coalesce("around", F.lit("<module>")).alias("caller"), "qualified_name")
 
 
 def middleware(rows: DataFrame, imported: DataFrame) -> DataFrame:
@@ -177,54 +194,88 @@ def middleware(rows: DataFrame, imported: DataFrame) -> DataFrame:
     return out.select("file_path", "name", "import_source", "line", "preserves_raw_body")
 
 
-# by language, what is on the line of every route: one cheap test a line, before all the routes' expressions
-PLAUSIBLE = {
-    "js": r"\.(?:post|put|patch|delete|all|route)\(|^\s*export\s|^\s*Deno\.|\bwebhook\s*\(",
-    "py": r"^\s*@|path\(",
-    "php": r"Route|\$app->|php://input|hash_hmac\(|getallheaders\(|\$_SERVER",
-    "go": r"\.(?:Post|Put|Patch|Delete|POST|PUT|PATCH|DELETE|HandleFunc)\(",
-}
-
-
-def _plausible(language: Column) -> Column:
-    return F.coalesce(_by_language(language, {n: F.col("code").rlike(p) for n, p in PLAUSIBLE.items()}).cast("boolean"), F.lit(False))
-
-
-def routes(rows: DataFrame, imported: DataFrame) -> DataFrame:
-    """(file_path, framework, route, method, line, end_line, code): handlers, each up to the next one in its file; code is
-    the first line of it."""
-    from ..functions.scalars import basename, webhookish
-
-    rows = rows.where(_plausible(F.col("language")))
-    found = []
-    for framework, language, needs, p, verb, path, gated in ROUTES:
-        route = F.regexp_extract("code", p, path)
-        fits = (F.col("language") == language) & F.col("code").rlike(p)
+def _called_routes(toks: DataFrame) -> DataFrame:
+    """(file_path, line, k, decorates, rank, framework, route, method, needs): routes that are calls with a path, over any lines."""
+    name = F.col("name")
+    cheap = F.col("gap").rlike(r"(?i)(?:post|put|patch|delete|all|get|route|path|HandleFunc|Route::\w+)\s*(?:<[^<>()]*>)?\s*$")
+    found = toks.where((F.col("ch") == "(") & cheap).withColumn("name", structure.callee()).where("name IS NOT NULL")
+    literal = F.when(F.col("next_ch").isin(",", ")"), F.regexp_extract("next_gap", LITERAL, 2))
+    # calls whose value is used are no routes of JavaScript
+    alone = (F.col("language") != "js") | (F.col("gap").rlike(STATEMENT) & ~F.regexp_like("gap", F.lit(r"\b(?:await|return|yield|new|throw|typeof)\b")) & (F.contains("gap", F.lit("\n")) | ~F.coalesce(F.col("prev_ch").isin("(", ",", "["), F.lit(False))))
+    found = found.where(alone).withColumn("literal", literal)
+    member = r"(?s)^\s*['\"]?(method|url)['\"]?\s*:\s*['\"`]([^'\"`]*)['\"`]\s*$"
+    own = toks.where(F.col("ch").isin(",", "}") & F.col("gap").rlike(member)).select("file_path", F.col("group").alias("o"), F.regexp_extract("gap", member, 1).alias("key"), F.regexp_extract("gap", member, 2).alias("value"))
+    of = lambda key: F.max(F.when(F.col("key") == key, F.col("value"))).alias(key)
+    own = own.groupBy("file_path", "o").agg(of("method"), of("url"))
+    lists = toks.where(F.col("ch").isin("[", "(") & F.col("gap").rlike(r"\bmethods\s*=\s*$")).select("file_path", F.col("group").alias("k"), F.col("k").alias("l"))
+    verb = rf"^\s*['\"]({VERBS})['\"]\s*$"
+    verbs = toks.where(F.col("ch").isin(",", "]", ")") & F.col("gap").rlike(verb)).select("file_path", F.col("group").alias("l"), F.col("k").alias("at"), F.regexp_extract("gap", verb, 1).alias("verb"))
+    verbs = lists.join(verbs, ["file_path", "l"]).groupBy("file_path", "k").agg(F.min_by("verb", "at").alias("verb"))
+    routed = F.endswith(name, F.lit(".route"))
+    found = found.withColumn("o", F.when(routed & (F.col("next_ch") == "{"), F.col("k") + 1)).join(own, ["file_path", "o"], "left").join(verbs, ["file_path", "k"], "left")
+    kind = lambda framework, route, method, needs: F.struct(F.lit(framework).alias("framework"), route.alias("route"), method.alias("method"), F.lit(needs).cast("string").alias("needs"))
+    hits = []
+    for framework, language, needs, p, gated in ROUTES:
+        route = F.col("literal")
+        fits = (F.col("language") == language) & name.rlike(p) & (route != "")
         fits = fits & webhookish(route) if gated else fits
-        found.append(F.when(fits, F.struct(F.lit(framework).alias("framework"), route.alias("route"), F.regexp_extract("code", p, verb).alias("method"), F.lit(needs).cast("string").alias("needs"))))
+        fits = fits & F.contains(route, F.lit("hook")) if framework == "django" else fits
+        hits.append(F.when(fits, kind(framework, route, F.regexp_extract(name, p, 1), needs)))
+    flask = (F.col("language") == "py") & F.startswith(name, F.lit("@")) & routed & F.col("verb").isNotNull() & webhookish(F.col("literal"))
+    hits.append(F.when(flask, kind("flask", F.col("literal"), F.col("verb"), "flask")))
+    fastify = (F.col("language") == "js") & routed & F.col("method").rlike(f"^({VERBS})$") & webhookish(F.col("url"))
+    hits.append(F.when(fastify, kind("fastify", F.col("url"), F.col("method"), "fastify")))
+    decorates = name.rlike("^[@#]")
+    return found.select("file_path", "line", "k", decorates.alias("decorates"), F.posexplode(F.array_compact(F.array(*hits))).alias("rank", "r")).select("file_path", "line", "k", "decorates", "rank", "r.*")
+
+
+# by language, what is on the line of every other route
+PLAUSIBLE = {"js": r"^\s*export\s|^\s*Deno\.|\bwebhook\s*\(", "php": r"php://input|hash_hmac\(|getallheaders\(|\$_SERVER"}
+
+
+def _line_routes(rows: DataFrame) -> DataFrame:
+    """(file_path, line, rank, framework, route, method, needs): routes by a file's place or a line of it."""
+    plausible = F.coalesce(_by_language(F.col("language"), {n: F.col("code").rlike(p) for n, p in PLAUSIBLE.items()}).cast("boolean"), F.lit(False))
+    kind = lambda framework, route, method, needs=None: F.struct(F.lit(framework).alias("framework"), route.alias("route"), method.alias("method"), F.lit(needs).cast("string").alias("needs"))
+    js, code = F.col("language") == "js", F.col("code")
+    found = [F.when(js & code.rlike(NODE[2]), kind(NODE[0], F.lit("/webhook"), F.lit(""), NODE[1]))]
     for framework, path, p in FILE_ROUTES:
-        fits = (F.col("language") == "js") & F.col("file_path").rlike(path) & F.col("code").rlike(p)
         route = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace("file_path", r"^.*?(app/routes|pages|app)/", ""), r"(/route|/index)?\.\w+$", ""))
-        found.append(F.when(fits, F.struct(F.lit(framework).alias("framework"), route.alias("route"), F.regexp_extract("code", p, 1).alias("method"), F.lit(None).cast("string").alias("needs"))))
-    php = (F.col("language") == "php") & F.col("code").rlike(PHP_SIGNALS)
-    at = F.concat(F.lit("/"), basename(F.col("file_path")))
-    found.append(F.when(php, F.struct(F.lit("vanilla-php").alias("framework"), at.alias("route"), F.lit("").alias("method"), F.lit(None).cast("string").alias("needs"))))
-    hits = rows.select("file_path", "line", "code", F.posexplode(F.array_compact(F.array(*found))).alias("rank", "r")).select("file_path", "line", "code", "rank", "r.*")
+        found.append(F.when(js & F.col("file_path").rlike(path) & code.rlike(p), kind(framework, route, F.regexp_extract("code", p, 1))))
+    found.append(F.when((F.col("language") == "php") & code.rlike(PHP_SIGNALS), kind("vanilla-php", F.concat(F.lit("/"), basename(F.col("file_path"))), F.lit(""))))
+    hits = rows.where(plausible).select("file_path", "line", F.posexplode(F.array_compact(F.array(*found))).alias("rank", "r"))
+    return hits.select("file_path", "line", (F.col("rank") + len(ROUTES) + 2).alias("rank"), "r.*")
+
+
+def routes(rows: DataFrame, toks: DataFrame, functions: DataFrame, imported: DataFrame) -> DataFrame:
+    """(file_path, framework, route, method, line, end_line): handlers, each to the end of its brackets or of its function, else up
+    to the next one in its file."""
+    called, other = _called_routes(toks), _line_routes(rows)
+    closed = structure.ends(toks).select("file_path", "k", "end_line")
+    called = called.join(closed, ["file_path", "k"], "left")
+    # a decorated function is the next one; one that a line exports begins there
+    next_one = F.last("end", True).over(Window.partitionBy("file_path").orderBy(F.desc("line"), "own"))
+    begun = functions.where("kind <> 'class'").groupBy("file_path", F.col("start").alias("line")).agg(F.max("end").alias("end"))
+    both = called.withColumns({"own": F.lit(1), "end": F.lit(None).cast("int")}).unionByName(begun.withColumn("own", F.lit(0)), allowMissingColumns=True)
+    called = both.withColumn("next_end", next_one).where("own = 1").withColumn("end_line", F.when(F.col("decorates"), F.coalesce("next_end", "end_line")).otherwise(F.col("end_line")))
+    top = toks.where(F.col("ch").isin("(", "{")).groupBy("file_path", "line").agg(F.min("k").alias("k")).join(closed, ["file_path", "k"]).drop("k")
+    other = other.join(begun, ["file_path", "line"], "left").join(top, ["file_path", "line"], "left").withColumn("end_line", F.coalesce("end", "end_line")).drop("end")
+    hits = called.drop("k", "decorates", "own", "end", "next_end").unionByName(other)
     modules = imported.groupBy("file_path").agg(F.collect_set("to_module").alias("modules"))  # of one file
     hits = hits.join(modules, "file_path", "left").withColumn("modules", F.coalesce("modules", F.array().cast("array<string>")))
     hits = hits.where(F.col("needs").isNull() | F.exists("modules", lambda m: F.startswith(m, F.col("needs"))))
     framed = F.exists("modules", lambda m: m.rlike("^(" + "|".join(p.replace("\\", "\\\\") for p in PHP_FRAMEWORKS) + ")"))
-    hits = hits.where((F.col("framework") != "vanilla-php") | ~framed)
-    hits = hits.withColumn("route", F.when(F.col("needs") == "n8n-workflow", "/webhook").otherwise(F.col("route")))
+    plain = F.col("framework") == "vanilla-php"
+    hits = hits.where(~plain | ~framed)
     # hono and fastify routes look like express; the import tells
     own = F.filter("modules", lambda m: m.isin("hono", "fastify"))
     framework = F.when((F.col("framework") == "express") & (F.size(own) > 0), F.array_max(own)).otherwise(F.col("framework"))
-    first = Window.partitionBy("file_path", F.when(F.col("framework") == "vanilla-php", 0).otherwise(F.col("line"))).orderBy("line", "rank")
-    hits = hits.withColumns({"framework": framework, "k": F.row_number().over(first)}).where("k = 1")  # one of a line, or of a plain PHP file
+    first = Window.partitionBy("file_path", F.when(plain, 0).otherwise(F.col("line"))).orderBy("line", "rank")
+    hits = hits.withColumns({"framework": framework, "n": F.row_number().over(first)}).where("n = 1")  # one of a line, or of a plain PHP file
     w = Window.partitionBy("file_path").orderBy("line")
     method = F.upper(F.when(F.col("method").isin("", "all"), "post").otherwise(F.col("method")))
-    end = F.coalesce(F.lead("line").over(w) - 1, F.lit(2**31 - 1))
-    return hits.select("file_path", "framework", "route", method.alias("method"), "line", end.alias("end_line"), "code")
+    end = F.coalesce(F.when(~F.col("framework").isin("vanilla-php"), F.col("end_line")), F.lead("line").over(w) - 1, F.lit(2**31 - 1))
+    return hits.select("file_path", "framework", "route", method.alias("method"), "line", end.alias("end_line"))
 
 
 def placed(rows: DataFrame, handlers: DataFrame) -> DataFrame:

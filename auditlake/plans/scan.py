@@ -45,20 +45,23 @@ def scan(
     if only:
         packs.for_providers(providers, only, providers)
     errors = written(extract.parse_errors(files), "errors")
-    raw = extract.lines(files.join(errors, "file_path", "left_anti"))
-    imported = written(extract.imports(raw), "imports")
+    parsed = files.join(errors, "file_path", "left_anti")
+    text = extract.texts(parsed, written)
+    imported = written(extract.imports(text.rows), "imports")
     key = x.handler_id(F.col("file_path"), F.col("route"), F.array("method"), F.lit(None).cast("string"))
-    handlers = extract.routes(raw, imported).withColumn("handler_id", key).dropDuplicates(["handler_id"])
+    handlers = extract.routes(text.rows, text.toks, text.functions, imported).withColumn("handler_id", key).dropDuplicates(["handler_id"])
     handlers = written(handlers, "handlers")
-    rows = written(extract.placed(raw, handlers), "lines")  # each line with its handler: nothing joins lines by range
-    calls = written(joins.import_sources(extract.calls(rows), imported), "calls")
+    rows = written(extract.placed(text.rows, handlers), "lines")  # each line with its handler: nothing joins lines by range
+    handlers = handlers.join(rows.select("file_path", "line", "code"), ["file_path", "line"])
+    called = extract.calls(text.toks, text.functions).join(rows.select("file_path", "line", "handler_id"), ["file_path", "line"])
+    calls = written(joins.import_sources(called, imported), "calls")
 
     lines = F.transform(F.array_sort(F.collect_list(F.struct("line", "code"))), lambda s: s["code"])
     body = rows.where("handler_id IS NOT NULL").groupBy("handler_id", "file_path").agg(F.first("language").alias("language"), F.array_join(lines, "\n").alias("text"))
     body = written(body, "bodies")
     evidence = _evidence(handlers, body, imported, providers)
     own = calls.where("handler_id IS NOT NULL")
-    reached = written(_reachable(own, calls, extract.symbols(rows), imported, files, depth), "reachable")
+    reached = written(_reachable(own, calls, extract.symbols(text.functions), imported, files, depth), "reachable")
     sdk = cat.dimension(providers, "packages", "package").select("provider", "package")
     named = cat.dimension(providers, "calls", "call").select("provider", "call")
     verified = joins.verify_calls(reached, named, sdk).unionByName(joins.native_verify_calls(body, imported, named, sdk))
@@ -85,7 +88,7 @@ def scan(
     hashed = x.line_hash(F.col("rule_id"), F.col("file_path"), F.lit("handler"), F.col("code"))
     found = found.withColumn("line_hash", hashed).withColumn("finding_id", x.finding_id(F.col("rule_id"), F.col("handler_id"), F.col("file_path"), F.col("line_hash")))
     found = found.withColumn("snippet", x.redacted(x.first_line(F.col("code")), ["whsec_", "sk_", "ghp_", "ghs_", "github_pat_"])).drop("code").withColumn("col", F.lit(1))
-    found = _suppressed(found, rows, ignore, baseline)
+    found = _suppressed(found, rows, extract.lines(parsed.where(F.contains("text", F.lit("audit-")))), ignore, baseline)
     parsed = files.select("file_path").join(errors.select("file_path", F.lit(False).alias("p")), "file_path", "left").select("file_path", F.coalesce("p", F.lit(True)).alias("parsed"))
     return Scan(handlers.drop("code"), evidence, reached, written(found, "findings"), parsed)
 
@@ -172,9 +175,9 @@ def _reachable(own: DataFrame, calls: DataFrame, symbols: DataFrame, imported: D
     return every.groupBy("handler_id", "qualified_name").agg(F.min_by("import_source", "hops").alias("import_source"), F.min("hops").alias("hops"))
 
 
-def _suppressed(found: DataFrame, rows: DataFrame, ignore: DataFrame | None, baseline: DataFrame | None) -> DataFrame:
+def _suppressed(found: DataFrame, rows: DataFrame, marked: DataFrame, ignore: DataFrame | None, baseline: DataFrame | None) -> DataFrame:
     last = rows.groupBy("file_path").agg(F.max("line").alias("last_line"))
-    inline = ordered.suppressed_lines(extract.suppressions(rows), last).withColumn("inline", F.lit("comment"))
+    inline = ordered.suppressed_lines(extract.suppressions(marked), last).withColumn("inline", F.lit("comment"))
     found = found.join(inline, ["file_path", "rule_id", "line"], "left")
     found = joins.ignored(found, ignore) if ignore is not None else found.withColumn("ignore_pattern", F.lit(None).cast("string"))
     found = joins.with_baseline(found, baseline) if baseline is not None else found.withColumns({"baselined": F.lit(False), "drifted": F.lit(False)})

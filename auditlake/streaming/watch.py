@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import extract
 from ..sources import files as source
+from ..sources.tables import written
 
 
 def arriving(spark: SparkSession, root: str) -> DataFrame:
@@ -27,7 +28,7 @@ def watch(files: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
     """Write the handlers of each micro-batch of files to ``sink``/batch=N."""
 
     def batch(df: DataFrame, number: int) -> None:
-        rows = extract.lines(df)
-        extract.routes(rows, extract.imports(rows)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        text = extract.texts(df, written)
+        extract.routes(text.rows, text.toks, text.functions, extract.imports(text.rows)).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -217,7 +217,7 @@ def test_calls_follow_aliases_and_default_exports(spark):
     }
     got = states(scan.scan(files.given(spark, sources)).findings)
     assert got["a.ts", "stripe/library-verified"] == got["b.ts", "stripe/library-verified"] == "verified"
-    symbols = extract.symbols(extract.lines(files.given(spark, sources | {"m.go": "func Get() {\nfunc get() {\n"})))
+    symbols = extract.symbols(extract.texts(files.given(spark, sources | {"m.go": "func Get() {}\nfunc get() {}\n"})).functions)
     assert {(r["name"], r["exported"]) for r in symbols.collect()} == {("check", True), ("other", True), ("default", True), ("Get", True), ("get", False)}
 
 
