@@ -39,7 +39,7 @@ _LOW = np.uint64(0xFFFFFFFF)
 def _normal(text: str) -> bytes:
     """A-Z lowered, single spaces, and a line feed between spaces where a piece ends."""
     plain = text.encode().lower().translate(_ENDS).replace(b"\n", b" \n ")
-    return re.sub(rb" +", b" ", b" \n " + plain + b" ")
+    return re.sub(rb" {2,}", b" ", b" \n " + plain + b" ")
 
 
 def _slices(texts: list[str]) -> Iterator[bytes]:
@@ -177,11 +177,14 @@ def _matches(texts: list[str], heavy: np.ndarray, buckets: int) -> Counter:
             wanted += [(words.phrase(i, k), k) for i in at[first].tolist()]
         whole = text.decode()
         for lo in range(0, len(wanted), PATTERNS):
-            automaton = ahocorasick.Automaton()
-            for phrase, k in wanted[lo : lo + PATTERNS]:
-                automaton.add_word(f" {phrase} ", (phrase, k))
+            automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            own = wanted[lo : lo + PATTERNS]
+            for i, (phrase, _) in enumerate(own):
+                automaton.add_word(f" {phrase} ", i)
             automaton.make_automaton()
-            found.update(map(itemgetter(1), automaton.iter(whole)))
+            counts = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(whole)), np.int64), minlength=len(own))
+            for key, n in zip(own, counts.tolist()):
+                found[key] += n
     return found
 
 
