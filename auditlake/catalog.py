@@ -45,15 +45,17 @@ PROVIDERS = [
         "sha256", "timestamp_dot_body", 300,
     ),
 ]
-#: Headers that any authenticated route reads; they name no provider.
+# Headers that any authenticated route reads; they name no provider.
 GENERIC_HEADERS = ["authorization", "content-type", "accept", "user-agent", "host", "cookie"]
-# Calls with effects that a forged request must not reach: stores, other hosts, events, messages.
+# Calls with effects that a forged request must not reach: stores, other hosts, events.
 SIDE_EFFECTS = [
     "prisma.user.create", "prisma.user.update", "prisma.user.delete", "prisma.event.create", "prisma.event.update", "knex.insert", "knex.update",
     "knex.delete", "db.query", "pool.query", "client.query", "drizzle.insert", "drizzle.update", "drizzle.delete", "fetch", "axios.post",
     "axios.put", "axios.delete", "axios.patch", "got.post", "got.put", "got.delete", "emitter.emit", "eventEmitter.emit", "sqs.send", "sns.publish",
-    "kafka.send", "pubsub.publish", "nodemailer.sendMail", "transporter.sendMail", "twilio.messages.create", "sendgrid.send", "mail.send",
+    "kafka.send", "pubsub.publish",
 ]
+# Calls that notify somebody.
+NOTIFICATIONS = ["nodemailer.sendMail", "transporter.sendMail", "twilio.messages.create", "sendgrid.send", "mail.send"]
 # Severities of rule classes where no rule pack says otherwise.
 SEVERITY = {
     "missing-signature-verification": "critical",

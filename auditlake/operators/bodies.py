@@ -6,9 +6,13 @@ file's size limit bounds. Blocks may hold one more level of braces; deeper ones
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import MOST_NEEDLES
+
 # What marks development modes, signature material and a provider's postback.
 DEV_MODES = ["NODE_ENV", "SKIP_VERIFICATION", "SKIP_WEBHOOK_VERIFICATION", "BYPASS_WEBHOOK", "DISABLE_WEBHOOK_VERIFICATION", "STAGE", "ENVIRONMENT", "ENV"]
 SIGNATURE = r"\b(?:sig|signature|hmac|digest|expected|computed|provided)\b"
@@ -25,10 +29,26 @@ ENDS = r"\b(?:return|throw)\b|\bprocess\.(?:exit|abort)\(|\bnext\(|\.(?:status|c
 NUMBER = r"\d+(?:\s*\*\s*\d+)*"
 
 
-def _verify_at(text: Column, calls: Column) -> Column:
-    """Place of the first call of one of ``calls``, from 1; null where there is none."""
-    at = F.transform(calls, lambda c: F.nullif(F.regexp_instr(text, F.concat(F.lit(r"(?<!\w)"), F.replace(c, F.lit("."), F.lit(r"\.")), F.lit(r"\s*\("))), F.lit(0)))
-    return F.array_min(F.filter(at, lambda p: p.isNotNull()))
+def _verify_at(text: Column, calls: dict[str, list[str]]) -> Column:
+    """Place of the first verify call of the row's `provider`, from 1; null where there is none. An expression for each set of
+    calls, compiled once."""
+    out = F.lit(None).cast("int")
+    for pattern, providers in calls.items():
+        out = F.when(F.col("provider").isin(*providers), F.nullif(F.regexp_instr(text, F.lit(pattern)), F.lit(0))).otherwise(out)
+    return out
+
+
+def _patterns(calls: DataFrame) -> dict[str, list[str]]:
+    """Providers by the expression of their verify calls; (provider, calls array) is a catalog, of as many rows as `joins.few` takes."""
+    rows = calls.limit(MOST_NEEDLES + 1).collect()
+    if len(rows) > MOST_NEEDLES:
+        raise ValueError("a catalog has too many providers")
+    out: dict[str, list[str]] = {}
+    for r in rows:
+        if r["calls"]:
+            body = "|".join(re.escape(c) for c in r["calls"])
+            out.setdefault(rf"(?<!\w)(?:{body})\s*\(", []).append(r["provider"])
+    return out
 
 
 def _top(block: Column) -> Column:
@@ -44,7 +64,7 @@ def _seconds(product: Column) -> Column:
 
 def flags(bodies: DataFrame, calls: DataFrame) -> DataFrame:
     """(handler_id, go_hmac, go_equal, go_compares, php_hmac, php_equals, php_compares, js_compares, bypasses, swallows,
-    window, env_window, postback, rsa, checked, ed25519), a row for each of ``bodies`` (handler_id, provider, language, text).
+    window, env_window, equality, postback, rsa, checked, ed25519), a row for each of ``bodies`` (handler_id, provider, language, text).
 
     calls: (provider, calls array), the verify calls of each provider. window: the largest tolerance that a comparison or
     a fourth argument of a verify call names, in seconds; null where there is none.
@@ -52,9 +72,8 @@ def flags(bodies: DataFrame, calls: DataFrame) -> DataFrame:
     text = F.col("text")
     js, php, go = (F.col("language") == n for n in ("js", "php", "go"))
     has = lambda p: text.rlike(p)
-    rows = bodies.join(F.broadcast(calls), "provider", "left")  # a row for each provider, counted by the caller
-    own = F.coalesce("calls", F.array().cast("array<string>"))
-    rows = rows.withColumn("at", _verify_at(text, own))
+    own = _patterns(calls)
+    rows = bodies.withColumn("at", _verify_at(text, own))
     before = F.when(F.col("at").isNull(), text).otherwise(F.substr(text, F.lit(1), F.col("at") - 1))
     blocks = F.regexp_extract_all(before, F.lit(rf"{DEV_IF}\{{({INNER})\}}"), F.lit(1))
     answers = F.exists(blocks, lambda b: _top(b).rlike(rf"(?m)(?:^|;)\s*{ANSWER}")) | before.rlike(DEV_IF + ANSWER)
@@ -62,7 +81,7 @@ def flags(bodies: DataFrame, calls: DataFrame) -> DataFrame:
     catches = F.regexp_extract_all(text, F.lit(rf"\btry\s*\{{{INNER}\}}\s*catch\s*(?:\([^)]*\))?\s*\{{({INNER})\}}"), F.lit(1))
     swallowed = F.exists(F.arrays_zip(tries.alias("t"), catches.alias("c")), lambda z: _verify_at(z["t"], own).isNotNull() & ~_top(z["c"]).rlike(ENDS))
     compared = F.transform(F.regexp_extract_all(text, F.lit(rf">=?\s*({NUMBER})(?![\w.])"), F.lit(1)), _seconds)
-    given = F.transform(F.regexp_extract_all(text, F.lit(rf"\w\(\s*[^(),]+,\s*[^(),]+(?:\([^()]*\))?\s*,\s*[^(),]+,\s*({NUMBER})\s*\)"), F.lit(1)), lambda x: F.when(F.col("at").isNotNull(), _seconds(x)))
+    given = F.transform(F.regexp_extract_all(text, F.lit(rf"\w\([^(),]++,[^(),]++(?:\([^()]*+\))?\s*+,[^(),]++,\s*+({NUMBER})\s*+\)"), F.lit(1)), lambda x: F.when(F.col("at").isNotNull(), _seconds(x)))
     return rows.select(
         "handler_id",
         (go & has(r"\bhmac\.New\(")).alias("go_hmac"),
@@ -76,6 +95,7 @@ def flags(bodies: DataFrame, calls: DataFrame) -> DataFrame:
         F.when(js & F.contains(text, F.lit("catch")), swallowed).otherwise(False).alias("swallows"),
         F.when(js, F.array_max(F.concat(compared, given))).alias("window"),
         (js & has(r"process\.env[^\n]*>|>[^\n]*process\.env") & has(r"\bDate\.now\b")).alias("env_window"),
+        has(r"[!=]==?|\.(?:equals|compare)\s*\(").alias("equality"),
         has(POSTBACK).alias("postback"),
         has(LOCAL_RSA).alias("rsa"),
         ((has(STATUS) & has(SUCCESS)) | has(IN_CONDITION)).alias("checked"),

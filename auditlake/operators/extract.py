@@ -28,7 +28,7 @@ IMPORT = {
 ROUTES = [
     ("express", "js", None, r"\.(post|put|patch|delete|all)$", True),
     ("fastapi", "py", "fastapi", r"^@[\w.]+\.(post|put|patch|delete)$", False),
-    ("django", "py", "django", r"^(?:re_)?path()$", False),
+    ("django", "py", None, r"^(?:re_)?path()$", False),
     ("laravel", "php", "Illuminate\\", r"^Route::(\w+)$", True),
     ("slim", "php", "Slim\\", r"^\$app->(post|put|patch|delete|get)$", True),
     ("symfony", "php", "Symfony\\", r"^#\[Route()$", False),
@@ -163,7 +163,7 @@ def symbols(functions: DataFrame) -> DataFrame:
 
 
 def calls(toks: DataFrame, functions: DataFrame) -> DataFrame:
-    """(file_path, line, ord, caller, qualified_name): calls by place, each within the innermost named function around it.
+    """(file_path, line, k, ord, caller, qualified_name): calls by place, each within the innermost named function around it.
 
     toks, functions: as `structure` returns. Definitions are no calls. `createHmac('sha256', ...)` is one of `crypto.sha256` as well.
     """
@@ -176,9 +176,9 @@ def calls(toks: DataFrame, functions: DataFrame) -> DataFrame:
     methods = structure.ends(toks.where("language = 'js'")).where((F.col("then_ch") == "{") & F.col("then_gap").rlike(r"^\s*(?::[^=;{]*)?$"))
     found = found.join(methods.select("file_path", "k"), ["file_path", "k"], "left_anti")
     each = F.array_compact(F.array(F.regexp_replace("name", r"^(@|#\[)", ""), F.concat(F.lit("crypto."), "algorithm")))
-    found = found.select("file_path", "line", "pos", F.explode(each).alias("qualified_name"))
+    found = found.select("file_path", "line", "k", "pos", F.explode(each).alias("qualified_name"))
     placed = structure.enclosing(found, functions.where("kind <> 'class'"), F.col("name"))
-    return placed.select("file_path", "line", F.col("pos").alias("ord"), F.coalesce("around", F.lit("<module>")).alias("caller"), "qualified_name")
+    return placed.select("file_path", "line", "k", F.col("pos").alias("ord"), F.coalesce("around", F.lit("<module>")).alias("caller"), "qualified_name")
 
 
 def middleware(rows: DataFrame, imported: DataFrame) -> DataFrame:
@@ -195,7 +195,7 @@ def middleware(rows: DataFrame, imported: DataFrame) -> DataFrame:
 
 
 def _called_routes(toks: DataFrame) -> DataFrame:
-    """(file_path, line, k, decorates, rank, framework, route, method, needs): routes that are calls with a path, over any lines."""
+    """(file_path, line, k, decorates, router, rank, framework, route, method, needs): routes that are calls with a path, over any lines."""
     name = F.col("name")
     cheap = F.col("gap").rlike(r"(?i)(?:post|put|patch|delete|all|get|route|path|HandleFunc|Route::\w+)\s*(?:<[^<>()]*>)?\s*$")
     found = toks.where((F.col("ch") == "(") & cheap).withColumn("name", structure.callee()).where("name IS NOT NULL")
@@ -219,14 +219,40 @@ def _called_routes(toks: DataFrame) -> DataFrame:
         route = F.col("literal")
         fits = (F.col("language") == language) & name.rlike(p) & (route != "")
         fits = fits & webhookish(route) if gated else fits
-        fits = fits & F.contains(route, F.lit("hook")) if framework == "django" else fits
+        if framework == "django":  # a view by its path, in the files that map paths
+            fits = fits & F.lower(route).contains("hook") & F.endswith("file_path", F.lit("urls.py")) & (F.col("next_ch") == ",")
+            route = F.concat(F.lit("/"), F.ltrim(route, F.lit("/")))
         hits.append(F.when(fits, kind(framework, route, F.regexp_extract(name, p, 1), needs)))
     flask = (F.col("language") == "py") & F.startswith(name, F.lit("@")) & routed & F.col("verb").isNotNull() & webhookish(F.col("literal"))
     hits.append(F.when(flask, kind("flask", F.col("literal"), F.col("verb"), "flask")))
     fastify = (F.col("language") == "js") & routed & F.col("method").rlike(f"^({VERBS})$") & webhookish(F.col("url"))
     hits.append(F.when(fastify, kind("fastify", F.col("url"), F.col("method"), "fastify")))
-    decorates = name.rlike("^[@#]")
-    return found.select("file_path", "line", "k", decorates.alias("decorates"), F.posexplode(F.array_compact(F.array(*hits))).alias("rank", "r")).select("file_path", "line", "k", "decorates", "rank", "r.*")
+    more = [name.rlike("^[@#]").alias("decorates"), F.regexp_replace(name, r"^@|\.\w+$", "").alias("router")]
+    return found.select("file_path", "line", "k", *more, F.posexplode(F.array_compact(F.array(*hits))).alias("rank", "r")).select("file_path", "line", "k", "decorates", "router", "rank", "r.*")
+
+
+def router_prefixes(toks: DataFrame) -> DataFrame:
+    """(router, prefix): what `include_router(router, prefix='...')` of any file puts before a router's paths; the last one wins, by file and place."""
+    calls = toks.where((F.col("language") == "py") & (F.col("ch") == "(") & F.col("gap").rlike(r"\.\s*include_router\s*$")).select("file_path", "k")
+    args = structure.parts(toks.where("language = 'py'").join(calls.select("file_path").distinct(), "file_path", "left_semi")).join(calls, ["file_path", "k"])
+    named = F.col("text").rlike(r"^\w+\s*=(?!=)")
+    prefix = F.nullif(F.regexp_extract("text", r"(?s)^prefix\s*=\s*[rf]?(['\"])(.*)\1$", 2), F.lit(""))
+    each = args.groupBy("file_path", "k").agg(F.min_by("text", F.when(~named, F.col("index"))).alias("router"), F.max(prefix).alias("prefix"))
+    return each.where("router IS NOT NULL AND prefix IS NOT NULL").groupBy("router").agg(F.max_by("prefix", F.struct("file_path", "k")).alias("prefix"))
+
+
+def _class_views(toks: DataFrame, functions: DataFrame, imported: DataFrame) -> DataFrame:
+    """(file_path, line, rank, framework, route, method, end_line): methods of Django's class views, at the first path that any `urls.py` gives the class."""
+    maps = toks.where((F.col("language") == "py") & (F.col("ch") == "(") & F.endswith("file_path", F.lit("urls.py")))
+    literal = F.regexp_extract("next_gap", LITERAL, 2)
+    paths = maps.where(F.col("gap").rlike(r"(?:^|[^\w.])(?:re_)?path\s*$") & (F.col("next_ch") == ",") & (literal != "")).select("file_path", "k", F.concat(F.lit("/"), F.ltrim(literal, F.lit("/"))).alias("route"))
+    view = F.regexp_extract("gap", r"^\s*([\w.]+)\.as_view\s*$", 1)
+    views = maps.where((view != "") & (F.col("prev_ch") == ",") & (F.col("next_ch") == ")") & F.col("next_gap").rlike(r"^\s*$")).select("file_path", (F.col("k") - 2).alias("k"), view.alias("owner"))
+    routed = paths.join(views, ["file_path", "k"]).groupBy("owner").agg(F.min_by("route", F.struct("file_path", "k")).alias("route"))
+    django = imported.where(F.col("to_module").rlike(r"^django(\.|$)")).select("file_path").distinct()
+    methods = functions.where((F.col("language") == "py") & (F.col("kind") == "method") & F.upper("name").rlike(f"^({VERBS})$")).join(django, "file_path", "left_semi")
+    found = methods.join(routed, "owner", "left")
+    return found.select("file_path", F.col("start").alias("line"), F.lit(-1).alias("rank"), F.lit("django").alias("framework"), F.coalesce("route", F.lit("/")).alias("route"), F.upper("name").alias("method"), F.col("end").alias("end_line"))
 
 
 # by language, what is on the line of every other route
@@ -248,8 +274,11 @@ def _line_routes(rows: DataFrame) -> DataFrame:
 
 
 def routes(rows: DataFrame, toks: DataFrame, functions: DataFrame, imported: DataFrame) -> DataFrame:
-    """(file_path, framework, route, method, line, end_line): handlers, each to the end of its brackets or of its function, else up
-    to the next one in its file."""
+    """(file_path, framework, route, method, line, end_line, k): handlers, each to the end of its brackets or of its function, else up
+    to the next one in its file. k: the place of the call that is one, or null.
+
+    A FastAPI router's path follows the prefix that any file includes the router with.
+    """
     called, other = _called_routes(toks), _line_routes(rows)
     closed = structure.ends(toks).select("file_path", "k", "end_line")
     called = called.join(closed, ["file_path", "k"], "left")
@@ -260,7 +289,11 @@ def routes(rows: DataFrame, toks: DataFrame, functions: DataFrame, imported: Dat
     called = both.withColumn("next_end", next_one).where("own = 1").withColumn("end_line", F.when(F.col("decorates"), F.coalesce("next_end", "end_line")).otherwise(F.col("end_line")))
     top = toks.where(F.col("ch").isin("(", "{")).groupBy("file_path", "line").agg(F.min("k").alias("k")).join(closed, ["file_path", "k"]).drop("k")
     other = other.join(begun, ["file_path", "line"], "left").join(top, ["file_path", "line"], "left").withColumn("end_line", F.coalesce("end", "end_line")).drop("end")
-    hits = called.drop("k", "decorates", "own", "end", "next_end").unionByName(other)
+    prefixes = router_prefixes(toks)
+    prefixed = (F.col("framework") == "fastapi") & F.col("prefix").isNotNull()
+    called = called.join(prefixes, "router", "left").withColumn("route", F.when(prefixed, F.concat("prefix", "route")).otherwise(F.col("route")))
+    hits = called.drop("decorates", "router", "prefix", "own", "end", "next_end").unionByName(other.withColumn("k", F.lit(None).cast("int")))
+    hits = hits.unionByName(_class_views(toks, functions, imported).withColumns({"needs": F.lit(None).cast("string"), "k": F.lit(None).cast("int")}))
     modules = imported.groupBy("file_path").agg(F.collect_set("to_module").alias("modules"))  # of one file
     hits = hits.join(modules, "file_path", "left").withColumn("modules", F.coalesce("modules", F.array().cast("array<string>")))
     hits = hits.where(F.col("needs").isNull() | F.exists("modules", lambda m: F.startswith(m, F.col("needs"))))
@@ -275,7 +308,48 @@ def routes(rows: DataFrame, toks: DataFrame, functions: DataFrame, imported: Dat
     w = Window.partitionBy("file_path").orderBy("line")
     method = F.upper(F.when(F.col("method").isin("", "all"), "post").otherwise(F.col("method")))
     end = F.coalesce(F.when(~F.col("framework").isin("vanilla-php"), F.col("end_line")), F.lead("line").over(w) - 1, F.lit(2**31 - 1))
-    return hits.select("file_path", "framework", "route", method.alias("method"), "line", end.alias("end_line"))
+    return hits.select("file_path", "framework", "route", method.alias("method"), "line", end.alias("end_line"), "k")
+
+
+def inline_middleware(toks: DataFrame, routes_: DataFrame, calls_: DataFrame) -> DataFrame:
+    """(file_path, k, index, qualified_name): calls within the inline functions that stand between a route's path and its handler.
+
+    routes_: (file_path, k); calls_: (file_path, k, qualified_name).
+    """
+    own = toks.join(routes_.select("file_path").distinct(), "file_path", "left_semi")
+    args = structure.parts(own).join(routes_.select("file_path", "k"), ["file_path", "k"]).where("index > 0 AND index < n - 1")
+    heads = own.where(F.col("gap").rlike(r"=>") | ((F.col("ch") == "(") & F.col("gap").rlike(r"^\s*(?:async\s+)?function\b"))).select("file_path", F.col("group").alias("k"), F.col("k").alias("at"))
+    args = args.join(heads, ["file_path", "k"]).where("at > after_k AND at <= end_k").select("file_path", "k", "index", "after_k", "end_k").distinct()
+    inner = structure.within(calls_.select("file_path", "k", "qualified_name").join(args.select("file_path").distinct(), "file_path", "left_semi"), args, F.struct("k", "index"))
+    return inner.where("around IS NOT NULL").select("file_path", "around.k", "around.index", "qualified_name").distinct()
+
+
+# Names, and last parts of names, by which a handler hands on what it was sent.
+RAW_BODY = ["req", "request", "rawbody", "rawpayload", "body", "payload"]
+RAW_PARTS = ["body", "rawbody", "text", "arraybuffer", "rawbuffer", "buffer"]
+
+
+def with_raw_body(toks: DataFrame, calls_: DataFrame) -> DataFrame:
+    """Those of ``calls_`` (file_path, k, ...) whose arguments name the request or its body, at any depth, strings aside."""
+    spans = calls_.select("file_path", F.col("k").alias("after_k")).distinct().join(structure.ends(toks).select("file_path", F.col("k").alias("after_k"), "end_k"), ["file_path", "after_k"])
+    code = F.regexp_replace("gap", r"(?s)'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", "")
+    names = code.rlike(rf"(?i)(?<![\w$.])(?:{'|'.join(RAW_BODY)})(?![\w$])|\.\s*(?:{'|'.join(RAW_PARTS)})(?![\w$])")
+    hits = structure.within(toks.join(spans.select("file_path").distinct(), "file_path", "left_semi").select("file_path", "k", names.alias("names")), spans, F.struct(F.col("after_k").alias("call")))
+    hits = hits.where("names AND around IS NOT NULL").select("file_path", F.col("around.call").alias("k")).distinct()
+    return calls_.join(hits, ["file_path", "k"], "left_semi")
+
+
+def callbacks(toks: DataFrame, outer: DataFrame, calls_: DataFrame) -> DataFrame:
+    """``calls_`` (file_path, k, ...) that stand within the arguments of one of ``outer`` (file_path, k), with `around`: that one's place."""
+    spans = outer.select("file_path", F.col("k").alias("after_k")).distinct().join(structure.ends(toks).select("file_path", F.col("k").alias("after_k"), "end_k"), ["file_path", "after_k"])
+    inner = structure.within(calls_.join(spans.select("file_path").distinct(), "file_path", "left_semi"), spans, F.struct(F.col("after_k").alias("k")))
+    return inner.where("around IS NOT NULL").withColumn("around", F.col("around.k"))
+
+
+def delegates(toks: DataFrame, calls_: DataFrame) -> DataFrame:
+    """``calls_`` (file_path, k, import_source, ...) of imported functions whose first argument is the request itself."""
+    first = toks.where((F.col("ch") == "(") & F.col("next_ch").isin(",", ")") & F.col("next_gap").rlike(r"^\s*(?:req|request)\s*$")).select("file_path", "k")
+    return calls_.where("import_source IS NOT NULL").join(first, ["file_path", "k"], "left_semi")
 
 
 def placed(rows: DataFrame, handlers: DataFrame) -> DataFrame:

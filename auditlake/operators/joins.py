@@ -163,6 +163,12 @@ def deferred_to_queue(calls: DataFrame, consumers: DataFrame) -> DataFrame:
     return sends.join(F.broadcast(takes), "backend", "left_semi").select("handler_id", "backend")  # four backends
 
 
+def backends_met(sends: DataFrame, takes: DataFrame) -> DataFrame:
+    """(handler_id, backend): sends (handler_id, qualified_name) to a backend of which some consumer (backend) verifies."""
+    sent = sends.select("handler_id", x.queue_call(F.col("qualified_name"))["backend"].alias("backend")).distinct()
+    return sent.join(F.broadcast(takes.select("backend").distinct()), "backend", "left_semi").select("handler_id", "backend")  # four backends
+
+
 def middleware_before(handlers: DataFrame, uses: DataFrame) -> DataFrame:
     """(handler_id, name, position, ...): a file's middleware above the handler in order, numbered from 0, with what else
     ``uses`` (file_path, name, line, ...) says of it."""

@@ -15,7 +15,7 @@ def before_verify(statements: DataFrame) -> DataFrame:
     statements: (handler_id, ord, class).
     """
     first = F.min(F.when(F.col("class") == "verification", F.col("ord"))).over(Window.partitionBy("handler_id"))
-    return statements.withColumn("first", first).where("class = 'side_effect' AND (first IS NULL OR ord < first)").select("handler_id", "ord")
+    return statements.withColumn("first", first).where("class IN ('side_effect', 'side_effect_t2') AND (first IS NULL OR ord < first)").select("handler_id", "ord")
 
 
 CLASSES = ["neutral", "short_circuit", "side_effect_t2", "side_effect", "verification"]
@@ -29,6 +29,22 @@ def statement_class(calls: DataFrame, sinks: DataFrame) -> DataFrame:
     return each.groupBy("handler_id", "ord").agg(F.max_by("class", x.rank(CLASSES, F.col("class"))).alias("class"))
 
 
+def classified(calls: DataFrame, sinks: DataFrame) -> DataFrame:
+    """(file_path, body_k, ord, class) of what `structure.statements` returns; sinks: (name, class).
+
+    An `if` whose test verifies is a verification, another one that returns at once a short circuit; else the strongest class of the
+    calls in the statement: verification, then effects on stores and other systems, then notifications.
+    """
+    from .joins import few
+
+    each = calls.join(few(sinks), "name", "left").withColumn("class", F.coalesce("class", F.lit("neutral")))
+    best = F.max_by("class", x.rank(CLASSES, F.col("class")))
+    tested = F.bool_or(F.col("tested") & (F.col("class") == "verification"))
+    found = each.groupBy("file_path", "body_k", F.col("statement").alias("ord")).agg(best.alias("class"), tested.alias("tested"), F.bool_or("returns").alias("returns"))
+    state = F.when(F.col("tested"), "verification").when(F.col("returns"), "short_circuit").otherwise(F.col("class"))
+    return found.select("file_path", "body_k", "ord", state.alias("class"))
+
+
 def in_order(middleware: DataFrame, before: str, after: str) -> DataFrame:
     """(handler_id, in_order) of handlers that have both: whether the first `before` is ahead of the first `after`."""
     at = lambda n: F.min(F.when(F.col("name") == n, F.col("position")))

@@ -103,7 +103,7 @@ def features(handlers: DataFrame, reachable: DataFrame, evidence: DataFrame, pro
     return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in dict.fromkeys(flags + ["json_parser", *BODY_FLAGS])})
 
 
-BODY_FLAGS = ["go_hmac", "go_equal", "go_compares", "php_hmac", "php_equals", "php_compares", "js_compares", "bypasses", "swallows", "env_window", "postback", "rsa", "checked", "ed25519"]
+BODY_FLAGS = ["go_hmac", "go_equal", "go_compares", "php_hmac", "php_equals", "php_compares", "js_compares", "bypasses", "swallows", "env_window", "postback", "rsa", "checked", "ed25519", "equality", "delegates"]
 
 
 def _any_of(parts: list[str]) -> str:
@@ -134,7 +134,7 @@ def classes() -> dict[str, Column]:
         "paypal": when(asked & f("checked"), None).when(asked | f("rsa"), unsure).otherwise(not_verified),
         "discord": when(~ed25519, not_verified),
     }
-    by_slot = when(real & ~none & f("hash"), unsure).when(real & ~none, not_verified)
+    by_slot = when(real & ~none & f("delegates"), unsure).when(real & ~none & f("hash") & f("equality"), unsure).when(real & ~none, not_verified)
     for provider, verdict in slots.items():
         by_slot = when(only(provider), verdict).otherwise(by_slot)
     unsafe_go = f("go_hmac") & ~f("go_equal") & f("go_compares")

@@ -184,3 +184,86 @@ def enclosing(points: DataFrame, spans: DataFrame, what: Column) -> DataFrame:
     every = every.withColumn("depth", F.sum("step").over(Window.partitionBy("file_path").orderBy("l", "p", F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)))
     around = F.last("around", True).over(Window.partitionBy("file_path", "depth").orderBy("l", "p", F.desc("step")))
     return every.withColumn("around", F.when(F.col("depth") > 0, around)).where("step = 0").select("point.*", "around")
+
+
+def parts(toks: DataFrame) -> DataFrame:
+    """(file_path, k, index, n, after_k, end_k, text): what the commas of a group part, such as the arguments of a call, in order from 0.
+
+    k: of the opening bracket; n: how many; the part's tokens are those with after_k < k <= end_k; text: null where it has brackets.
+    """
+    closes = F.col("ch").isin(")", "]", "}")
+    w = Window.partitionBy("file_path", "group").orderBy("k")
+    each = toks.where((closes | (F.col("ch") == ",")) & F.col("group").isNotNull()).withColumn("after_k", F.coalesce(F.lag("k").over(w), "group"))
+    text = F.when(F.col("k") == F.col("after_k") + 1, F.regexp_replace("gap", r"^\s+|\s+$", ""))
+    each = each.withColumn("text", text).where(~(closes & F.coalesce(F.col("text") == "", F.lit(False))))  # none, or a trailing comma
+    every = Window.partitionBy("file_path", "group")
+    return each.select(
+        "file_path", F.col("group").alias("k"), (F.row_number().over(w) - 1).alias("index"), F.count("*").over(every).cast("int").alias("n"), "after_k", F.col("k").alias("end_k"), "text"
+    )
+
+
+def within(points: DataFrame, spans: DataFrame, what: Column) -> DataFrame:
+    """`enclosing` by place among a file's tokens: points (file_path, k, ...) in spans (file_path, after_k, end_k, ...) with after_k < k <= end_k."""
+    at = points.withColumns({"line": F.lit(0), "pos": 2 * F.col("k")}) if "line" not in points.columns else points.withColumns({"_line": F.col("line"), "line": F.lit(0), "pos": 2 * F.col("k")})
+    spans = spans.withColumns({"start": F.lit(0), "start_pos": 2 * F.col("after_k") + 1, "end": F.lit(0), "end_pos": 2 * F.col("end_k")})
+    found = enclosing(at, spans, what).drop("pos", "line")
+    return found.withColumnRenamed("_line", "line") if "_line" in found.columns else found
+
+
+def scopes(toks: DataFrame) -> DataFrame:
+    """(file_path, k, after_k, end_k): bodies of functions of any kind, by the bracket that opens them; of an arrow without braces, by its first token."""
+    closed = ends(toks)
+    arrows = toks.where((F.col("ch") == "{") & F.col("gap").rlike(r"=>\s*$")).select("file_path", "k")
+    name = F.regexp_extract("gap", r"([\w$]+)\s*$", 1)
+    heads = toks.where((F.col("ch") == "(") & (F.col("gap").rlike(r"\bfunction\b[\s*\w$]*$") | ~name.isin("", *KEYWORDS)))
+    heads = heads.join(closed.where((F.col("then_ch") == "{") & F.col("then_gap").rlike(r"^\s*(?::[^=;{]*)?$")), ["file_path", "k"]).select("file_path", (F.col("end_k") + 1).alias("k"))
+    blocks = arrows.unionByName(heads).distinct().join(closed.select("file_path", "k", "end_k"), ["file_path", "k"])
+    ending = F.when(F.col("ch").isin(",", ";", ")", "]", "}"), F.col("k"))
+    w = Window.partitionBy("file_path", "group").orderBy(F.desc("k"))
+    short = toks.withColumn("end_k", F.last(ending, True).over(w)).where(F.col("gap").rlike(r"=>\s*[^\s{]") | (F.col("gap").rlike(r"=>\s*$") & F.col("ch").isin("(", "[")))
+    short = short.where("end_k IS NOT NULL").select("file_path", "k", (F.col("k") - 1).alias("after_k"), "end_k")
+    return blocks.select("file_path", "k", F.col("k").alias("after_k"), "end_k").unionByName(short)
+
+
+def last_bodies(toks: DataFrame, calls: DataFrame, functions: DataFrame | None = None) -> DataFrame:
+    """(file_path, k, body_k, end_k) of calls (file_path, k) whose last function argument has a body in braces."""
+    blocks = toks.where("ch = '{'").select("file_path", "k", "group").join(scopes(toks).where("k = after_k").select("file_path", "k", "end_k"), ["file_path", "k"])
+    found = blocks.withColumnRenamed("k", "body_k").join(calls.select("file_path", F.col("k").alias("group")), ["file_path", "group"])
+    return found.groupBy("file_path", F.col("group").alias("k")).agg(F.max("body_k").alias("body_k"), F.max_by("end_k", "body_k").alias("end_k"))
+
+
+_ANSWERS = r"\.(?:json|send|end|status)\s*$"
+
+
+def statements(toks: DataFrame, bodies: DataFrame) -> DataFrame:
+    """(file_path, body_k, statement, ord, name, tested, returns): calls of a body's own statements, numbered from 0, and where a statement has none one row without
+    a name.
+
+    bodies: (file_path, body_k, end_k). Calls in functions within the body belong to those. tested: the call is in the test of an `if`
+    that is the statement; returns: the statement is an `if` that answers or returns at once.
+    """
+    closed = ends(toks)
+    mine = within(toks, bodies.withColumn("after_k", F.col("body_k")), F.struct("body_k")).where("around IS NOT NULL").withColumn("body_k", F.col("around.body_k"))
+    mine = mine.where(F.col("k").isNotNull() & ~((F.col("ch") == "}") & (F.col("group") == F.col("body_k"))))
+    own = F.col("group") == F.col("body_k")
+    fresh = F.coalesce(F.col("prev_ch").isin(";", "{"), F.lit(True)) & ~F.col("gap").rlike(r"^\s*(?:else|catch|finally)\b")
+    broken = F.col("prev_ch").isin(")", "}", "]") & F.col("gap").rlike(r"^[ \t]*\r?\n\s*(?!(?:else|catch|finally|instanceof|in)\b)[\w$@({\[]")
+    block = (F.col("prev_ch") == "}") & F.col("gap").rlike(r"^[ \t]*(?!(?:else|catch|finally|while)\b)[A-Za-z_$][\w$]*\b(?![ \t]*[=:])")
+    starts = own & (fresh | broken | block)
+    w = Window.partitionBy("file_path", "body_k").orderBy("k")
+    mine = mine.withColumn("starts", starts).withColumn("statement", (F.sum(F.col("starts").cast("int")).over(w) - 1).cast("int")).where("statement >= 0")
+    mine = mine.where(~(F.col("starts") & (F.col("ch") == ";") & F.col("gap").rlike(r"^\s*$")))
+    heads = mine.where(F.col("starts") & (F.col("ch") == "(") & F.col("gap").rlike(r"(?:^|\s)if\s*$")).select("file_path", "body_k", "statement", F.col("k").alias("if_k"))
+    heads = heads.join(closed.select("file_path", F.col("k").alias("if_k"), F.col("end_k").alias("test_end"), "then_ch", "then_gap"), ["file_path", "if_k"])
+    # the block after the test, or the one statement
+    inside = toks.select("file_path", F.col("group").alias("block"), (F.col("gap").rlike(r"(?:^|[\s;}])return\b") | ((F.col("ch") == "(") & F.col("gap").rlike(_ANSWERS))).alias("answers"))
+    inside = inside.where("answers").select("file_path", "block").distinct().withColumn("answers", F.lit(True))
+    heads = heads.withColumn("block", F.when((F.col("then_ch") == "{") & F.col("then_gap").rlike(r"^\s*$"), F.col("test_end") + 1)).join(inside, ["file_path", "block"], "left")
+    at_once = F.col("then_gap").rlike(r"^\s*return\b") | ((F.col("then_ch") == "(") & F.col("then_gap").rlike(_ANSWERS))
+    heads = heads.select("file_path", "body_k", "statement", "if_k", "test_end", F.when(F.col("block").isNotNull(), F.coalesce("answers", F.lit(False))).otherwise(at_once).alias("returns"))
+    around = within(mine.drop("around").where(F.col("ch") == "(").withColumn("name", callee()), scopes(toks), F.struct("k"))
+    named = around.where("name IS NOT NULL AND around.k = body_k").where(~F.col("name").isin(*KEYWORDS))
+    every = mine.select("file_path", "body_k", "statement").distinct().join(named.select("file_path", "body_k", "statement", F.col("k").alias("ord"), "name"), ["file_path", "body_k", "statement"], "left")
+    found = every.join(heads, ["file_path", "body_k", "statement"], "left")
+    tested = F.coalesce((F.col("ord") > F.col("if_k")) & (F.col("ord") < F.col("test_end")), F.lit(False))
+    return found.select("file_path", "body_k", "statement", "ord", "name", tested.alias("tested"), F.coalesce("returns", F.lit(False)).alias("returns"))

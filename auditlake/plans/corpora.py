@@ -136,7 +136,7 @@ ROUTE_CASES = [
     ("src/s%.js", "import fastify from 'fastify';\n", "app.route({{b} url:{b} '{r}', schema: {{b} method: 'POST' },{b} method: 'DELETE', handler: h });", "fastify", "{r}", "DELETE"),
     ("app/a%.py", "from fastapi import FastAPI\n\n", "@app.delete({p}'{r}'{p})", "fastapi", "{r}", "DELETE"),
     ("app/b%.py", "import os\nfrom flask import Flask\n", "@app.route({p}'{r}',{p} methods=[{p}'GET',{p} 'PUT'])", "flask", "{r}", "PUT"),
-    ("app/c%.py", "from django.urls import path\n", "path({p}'{r}',{p} view)", "django", "{r}", "POST"),
+    ("app/c%/urls.py", "from django.urls import path\n", "path({p}'{r}',{p} view)", "django", "{r}", "POST"),
     ("web/l%.php", "<?php\nuse Illuminate\\Http\\Request;\n", "Route::put({b}'{r}',{b} f);", "laravel", "{r}", "PUT"),
     ("web/m%.php", "<?php\nuse Slim\\App;\n", "$app->post({b}'{r}',{b} f);", "slim", "{r}", "POST"),
     ("web/n%.php", "<?php\nuse Symfony\\Component\\Routing;\n", "#[Route({b}'{r}'{b})]", "symfony", "{r}", "POST"),

@@ -640,12 +640,13 @@ z AS (SELECT h, p, b,
  bool_or((mw IN ('express.json', 'bodyParser.json') OR (mw = 'json' AND own)) AND NOT raw) AS parser FROM y GROUP BY h, p, b),
 m AS (SELECT *, hmac OR b IN (8, 9, 10, 11) AS hm, sdk OR ev OR b IN (12, 13) AS asked, asym OR ev OR b = 17 AS ed,
  sdk OR ev OR ((hmac OR b IN (8, 9, 10, 11)) AND (ct OR b IN (7, 8, 9, 10, 11))) AS signed FROM z)"""
+_compared = ", ".join(str(i) for i, (_, t) in enumerate(BODIES) if any(mark in t for mark in ("==", "!=", ".equals(", ".compare(")))
 CASES = {
     "missing-signature-verification": """CASE p WHEN 'twilio' THEN CASE WHEN NOT sdk AND NOT hm THEN 'not-verified' END WHEN 'hubspot' THEN CASE WHEN NOT (sdk OR hm OR ev) THEN 'not-verified' END
  WHEN 'notion' THEN CASE WHEN NOT (hm OR eh) THEN 'not-verified' END WHEN 'postmark' THEN CASE WHEN NOT (ev OR basic OR ip) THEN 'not-verified' END
  WHEN 'standardwebhooks' THEN CASE WHEN hm AND NOT signed AND shaped THEN 'manual-review' WHEN NOT signed THEN 'not-verified' END
  WHEN 'paypal' THEN CASE WHEN asked AND b = 12 THEN NULL WHEN asked OR b = 14 THEN 'manual-review' ELSE 'not-verified' END WHEN 'discord' THEN CASE WHEN NOT ed THEN 'not-verified' END
- ELSE CASE WHEN r AND NOT (sdk OR hm OR ev) THEN CASE WHEN hash THEN 'manual-review' ELSE 'not-verified' END END END""",
+ ELSE CASE WHEN r AND NOT (sdk OR hm OR ev) THEN CASE WHEN hash AND b IN ({_compared}) THEN 'manual-review' ELSE 'not-verified' END END END""".replace("{_compared}", _compared),
     "timing-unsafe-comparison": "CASE WHEN r AND b IN (8, 10) AND NOT ev THEN 'not-verified' WHEN r AND NOT sdk AND hmac AND NOT ct THEN 'not-verified' END",
     "missing-timing-safe-equal": "CASE WHEN p = 'github' AND b IN (8, 9, 10, 11) THEN CASE WHEN (b = 8 AND NOT ev) OR b = 10 THEN 'not-verified' END WHEN p = 'github' AND NOT ct AND NOT octo THEN 'not-verified' END",
     "raw-body-misuse": "CASE WHEN r AND NOT eb AND eh THEN 'not-verified' WHEN r AND NOT eb AND anycall THEN CASE WHEN ch > 1 THEN 'manual-review' ELSE 'not-verified' END END",

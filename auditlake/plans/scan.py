@@ -9,16 +9,20 @@ from pyspark.sql import functions as F
 
 from .. import catalog as cat
 from ..functions import scalars as x
-from ..operators import aggregates, bodies, extract, joins, ordered, predicates, reachability
+from ..operators import aggregates, bodies, extract, joins, ordered, predicates, reachability, structure
 from ..sources import packs, workflow
 from ..sources.tables import written
 
-BYTES = r"(?i)Buffer|Uint8Array|\braw\b|\bbytes\b|raw_?body|request\.get_data\(\)|request\.body|php://input|getContent\(\)|\w*req\w*\.(text|arrayBuffer)\(|ReadAll\(|GetRawData\("
+# How the languages read a body's bytes.
+BYTES = (
+    r"(?i)Buffer|Uint8Array|\braw\b|\bbytes\b|raw_?body|c\.req\.raw|request\.get_data\(\)|request\.body|php://input|->getContent\(\)|->getBody\(\)|\$_POST|->all\(\)|->input\(\)"
+    r"|\b\w*req\w*\.(?:text|arrayBuffer)\(\s*\)|\b(?:io|ioutil)\.ReadAll\s*\(|\.GetRawData\(\)"
+)
 
 
 @dataclass
 class Scan:
-    handlers: DataFrame  # handler_id, file_path, framework, route, method, line, end_line, provider
+    handlers: DataFrame  # handler_id, file_path, framework, route, method, line, end_line, provider, verdict
     evidence: DataFrame  # handler_id, kind, provider, detail
     reachable: DataFrame  # handler_id, qualified_name, import_source, hops
     findings: DataFrame  # finding_id, rule_id, handler_id, file_path, line, severity, state, line_hash, suppressed, references, ...
@@ -61,23 +65,30 @@ def scan(
     body = written(body, "bodies")
     evidence = _evidence(handlers, body, imported, providers)
     own = calls.where("handler_id IS NOT NULL")
-    reached = written(_reachable(own, calls, extract.symbols(text.functions), imported, files, depth), "reachable")
+    taken = written(_consumed(text, calls), "consumers")  # callbacks of queue consumers, roots of their own beside the handlers
+    roots = own.unionByName(taken.drop("backend"))
+    reached = written(_reachable(roots, calls, extract.symbols(text.functions), imported, files, depth), "reachable")
     sdk = cat.dimension(providers, "packages", "package").select("provider", "package")
     named = cat.dimension(providers, "calls", "call").select("provider", "call")
     verified = joins.verify_calls(reached, named, sdk).unionByName(joins.native_verify_calls(body, imported, named, sdk))
-    early = _early(own, reached, named)
+    early = _early(text, handlers, own, reached, named)
     kinds = [(verified.distinct(), "sdk_verify_call", F.col("call")), (early.withColumn("provider", F.lit("unknown")), "side_effect_before_verify", F.col("ord").cast("string"))]
     for df, kind, detail in kinds:
         evidence = evidence.unionByName(df.select("handler_id", F.lit(kind).alias("kind"), "provider", detail.alias("detail")))
-    evidence = written(evidence, "evidence")
+    evidence = written(evidence.join(handlers.select("handler_id"), "handler_id", "left_semi"), "evidence")
     provider = aggregates.attributed(handlers, evidence)
     handlers = written(aggregates.demoted(handlers.join(provider, "handler_id"), evidence), "handlers")
 
     table = providers.select("provider", "packages", "calls", "algorithm", "input_format", "replay_seconds")
     shown = bodies.flags(body.drop("file_path").join(handlers.select("handler_id", "provider"), "handler_id"), table.select("provider", "calls"))
+    shown = written(shown, "flags")
+    handed = extract.delegates(text.toks, own).select("handler_id", F.lit(True).alias("delegates")).distinct()
+    shown = shown.join(handed, "handler_id", "left").withColumn("delegates", F.coalesce("delegates", F.lit(False)))
     chain = joins.middleware_before(handlers, extract.middleware(rows, imported))
     verdicts = predicates.verdicts(predicates.features(handlers, reached, evidence, table, chain, shown))
-    verdicts = predicates.downgraded(verdicts, joins.deferred_to_queue(reached, _consumers(calls, named)))
+    sends = extract.with_raw_body(text.toks, own.where(x.queue_call(F.col("qualified_name"))["role"] == "enqueue"))
+    takes = taken.select("handler_id", "backend").distinct().join(joins.verify_calls(reached, named, sdk).select("handler_id").distinct(), "handler_id", "left_semi")
+    verdicts = predicates.downgraded(verdicts, joins.backends_met(sends, takes))
     found = verdicts.join(handlers.select("handler_id", "file_path", "line", "framework", "code"), "handler_id")
     if workflows is not None:
         handlers, found = _with_workflows(handlers, found, workflows)
@@ -90,7 +101,10 @@ def scan(
     found = found.withColumn("snippet", x.redacted(x.first_line(F.col("code")), ["whsec_", "sk_", "ghp_", "ghs_", "github_pat_"])).drop("code").withColumn("col", F.lit(1))
     found = _suppressed(found, rows, extract.lines(parsed.where(F.contains("text", F.lit("audit-")))), ignore, baseline)
     parsed = files.select("file_path").join(errors.select("file_path", F.lit(False).alias("p")), "file_path", "left").select("file_path", F.coalesce("p", F.lit(True)).alias("parsed"))
-    return Scan(handlers.drop("code"), evidence, reached, written(found, "findings"), parsed)
+    findings = written(found, "findings")
+    worst = aggregates.worst_verdict(handlers, findings.where("rule_id <> 'engine/parse-error'")).select("handler_id", "verdict")
+    reached = reached.join(handlers.select("handler_id"), "handler_id", "left_semi")
+    return Scan(handlers.drop("code", "k").join(worst, "handler_id"), evidence, reached, findings, parsed)
 
 
 def _by_rules(found: DataFrame, rules: DataFrame | None) -> DataFrame:
@@ -106,23 +120,32 @@ def _by_rules(found: DataFrame, rules: DataFrame | None) -> DataFrame:
     return joins.with_references(ordered.first_override(kept, packs.override_table(rules)), rules).select(*columns, "references")
 
 
-def _early(own: DataFrame, reached: DataFrame, named: DataFrame) -> DataFrame:
-    """(handler_id, ord): lines with a side effect before the first that verifies."""
+def _early(text: extract.Texts, handlers: DataFrame, own: DataFrame, reached: DataFrame, named: DataFrame) -> DataFrame:
+    """(handler_id, ord): statements of JavaScript handlers with a side effect before the first that verifies."""
     spark = own.sparkSession
-    statements = own.select("handler_id", F.col("line").alias("ord"), F.col("qualified_name").alias("name"))
-    verify = reachability.promoted(statements, reached, named.select("call").distinct()).withColumn("verifies", F.lit(True))
-    sinks = spark.createDataFrame([(n, "side_effect") for n in cat.SIDE_EFFECTS], "name string, class string")
-    each = statements.join(verify, ["handler_id", "name"], "left")
-    classes = ordered.statement_class(each.withColumn("name", F.when(F.col("verifies"), "<verify>").otherwise(F.col("name"))), sinks.union(spark.sql("SELECT '<verify>', 'verification'")))
-    return ordered.before_verify(classes)
-
-
-def _consumers(calls: DataFrame, named: DataFrame) -> DataFrame:
-    """(qualified_name, verifies): calls that take from a queue, and whether their file calls something that verifies."""
-    verify = calls.withColumn("call", F.explode(x.dotted_suffixes(F.col("qualified_name")))).join(joins.few(named.select("call").distinct()), "call", "left_semi")
-    verify = verify.select("file_path", F.lit(True).alias("v")).distinct()
-    takes = calls.where(x.queue_call(F.col("qualified_name"))["role"] == "consume").select("file_path", "qualified_name").distinct()
-    return takes.join(verify, "file_path", "left").groupBy("qualified_name").agg(F.bool_or(F.coalesce("v", F.lit(False))).alias("verifies"))
+    sinks = spark.createDataFrame([(n, "side_effect") for n in cat.SIDE_EFFECTS] + [(n, "side_effect_t2") for n in cat.NOTIFICATIONS], "name string, class string")
+    effects = own.join(F.broadcast(sinks.select(F.col("name").alias("qualified_name"))), "qualified_name", "left_semi").select("handler_id").distinct()
+    some = written(handlers.join(effects, "handler_id", "left_semi").select("handler_id", "file_path", "line", "k"), "effects")
+    toks = written(text.toks.where("language = 'js'").join(some.select("file_path").distinct(), "file_path", "left_semi"), "tokens")
+    called = structure.last_bodies(toks, some.where("k IS NOT NULL")).join(some.select("handler_id", "file_path", "k"), ["file_path", "k"]).select("handler_id", "file_path", "body_k", "end_k")
+    blocks = structure.scopes(toks).where("k = after_k").join(toks.select("file_path", "k", "line"), ["file_path", "k"])
+    lines = some.where("k IS NULL").join(blocks.groupBy("file_path", "line").agg(F.min("k").alias("body_k"), F.min_by("end_k", "k").alias("end_k")), ["file_path", "line"])
+    bodies_ = written(called.unionByName(lines.select("handler_id", "file_path", "body_k", "end_k")), "handler_bodies")
+    found = structure.statements(toks, bodies_).join(bodies_.select("handler_id", "file_path", "body_k"), ["file_path", "body_k"])
+    found = written(found, "statements")
+    verify = reachability.promoted(found.where("name IS NOT NULL").select("handler_id", "name"), reached, named.select("call").distinct()).withColumn("verifies", F.lit(True))
+    each = found.join(verify, ["handler_id", "name"], "left").withColumn("name", F.when(F.col("verifies"), F.lit("<verify>")).otherwise(F.col("name")))
+    classes = ordered.classified(each.drop("verifies"), sinks.union(spark.sql("SELECT '<verify>', 'verification'")))
+    return ordered.before_verify(classes.join(bodies_.select("handler_id", "file_path", "body_k"), ["file_path", "body_k"]))
+
+
+def _consumed(text: extract.Texts, calls: DataFrame) -> DataFrame:
+    """``calls`` in the callbacks of queue consumers, with `backend` and the consumer in the place of the handler."""
+    kind = x.queue_call(F.col("qualified_name"))
+    takes = calls.withColumn("q", kind).where("q.role = 'consume'").select("file_path", "k", F.col("q.backend").alias("backend"))
+    inner = extract.callbacks(text.toks, takes, calls)
+    found = inner.join(takes.withColumnRenamed("k", "around"), ["file_path", "around"])
+    return found.withColumn("handler_id", F.concat_ws("#", F.lit("consumer"), "file_path", F.col("around").cast("string"))).select(*calls.columns, "backend")
 
 
 def _with_workflows(handlers: DataFrame, found: DataFrame, workflows: DataFrame) -> tuple[DataFrame, DataFrame]:
