@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from auditlake.llm import embedding_dedup as e
 
@@ -61,7 +62,7 @@ def unit(x):
 
 
 def test_probes_fall_with_the_table_and_keep_recall():
-    """Isotropic vectors are the worst case; neighbours lie at the radius, where they cross most."""
+    """Of isotropic vectors, whose neighbours lie at the radius, where they cross most."""
     rng = np.random.default_rng(5)
     shares = []
     for n in (2000, 8000, 32000):
@@ -70,6 +71,7 @@ def test_probes_fall_with_the_table_and_keep_recall():
         asked = x[:1500]
         off = rng.normal(size=asked.shape)
         near = unit(asked + 0.2 * unit(off - (off * asked).sum(1, keepdims=True) * asked))
+        index.share = min(1.0, e.SPREAD / np.sqrt(index.dims))
         hit = index.probes(asked, 0.2)
         assert hit[np.arange(len(asked)), e._nearest(near, index.centres)].mean() >= 0.999
         shares.append(hit.mean())
@@ -86,3 +88,36 @@ def test_recall_in_many_dimensions(spark):
     y = unit(x.astype(float))
     want = (y @ y.T >= 0.98).sum(1) - 1
     assert want.sum() > 900 and sum(got.values()) >= 0.99 * want.sum() and all(got[i] <= n for i, n in enumerate(want))
+
+
+@pytest.mark.parametrize("dim", [64, 256, 768])
+def test_mixed_dimensions(spark, dim):
+    """Vectors along a circle among isotropic ones: their offsets all point at a bisector."""
+    rng = np.random.default_rng(dim)
+    plane = np.linalg.qr(rng.normal(size=(dim, 2)))[0]
+    turn = rng.uniform(0, 2 * np.pi, 800)
+    x = np.concatenate([unit(rng.normal(size=(1200, dim))), unit(np.stack([np.cos(turn), np.sin(turn)], 1) @ plane.T)]).astype(np.float32)
+    x = x[rng.permutation(len(x))]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int").repartition(3)
+    y = unit(x.astype(float))
+    linked = y @ y.T >= 0.98
+    want = linked.sum(1) - 1
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in e.near_duplicates(df).collect()}
+    assert want.sum() > 30_000 and sum(n for n, _ in got.values()) >= 0.99 * want.sum() and all(got[i][0] <= n for i, n in enumerate(want))
+    if dim == 64:
+        rows = [(i, [float(v) for v in x[i]], 0) for i in range(len(x))]
+        assert sum(r["n_links"] for r in e.near_duplicates(df, exact=True).collect()) == want.sum() and len(rows) == len(got)
+
+
+def test_links_count_for_both_sides(spark, monkeypatch):
+    """With a reach that is far too small, a link that one side finds still counts for the other, copies included."""
+    monkeypatch.setattr(e, "SPREAD", 0.5)
+    monkeypatch.setattr(e, "_measured", lambda *a: 0.0)
+    rng = np.random.default_rng(9)
+    base = unit(rng.normal(size=(150, 4)))
+    x = np.concatenate([base, unit(base + 0.1 * unit(rng.normal(size=base.shape))), base[:40]])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    linked = unit(x) @ unit(x).T >= 0.98
+    got = np.array([r["n_links"] for r in e.near_duplicates(df).orderBy("vec_id").collect()])
+    assert (got <= linked.sum(1) - 1).all() and got.sum() >= 0.5 * (linked.sum() - len(x))
+    assert got.sum() % 2 == 0  # each link twice
