@@ -31,6 +31,26 @@ def rules(spark: SparkSession, path: str, providers: DataFrame, known: list[str]
     return pack
 
 
+MATCHERS = (
+    "rule_id string, provider string, emits_state string, predicate string, matcher struct<name:string,args:struct<module:string,qualified_name:string,prefix:string,"
+    "header:string,before:string,after:string,call:string,arg_index:int,equals:string>>"
+)
+
+
+def matchers(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """A pack's matchers (MATCHERS, and `numeric`: whether the value to equal is a number), JSON lines; an unknown kind of
+    matcher, a rule without any condition, and an empty pack are errors."""
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    pack = lines.select(F.from_json("value", MATCHERS, {"mode": "FAILFAST"}).alias("r"), F.col("value").rlike(r'"equals"\s*:\s*-?\d').alias("numeric")).select("r.*", "numeric")
+    known = F.coalesce(F.col("matcher.name").isin(*names), F.col("predicate").isNotNull())
+    bad = pack.where(~F.coalesce(known, F.lit(False)) | F.col("rule_id").isNull()).select("rule_id").limit(20).collect()
+    if bad:
+        raise ValueError(f"invalid matchers: {[r[0] for r in bad]}")
+    if pack.isEmpty():
+        raise ValueError(f"no rules in {path}")
+    return pack
+
+
 def for_providers(rules: DataFrame, wanted: list[str], providers: DataFrame) -> DataFrame:
     """The rules of some providers; a name that the catalog lacks is an error."""
     known = {r[0] for r in providers.select("provider").distinct().toLocalIterator()}  # a catalog's names

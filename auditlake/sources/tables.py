@@ -22,13 +22,19 @@ def scratch(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="auditlake-"))
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="auditlake-")
+    return _own[sc.applicationId]
 
 
 def _own_folder(spark: SparkSession) -> str:
     return f"{scratch(spark)}/auditlake-{spark.sparkContext.applicationId}"
 
 
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    return f"{_own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application; results that were not written before are lost."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
@@ -37,6 +43,6 @@ def cleanup(spark: SparkSession) -> None:
 
 def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a table in the shared folder: cuts the lineage and survives the loss of executors."""
-    path = f"{_own_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
