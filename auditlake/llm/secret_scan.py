@@ -12,6 +12,7 @@ them are they joined by shuffling.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -74,6 +75,24 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     )
 
 
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+STEP = 128
+
+
+def _before(sizes: Column) -> Column:
+    """Of an array of numbers, the sum of those before each: of whole steps before it, then of its own step."""
+    count = F.ceil(F.size(sizes) / STEP).cast("int")
+    add = lambda array: F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
+    every = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), f)).otherwise(F.array().cast("array<long>"))
+    steps = every(count, lambda i: add(F.slice(sizes, (i - 1) * STEP + 1, F.lit(STEP))))
+    place = lambda whole: F.transform(sizes, lambda _, i: F.element_at(whole, F.floor(i / STEP).cast("int") + 1) + add(F.slice(sizes, F.floor(i / STEP).cast("int") * STEP + 1, i % STEP)))
+    return _bound(steps, lambda s: _bound(every(F.size(s), lambda i: add(F.slice(s, F.lit(1), i - 1))), place))
+
+
 def _spans(rule: Rule, rank: int) -> Column:
     """Of ``text``: array of (start, rank, end) in code points. The gaps between the matches give their places."""
     pattern, text = F.lit(rule.pattern), F.col("text")
@@ -82,16 +101,15 @@ def _spans(rule: Rule, rank: int) -> Column:
         F.regexp_extract_all(text, pattern, F.lit(rule.value)).alias("v"),
         F.split(text, rule.pattern, -1).alias("g"),
     )
-    none = F.expr("CAST(array() AS array<struct<start:long,rank:int,end:long>>)")
+    each = F.transform(parts, lambda p: F.struct(F.char_length(p["g"]).cast("long").alias("gap"), F.coalesce(F.char_length(p["m"]), F.lit(0)).cast("long").alias("size"), F.coalesce(F.char_length(p["v"]) >= rule.least, F.lit(False)).alias("kept")))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["g"])
-        end = start + F.coalesce(F.char_length(p["m"]), F.lit(0))
-        one = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"))
-        kept = F.coalesce(F.char_length(p["v"]) >= rule.least, F.lit(False))
-        return F.struct(end.alias("at"), F.when(kept, F.concat(acc["found"], F.array(one))).otherwise(acc["found"]).alias("found"))
+    def placed(all_: Column) -> Column:
+        at = _bound(F.transform(all_, lambda p: p["gap"] + p["size"]), _before)
+        rows = lambda before: F.zip_with(all_, before, lambda p, b: F.struct((b + p["gap"]).alias("start"), F.lit(rank).alias("rank"), (b + p["gap"] + p["size"]).alias("end"), p["kept"].alias("kept")))
+        found = F.filter(_bound(at, rows), lambda r: r["kept"])
+        return F.transform(found, lambda r: F.struct(r["start"].alias("start"), r["rank"].alias("rank"), r["end"].alias("end")))
 
-    return F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), step, lambda acc: acc["found"])
+    return _bound(each, placed)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

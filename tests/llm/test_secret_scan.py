@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -53,3 +54,16 @@ def test_queries_admit_matches(pattern, text, other):
 def test_rules_without_trigrams():
     assert trigrams.query("[0-9a-f]+") is None and trigrams.query("(abcd)?") is None
     assert trigrams.query(s.BASE[1].pattern) == [frozenset({"aki", "kia"})]
+
+
+def test_many_matches_in_one_text(spark):
+    """Time grows with the matches, not with their square."""
+    n = 200_000
+    text = "token=abcdefghijkl01 " * n
+    df = spark.createDataFrame([(1, text), (2, "token=abcdefghijkl01 x" * 300)], "doc_id long, text string")
+    began = time.time()
+    got = {r["doc_id"]: r for r in s.digest(s.scan(df)).collect()}
+    assert got[1]["n_assign"] == n and time.time() - began < 60
+    assert got[1]["spans"].endswith(f"assign:{21 * (n - 1)}:{21 * n - 1}") and got[2]["n_assign"] == 300
+    ends = [21 * i for i in range(n)]
+    assert got[1]["spans"].split(",") == [f"assign:{a}:{a + 20}" for a in ends]
