@@ -45,7 +45,7 @@ def tokens(files: DataFrame) -> DataFrame:
     texts (file_path, language, text), each with the text before it.
 
     k: place among a file's; pos: offset in code points; group: k of the innermost bracket around it, for a closing
-    bracket of the one it closes, null outside all.
+    bracket of the one it closes, null outside all. prev_gap is there after `[`, next_gap after parentheses and what closes.
     """
     def cut(language: str) -> Column:
         return F.regexp_extract_all("text", F.lit(rf"(?s)(?:{STRINGS[language]}|[^()\[\]{{}},;'\"`/]++|['\"`/])*+(?:[()\[\]{{}},;]|\z)"), F.lit(0))
@@ -64,7 +64,10 @@ def tokens(files: DataFrame) -> DataFrame:
             "pos": F.sum("size").over(w) - 1,
             "line": (F.sum("nl").over(w) + 1).cast("int"),
             "depth": F.sum(F.when(opens, 1).when(closes, -1).otherwise(0)).over(w),
-            **{f"{a}_{c}": f(c).over(w) for a, f in (("prev", F.lag), ("next", F.lead)) for c in ("ch", "gap")},
+            "prev_ch": F.lag("ch").over(w),
+            "next_ch": F.lead("ch").over(w),
+            "prev_gap": F.when(F.lag("ch").over(w) == "[", F.lag("gap").over(w)),
+            "next_gap": F.when(F.col("ch").isin("(", ")", "]", "}"), F.lead("gap").over(w)),
         }
     )
     # an opening bracket begins a group at its depth and is itself within the group around it
