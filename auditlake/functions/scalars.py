@@ -131,12 +131,15 @@ def dirname(path: Column) -> Column:
 
 
 def joined_path(folder: Column, path: Column) -> Column:
-    """A relative path from a folder, without `./`; each `x/../` goes, up to eight deep."""
-    out = F.concat_ws("/", F.nullif(folder, F.lit("")), path)
-    out = F.regexp_replace(out, r"(^|/)(?:\./)+", "$1")
-    for _ in range(8):
-        out = F.regexp_replace(out, r"(^|/)(?!\.\./)[^/]+/\.\./", "$1")
-    return out
+    """A relative path from a folder, without `./`; each `x/..` goes, as deep as there are any."""
+    parts = F.split(F.concat_ws("/", F.nullif(folder, F.lit("")), path), "/")
+
+    def step(kept: Column, part: Column) -> Column:
+        last = F.coalesce(F.get(kept, F.size(kept) - 1), F.lit(""))
+        up = (part == "..") & ~last.isin("", "..")
+        return F.when(part == ".", kept).when(up, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(F.concat(kept, F.array(part)))
+
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
 
 
 def utf16(c: Column) -> Column:

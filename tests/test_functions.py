@@ -125,3 +125,9 @@ def test_stream(spark, tmp_path):
         got = {r["file_path"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
         assert got == ({"a.ts"} if n == 1 else {"a.ts", "b.py"})
         (tmp_path / "in" / "b.py").write_text("from fastapi import FastAPI\n@app.post('/hook')\ndef f(): pass\n")
+
+
+def test_paths_of_any_depth(spark):
+    rows = [("a/b/c", "../../x.ts", "a/x.ts"), ("a", "./y", "a/y"), ("", "../z", "../z"), ("a", "../../z", "../z"), ("/".join("abcdefghijkl"), "../" * 11 + "m", "a/m"), ("a/b", "..", "a"), (None, "q", "q"), ("/r/s", "../t", "/r/t"), ("a", "./b/./../c", "a/c")]
+    df = spark.createDataFrame(rows, "folder string, path string, want string")
+    assert [r for r in df.select("want", x.joined_path(F.col("folder"), F.col("path")).alias("got")).collect() if r["want"] != r["got"]] == []
