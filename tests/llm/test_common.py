@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import auditlake.llm
 import corpus_pipeline
-from auditlake.llm import decontaminate, embedding_dedup, jaccard_join, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity, warc
+from auditlake.llm import collocations, decontaminate, embedding_dedup, jaccard_join, language, line_dedup, packing, quality, secret_scan, spellings, substring_dedup, toxicity, warc
 from auditlake.llm.common import DROP_SHUFFLES, materialize
 
 from .conftest import nasty
@@ -63,6 +63,10 @@ def wide(spark):
     return plain, materialize(clashing(plain), "wide")
 
 
+def with_lang(df):
+    return df.withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+
+
 OPERATORS = {
     "1": lambda d, labels, items: line_dedup.line_dedup(d),
     "2": lambda d, labels, items: secret_scan.scan(d),
@@ -72,6 +76,9 @@ OPERATORS = {
     "6": lambda d, labels, items: packing.pack(d).select("doc_id", "piece", "ids_crc32"),
     "8": lambda d, labels, items: jaccard_join.groups(d),
     "9": lambda d, labels, items: substring_dedup.dedup_substrings(d),
+    "11": lambda d, labels, items: collocations.collocations(with_lang(d), least=2),
+    "12": lambda d, labels, items: spellings.spelling_variants(d, least_chars=3),
+    "13": lambda d, labels, items: language.identify(with_lang(d)),
 }
 
 
