@@ -152,7 +152,7 @@ def _with_workflows(handlers: DataFrame, found: DataFrame, workflows: DataFrame)
     """Webhook nodes as handlers, and as findings where anyone may call them."""
     nodes = workflow.handlers(workflows)
     key = x.handler_id(F.col("file_path"), F.col("route"), F.array("method"), F.col("node"))
-    nodes = nodes.select(key.alias("handler_id"), "file_path", F.lit("n8n").alias("framework"), "route", "method", F.lit(1).alias("line"), F.lit(1).alias("end_line"), F.col("node").alias("code"), F.lit("n8n").alias("provider"), "authentication")
+    nodes = nodes.select(key.alias("handler_id"), "file_path", F.lit("n8n").alias("framework"), "route", "method", F.lit(1).alias("line"), F.lit(1).alias("end_line"), F.col("node").alias("code"), F.lit("n8n").alias("provider"), F.lit(None).cast("int").alias("k"), "authentication")
     nodes = written(nodes, "nodes")
     free = nodes.where("authentication = 'none'").select("handler_id", "provider", F.lit("webhook-trigger-no-authentication").alias("rule_class"), F.lit(predicates.MISSING).alias("state"), "file_path", "line", "framework", "code")
     return handlers.unionByName(nodes.drop("authentication")), found.unionByName(free)
