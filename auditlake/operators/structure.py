@@ -228,7 +228,7 @@ def scopes(toks: DataFrame) -> DataFrame:
     return blocks.select("file_path", "k", F.col("k").alias("after_k"), "end_k").unionByName(short)
 
 
-def last_bodies(toks: DataFrame, calls: DataFrame, functions: DataFrame | None = None) -> DataFrame:
+def last_bodies(toks: DataFrame, calls: DataFrame) -> DataFrame:
     """(file_path, k, body_k, end_k) of calls (file_path, k) whose last function argument has a body in braces."""
     blocks = toks.where("ch = '{'").select("file_path", "k", "group").join(scopes(toks).where("k = after_k").select("file_path", "k", "end_k"), ["file_path", "k"])
     found = blocks.withColumnRenamed("k", "body_k").join(calls.select("file_path", F.col("k").alias("group")), ["file_path", "group"])
