@@ -221,8 +221,32 @@ def glob_regex(glob: str) -> str:
     return f"^{out}$"
 
 
-def ignore_regex(pattern: str) -> tuple[str, bool]:
-    """A line of an ignore file: its expression, and whether it takes back."""
+def glob_key(glob: str) -> str | None:
+    """What every path that fits a glob has among its `path_keys`: the folders that the glob begins with (`d:`), else its longest
+    part without wildcards (`p:`), else the ending of a part (`e:`); None if wildcards leave nothing of the kind."""
+    bare = re.sub(r"\{[^}]*\}|\[[^\]]*\]", "*", glob)  # both may hold or match slashes
+    parts = re.sub(r"(?<=[^/])\*\*/", "*", bare).split("/")  # `a**/b` fits `ab`: no border between the two
+    whole = [p != "" and not re.search(r"[*?]", p) for p in parts]
+    lead = whole.index(False) if False in whole else len(whole)
+    if lead:
+        return "d:" + "/".join(parts[:lead])
+    if any(whole):
+        return "p:" + max((p for p, w in zip(parts, whole) if w), key=len)
+    ends = [m[1] for p in parts if (m := re.search(r"\.([^.*?]+)$", p))]
+    return "e:" + max(ends, key=len) if ends else None
+
+
+def path_keys(path: Column) -> Column:
+    """Array of a path's keys, each once, for `glob_key`: what it begins with up to each border, its parts, and their endings."""
+    parts = F.split(F.regexp_replace(path, "(?:\r\n|[\n\r\u0085\u2028\u2029])\\z", ""), "/")
+    starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    each = F.transform(parts, lambda p: F.concat(F.lit("p:"), p))
+    ends = F.transform(F.filter(parts, lambda p: F.contains(p, F.lit("."))), lambda p: F.concat(F.lit("e:"), F.substring_index(p, ".", -1)))
+    return F.array_distinct(F.concat(starts, each, ends))
+
+
+def ignore_glob(pattern: str) -> tuple[str, bool, bool]:
+    """A line of an ignore file: its glob from the root, whether it is of folders only, whether it takes back."""
     negated = pattern.startswith("!")
     p = pattern[negated:].strip()
     folder = p.endswith("/")
@@ -231,10 +255,21 @@ def ignore_regex(pattern: str) -> tuple[str, bool]:
         p = p[1:]
     elif "/" not in p:
         p = "**/" + p
+    return p, folder, negated
+
+
+def ignore_regex(pattern: str) -> tuple[str, bool]:
+    """A line of an ignore file: its expression, and whether it takes back."""
+    p, folder, negated = ignore_glob(pattern)
     inner = glob_regex(p)[1:-1]
     return f"^{inner}{'/.*' if folder else '(?:/.*)?'}$", negated
 
 
+def ignore_key(pattern: str) -> str | None:
+    """`glob_key` of a line of an ignore file."""
+    return glob_key(ignore_glob(pattern)[0])
+
+
 # Rule classes with which a forged or replayed request would pass in production.
 PRODUCTION_BYPASS = [
     "missing-signature-verification", "unreachable-verification", "verification-token-only", "url-validation-only", "missing-basic-auth", "missing-ip-allowlist",

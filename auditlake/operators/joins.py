@@ -129,13 +129,28 @@ def new_findings(head: DataFrame, base: DataFrame) -> DataFrame:
     return head.join(base.select("line_hash").distinct(), "line_hash", "left_anti")
 
 
+def fitting(paths: DataFrame, patterns: DataFrame, *on: str) -> DataFrame:
+    """Rows of both, equal in ``on``, where the file_path fits the pattern's regex.
+
+    patterns: (regex, key, ...); key: `scalars.glob_key`, which a path that fits has among its own keys, so the two meet on it and the
+    expression runs on those only. Patterns without a key, or all where there is no such column, meet every path.
+    """
+    if "key" not in patterns.columns:
+        patterns = patterns.withColumn("key", F.lit(None).cast("string"))
+    each = paths.withColumn("key", F.explode(x.path_keys(F.col("file_path"))))
+    keyed = each.join(few(patterns.where("key IS NOT NULL")), [*on, "key"]).where("file_path rlike regex").drop("key")
+    loose = few(patterns.where("key IS NULL").drop("key"))
+    loose = paths.join(loose, list(on)).where("file_path rlike regex") if on else paths.join(loose, F.expr("file_path rlike regex"))
+    return keyed.unionByName(loose)
+
+
 def ignored(findings: DataFrame, patterns: DataFrame) -> DataFrame:
     """Findings with ignore_pattern: the last positive pattern that fits, if the last that fits at all is positive.
 
-    patterns: (ord, pattern, regex, negated).
+    patterns: (ord, pattern, regex, negated), with `key` or not, as `fitting` takes them.
     """
     paths = findings.select("file_path").distinct()
-    hits = paths.join(few(patterns), F.expr("file_path rlike regex"))
+    hits = fitting(paths, patterns)
     last = hits.groupBy("file_path").agg(F.max_by("negated", "ord").alias("out"), F.max_by("pattern", F.when(~F.col("negated"), F.col("ord"))).alias("p"))
     return findings.join(last.where("NOT out").select("file_path", F.col("p").alias("ignore_pattern")), "file_path", "left")
 
@@ -214,7 +229,7 @@ def stale(findings: DataFrame, inline: DataFrame, patterns: DataFrame, baseline:
     each = inline.withColumn("rule", F.explode_outer("rule_ids")).join(keys, ["file_path", "line", "rule"], "left")
     each = each.groupBy("file_path", "comment_line", "rule_ids").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("hit")).where("NOT hit")
     comment = F.concat_ws(":", "file_path", F.col("comment_line").cast("string"), F.get("rule_ids", F.lit(0)))
-    used = findings.select("file_path").distinct().join(few(patterns), F.expr("file_path rlike regex")).select("ord").distinct()
+    used = fitting(findings.select("file_path").distinct(), patterns).select("ord").distinct()
     unfit = patterns.where("NOT negated").join(used, "ord", "left_anti")
     old = unused(baseline.select("rule_id", "line_hash").distinct(), findings, ["rule_id", "line_hash"])
     source = lambda df, name, detail: df.select(F.lit(name).alias("source"), detail.alias("detail"))

@@ -69,11 +69,11 @@ def suppressed_lines(marks: DataFrame, last_lines: DataFrame) -> DataFrame:
 
 
 def first_override(findings: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Findings with the severity of the first override (rule_id, ord, regex, severity) whose expression fits the path."""
-    from .joins import few
+    """Findings with the severity of the first override (rule_id, ord, regex, severity, and `key` or not) whose expression fits the path."""
+    from .joins import fitting
 
     rules = overrides.withColumnRenamed("severity", "s")
-    hits = findings.select("rule_id", "file_path").distinct().join(few(rules), "rule_id").where(F.expr("file_path rlike regex"))
+    hits = fitting(findings.select("rule_id", "file_path").distinct(), rules, "rule_id")
     best = hits.groupBy("rule_id", "file_path").agg(F.min_by("s", "ord").alias("s"))
     out = findings.join(best, ["rule_id", "file_path"], "left")
     return out.withColumn("severity", F.coalesce("s", "severity")).drop("s")

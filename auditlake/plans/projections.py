@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as x
 from ..operators import aggregates, bodies, joins, ordered, predicates, reachability
+from ..sources import packs
 from ..sources.tables import table
 
 QUERIES = {}
@@ -346,6 +347,19 @@ def ignore_patterns(spark, d):
     return joins.ignored(findings(spark, d), spark.createDataFrame(p, "ord int, pattern string, regex string, negated boolean")).select("finding_id", "ignore_pattern")
 
 
+MANY = [(f"src/m{i}/", f"!src/m{i - 1}/*.go", f"*.x{i}")[i % 3] for i in range(5000)]
+
+
+@query("""WITH o AS (SELECT o_orderkey AS finding_id, o_orderkey % 7000 AS m, o_custkey % 4 AS k, (o_orderkey + 3 * o_custkey) % 6000 AS e FROM orders),
+h AS (SELECT *, m % 3 = 0 AND m < 5000 AS folder, k = 2 AND e % 3 = 2 AND e < 5000 AS ending FROM o)
+SELECT finding_id, CASE WHEN folder AND k = 0 THEN NULL WHEN ending AND (NOT folder OR e > m) THEN '*.x' || e WHEN folder THEN 'src/m' || m || '/' END AS ignore_pattern FROM h""")
+def ignore_patterns_many(spark, d):
+    """An ignore file of 5,000 lines: a path meets those that share a folder, a part or an ending with it."""
+    place = F.expr("concat('src/m', o_orderkey % 7000, element_at(array('/f.go', '/gen/f.go', concat('/f.x', (o_orderkey + 3 * o_custkey) % 6000), '/f.ts'), cast(o_custkey % 4 + 1 as int)))")
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("finding_id"), place.alias("file_path"))
+    return joins.ignored(rows, packs.ignore_table(spark, "\n".join(MANY))).select("finding_id", "ignore_pattern")
+
+
 @query("""WITH b AS (SELECT sha256(text) AS blob, min(doc_id) AS commit FROM documents GROUP BY ALL) SELECT doc_id, commit FROM documents JOIN b ON blob = sha256(text)""")
 def history_provenance(spark, d):
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("blob"))

@@ -60,10 +60,10 @@ def for_providers(rules: DataFrame, wanted: list[str], providers: DataFrame) ->
 
 
 def override_table(rules: DataFrame) -> DataFrame:
-    """(rule_id, ord, regex, severity) of a pack's overrides by path, in their order."""
+    """(rule_id, ord, regex, severity, key) of a pack's overrides by path, in their order."""
     rows = rules.where("size(overrides) > 0").select("rule_id", "overrides").toLocalIterator()  # of a pack
-    flat = [(r["rule_id"], i, x.glob_regex(p), o["severity"]) for r in rows for i, (o, p) in enumerate((o, p) for o in r["overrides"] for p in o["patterns"])]
-    return rules.sparkSession.createDataFrame(flat, "rule_id string, ord int, regex string, severity string")
+    flat = [(r["rule_id"], i, x.glob_regex(p), o["severity"], x.glob_key(p)) for r in rows for i, (o, p) in enumerate((o, p) for o in r["overrides"] for p in o["patterns"])]
+    return rules.sparkSession.createDataFrame(flat, "rule_id string, ord int, regex string, severity string, key string")
 
 
 def content_hash(rules: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
@@ -101,9 +101,9 @@ def baseline_rows(findings: DataFrame) -> DataFrame:
 
 
 def ignore_table(spark: SparkSession, text: str) -> DataFrame:
-    """(ord, pattern, regex, negated) of the lines of an ignore file."""
+    """(ord, pattern, regex, negated, key) of the lines of an ignore file."""
     lines = [p.strip() for p in text.splitlines() if p.strip() and not p.startswith("#")]
-    return spark.createDataFrame([(i, p, *x.ignore_regex(p)) for i, p in enumerate(lines)], "ord int, pattern string, regex string, negated boolean")
+    return spark.createDataFrame([(i, p, *x.ignore_regex(p), x.ignore_key(p)) for i, p in enumerate(lines)], "ord int, pattern string, regex string, negated boolean, key string")
 
 
 def config(command_line: dict, env: dict, file_text: str | None, defaults: dict) -> dict:
