@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import canonical
 from ..functions import scalars as x
 from ..operators import aggregates, joins
 from ..sources import packs
@@ -21,6 +22,29 @@ def rule_content_hash(spark, d):
     return packs.content_hash(r, ["provider"], ["severity", "size", "rule_id"])
 
 
+# DuckDB's shortest text of a double in JavaScript's layout: no `.0`, no padding of exponents (values here are below 1e21 or have one)
+_js = lambda v: f"regexp_replace(regexp_replace(({v})::VARCHAR, '\\.0$', ''), 'e([+-])0', 'e\\1')"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, '{{"big":' || {_js("l_extendedprice * 1e20")} || ',"flags":{{"' || l_returnflag || '":' || l_linenumber || '}},"order":["' || l_orderkey || '",null,"' || (l_orderkey % 2 = 0)::VARCHAR
+ || '"],"price":' || {_js("l_extendedprice")} || ',"share":' || {_js("l_discount / l_extendedprice * 1e-4")} || ',"text":"\\u000b\\"' || l_linestatus || '\\\\\\n/"}}' AS value FROM lineitem""")
+def canonical_json(spark, d):
+    """Nested rows as canonical JSON: prices, tiny and huge numbers, maps, arrays, escapes."""
+    price = F.col("l_extendedprice")
+    text = F.concat(F.lit('\x0b"'), "l_linestatus", F.lit("\\\n/"))
+    order = F.array(F.col("l_orderkey").cast("string"), F.lit(None), (F.col("l_orderkey") % 2 == 0).cast("string"))
+    row = F.struct(text.alias("text"), price.alias("price"), (F.col("l_discount") / price * 1e-4).alias("share"), (price * 1e20).alias("big"), F.create_map("l_returnflag", "l_linenumber").alias("flags"), order.alias("order"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", row.alias("row"))
+    return rows.select("l_orderkey", "l_linenumber", canonical.value(F.col("row"), rows.schema["row"].dataType).alias("value"))
+
+
+@query(f"""WITH {F_} SELECT '{{"file_path":"' || file_path || '","finding_id":' || finding_id || ',"handler_id":' || handler_id || ',"line":' || line || ',"line_hash":"' || line_hash || '","rule_id":"' || rule_id || '","severity":"' || severity
+ || CASE WHEN finding_id % 3 = 0 THEN '' ELSE '","snippet":"a\\t<' || col || '>' END || '","state":"' || state || '","suppressed":' || suppressed || '}}' AS value FROM f""")
+def json_lines(spark, d):
+    snippet = F.when(F.col("finding_id") % 3 != 0, F.concat(F.lit("a\t<"), F.col("col").cast("string"), F.lit(">")))
+    return reports.json_lines(findings(spark, d).withColumn("snippet", snippet))
+
+
 @query(f"""WITH {F_} SELECT finding_id, CASE rule_id WHEN 'r/1' THEN 'a,b' WHEN 'r/4' THEN 'c' ELSE '' END AS refs FROM f""")
 def finding_references(spark, d):
     rules = spark.sql("SELECT * FROM VALUES ('r/1', array('a', 'b')), ('r/4', array('c')), ('r/99', array('z')) AS t(rule_id, references)")

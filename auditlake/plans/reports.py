@@ -9,6 +9,7 @@ import struct
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import canonical
 from ..functions import scalars as x
 from ..operators import aggregates, ordered
 
@@ -67,6 +68,19 @@ def json_report(findings: DataFrame) -> str:
     return json.dumps({"schema": 1, "findings": rows_of(findings), "summary": aggregates.summary(findings).first().asDict()}, sort_keys=True, indent=2)
 
 
+def json_lines(findings: DataFrame) -> DataFrame:
+    """(value): each finding as canonical JSON (RFC 8785), made where the finding is; what it has no value for is left out."""
+    each = findings.select(F.struct(*FIELDS).alias("f"))
+    return each.select(canonical.value(F.col("f"), each.schema["f"].dataType, drop_nulls=True).alias("value"))
+
+
+def write_json(findings: DataFrame, folder: str) -> None:
+    """A corpus' findings as canonical JSON lines by part under ``folder``/findings, and schema and summary beside them."""
+    json_lines(findings).write.mode("overwrite").text(f"{folder}/findings")
+    whole = aggregates.summary(findings).select(F.struct(F.lit(1).alias("schema"), F.struct("*").alias("summary")).alias("v"))
+    whole.select(canonical.value(F.col("v"), whole.schema["v"].dataType).alias("value")).write.mode("overwrite").text(f"{folder}/envelope")
+
+
 def sarif(findings: DataFrame, version: str = "0") -> str:
     found = rows_of(findings)
     results = [

@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import canonical
 from ..functions import scalars as x
 
 RULES = "rule_id string, provider string, severity string, applies_to array<string>, predicate string, mappings map<string,array<string>>, overrides array<struct<patterns:array<string>,severity:string>>, references array<string>"
@@ -69,14 +70,12 @@ def override_table(rules: DataFrame) -> DataFrame:
 def content_hash(rules: DataFrame, by: list[str], fields: list[str]) -> DataFrame:
     """(by..., content_hash): SHA-256 of a pack's rules as canonical JSON, in the order of their ids.
 
-    fields: scalar columns, in any order; keys are sorted, nulls are `null`. A pack is small; what is hashed for one group
+    fields: columns of any type that JSON has, in any order; nulls are `null`. A pack is small; what is hashed for one group
     is its rules.
     """
-    value = lambda c: F.coalesce(F.to_json(F.struct(F.col(c).alias("v"))), F.lit("{}"))
-    bare = lambda c: F.when(F.col(c).isNull(), "null").otherwise(F.regexp_extract(value(c), r'(?s)^\{"v":(.*)\}$', 1))
-    parts = [F.concat(F.lit(f'"{c}":'), bare(c)) for c in sorted(fields)]
-    each = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rule_id", each.alias("json")))), lambda s: s["json"])
+    each = F.struct(*fields)
+    json = canonical.value(each, rules.select(each.alias("v")).schema["v"].dataType)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rule_id", json.alias("json")))), lambda s: s["json"])
     return rules.groupBy(*by).agg(F.sha2(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")), 256).alias("content_hash"))
 
 
