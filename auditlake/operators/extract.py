@@ -50,10 +50,12 @@ PHP_SIGNALS = r"file_get_contents\(\s*['\"]php://input|\bhash_hmac\(|\bgetallhea
 FILE_ROUTES = [
     ("nextjs", r"(^|/)app/(.*/)?route\.(ts|tsx|js|jsx)$", r"^\s*export\s+(?:async\s+)?(?:function|const)\s+(POST|PUT|PATCH|DELETE)\b"),
     ("nextjs-pages", r"(^|/)pages/api/", r"^\s*export\s+default()"),
-    ("remix", r"(^|/)app/routes/", r"^\s*export\s+(?:async\s+)?(?:function|const)\s+action\b()"),
+    ("remix", r"(^|/)app/routes/(?!(.*/)?route\.tsx?$)", r"^\s*export\s+(?:async\s+)?(?:function|const)\s+action\b()"),
     ("deno", r"\.(ts|js|mjs)$", r"^\s*Deno\.serve\(()"),
     ("cloudflare-workers", r"\.(ts|js|mjs)$", r"^\s*export\s+default\s*\{\s*(?:async\s+)?fetch()"),
 ]
+# of files whose exported `config` has the edge runtime
+EDGE = ("vercel-edge", r"^\s*export\s+(?:(?:async\s+)?(?:function|const|let|var)\s+(?:(POST|PUT|PATCH|DELETE)|handler)\b|default\s+(?:async\b|function\b|\(|\w+\s*=>))")
 SUPPRESS = r"(?://|#|/\*)\s*audit-(disable-next-line|disable-line|disable|enable)\s+([\w/, -]+/[\w/, -]+)"
 
 
@@ -259,17 +261,43 @@ def _class_views(toks: DataFrame, functions: DataFrame, imported: DataFrame) ->
 PLAUSIBLE = {"js": r"^\s*export\s|^\s*Deno\.|\bwebhook\s*\(", "php": r"php://input|hash_hmac\(|getallheaders\(|\$_SERVER"}
 
 
-def _line_routes(rows: DataFrame) -> DataFrame:
+def _members(toks: DataFrame, opened: str, member: str) -> DataFrame:
+    """(file_path, o, gap): members whose text fits of JavaScript's braces after text that fits, by the place of the brace."""
+    opens = toks.where((F.col("language") == "js") & (F.col("ch") == "{") & F.col("gap").rlike(opened)).select("file_path", F.col("k").alias("o"))
+    each = toks.where(F.col("ch").isin(",", "}") & F.col("gap").rlike(member)).select("file_path", F.col("group").alias("o"), "gap")
+    return each.join(opens, ["file_path", "o"])
+
+
+def _exported_routes(toks: DataFrame, functions: DataFrame) -> DataFrame:
+    """(file_path, line, rank, framework, route, method, end_line): functions of an app router's file that `export { a as POST }` names;
+    names that come from another module do not count."""
+    framework, path, _ = FILE_ROUTES[0]
+    member = rf"^\s*([\w$]+)\s+as\s+({VERBS})\s*$"
+    named = _members(toks.where(F.col("file_path").rlike(path)), r"\bexport\s*$", member)
+    other = toks.where((F.col("ch") == "}") & F.col("next_gap").rlike(r"^\s*from\b")).select("file_path", F.col("group").alias("o"))
+    named = named.join(other, ["file_path", "o"], "left_anti").select("file_path", F.regexp_extract("gap", member, 1).alias("name"), F.regexp_extract("gap", member, 2).alias("method")).distinct()
+    own = functions.where("kind = 'function'").groupBy("file_path", "name").agg(F.min("start").alias("line"), F.min_by("end", "start").alias("end_line"))
+    return named.join(own, ["file_path", "name"]).select("file_path", "line", F.lit(-2).alias("rank"), F.lit(framework).alias("framework"), _file_route().alias("route"), "method", "end_line")
+
+
+def _file_route() -> Column:
+    """The path that a file's place gives it."""
+    return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace("file_path", r"^.*?(app/routes|pages|app)/", ""), r"(/route|/index)?\.\w+$", ""))
+
+
+def _line_routes(rows: DataFrame, toks: DataFrame) -> DataFrame:
     """(file_path, line, rank, framework, route, method, needs): routes by a file's place or a line of it."""
     plausible = F.coalesce(_by_language(F.col("language"), {n: F.col("code").rlike(p) for n, p in PLAUSIBLE.items()}).cast("boolean"), F.lit(False))
     kind = lambda framework, route, method, needs=None: F.struct(F.lit(framework).alias("framework"), route.alias("route"), method.alias("method"), F.lit(needs).cast("string").alias("needs"))
     js, code = F.col("language") == "js", F.col("code")
     found = [F.when(js & code.rlike(NODE[2]), kind(NODE[0], F.lit("/webhook"), F.lit(""), NODE[1]))]
     for framework, path, p in FILE_ROUTES:
-        route = F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace("file_path", r"^.*?(app/routes|pages|app)/", ""), r"(/route|/index)?\.\w+$", ""))
-        found.append(F.when(js & F.col("file_path").rlike(path) & code.rlike(p), kind(framework, route, F.regexp_extract("code", p, 1))))
+        found.append(F.when(js & F.col("file_path").rlike(path) & code.rlike(p), kind(framework, _file_route(), F.regexp_extract("code", p, 1))))
+    found.append(F.when(js & F.coalesce("edge", F.lit(False)) & code.rlike(EDGE[1]), kind(EDGE[0], _file_route(), F.regexp_extract("code", EDGE[1], 1))))
     found.append(F.when((F.col("language") == "php") & code.rlike(PHP_SIGNALS), kind("vanilla-php", F.concat(F.lit("/"), basename(F.col("file_path"))), F.lit(""))))
-    hits = rows.where(plausible).select("file_path", "line", F.posexplode(F.array_compact(F.array(*found))).alias("rank", "r"))
+    edge = _members(toks, r"\bexport\s+(?:const|let|var)\s+config\s*(?::[^=]*)?=\s*$", r"^\s*['\"]?runtime['\"]?\s*:\s*['\"]edge['\"]\s*$")
+    rows = rows.where(plausible).join(edge.select("file_path", F.lit(True).alias("edge")).distinct(), "file_path", "left")
+    hits = rows.select("file_path", "line", F.posexplode(F.array_compact(F.array(*found))).alias("rank", "r"))
     return hits.select("file_path", "line", (F.col("rank") + len(ROUTES) + 2).alias("rank"), "r.*")
 
 
@@ -279,7 +307,7 @@ def routes(rows: DataFrame, toks: DataFrame, functions: DataFrame, imported: Dat
 
     A FastAPI router's path follows the prefix that any file includes the router with.
     """
-    called, other = _called_routes(toks), _line_routes(rows)
+    called, other = _called_routes(toks), _line_routes(rows, toks)
     closed = structure.ends(toks).select("file_path", "k", "end_line")
     called = called.join(closed, ["file_path", "k"], "left")
     # a decorated function is the next one; one that a line exports begins there
@@ -293,7 +321,7 @@ def routes(rows: DataFrame, toks: DataFrame, functions: DataFrame, imported: Dat
     prefixed = (F.col("framework") == "fastapi") & F.col("prefix").isNotNull()
     called = called.join(prefixes, "router", "left").withColumn("route", F.when(prefixed, F.concat("prefix", "route")).otherwise(F.col("route")))
     hits = called.drop("decorates", "router", "prefix", "own", "end", "next_end").unionByName(other.withColumn("k", F.lit(None).cast("int")))
-    hits = hits.unionByName(_class_views(toks, functions, imported).withColumns({"needs": F.lit(None).cast("string"), "k": F.lit(None).cast("int")}))
+    hits = hits.unionByName(_class_views(toks, functions, imported).unionByName(_exported_routes(toks, functions)).withColumns({"needs": F.lit(None).cast("string"), "k": F.lit(None).cast("int")}))
     modules = imported.groupBy("file_path").agg(F.collect_set("to_module").alias("modules"))  # of one file
     hits = hits.join(modules, "file_path", "left").withColumn("modules", F.coalesce("modules", F.array().cast("array<string>")))
     hits = hits.where(F.col("needs").isNull() | F.exists("modules", lambda m: F.startswith(m, F.col("needs"))))
@@ -303,7 +331,8 @@ def routes(rows: DataFrame, toks: DataFrame, functions: DataFrame, imported: Dat
     # hono and fastify routes look like express; the import tells
     own = F.filter("modules", lambda m: m.isin("hono", "fastify"))
     framework = F.when((F.col("framework") == "express") & (F.size(own) > 0), F.array_max(own)).otherwise(F.col("framework"))
-    first = Window.partitionBy("file_path", F.when(plain, 0).otherwise(F.col("line"))).orderBy("line", "rank")
+    again = F.when(F.col("rank") == -2, F.col("method"))  # a function may be exported for several methods
+    first = Window.partitionBy("file_path", F.when(plain, 0).otherwise(F.col("line")), again).orderBy("line", "rank")
     hits = hits.withColumns({"framework": framework, "n": F.row_number().over(first)}).where("n = 1")  # one of a line, or of a plain PHP file
     w = Window.partitionBy("file_path").orderBy("line")
     method = F.upper(F.when(F.col("method").isin("", "all"), "post").otherwise(F.col("method")))

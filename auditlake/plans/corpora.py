@@ -151,6 +151,12 @@ ROUTE_CASES = [
     ("srv/d%.ts", "", "Deno.serve(handler);", "deno", "/srv/d%", "POST"),
     ("srv/c%.ts", "", "export default { async fetch(req) {} };", "cloudflare-workers", "/srv/c%", "POST"),
     ("nodes/n%.ts", "import { INodeType } from 'n8n-workflow';\n", "  async webhook(this: IWebhookFunctions): Promise<R> {", "express", "/webhook", "POST"),
+    ("app/e%/route.ts", "", "async function h(req) { go(req); }\nexport {{b} h as POST,{b} h as GET };", "nextjs", "/e%", "POST"),
+    ("app/o%/route.ts", "", "function h(req) {}\nexport {{b} h as POST } from './other';", "", "", ""),
+    ("edge/v%.ts", "export const config = { runtime: 'edge' };\n", "export default async function main(req) {}", "vercel-edge", "/edge/v%", "POST"),
+    ("edge/h%.ts", "export const config = {\n  a: [1],\n  runtime: \"edge\",\n};\n", "export const handler = async (req) => {};", "vercel-edge", "/edge/h%", "POST"),
+    ("edge/n%.ts", "export const config = { runtime: 'nodejs' };\n", "export const handler = async (req) => {};", "", "", ""),
+    ("app/routes/x%/route.tsx", "", "export async function action() {}", "", "", ""),
     ("src/x%.ts", "import express from 'express';\n", "app.get({b}'{r}',{b} h);", "", "", ""),
     ("src/y%.ts", "import express from 'express';\n", "const a = await app.post({b}'{r}',{b} h);", "", "", ""),
 ]
