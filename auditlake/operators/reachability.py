@@ -22,7 +22,7 @@ def closure(seeds: DataFrame, edges: DataFrame, depth: int = 4, most: int = 1000
     first = Window.partitionBy("root", "node").orderBy("ord")
     hop = seeds.withColumn("n", F.row_number().over(first)).where("n = 1").select("root", "node", F.lit(1).alias("hops"), "ord")
     reached = written(hop, "hop")
-    front = reached
+    front = begun = reached
     for hops in range(2, depth + 1):
         ahead = front.select("root", F.col("node").alias("src"), F.col("ord").alias("o")).join(edges, "src")
         ahead = ahead.groupBy("root", F.col("dst").alias("node")).agg(F.min("ord").alias("ord"))
@@ -30,10 +30,19 @@ def closure(seeds: DataFrame, edges: DataFrame, depth: int = 4, most: int = 1000
         if front.isEmpty():
             break
         reached = reached.unionByName(front)
+    if _bound(begun, edges, depth) <= most:  # nothing to cut, so no need to bring each root's symbols together
+        return reached.select("root", "node", "hops")
     nearest = Window.partitionBy("root").orderBy("hops", "ord", "node")
     return reached.withColumn("n", F.row_number().over(nearest)).where(F.col("n") <= most).select("root", "node", "hops")
 
 
+def _bound(seeds: DataFrame, edges: DataFrame, depth: int) -> int:
+    """No root reaches more than this: the most seeds of a root, each with as many calls a hop as the symbol that has most."""
+    most = lambda df, by: df.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    wide = most(edges, "src")
+    return most(seeds, "root") * sum(wide**i for i in range(depth))
+
+
 def callee(calls: DataFrame):
     """The name that a call has in the file it leads to: the imported one for a call of an import itself, else its last part."""
     last = F.substring_index("qualified_name", ".", -1)
