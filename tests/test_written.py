@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from auditlake.operators import extract, joins, structure
+from auditlake.operators import extract, joins, reachability, structure
 from auditlake.sources import files
 from auditlake.sources.tables import written
 
@@ -21,3 +21,28 @@ def test_calls_of_source_texts_broadcast_nothing(spark):
     text = extract.texts(files.given(spark, {"a.ts": "class A {\n  go() { f(); }\n}\n", "b.py": "class A:\n    def go(self):\n        f()\n"}), written)
     for df in (structure.functions(text.toks, text.rows), extract.calls(text.toks, text.functions)):
         assert "BroadcastExchange" not in plan(df)
+
+
+def test_files_are_dealt_out_once(spark):
+    given = written(files.given(spark, {"a.ts": "f(a, [b], { c: 1 });\n"}), "masked")
+    assert plan(structure.tokens(given)).count("Exchange ") == 1 and structure.tokens(given).where("ch rlike '[^ \\\\n]'").count() == 9
+
+
+def test_statements_read_their_tokens_once(spark):
+    source = {f"{i}.ts": "app.post('/x', (req) => {\n  if (!verify(req)) { return; }\n  db.query(a);\n});\n" for i in range(3)}
+    toks = extract.texts(files.given(spark, source), written).toks
+    bodies = written(structure.last_bodies(toks, toks.where("ch = '(' AND gap = 'app.post'").select("file_path", "k")), "bodies")
+    kept = []
+    found = structure.statements(toks, bodies, lambda df, tag: kept.append(tag) or written(df, tag))
+    assert kept == ["body_tokens"] and "bodies-" not in plan(found)
+    rows = {(r["statement"], r["name"], r["tested"], r["returns"]) for r in found.where("file_path = '1.ts'").collect()}
+    assert rows == {(0, "verify", True, True), (1, "db.query", False, False)}
+
+
+def test_closure_sorts_roots_only_where_some_are_cut(spark):
+    edges = spark.range(40).selectExpr("id AS src", "id + 1 AS dst", "id AS ord")
+    seeds = edges.selectExpr("src AS root", "dst AS node", "ord")
+    whole, cut = reachability.closure(seeds, edges, 4, 4), reachability.closure(seeds, edges, 4, 3)
+    assert "Window" not in plan(whole) and "Window" in plan(cut)
+    want = {(r, r + h, h) for r in range(40) for h in range(1, 5) if r + h <= 40}
+    assert {tuple(r) for r in whole.collect()} == want and {tuple(r) for r in cut.collect()} == {w for w in want if w[2] < 4}
