@@ -166,11 +166,14 @@ def _indented(toks: DataFrame, rows: DataFrame) -> DataFrame:
     """Python: a definition ends before the next line that is not indented further, lines within brackets aside."""
     opened = toks.where(F.col("ch").isin("(", "[", "{") & F.col("group").isNull()).select("file_path", "k", "line")
     spans = opened.join(ends(toks).select("file_path", "k", "end_line"), ["file_path", "k"]).where("end_line > line")
-    inside = spans.select("file_path", F.explode(F.sequence(F.col("line") + 1, F.col("end_line"))).alias("line")).distinct()
-    code = rows.where(F.col("code").rlike(r"\S")).join(inside, ["file_path", "line"], "left_anti")
     head = r"^\s*(?:async\s+)?(def|class)\s+(\w+)"
     indent = F.char_length(F.regexp_extract(F.replace("code", F.lit("\t"), F.lit(" " * 8)), "^( *)", 1))
-    code = code.select("file_path", "language", "line", indent.alias("indent"), F.regexp_extract("code", head, 1).alias("what"), F.regexp_extract("code", head, 2).alias("name"))
+    code = rows.where(F.col("code").rlike(r"\S")).select("file_path", "language", "line", F.lit(0).alias("step"), indent.alias("indent"), F.regexp_extract("code", head, 1).alias("what"), F.regexp_extract("code", head, 2).alias("name"))
+    # where lines begin and cease to be within brackets; one exchange by file serves this and the windows that follow, and no code is in it
+    step = lambda line, n: F.struct(line.cast("int").alias("line"), F.lit(n).alias("step"))
+    marks = spans.select("file_path", F.explode(F.array(step(F.col("line") + 1, 1), step(F.col("end_line") + 1, -1))).alias("m")).select("file_path", "m.*")
+    depth = F.sum("step").over(Window.partitionBy("file_path").orderBy("line", F.abs("step").desc()).rowsBetween(Window.unboundedPreceding, 0))
+    code = code.unionByName(marks, allowMissingColumns=True).withColumn("depth", depth).where("step = 0 AND depth = 0").drop("step", "depth")
     every = Window.partitionBy("file_path")
     code = code.withColumns({"levels": F.collect_set(F.when(F.col("name") != "", F.col("indent"))).over(every), "last": F.max("line").over(every)})  # few, of one file
     # a line ends the definitions of its own and of deeper levels

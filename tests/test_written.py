@@ -62,3 +62,12 @@ def test_scan_is_planned_in_small_steps(spark, monkeypatch):
     monkeypatch.setattr(closing, "written", kept)
     scan.scan(files.given(spark, {"a.ts": "app.post('/webhooks/x', (req) => { f(req); });\n"}))
     assert sizes["evidence"] <= 20 and sizes["findings"] <= 20, sizes
+
+
+def test_lines_within_brackets_share_the_exchange_of_indents(spark):
+    source = "def f(\n    a,\nb,\n):\n    x = [\n1,\n]\n    return (a)\n\nclass A(\nB):\n  def g(self): pass\n)\n[\ndef h(): pass\n"
+    given = written(files.given(spark, {"a.py": source, "b.py": "def f():\n  pass\n"}), "masked")
+    toks = written(structure.tokens(given), "tokens")
+    found = structure._indented(toks, extract.lines(given))
+    assert {(r["file_path"], r["name"], r["start"], r["end"]) for r in found.collect()} == {("a.py", "f", 1, 9), ("a.py", "A", 10, 12), ("a.py", "g", 12, 12), ("a.py", "h", 15, 15), ("b.py", "f", 1, 2)}
+    assert "LeftAnti" not in plan(found)
