@@ -5,20 +5,20 @@ cell; cells meet in buckets, whose sums are upper bounds for every phrase of a c
 threshold go back to the blocks that hold them, and only there: nothing is broadcast, and a block sees no more than
 its own phrases. Phrases of three and four words are counted so in a second round, where all their pairs have
 passed. What has passed compiles into automata over the block's text, whose words stand between single spaces and
-whose pieces are apart, so a match is a whole phrase; overlapping matches count. Sums over the blocks are exact, as
-hashes decide only what is looked for. Cuts, scores and containment are joins of the phrases that reach the threshold.
+whose pieces are apart, so a match is a whole phrase; overlapping matches count. A block's counts go to buckets as its
+cells did, in lists; sums over the blocks are exact, as hashes decide only what is looked for. Cuts, scores and containment are joins of the phrases that reach the threshold.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,28 +164,43 @@ def _heavy(part: pa.Table, least: int) -> pa.Table:
     return pa.table({"lang": part["lang"], "block": part["block"], "heavy": pa.array(kept, pa.binary())}).filter(pa.array([len(k) > 0 for k in kept]))
 
 
-def _matches(texts: list[str], heavy: np.ndarray, buckets: int) -> Counter:
-    """(phrase, its words) of a block with counts; the empty phrase counts all words."""
-    found: Counter = Counter()
+def _matches(texts: list[str], heavy: np.ndarray, buckets: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, phrases, counts) of a block, an entry a phrase in a row's two lists; the empty phrase counts all words."""
+    out = []
     for text in _slices(texts):
         words = Words(text)
-        found["", 0] += int((~words.stop).sum())
-        wanted = []
+        out.append((0, b"", np.array([(~words.stop).sum()], np.int64).tobytes()))
+        each = []
         for k, ok in enumerate(_kept(words, heavy, buckets, MOST_WORDS), 1):
             at = np.nonzero(ok)[0]
-            _, first = np.unique(words.runs(k)[0][at], return_index=True)
-            wanted += [(words.phrase(i, k), k) for i in at[first].tolist()]
-        whole = text.decode()
+            hashes, first = np.unique(words.runs(k)[0][at], return_index=True)
+            each.append(((_cells(hashes, buckets) >> np.uint64(32)).astype(np.int64), at[first], np.full(len(first), k)))
+        bucket, at, k = (np.concatenate(x) for x in zip(*each))
+        order = np.argsort(bucket, kind="stable")
+        wanted = [words.phrase(i, n) for i, n in zip(at[order].tolist(), k[order].tolist())]
+        counts, whole = np.zeros(len(wanted), np.int64), text.decode()
         for lo in range(0, len(wanted), PATTERNS):
             automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
             own = wanted[lo : lo + PATTERNS]
-            for i, (phrase, _) in enumerate(own):
+            for i, phrase in enumerate(own):
                 automaton.add_word(f" {phrase} ", i)
             automaton.make_automaton()
-            counts = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(whole)), np.int64), minlength=len(own))
-            for key, n in zip(own, counts.tolist()):
-                found[key] += n
-    return found
+            counts[lo : lo + PATTERNS] = np.bincount(np.fromiter(map(itemgetter(1), automaton.iter(whole)), np.int64), minlength=len(own))
+        cuts = np.nonzero(np.diff(bucket[order], prepend=-1))[0].tolist()
+        for lo, hi in zip(cuts, [*cuts[1:], len(wanted)]):
+            out.append((int(bucket[order[lo]]), "\n".join(wanted[lo:hi]).encode(), counts[lo:hi].tobytes()))
+    return out
+
+
+def _summed(part: pa.Table, least: int) -> pa.Table:
+    """Of the blocks in a bucket, (lang, phrase, k, n) of the phrases whose counts reach the threshold, and of the empty one."""
+    each = pc.list_flatten(pc.split_pattern(pa.array(part["phrases"].to_pylist(), pa.large_binary()).cast(pa.large_string()), "\n"))
+    counts = np.frombuffer(b"".join(part["counts"].to_pylist()), np.int64)
+    sums = pa.table({"phrase": each, "n": counts}).group_by("phrase", use_threads=False).aggregate([("n", "sum")])
+    empty = pc.equal(sums["phrase"], "")
+    k = pc.if_else(empty, 0, pc.add(pc.count_substring(sums["phrase"], " "), 1))
+    out = pa.table({"lang": pa.repeat(part["lang"][0], len(sums)), "phrase": sums["phrase"].cast(pa.string()), "k": k.cast(pa.int32()), "n": sums["n_sum"]})
+    return out.filter(pc.or_(empty, pc.greater_equal(out["n"], least)))
 
 
 def _union(binaries: list[bytes]) -> np.ndarray:
@@ -236,12 +251,13 @@ def phrase_counts(docs: DataFrame, least: int = 30) -> DataFrame:
     heavy = short.unionByName(_bounds(blocks, least, short))
 
     def scan(part: pa.Table, known: pa.Table) -> pa.Table:
-        found = _matches(part["text"].to_pylist(), _union(known["heavy"].to_pylist()), part["buckets"][0].as_py()) if len(part) else Counter()
-        lang = part["lang"][0].as_py() if found else None
-        return pa.table({"lang": pa.array([lang] * len(found), pa.string()), "phrase": pa.array([p for p, _ in found], pa.string()), "k": pa.array([k for _, k in found], pa.int32()), "n": pa.array(list(found.values()), pa.int64())})
+        found = _matches(part["text"].to_pylist(), _union(known["heavy"].to_pylist()), part["buckets"][0].as_py()) if len(part) else []
+        return pa.Table.from_pylist([{"lang": part["lang"][0].as_py(), "bucket": b, "phrases": p, "counts": n} for b, p, n in found], schema)
 
-    found = blocks.groupBy("lang", "block").cogroup(heavy.groupBy("lang", "block")).applyInArrow(scan, "lang string, phrase string, k int, n long")
-    found = found.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("k") == 0) | (F.col("n") >= least))
+    # a block's counts travel by bucket, as its cells do: a row for each bucket, not one for each phrase
+    schema = pa.schema([("lang", pa.string()), ("bucket", pa.int64()), ("phrases", pa.binary()), ("counts", pa.binary())])
+    found = blocks.groupBy("lang", "block").cogroup(heavy.groupBy("lang", "block")).applyInArrow(scan, "lang string, bucket long, phrases binary, counts binary")
+    found = found.groupBy("lang", "bucket").applyInArrow(lambda part: _summed(part, least), "lang string, phrase string, k int, n long")
     counts = materialize(found, "phrases")
     release(blocks)
     return counts

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from auditlake.llm import collocations as c
@@ -80,3 +81,14 @@ def test_score_is_exact_beyond_64_bits(spark):
     a, left, right = 2**62 + 1, 2**63 - 1, 2**62 + 12345
     df = spark.createDataFrame([(a, left, right)], "a long, l long, r long")
     assert df.select(c._score("a", "l", "r")).first()[0] == 2_000_000 * a // (left + right)
+
+
+def test_blocks_give_a_row_a_bucket(spark, monkeypatch):
+    """What the blocks hand on are lists by bucket: more phrases make no more rows."""
+    texts = ["one two three four five. " * 3, "two three and one two"]
+    blocks = [c.Words(t) for t in c._slices(texts)]
+    cells = [c._cells(w.runs(k)[0], 2) for w in blocks for k in range(1, 5)]
+    found = c._matches(texts, np.unique(np.concatenate(cells)), 2)
+    assert len(found) <= 3 and {b for b, *_ in found} <= {0, 1}
+    rows = [(p, n) for _, ps, ns in found for p, n in zip(ps.decode().split("\n"), np.frombuffer(ns, np.int64).tolist(), strict=True)]
+    assert dict(rows) | {"": 20, "two three": 4, "one two three four": 3, "and one two": 1} == dict(rows) and len(dict(rows)) == len(rows)
