@@ -1,9 +1,12 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from auditlake.operators import extract, ordered, structure
 from auditlake.plans import handlers, scan
 from auditlake.sources import files
+from auditlake.sources.tables import written
 
 from .oracle import both, views
 
@@ -101,3 +104,46 @@ def test_routes_in_any_layout(spark):
     states = {(r["file_path"], r["rule_id"]): r["state"] for r in result.findings.collect()}
     assert states["a.ts", "stripe/missing-signature-verification"] == "not-verified"  # the call after the handler's end is not its own
     assert ("l.php", "shopify/raw-body-misuse") not in states
+
+
+def test_brackets_of_many_files_at_once(spark):
+    """Against a plain walk of each file: unbalanced brackets, empty and missing texts, batches and code points beyond one byte."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(["(", ")", "[", "]", "{", "}", ",", ";", "é\n", "日x", " a ", "𝒳"]) for _ in range(rng.randint(0, 60))) for _ in range(60)] + ["", "no brackets", ")))((", None]
+    want = []
+    for f, text in enumerate(texts):
+        toks, level, open_at, line, gap = [], 0, {}, 1, ""
+        for pos, c in enumerate(text or ""):
+            line += c == "\n"
+            if c not in "()[]{},;":
+                gap += c
+                continue
+            group = open_at.get(level) if level > 0 else None
+            toks.append([f"{f}.ts", len(toks), c, gap, line, pos, group, None])
+            gap = ""
+            if c in "([{":
+                level += 1
+                open_at[level] = len(toks) - 1
+            elif c in ")]}":
+                if group is not None:
+                    toks[group][7] = len(toks) - 1
+                level -= 1
+        want += map(tuple, toks)
+    given = spark.createDataFrame([(f"{f}.ts", "js", t) for f, t in enumerate(texts)], "file_path string, language string, text string").repartition(3)
+    toks = structure.tokens(given)
+    got = [tuple(r) for r in toks.select("file_path", "k", "ch", "gap", "line", "pos", "group", "end_k").where(F.col("ch").isin(*"()[]{},;")).collect()]  # what follows the last of them is a row too
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    by = {(r["file_path"], r["k"]): r for r in toks.collect()}
+    for (f, k), r in by.items():
+        assert r["group_ch"] == (None if r["group"] is None else by[f, r["group"]]["ch"])
+        after = by.get((f, k + 1))
+        assert r["next_ch"] == (after and after["ch"]) and (r["prev_gap"] is None) == (not (k and by[f, k - 1]["ch"] == "["))
+        end = r["end_k"] is not None and by[f, r["end_k"]]
+        assert [r[c] for c in ("end_line", "end_pos", "then_ch", "then_gap")] == ([end[c] for c in ("line", "pos", "next_ch", "next_gap")] if end else [None] * 4)
+
+
+def test_ends_of_brackets_need_no_join(spark):
+    t = extract.texts(files.given(spark, {"a.ts": "class A { go(a) { f(b); } }\nh(1);\n"}), written)
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (structure._braced(t.toks), extract.calls(t.toks, t.functions))]
+    assert not any("Join" in p for p in plans)
+    assert {(r["caller"], r["qualified_name"]) for r in extract.calls(t.toks, t.functions).collect()} == {("go", "f"), ("<module>", "h")}
