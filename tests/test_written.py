@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from auditlake.operators import extract, joins, reachability, structure
-from auditlake.sources import files
+from auditlake.sources import files, workflow
 from auditlake.sources.tables import written
 
 
@@ -71,3 +71,12 @@ def test_lines_within_brackets_share_the_exchange_of_indents(spark):
     found = structure._indented(toks, extract.lines(given))
     assert {(r["file_path"], r["name"], r["start"], r["end"]) for r in found.collect()} == {("a.py", "f", 1, 9), ("a.py", "A", 10, 12), ("a.py", "g", 12, 12), ("a.py", "h", 15, 15), ("b.py", "f", 1, 2)}
     assert "LeftAnti" not in plan(found)
+
+
+def test_workflow_documents_are_parsed_once(spark):
+    hook = '{"name": "W", "type": "n8n-nodes-base.webhook", "parameters": {"path": "in"}}'
+    docs = [None, "{", "[]", '{"nodes": null, "connections": {}}', f'{{"nodes": [{hook}]}}', f'{{"nodes": [null, {hook}, {hook}], "connections": {{}}}}', '{"nodes": [{"type": "my.Webhook"}], "connections": {}}']
+    flows = written(spark.createDataFrame([(str(i), d) for i, d in enumerate(docs)], "file_path string, text string"), "flows")
+    for df in (workflow.handlers(flows), workflow.open_triggers(flows)):
+        assert (plan(df).count("from_json("), plan(df).count("parseJson(")) == (1, 1)
+        assert sorted((r["file_path"], r["node"], r["route"]) for r in df.collect()) == [("5", "W", "/in"), ("5", "W", "/in")]
