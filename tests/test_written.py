@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from auditlake.operators import extract, joins, reachability, structure
-from auditlake.sources import files, workflow
+from auditlake.sources import files, tables, workflow
 from auditlake.sources.tables import written
 
 
@@ -80,3 +80,29 @@ def test_workflow_documents_are_parsed_once(spark):
     for df in (workflow.handlers(flows), workflow.open_triggers(flows)):
         assert (plan(df).count("from_json("), plan(df).count("parseJson(")) == (1, 1)
         assert sorted((r["file_path"], r["node"], r["route"]) for r in df.collect()) == [("5", "W", "/in"), ("5", "W", "/in")]
+
+
+def test_steps_within_files_need_no_exchange(spark):
+    source = {f"{i}.ts": "app.post('/x', (req) => {\n  if (!verify(req)) { return; }\n  db.query(a);\n});\nfunction f() { g(1); }\n" for i in range(9)}
+    text = extract.texts(files.given(spark, source), tables.dealt)
+    calls = text.toks.where("ch = '(' AND gap = 'app.post'").select("file_path", "k")
+    bodies = tables.dealt(structure.last_bodies(text.toks, calls), "bodies")
+    kept = []
+    found = structure.statements(text.toks, bodies, lambda df, tag: kept.append(df) or tables.dealt(df, tag))
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    with tables._where_files_are(spark):
+        for df in (structure.functions(text.toks, text.rows), structure.last_bodies(text.toks, calls), extract.calls(text.toks, text.functions), *kept, found):
+            assert "Exchange hashpartitioning" not in plan(df)
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+    rows = {(r["statement"], r["name"], r["tested"], r["returns"]) for r in found.where("file_path = '1.ts'").collect()}
+    assert rows == {(0, "verify", True, True), (1, "db.query", False, False)}
+    assert {tuple(r) for r in extract.calls(text.toks, text.functions).where("file_path = '1.ts'").select("caller", "qualified_name").collect()} == {("<module>", "app.post"), ("<module>", "verify"), ("<module>", "db.query"), ("f", "g")}
+
+
+def test_next_brace_beside_a_parenthesis(spark):
+    given = files.given(spark, {"a.ts": "f(a) { g(b); }; h(c, () => { i(); });\nif (x) y();", "b.py": "f(a)\n"})
+    rows = structure.tokens(given).where("ch = '('").select("file_path", "gap", "body_ch", "body_k", "body_end_k").collect()
+    found = {(r["file_path"], r["gap"].strip()): (r["body_ch"], r["body_k"], r["body_end_k"]) for r in rows}
+    assert found["a.ts", "f"] == ("{", 2, 6) and found["a.ts", "g"] == (";", 5, None) and found["a.ts", "i"] == (";", 15, None)
+    assert found["a.ts", "h"] == (";", 18, None) and found["a.ts", "if"] == (";", 23, None) and found["b.py", "f"] == (None, None, None)
+    assert found["a.ts", ""] == ("{", 12, 16)
