@@ -106,3 +106,15 @@ def test_next_brace_beside_a_parenthesis(spark):
     assert found["a.ts", "f"] == ("{", 2, 6) and found["a.ts", "g"] == (";", 5, None) and found["a.ts", "i"] == (";", 15, None)
     assert found["a.ts", "h"] == (";", 18, None) and found["a.ts", "if"] == (";", 23, None) and found["b.py", "f"] == (None, None, None)
     assert found["a.ts", ""] == ("{", 12, 16)
+
+
+def test_overrides_read_a_written_table_by_file(spark):
+    from auditlake.plans import scan
+    from auditlake.sources import packs
+
+    pack = spark.createDataFrame([("a/x", "a", "high", [], "x", {}, [(["src/**"], "low")], ["R"]), ("a/y", "a", "info", ["flask"], "y", {}, [], [])], packs.RULES)
+    rows = [("a/x", "h1", "src/a.ts", 1, "verified", "c", "express"), ("a/x", "h2", "lib/a.ts", 1, "verified", "c", "express"), ("a/y", "h3", "src/b.ts", 1, "verified", "c", "express")]
+    found = scan._by_rules(spark.createDataFrame(rows, "rule_id string, handler_id string, file_path string, line int, state string, code string, framework string"), pack)
+    with tables._where_files_are(spark):
+        assert "auditlake_kept_" in plan(found) and "Exchange hashpartitioning" not in plan(found)
+    assert {(r["file_path"], r["severity"], tuple(r["references"])) for r in found.collect()} == {("src/a.ts", "low", ("R",)), ("lib/a.ts", "high", ("R",))}
