@@ -118,3 +118,14 @@ def test_overrides_read_a_written_table_by_file(spark):
     with tables._where_files_are(spark):
         assert "auditlake_kept_" in plan(found) and "Exchange hashpartitioning" not in plan(found)
     assert {(r["file_path"], r["severity"], tuple(r["references"])) for r in found.collect()} == {("src/a.ts", "low", ("R",)), ("lib/a.ts", "high", ("R",))}
+
+
+def test_matchers_read_written_steps(spark, monkeypatch):
+    from auditlake.plans import handlers
+
+    kept = []
+    for name in ("dealt", "written"):
+        monkeypatch.setattr(handlers, name, lambda df, tag, f=getattr(tables, name): kept.append(tag) or f(df, tag))
+    monkeypatch.setattr(handlers.matchers, "verdicts", lambda facts, *_: facts.arguments.withColumns({"handler_id": F.lit(""), "rule_id": F.lit(""), "state": F.lit("")}))
+    handlers.matcher_verdicts(spark, "/root/testdata/sf0.001")
+    assert {"reached", "arguments", "middleware"} <= set(kept)
