@@ -129,3 +129,11 @@ def test_matchers_read_written_steps(spark, monkeypatch):
     monkeypatch.setattr(handlers.matchers, "verdicts", lambda facts, *_: facts.arguments.withColumns({"handler_id": F.lit(""), "rule_id": F.lit(""), "state": F.lit("")}))
     handlers.matcher_verdicts(spark, "/root/testdata/sf0.001")
     assert {"reached", "arguments", "middleware"} <= set(kept)
+
+
+def test_inline_middleware_reads_written_routes(spark, monkeypatch):
+    from auditlake.plans import handlers
+
+    kept = []
+    monkeypatch.setattr(handlers, "dealt", lambda df, tag: kept.append(tag) or tables.dealt(df, tag))
+    assert handlers.inline_middleware(spark, "/root/testdata/sf0.001").count() > 0 and kept[-2:] == ["routes", "inline"]
